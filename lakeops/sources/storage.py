@@ -85,7 +85,7 @@ def delete_folder(spark: SparkSession, path: str) -> bool:
 
 
 def first_line(spark: SparkSession, path: str) -> str | None:
-    """First text line of a plain or compressed file; reads no further."""
+    """First non-blank line of a plain or compressed text file; reads no further."""
     jvm = spark._jvm
     fs, hadoop_path = _open(spark, path)
     stream = fs.open(hadoop_path)
@@ -97,7 +97,10 @@ def first_line(spark: SparkSession, path: str) -> str | None:
         jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
     )
     try:
-        return reader.readLine()
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+        return line
     finally:
         reader.close()
 
