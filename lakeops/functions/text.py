@@ -42,7 +42,7 @@ def name_list(names: Column, trim: bool = False) -> Column:
     """
     parts = F.split(names, ",")
     if trim:
-        parts = F.filter(F.transform(parts, F.trim), lambda name: name != "")
+        parts = F.filter(F.transform(parts, lambda name: F.trim(name)), lambda name: name != "")
     return F.explode(parts)
 
 
