@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import decode_path, is_absolute, join_path
@@ -72,6 +72,19 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
     )
 
 
+def _with_full_path(files: DataFrame, decoded: bool) -> DataFrame:
+    if "location" not in files.columns:
+        return files
+    files = files.withColumn("full_path", join_path(F.col("location"), F.col("relative_path")))
+    if decoded:
+        path = decode_path(F.col("relative_path"))
+        files = files.withColumn(
+            "decoded_path",
+            F.when(is_absolute(path), path).otherwise(join_path(F.col("location"), path)),
+        )
+    return files
+
+
 def added_files(actions: DataFrame, decoded: bool = False) -> DataFrame:
     """Every file a retained commit added, whether or not it was removed later.
 
@@ -83,35 +96,29 @@ def added_files(actions: DataFrame, decoded: bool = False) -> DataFrame:
         F.col("add.path").alias("relative_path"),
         F.col("add.size").alias("size_in_bytes"),
     )
-    if "location" not in files.columns:
-        return files
-    files = files.withColumn("full_path", join_path(F.col("location"), F.col("relative_path")))
-    if decoded:
-        path = decode_path(F.col("relative_path"))
-        files = files.withColumn(
-            "decoded_path",
-            F.when(is_absolute(path), path).otherwise(join_path(F.col("location"), path)),
-        )
-    return files
+    return _with_full_path(files, decoded)
 
 
-def live_actions(actions: DataFrame) -> DataFrame:
-    """The add actions still in force: the last action on their path."""
+def live_files(actions: DataFrame, decoded: bool = False) -> DataFrame:
+    """Files a reader of the table would open now: the last action on them is an add.
+
+    Version and kind of an action make one number, so the last action is found by
+    a hash aggregate of fixed-width values with a map-side part, no sort. Within
+    a commit an add counts as later than a remove.
+    """
     is_add = F.col("add").isNotNull()
-    latest = Window.partitionBy("table_name", F.coalesce("add.path", "remove.path")).orderBy(
-        F.col("version").desc(), is_add.desc(), F.col("add.size").desc()
-    )
-    return (
+    order = F.coalesce("version", F.lit(-1)) * 2 + is_add.cast("int")
+    table = [c for c in ("table_name", "location") if c in actions.columns]
+    last = (
         actions.filter(is_add | F.col("remove").isNotNull())
-        .withColumn("action_rank", F.row_number().over(latest))
-        .filter((F.col("action_rank") == 1) & is_add)
-        .drop("action_rank")
+        .groupBy(*table, F.coalesce("add.path", "remove.path").alias("relative_path"))
+        .agg(F.max(order).alias("last"), F.max_by("add.size", order).alias("size_in_bytes"))
     )
-
-
-def live_files(actions: DataFrame) -> DataFrame:
-    """Files a reader of the table would open now."""
-    return added_files(live_actions(actions))
+    version = F.floor(F.col("last") / 2)
+    files = last.filter(F.pmod("last", F.lit(2)) == 1).select(
+        *table, F.when(version >= 0, version).alias("version"), "relative_path", "size_in_bytes"
+    )
+    return _with_full_path(files, decoded)
 
 
 def append_only_actions(actions: DataFrame, salts: int = COMMIT_SALTS) -> DataFrame:
