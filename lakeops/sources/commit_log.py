@@ -11,7 +11,7 @@ from lakeops.functions.text import decode_path, is_absolute, join_path
 from lakeops.sources import storage
 
 LOG_DIR = "_delta_log"
-COMMIT_NAME = r"^(\d{20})\.json$"
+COMMIT_DIGITS = 20
 
 # Only the fields the operators use. Declaring them spares the inference job and
 # makes an action kind no commit has read as NULL.
@@ -34,13 +34,8 @@ def has_log(spark: SparkSession, location: str) -> bool:
 
 def commit_version(file_name: Column) -> Column:
     """Version in a commit file's name, NULL for any other JSON file."""
-    digits = F.regexp_extract(file_name, COMMIT_NAME, 1)
-    return F.when(digits != "", digits.cast("bigint"))
-
-
-def root_key(path: Column) -> Column:
-    """``path`` in one spelling, whatever number of slashes follows ``file:``."""
-    return F.regexp_replace(path, "^file:/+", "/")
+    named = (F.length(file_name) == COMMIT_DIGITS + len(".json")) & file_name.endswith(".json")
+    return F.when(named, F.left(file_name, F.lit(COMMIT_DIGITS)).try_cast("bigint"))
 
 
 def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFrame:
@@ -49,26 +44,29 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
     ``locations`` maps table names to table folders that have a log.
     """
     roots = {name: storage.qualify(spark, location) for name, location in locations.items()}
+    patterns = [log_pattern(storage.as_literal_path(root)) for root in sorted(set(roots.values()))]
+    file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     lines = (
         spark.read.schema(ACTIONS_SCHEMA)
-        .json([log_pattern(root) for root in sorted(set(roots.values()))])
+        .json(patterns)
         .select(
-            root_key(
-                F.regexp_replace(decode_path(F.col("_metadata.file_path")), "/[^/]+/[^/]+$", "")
+            # The table's folder: the path without log folder, file and two slashes.
+            F.left(
+                file_path, F.length(file_path) - F.length(file_name) - F.lit(len(LOG_DIR) + 2)
             ).alias("root"),
-            commit_version(F.col("_metadata.file_name")).alias("version"),
+            commit_version(file_name).alias("version"),
             "add",
             "remove",
         )
     )
     # A literal table list: Catalyst knows its size and broadcasts it only if small.
+    # Roots are spelled as Spark reports file paths, so lines need no parsing.
     tables = spark.createDataFrame(
-        [(name, locations[name], root) for name, root in roots.items()],
-        "table_name STRING, location STRING, root_path STRING",
+        [(name, locations[name], storage.as_url(spark, root)) for name, root in roots.items()],
+        "table_name STRING, location STRING, root STRING",
     )
-    return (
-        lines.join(tables, F.col("root") == root_key(F.col("root_path")))
-        .select("table_name", "location", "version", "add", "remove")
+    return lines.join(tables, "root").select(
+        "table_name", "location", "version", "add", "remove"
     )
 
 

@@ -32,6 +32,11 @@ def qualify(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(hadoop_path).toString().rstrip("/")
 
 
+def as_url(spark: SparkSession, path: str) -> str:
+    """A qualified path as Spark's file metadata spells it, percent-encoded."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, hadoop_path = _open(spark, path)
     return fs.exists(hadoop_path)

@@ -1,11 +1,15 @@
 """Type-1 upserts into a table kept as key buckets.
 
 A target folder holds ``data/<snapshot>/key_bucket=<b>`` parquet folders and
-numbered manifests. A manifest names the snapshot each bucket is current in and
-the last batch every flow has applied. A batch rewrites only the buckets its
-keys fall in, under a snapshot of its own, and then publishes a manifest; until
-then readers see the table as it was. A batch replayed after a failure either
-was published and is skipped, or overwrites its own unpublished snapshot.
+numbered manifests. A manifest names the snapshots that make up each bucket and
+the last batch every flow has applied. A batch writes only the buckets its keys
+fall in, under a snapshot of its own, and then publishes a manifest; until then
+readers see the table as it was. A batch replayed after a failure either was
+published and is skipped, or overwrites its own unpublished snapshot.
+
+By default a touched bucket is rewritten whole. Where batches are small and the
+table is not, ``max_deltas`` lets a bucket gather that many batches beside its
+rows before it is rewritten; readers then rank such buckets by key.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from __future__ import annotations
 import json
 import threading
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,10 +52,12 @@ class Manifest:
     version: int
     num_buckets: int
     schema: dict
-    snapshots: dict[str, str] = field(default_factory=dict)
+    snapshots: dict[str, list[str]] = field(default_factory=dict)
     applied: dict[str, int] = field(default_factory=dict)
     properties: dict[str, str] = field(default_factory=dict)
     comment: str | None = None
+    keys: list[str] | None = None
+    sequence_by: str | None = None
 
     @property
     def row_type(self) -> StructType:
@@ -92,25 +98,46 @@ def create_target(
 
 
 def _read_buckets(
-    spark: SparkSession, target: str, manifest: Manifest, buckets: Sequence[int] | None = None
+    spark: SparkSession, target: str, manifest: Manifest, buckets: Iterable[str]
 ) -> DataFrame:
-    wanted = manifest.snapshots if buckets is None else {str(b) for b in buckets}
+    """All rows kept for some buckets, several per key where batches have gathered."""
     paths = [
         f"{target}/data/{snapshot}/{BUCKET}={bucket}"
-        for bucket, snapshot in manifest.snapshots.items()
-        if bucket in wanted
+        for bucket in buckets
+        for snapshot in manifest.snapshots[bucket]
     ]
     if not paths:
         return spark.createDataFrame([], manifest.row_type)
     return spark.read.schema(manifest.row_type).parquet(*paths)
 
 
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    """The merged table: one row per key."""
+def read_target(
+    spark: SparkSession,
+    target: str,
+    keys: Keys | None = None,
+    sequence_by: str | Column | None = None,
+) -> DataFrame:
+    """The merged table: one row per key.
+
+    Buckets that have gathered batches are ranked, the others just read. The
+    manifest knows keys and sequence if the flow named them; give them here if it
+    used expressions.
+    """
     manifest = load_manifest(spark, target)
     if manifest is None:
         raise ValueError(f"no merged table at {target}")
-    return _read_buckets(spark, target, manifest)
+    gathered = [b for b, parts in manifest.snapshots.items() if len(parts) > 1]
+    settled = [b for b, parts in manifest.snapshots.items() if len(parts) == 1]
+    rows = _read_buckets(spark, target, manifest, settled)
+    if not gathered:
+        return rows
+    keys = manifest.keys if keys is None else keys
+    sequence_by = manifest.sequence_by if sequence_by is None else sequence_by
+    if keys is None or sequence_by is None:
+        raise ValueError(f"{target} has unmerged batches; name its keys and sequence")
+    loose = _read_buckets(spark, target, manifest, gathered)
+    ranked = latest_by_key(loose, keys, sequence_by, tie_columns=manifest.row_type.names)
+    return rows.unionByName(ranked) if settled else ranked
 
 
 def _evolved(known: StructType, incoming: StructType) -> StructType:
@@ -127,6 +154,7 @@ def merge_batch(
     flow: str,
     batch_id: int,
     cluster_by: str | Sequence[str] | None = None,
+    max_deltas: int = 0,
 ) -> bool:
     """Merge one batch; False if this flow applied it before."""
     with _locks[target]:
@@ -138,7 +166,7 @@ def merge_batch(
                 return False
             snapshot = f"{quote(flow, safe='')}-{batch_id}-{attempt}"
             merged = _write_merged(
-                spark, target, manifest, snapshot, batch, keys, sequence_by, cluster_by
+                spark, target, manifest, snapshot, batch, keys, sequence_by, cluster_by, max_deltas
             )
             merged.applied[flow] = batch_id
             if _publish(spark, target, merged):
@@ -146,6 +174,19 @@ def merge_batch(
     raise RuntimeError(f"{target} kept changing while batch {batch_id} of {flow} was merged")
 
 
+def _due(manifest: Manifest, bucket: str, max_deltas: int) -> bool:
+    """Whether a touched bucket is rewritten rather than added to.
+
+    Buckets take turns, so that no batch has to rewrite all of them at once.
+    """
+    if bucket not in manifest.snapshots:
+        return False
+    if max_deltas == 0:
+        return True
+    turn = (manifest.version + int(bucket)) % max_deltas == 0
+    return turn or len(manifest.snapshots[bucket]) > max_deltas
+
+
 def _write_merged(
     spark: SparkSession,
     target: str,
@@ -154,9 +195,10 @@ def _write_merged(
     batch: DataFrame,
     keys: Keys,
     sequence_by: str | Column,
-    cluster_by: str | Sequence[str] | None,
+    cluster_by: str | Sequence[str] | None = None,
+    max_deltas: int = 0,
 ) -> Manifest:
-    """Write the touched buckets as they are after the batch; returns the next manifest."""
+    """Write the touched buckets of a batch; returns the manifest that includes it."""
     schema = _evolved(manifest.row_type, batch.schema)
     # One row per key before anything is shuffled by bucket: a bucket then grows
     # with its keys, never with the versions of one hot key.
@@ -164,9 +206,10 @@ def _write_merged(
     newest = newest.withColumn(BUCKET, key_bucket(keys, manifest.num_buckets)).persist()
     try:
         # At most ``num_buckets`` numbers.
-        touched = [row[0] for row in newest.select(BUCKET).distinct().collect()]
+        touched = [str(row[0]) for row in newest.select(BUCKET).distinct().collect()]
+        due = [bucket for bucket in touched if _due(manifest, bucket, max_deltas)]
         if touched:
-            current = _read_buckets(spark, target, manifest, touched)
+            current = _read_buckets(spark, target, manifest, due)
             current = current.withColumn(BUCKET, key_bucket(keys, manifest.num_buckets))
             # Buckets are both the shuffle key and the output folders, so the rank
             # and the write need no further shuffle.
@@ -187,14 +230,20 @@ def _write_merged(
             )
     finally:
         newest.unpersist()
-    return Manifest(
-        manifest.version + 1,
-        manifest.num_buckets,
-        schema.jsonValue(),
-        manifest.snapshots | {str(bucket): snapshot for bucket in touched},
-        dict(manifest.applied),
-        manifest.properties,
-        manifest.comment,
+    parts = {
+        bucket: [snapshot]
+        if bucket in due
+        else [*manifest.snapshots.get(bucket, []), snapshot]
+        for bucket in touched
+    }
+    return replace(
+        manifest,
+        version=manifest.version + 1,
+        schema=schema.jsonValue(),
+        snapshots=manifest.snapshots | parts,
+        applied=dict(manifest.applied),
+        keys=list(keys) if all(isinstance(k, str) for k in keys) else None,
+        sequence_by=sequence_by if isinstance(sequence_by, str) else None,
     )
 
 
@@ -227,7 +276,7 @@ def expire_snapshots(spark: SparkSession, target: str, keep: int = 2) -> list[st
         kept: set[str] = set()
         for name in versions[-keep:]:
             manifest = json.loads(storage.read_text(spark, f"{target}/manifests/{name}"))
-            kept |= set(manifest["snapshots"].values())
+            kept |= {part for parts in manifest["snapshots"].values() for part in parts}
         stale = [s for s in storage.child_names(spark, f"{target}/data") if s not in kept]
         for name in versions[:-keep]:
             storage.delete_folder(spark, f"{target}/manifests/{name}")
@@ -250,6 +299,7 @@ def bootstrap_scd1_flow(
     *,
     catalog: str | None = None,
     num_buckets: int = DEFAULT_BUCKETS,
+    max_deltas: int = 0,
     options: Mapping[str, str] | None = None,
     trigger: Mapping[str, object] | None = SILVER_TRIGGER,
     checkpoint: str | None = None,
@@ -270,8 +320,9 @@ def bootstrap_scd1_flow(
     def merge(batch: DataFrame, batch_id: int) -> None:
         # Batches are numbered by the checkpoint, so its identity is part of the name.
         run = f"{flow}@{flows.query_id(batch)}"
+        rows = source.rows(batch)
         merge_batch(
-            spark, target, source.rows(batch), keys, sequence_by, run, batch_id, cluster_by
+            spark, target, rows, keys, sequence_by, run, batch_id, cluster_by, max_deltas
         )
 
     folder = checkpoint or f"{target}/_checkpoints/{flow}"

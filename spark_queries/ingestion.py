@@ -42,10 +42,9 @@ class Workspace:
         if not self.spark.catalog.tableExists(table):
             self.spark.catalog.createTable(table, path=path, source="parquet", schema=rows.schema)
 
-    @property
-    def in_batches(self) -> dict[str, str]:
+    def in_batches(self, batches: int = BATCHES) -> dict[str, str]:
         files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return {"maxFilesPerTrigger": str(max(1, files // BATCHES))}
+        return {"maxFilesPerTrigger": str(-(-files // batches))}
 
     def rows(self, name: str) -> DataFrame:
         return targets.read_table(self.spark, f"{self.target}.{name}")
@@ -57,7 +56,7 @@ def bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = events(spark, sf_dir).withColumn("part_col", F.to_date("ts"))
     space.add_source("events", dated, F.col("ts"))
     flows.bootstrap_bronze_flow(
-        spark, space.source, "events", f"{space.target}.events", options=space.in_batches
+        spark, space.source, "events", f"{space.target}.events", options=space.in_batches()
     ).awaitTermination()
     return space.rows("events").select(*EVENT_COLUMNS, "part_col")
 
@@ -72,7 +71,7 @@ def bronze_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
         "events",
         f"{space.target}.events",
         cluster_by=["event_type", "user_id"],
-        options=space.in_batches,
+        options=space.in_batches(),
     ).awaitTermination()
     return space.rows("events").select(*EVENT_COLUMNS)
 
@@ -146,7 +145,7 @@ def scd1_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(events(spark, sf_dir), ["event_type", "user_id"], day)
 
 
-def _merge(space: Workspace, source: str, **options: object) -> None:
+def _merge(space: Workspace, source: str, batches: int = BATCHES, **merge: object) -> None:
     scd1.bootstrap_scd1_flow(
         space.spark,
         space.source,
@@ -154,9 +153,9 @@ def _merge(space: Workspace, source: str, **options: object) -> None:
         ["user_id"],
         F.struct(*SEQUENCE),
         f"{space.root}/silver",
-        options=space.in_batches,
+        options=space.in_batches(batches),
         trigger=flows.AVAILABLE_NOW,
-        **options,
+        **merge,
     ).awaitTermination()
 
 
@@ -174,7 +173,7 @@ def scd1_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("event_type").isin("view", "click")
     for part in (rows.filter(~late), rows.filter(late), rows):
         space.add_source("events", part, F.col("ts").desc())
-        _merge(space, "events", create_target_table=True, num_buckets=8)
+        _merge(space, "events", 2, create_target_table=True, num_buckets=8)
     return scd1.read_target(spark, f"{space.root}/silver")
 
 
@@ -191,6 +190,14 @@ def scd1_prefilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd1.read_target(spark, f"{space.root}/silver")
 
 
+def scd1_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches gathered beside their buckets and ranked on reading."""
+    space = Workspace(spark)
+    space.add_source("events", events(spark, sf_dir), F.col("ts"))
+    _merge(space, "events", create_target_table=True, num_buckets=8, max_deltas=4)
+    return scd1.read_target(spark, f"{space.root}/silver", ["user_id"], F.struct(*SEQUENCE))
+
+
 HINTS = "c_custkey BIGINT, c_acctbal DOUBLE"
 
 
@@ -333,6 +340,7 @@ QUERIES = {
     "scd1_stream": scd1_stream,
     "scd1_out_of_order": scd1_out_of_order,
     "scd1_prefilled": scd1_prefilled,
+    "scd1_gathered": scd1_gathered,
     "landing_csv": landing_csv,
     "landing_evolved": landing_evolved,
     "landing_rescued": landing_rescued,
@@ -374,6 +382,7 @@ FROM events""",
     "scd1_stream": LATEST,
     "scd1_out_of_order": LATEST,
     "scd1_prefilled": LATEST,
+    "scd1_gathered": LATEST,
     "landing_csv": f"""WITH {LANDED_SQL}
 SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customers""",
     "landing_evolved": f"""WITH {LANDED_SQL}

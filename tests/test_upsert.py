@@ -117,7 +117,7 @@ def test_merge_starts_over_when_another_published_first(spark, target, monkeypat
             calls.append(1)
             rival = scd1._write_merged(
                 session, folder, scd1.load_manifest(session, folder), "rival",
-                frame(session, ("r", 1, "rival", 1)), ["k"], "seq", None,
+                frame(session, ("r", 1, "rival", 1)), ["k"], "seq",
             )
             real(session, folder, rival)
         return real(session, folder, manifest)
@@ -177,3 +177,44 @@ def test_clustered_target(spark, target):
     batch = frame(spark, *[(str(i), 1, "a", -i) for i in range(20)])
     scd1.merge_batch(spark, target, batch, ["k"], "seq", "f", 0, cluster_by=["b"])
     assert scd1.read_target(spark, target).count() == 20
+
+
+@pytest.mark.parametrize("max_deltas", [1, 2, 5])
+def test_gathered_batches_read_like_rewritten_buckets(spark, work, max_deltas):
+    plain, gathering = f"{work}/p", f"{work}/g"
+    for path in (plain, gathering):
+        scd1.create_target(spark, path, frame(spark).schema, num_buckets=2)
+    for i in range(7):
+        batch = frame(
+            spark,
+            *[(str(k), (k * 7 + i * 3) % 5, f"v{i}", i) for k in range(i % 3, 12, 2)],
+            (None, i % 2, "n", i),
+        )
+        merge(spark, plain, batch, batch_id=i)
+        scd1.merge_batch(
+            spark, gathering, batch, ["k"], "seq", "f", i, max_deltas=max_deltas
+        )
+        parts = scd1.load_manifest(spark, gathering).snapshots.values()
+        assert max(map(len, parts)) <= max_deltas + 1
+        assert target_rows(spark, gathering) == target_rows(spark, plain)
+
+
+def test_a_gathering_batch_reads_no_current_rows(spark, target, monkeypatch):
+    merge(spark, target, frame(spark, OLD), batch_id=0)
+    read = []
+    real = scd1._read_buckets
+    monkeypatch.setattr(
+        scd1, "_read_buckets", lambda s, t, m, b: read.append(list(b)) or real(s, t, m, b)
+    )
+    scd1.merge_batch(spark, target, frame(spark, NEW), ["k"], "seq", "f", 1, max_deltas=100)
+    assert read == [[]]
+    assert target_rows(spark, target) == [NEW]
+
+
+def test_gathered_batches_of_expressions_need_them_named_to_read(spark, target):
+    by = ([F.col("k")], F.struct("seq"))
+    for i, row in enumerate((OLD, NEW)):
+        scd1.merge_batch(spark, target, frame(spark, row), *by, "f", i, max_deltas=100)
+    with pytest.raises(ValueError, match="name its keys"):
+        scd1.read_target(spark, target)
+    assert scd1.read_target(spark, target, *by).count() == 1
