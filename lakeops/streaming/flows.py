@@ -108,11 +108,15 @@ def start_flow(
 ) -> StreamingQuery:
     """Append a source to an existing table under a flow name of its own."""
 
+    location = table_location(spark, target)
+
     def append(batch: DataFrame, batch_id: int) -> None:
-        targets.claim_flow(spark, target, flow, query_id(batch))
+        targets.claim_flow(spark, location, flow, query_id(batch))
         rows = source.rows(batch)
         targets.add_missing_columns(spark, target, rows.schema)
-        targets.append_batch(spark, target, flow, batch_id, rows, clustered)
+        targets.append_batch(
+            spark, target, flow, batch_id, rows, clustered, location=location
+        )
 
     return start_batches(spark, source.stream, append, target, flow, trigger, checkpoint)
 

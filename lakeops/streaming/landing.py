@@ -22,6 +22,7 @@ from pyspark.sql.types import (
 from lakeops.functions.stamps import stamp_load
 from lakeops.functions.tables import cluster_columns, table_properties
 from lakeops.sources import storage
+from lakeops.sources.inventory import table_location
 from lakeops.streaming import flows, targets
 
 # Names and tokens of landed files.
@@ -166,14 +167,17 @@ def start_landing_flow(
     """Append landed files to a table that exists already."""
     name = flow or FLOW_PREFIX + target
     clustered = cluster_columns(cluster_by)
+    location = table_location(spark, target)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        targets.claim_flow(spark, target, name, flows.query_id(batch))
+        targets.claim_flow(spark, location, name, flows.query_id(batch))
         # At most ``files_per_batch`` names.
         paths = sorted(row.path for row in batch.filter("length > 0").collect())
         rows = bronze_rows(spark, landing, paths)
         targets.add_missing_columns(spark, target, rows.schema)
-        targets.append_batch(spark, target, name, batch_id, rows, clustered, one_date=True)
+        targets.append_batch(
+            spark, target, name, batch_id, rows, clustered, one_date=True, location=location
+        )
 
     return flows.start_batches(
         spark, discover_files(spark, landing), land, target, name, trigger, checkpoint

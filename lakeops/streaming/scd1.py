@@ -200,42 +200,35 @@ def _write_merged(
 ) -> Manifest:
     """Write the touched buckets of a batch; returns the manifest that includes it."""
     schema = _evolved(manifest.row_type, batch.schema)
-    # One row per key before anything is shuffled by bucket: a bucket then grows
-    # with its keys, never with the versions of one hot key.
-    newest = latest_by_key(batch, keys, sequence_by, tie_columns=_common(schema, batch))
-    newest = newest.withColumn(BUCKET, key_bucket(keys, manifest.num_buckets)).persist()
-    try:
-        # At most ``num_buckets`` numbers.
-        touched = [str(row[0]) for row in newest.select(BUCKET).distinct().collect()]
-        due = [bucket for bucket in touched if _due(manifest, bucket, max_deltas)]
-        if touched:
-            current = _read_buckets(spark, target, manifest, due)
-            current = current.withColumn(BUCKET, key_bucket(keys, manifest.num_buckets))
-            # Buckets are both the shuffle key and the output folders, so the rank
-            # and the write need no further shuffle.
-            both = current.unionByName(newest, allowMissingColumns=True)
-            merged = latest_by_key(
-                both.repartition(len(touched), BUCKET),
-                keys,
-                sequence_by,
-                within=[BUCKET],
-                tie_columns=schema.names,
-            )
-            sort_by = [BUCKET, *cluster_columns(cluster_by)]
-            (
-                (merged.sortWithinPartitions(*sort_by) if cluster_by else merged)
-                .write.mode("overwrite")
-                .partitionBy(BUCKET)
-                .parquet(f"{target}/data/{snapshot}")
-            )
-    finally:
-        newest.unpersist()
-    parts = {
-        bucket: [snapshot]
-        if bucket in due
-        else [*manifest.snapshots.get(bucket, []), snapshot]
-        for bucket in touched
-    }
+    bucket = key_bucket(keys, manifest.num_buckets)
+    # At most ``num_buckets`` numbers, found without sorting or caching the batch.
+    touched = [str(row[0]) for row in batch.select(bucket).distinct().collect()]
+    due = [number for number in touched if _due(manifest, number, max_deltas)]
+    if touched:
+        # One row per key before anything is shuffled by bucket: a bucket then grows
+        # with its keys, never with the versions of one hot key.
+        newest = latest_by_key(batch, keys, sequence_by, tie_columns=_common(schema, batch))
+        both = _read_buckets(spark, target, manifest, due).unionByName(
+            newest, allowMissingColumns=True
+        )
+        # Buckets are both the shuffle key and the output folders, so the rank and
+        # the write need no further shuffle.
+        merged = latest_by_key(
+            both.withColumn(BUCKET, bucket).repartition(len(touched), BUCKET),
+            keys,
+            sequence_by,
+            within=[BUCKET],
+            tie_columns=schema.names,
+        )
+        sort_by = [BUCKET, *cluster_columns(cluster_by)]
+        (
+            (merged.sortWithinPartitions(*sort_by) if cluster_by else merged)
+            .write.mode("overwrite")
+            .partitionBy(BUCKET)
+            .parquet(f"{target}/data/{snapshot}")
+        )
+    kept = {number: manifest.snapshots.get(number, []) for number in set(touched) - set(due)}
+    parts = {number: [*kept.get(number, []), snapshot] for number in touched}
     return replace(
         manifest,
         version=manifest.version + 1,

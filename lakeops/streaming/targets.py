@@ -95,18 +95,18 @@ def clustered_layout(df: DataFrame, clustered: Sequence[str]) -> DataFrame:
     )
 
 
-def claim_flow(spark: SparkSession, name: str, flow: str, query_id: str) -> None:
+def claim_flow(spark: SparkSession, location: str, flow: str, query_id: str) -> None:
     """Tie a flow to its checkpoint.
 
     Batches are numbered by the checkpoint, so a flow started over with a new one
     would take its first batches for written and lose them. That is refused.
     """
-    path = f"{table_location(spark, name)}/_flows/{quote(flow, safe='')}"
+    path = f"{location}/_flows/{quote(flow, safe='')}"
     if storage.publish_text(spark, path, query_id):
         return
     owner = storage.read_text(spark, path)
     if owner != query_id:
-        raise ValueError(f"flow {flow} of {name} has run with another checkpoint")
+        raise ValueError(f"flow {flow} into {location} has run with another checkpoint")
 
 
 def _partition_specs(spark: SparkSession, folder: str, flow: str, batch_id: int) -> list[str]:
@@ -128,6 +128,7 @@ def append_batch(
     batch: DataFrame,
     clustered: Sequence[str] = (),
     one_date: bool = False,
+    location: str | None = None,
 ) -> None:
     """Write one micro-batch of a flow and make it visible.
 
@@ -135,8 +136,8 @@ def append_batch(
     be laid out by it.
     """
     dates = date_partition(batch.schema, clustered)
-    location = table_location(spark, name)
-    folder = f"{location}/{FLOW}={quote(flow, safe='')}/{BATCH}={batch_id}"
+    root = location or table_location(spark, name)
+    folder = f"{root}/{FLOW}={quote(flow, safe='')}/{BATCH}={batch_id}"
     if not storage.exists(spark, f"{folder}/_SUCCESS"):
         arranged = batch if dates and one_date else clustered_layout(batch, clustered)
         arranged.write.mode("overwrite").partitionBy(*dates).parquet(folder)

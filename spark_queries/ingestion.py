@@ -34,17 +34,20 @@ class Workspace:
 
     def add_source(self, name: str, rows: DataFrame, order: Column | None = None) -> None:
         """Add rows, in several files, to a source table; create it if it is new."""
-        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        arranged = rows.repartitionByRange(files, order) if order is not None else rows
+        arranged = rows.repartitionByRange(self.files, order) if order is not None else rows
         path = f"{self.root}/sources/{name}"
         arranged.write.mode("append").parquet(path)
         table = f"{self.source}.{name}"
         if not self.spark.catalog.tableExists(table):
             self.spark.catalog.createTable(table, path=path, source="parquet", schema=rows.schema)
 
+    @property
+    def files(self) -> int:
+        """Files of an ordered source: one per core, at least one per batch."""
+        return max(BATCHES, self.spark.sparkContext.defaultParallelism)
+
     def in_batches(self, batches: int = BATCHES) -> dict[str, str]:
-        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return {"maxFilesPerTrigger": str(-(-files // batches))}
+        return {"maxFilesPerTrigger": str(-(-self.files // batches))}
 
     def rows(self, name: str) -> DataFrame:
         return targets.read_table(self.spark, f"{self.target}.{name}")
