@@ -27,12 +27,27 @@ def _node_id(prefix: str, *names: str):
     return F.concat(F.lit(prefix), safe_identifier(F.concat_ws("_", *names)))
 
 
+def pairs(records: DataFrame) -> DataFrame:
+    """Subscription and resource group pairs with first position and record count.
+
+    All upper levels come from these few rows, which a hash aggregate with a
+    map-side part finds however many records one group has.
+    """
+    return records.groupBy(SUBSCRIPTION, GROUP).agg(
+        F.min("pos").alias("pos"), F.count("*").alias("workspace_count")
+    )
+
+
 def group_owners(records: DataFrame) -> DataFrame:
     """Each resource group with the subscription it was first seen in."""
-    return records.groupBy(GROUP).agg(
-        F.min_by(SUBSCRIPTION, "pos").alias(SUBSCRIPTION),
-        F.min("pos").alias("pos"),
-        F.count("*").alias("workspace_count"),
+    return (
+        pairs(records)
+        .groupBy(GROUP)
+        .agg(
+            F.min_by(SUBSCRIPTION, "pos").alias(SUBSCRIPTION),
+            F.min("pos").alias("pos"),
+            F.sum("workspace_count").alias("workspace_count"),
+        )
     )
 
 
@@ -43,11 +58,7 @@ def owned_groups(records: DataFrame, by_subscription: bool = False) -> DataFrame
     subscription that shows it; ``by_subscription`` keeps equal names of different
     subscriptions apart.
     """
-    if not by_subscription:
-        return group_owners(records)
-    return records.groupBy(SUBSCRIPTION, GROUP).agg(
-        F.min("pos").alias("pos"), F.count("*").alias("workspace_count")
-    )
+    return pairs(records) if by_subscription else group_owners(records)
 
 
 def subscriptions(records: DataFrame) -> DataFrame:

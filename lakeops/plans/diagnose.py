@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.operators import filestats
+from lakeops.session import small_table
 from lakeops.sources import commit_log, inventory, storage
 
 ALL_ADDS, LIVE, FILES = "all_adds", "live", "files"
@@ -42,11 +43,11 @@ def analyze_tables(
 ) -> DataFrame:
     """One row per named table: its profile, or the reason it has none in ``error``."""
     locations, errors = _locate(spark, names, mode)
-    failed = spark.createDataFrame(list(errors.items()), "table_name STRING, error STRING")
+    failed = small_table(spark, list(errors.items()), "table_name", "error")
     if not locations:
-        locations_seen = spark.createDataFrame([], "table_name STRING, size_in_bytes BIGINT")
-        return filestats.file_profile(locations_seen).unionByName(failed, allowMissingColumns=True)
-    tables = spark.createDataFrame([(name,) for name in locations], "table_name STRING")
+        no_files = spark.createDataFrame([], "table_name STRING, size_in_bytes BIGINT")
+        return filestats.file_profile(no_files).unionByName(failed, allowMissingColumns=True)
+    tables = small_table(spark, [(name,) for name in locations], "table_name")
     profile = filestats.file_profile(table_files(spark, locations, mode))
     return (
         filestats.for_tables(tables, profile)
@@ -63,7 +64,7 @@ def table_detail(spark: SparkSession, names: Iterable[str], mode: str = LIVE) ->
     """Location, file count and byte size of each table, ``error`` where there is none."""
     locations, errors = _locate(spark, names, mode)
     rows = [(n, l, None) for n, l in locations.items()] + [(n, None, e) for n, e in errors.items()]
-    tables = spark.createDataFrame(rows, "table_name STRING, location STRING, error STRING")
+    tables = small_table(spark, rows, "table_name", "location", "error")
     if not locations:
         return tables.withColumns(
             {c: F.lit(None).cast("bigint") for c in ("num_files", "size_in_bytes")}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -32,3 +34,15 @@ def new_work_dir(spark: SparkSession, label: str) -> str:
 def runtime_parameter(spark: SparkSession, name: str = "source_name") -> str | None:
     """A parameter from the Spark configuration, None when it is not set."""
     return spark.conf.get(name, None)
+
+
+def small_table(
+    spark: SparkSession, rows: Sequence[Sequence[str | None]], *columns: str
+) -> DataFrame:
+    """Rows of text the driver holds, as a relation whose size Catalyst knows.
+
+    A join then broadcasts this side if, and only if, it is small; a frame made
+    from Python rows has no known size and the other side might be chosen.
+    """
+    values = [pa.array([row[i] for row in rows], pa.string()) for i in range(len(columns))]
+    return spark.createDataFrame(pa.table(values, names=list(columns)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import decode_path, is_absolute, join_path
+from lakeops.session import small_table
 from lakeops.sources import storage
 
 LOG_DIR = "_delta_log"
@@ -25,7 +26,7 @@ COMMIT_SALTS = 16
 
 
 def log_pattern(location: str) -> str:
-    return f"{location.rstrip('/')}/{LOG_DIR}/*.json"
+    return f"{storage.as_literal_path(location.rstrip('/'))}/{LOG_DIR}/*.json"
 
 
 def has_log(spark: SparkSession, location: str) -> bool:
@@ -44,7 +45,7 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
     ``locations`` maps table names to table folders that have a log.
     """
     roots = {name: storage.qualify(spark, location) for name, location in locations.items()}
-    patterns = [log_pattern(storage.as_literal_path(root)) for root in sorted(set(roots.values()))]
+    patterns = [log_pattern(root) for root in sorted(set(roots.values()))]
     file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     lines = (
         spark.read.schema(ACTIONS_SCHEMA)
@@ -59,11 +60,13 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
             "remove",
         )
     )
-    # A literal table list: Catalyst knows its size and broadcasts it only if small.
     # Roots are spelled as Spark reports file paths, so lines need no parsing.
-    tables = spark.createDataFrame(
+    tables = small_table(
+        spark,
         [(name, locations[name], storage.as_url(spark, root)) for name, root in roots.items()],
-        "table_name STRING, location STRING, root STRING",
+        "table_name",
+        "location",
+        "root",
     )
     return lines.join(tables, "root").select(
         "table_name", "location", "version", "add", "remove"

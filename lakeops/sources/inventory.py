@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeops.session import small_table
 from lakeops.sources import storage
 
 
@@ -58,9 +59,12 @@ def read_file_inventory(
         .load([storage.as_literal_path(root) for root in sorted(set(roots.values()))])
         .select(root_key(F.col("path")).alias("full_path"), F.col("length").alias("size_in_bytes"))
     )
-    tables = spark.createDataFrame(
+    tables = small_table(
+        spark,
         [(name, locations[name], root) for name, root in roots.items()],
-        "table_name STRING, location STRING, root STRING",
+        "table_name",
+        "location",
+        "root",
     ).withColumn("root", root_key(F.col("root")))
     # A file belongs to a table if the table's folder is one of its ancestors.
     steps = F.split("full_path", "/")

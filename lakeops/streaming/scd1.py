@@ -29,6 +29,7 @@ from lakeops.functions.tables import cluster_columns, table_properties
 from lakeops.operators.upsert import Keys, key_bucket, latest_by_key
 from lakeops.sources import storage
 from lakeops.streaming import flows
+from lakeops.streaming.targets import evolved
 
 BUCKET = "key_bucket"
 DEFAULT_BUCKETS = 64
@@ -140,11 +141,6 @@ def read_target(
     return rows.unionByName(ranked) if settled else ranked
 
 
-def _evolved(known: StructType, incoming: StructType) -> StructType:
-    names = {name.lower() for name in known.names}
-    return StructType([*known.fields, *[f for f in incoming if f.name.lower() not in names]])
-
-
 def merge_batch(
     spark: SparkSession,
     target: str,
@@ -199,7 +195,7 @@ def _write_merged(
     max_deltas: int = 0,
 ) -> Manifest:
     """Write the touched buckets of a batch; returns the manifest that includes it."""
-    schema = _evolved(manifest.row_type, batch.schema)
+    schema = evolved(manifest.row_type, batch.schema)
     bucket = key_bucket(keys, manifest.num_buckets)
     # At most ``num_buckets`` numbers, found without sorting or caching the batch.
     touched = [str(row[0]) for row in batch.select(bucket).distinct().collect()]

@@ -67,10 +67,21 @@ def create_table(
         spark.sql(f"MSCK REPAIR TABLE {name}")
 
 
+def evolved(known: StructType, incoming: StructType) -> StructType:
+    """Known columns followed by new ones; a column that changed its type is refused."""
+    types = {f.name.lower(): f.dataType.simpleString() for f in known.fields}
+    for f in incoming.fields:
+        expected = types.get(f.name.lower(), f.dataType.simpleString())
+        if f.dataType.simpleString() != expected:
+            raise ValueError(f"column {f.name} is {expected}, not {f.dataType.simpleString()}")
+    new = [f for f in incoming.fields if f.name.lower() not in types]
+    return StructType([*known.fields, *new])
+
+
 def add_missing_columns(spark: SparkSession, name: str, schema: StructType) -> None:
     """Append the columns the table lacks; rows written before read them as NULL."""
-    known = {column.lower() for column in spark.table(name).columns}
-    missing = [f for f in schema.fields if f.name.lower() not in known]
+    known = spark.table(name).schema
+    missing = evolved(known, schema).fields[len(known.fields) :]
     if missing:
         spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_columns_ddl(missing)})")
 

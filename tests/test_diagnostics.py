@@ -196,6 +196,7 @@ def test_one_scan_and_no_inference_for_many_tables(spark, work):
     profile = filestats.file_profile(commit_log.added_files(read(spark, **folders)))
     plan = profile._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan json") == 1
+    assert "BroadcastHashJoin" in plan and "LocalTableScan" in plan
     assert "remove" not in plan.split("ReadSchema")[1]
 
 

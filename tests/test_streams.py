@@ -115,6 +115,26 @@ def test_new_source_columns_reach_the_target(spark, work, space):
     assert rows == {0: None, 1: None, 2: None, 3: "n", 4: "n"}
 
 
+def test_column_of_another_type_is_refused(spark, work, space):
+    make_source(spark, work, space, "a", spark.range(3))
+    make_source(spark, work, space, "b", spark.range(3).selectExpr("CAST(id AS STRING) AS id"))
+    flows.bootstrap_bronze_flow(spark, space, "a", f"{space}.tgt").awaitTermination()
+    query = flows.bootstrap_incremental_flow(spark, space, "b", f"{space}.tgt", flow="second")
+    with pytest.raises(StreamingQueryException, match="column id is bigint, not string"):
+        query.awaitTermination()
+    scd1.create_target(spark, f"{work}/silver", spark.range(1).schema, 2)
+    with pytest.raises(ValueError, match="column id is bigint"):
+        text = spark.table(f"{space}.b")
+        scd1.merge_batch(spark, f"{work}/silver", text, ["id"], "id", "f", 0)
+
+
+def test_dates_are_rebalanced_and_constants_not_shuffled(spark):
+    dated = spark.range(10).withColumn("part_col", F.current_date())
+    plan = targets.clustered_layout(dated, ["part_col"])._jdf.queryExecution().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    assert "Exchange" not in targets.clustered_layout(dated, [])._jdf.queryExecution().toString()
+
+
 def logged_table(spark, work, space, *, removing):
     path = f"{work}/logged"
     for n in range(3):
