@@ -289,13 +289,16 @@ def bootstrap_scd1_flow(
     catalog: str | None = None,
     num_buckets: int = DEFAULT_BUCKETS,
     max_deltas: int = 0,
+    keep_versions: int | None = None,
     options: Mapping[str, str] | None = None,
     trigger: Mapping[str, object] | None = SILVER_TRIGGER,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Stream a catalog table into a merged target folder.
 
-    Without ``create_target_table`` the target must exist and may hold rows.
+    Without ``create_target_table`` the target must exist and may hold rows. With
+    ``keep_versions`` older states are dropped as new ones are published; give it
+    only where one job merges into the target.
     """
     name = flows.qualified(schema_name, table_name, catalog)
     alias = flows.FLOW_PREFIX + table_name
@@ -313,6 +316,8 @@ def bootstrap_scd1_flow(
         merge_batch(
             spark, target, rows, keys, sequence_by, run, batch_id, cluster_by, max_deltas
         )
+        if keep_versions:
+            expire_snapshots(spark, target, keep_versions)
 
     folder = checkpoint or f"{target}/_checkpoints/{flow}"
     return flows.start_batches(spark, source.stream, merge, target, flow, trigger, folder)

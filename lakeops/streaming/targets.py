@@ -7,6 +7,8 @@ after a failure finds its own folder, so nothing is lost or repeated.
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from urllib.parse import quote, unquote
 
@@ -20,6 +22,9 @@ from lakeops.sources.inventory import table_location
 FLOW, BATCH = "ingest_flow", "ingest_batch"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+# Flows of one job may find the same new column at the same time.
+_altering: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -80,10 +85,11 @@ def evolved(known: StructType, incoming: StructType) -> StructType:
 
 def add_missing_columns(spark: SparkSession, name: str, schema: StructType) -> None:
     """Append the columns the table lacks; rows written before read them as NULL."""
-    known = spark.table(name).schema
-    missing = evolved(known, schema).fields[len(known.fields) :]
-    if missing:
-        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_columns_ddl(missing)})")
+    with _altering[name]:
+        known = spark.table(name).schema
+        missing = evolved(known, schema).fields[len(known.fields) :]
+        if missing:
+            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_columns_ddl(missing)})")
 
 
 def clustered_layout(df: DataFrame, clustered: Sequence[str]) -> DataFrame:

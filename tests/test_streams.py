@@ -200,3 +200,52 @@ def test_upsert_needs_its_target(spark, work, space):
     make_source(spark, work, space, "src", spark.range(1))
     with pytest.raises(ValueError, match="no merged table"):
         scd1.bootstrap_scd1_flow(spark, space, "src", ["id"], "id", f"{work}/none")
+
+
+def test_table_dropped_after_flows_ran_is_found_again(spark, work, space):
+    dated = spark.range(6).withColumn("part_col", F.expr("date'2024-01-01' + int(id % 2)"))
+    make_source(spark, work, space, "src", dated)
+    for more in (0, 6):
+        if more:
+            spark.sql(f"DROP TABLE {space}.tgt")
+            make_source(spark, work, space, "src", dated.selectExpr(f"id + {more} AS id", "part_col"))
+        flows.bootstrap_bronze_flow(
+            spark, space, "src", f"{space}.tgt", location=f"{work}/kept"
+        ).awaitTermination()
+        assert ids(targets.read_table(spark, f"{space}.tgt")) == list(range(6 + more))
+
+
+def test_landing_to_bronze_to_silver(spark, work, space):
+    import os
+
+    from lakeops.streaming import landing
+
+    files = landing.CsvLanding("id BIGINT, v INT", f"{work}/in", sort_columns=["v"])
+    os.makedirs(f"{work}/in")
+    for n, text in enumerate(("id,v\n1,1\n2,5\n", "id,v,note\n1,3,x\n2,4,y\n")):
+        with open(f"{work}/in/{n}.csv", "w") as out:
+            out.write(text)
+        landing.create_landing_table(spark, f"{space}.raw", files).awaitTermination()
+        scd1.bootstrap_scd1_flow(
+            spark, space, "raw", ["id"], "sort_struct", f"{work}/silver",
+            create_target_table=True, num_buckets=2, max_deltas=3, keep_versions=2,
+            trigger=flows.AVAILABLE_NOW,
+        ).awaitTermination()
+    merged = scd1.read_target(spark, f"{work}/silver")
+    assert sorted((r.id, r.v, r.note) for r in merged.collect()) == [(1, 3, "x"), (2, 5, None)]
+
+
+def test_two_flows_at_once_share_a_target(spark, work, space):
+    targets.create_table(spark, f"{space}.tgt", spark.range(1).schema)
+    for name, start in (("a", 0), ("b", 50)):
+        rows = spark.range(start, start + 50).withColumn("note", F.lit(name)).repartition(4)
+        make_source(spark, work, space, name, rows)
+    started = [
+        flows.bootstrap_incremental_flow(
+            spark, space, name, f"{space}.tgt", flow=name, options={"maxFilesPerTrigger": "1"}
+        )
+        for name in ("a", "b")
+    ]
+    flows.await_all(started)
+    table = targets.read_table(spark, f"{space}.tgt")
+    assert ids(table) == list(range(100)) and table.groupBy("note").count().count() == 2
