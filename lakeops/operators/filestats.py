@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +48,15 @@ def _descriptive_stats() -> Column:
     )
 
 
+def _bins(count: Callable[[str], Column]) -> Column:
+    return F.array(
+        *[F.struct(F.lit(name).alias("size_bin"), count(name).alias("count")) for name in BIN_LABELS]
+    )
+
+
 def _bin_counts() -> Column:
     label = size_bin(F.col("size_in_bytes"))
-    return F.array(
-        *[
-            F.struct(F.lit(name).alias("size_bin"), F.count_if(label == name).alias("count"))
-            for name in BIN_LABELS
-        ]
-    ).alias("size_distribution")
+    return _bins(lambda name: F.count_if(label == name)).alias("size_distribution")
 
 
 def file_size_statistics(files: DataFrame, descriptive: bool = True) -> DataFrame:
@@ -84,8 +87,12 @@ def distribution_of(profile: DataFrame, empty_bins: bool = False) -> DataFrame:
 
 def for_tables(tables: DataFrame, profile: DataFrame) -> DataFrame:
     """A row for every listed table, zeros for those without files."""
-    zeros = {name: 0 for name in TOTALS}
-    return tables.join(profile, TABLE, "left").fillna(zeros)
+    no_files = _bins(lambda name: F.lit(0).cast("bigint"))
+    return (
+        tables.join(profile, TABLE, "left")
+        .fillna(dict.fromkeys(TOTALS, 0))
+        .withColumn("size_distribution", F.coalesce("size_distribution", no_files))
+    )
 
 
 def configured_statistics(control: DataFrame, statistics: DataFrame) -> DataFrame:

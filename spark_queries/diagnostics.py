@@ -44,11 +44,19 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Commits written to disk hold the actions of at most this many order keys, so
+# that their number, not their size, grows with the tables.
+KEYS_PER_COMMIT = 100_000
+COMMITS_PER_VERSION = 1_000_000
+
+
 def write_commit_files(spark: SparkSession, actions: DataFrame, root: str) -> dict[str, str]:
     """Write actions as numbered commit files; returns the table folders by name."""
     staged = f"{root}/staged"
+    order_key = F.substring_index(F.coalesce("add.path", "remove.path"), "-", -1).cast("bigint")
+    version = F.col("version") * COMMITS_PER_VERSION + F.floor(order_key / KEYS_PER_COMMIT)
     (
-        actions.select("table_name", "version", "add", "remove")
+        actions.select("table_name", version.alias("version"), "add", "remove")
         .repartition("table_name", "version")
         .write.partitionBy("table_name", "version")
         .json(staged)
@@ -74,7 +82,10 @@ def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     locations = write_commit_files(spark, inputs.actions(spark, sf_dir), root)
     actions = commit_log.read_commit_log(spark, locations)
     return commit_log.added_files(actions).select(
-        "table_name", "version", "relative_path", "size_in_bytes"
+        "table_name",
+        F.floor(F.col("version") / COMMITS_PER_VERSION).alias("version"),
+        "relative_path",
+        "size_in_bytes",
     )
 
 

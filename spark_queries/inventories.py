@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.operators import hierarchy, workspaces
-from lakeops.operators.profile import Inventory, metrics, profile, schema_counts
+from lakeops.operators.profile import (
+    SYSTEM_CATALOGS,
+    Inventory,
+    metrics,
+    profile,
+    schema_counts,
+)
 from lakeops.session import new_work_dir
 from lakeops.sources import workspaces as files
 from spark_queries import inputs
@@ -135,7 +141,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> Inventory:
     regions = inputs.table(spark, sf_dir, "region")
     nations = inputs.table(spark, sf_dir, "nation")
     system = spark.createDataFrame(
-        [("system", "CATALOG_SYSTEM"), ("__databricks_internal", None), (None, None)],
+        [(name, None) for name in [*SYSTEM_CATALOGS, None]],
         "full_name STRING, securable_kind STRING",
     )
     kind = F.when(F.col("r_regionkey") == 2, "CATALOG_DELTASHARING").otherwise("CATALOG_STANDARD")

@@ -97,6 +97,10 @@ def test_log_without_adds_gives_zeros(spark, work):
     row = diagnose.analyze_table(spark, work).first()
     assert (row.num_files, row.total_size_bytes, row.average_file_size_mb) == (0, 0, 0.0)
     assert row.descriptive_stats is None and row.error is None
+    profile = diagnose.analyze_tables(spark, [work, f"{work}/gone"])
+    assert filestats.distribution_of(profile, empty_bins=True).count() == 4
+    report = {(r.table_name, r.metric): r.value for r in filestats.report(profile).collect()}
+    assert report[work, "num_files"] == 0.0 and {name for name, _ in report} == {work}
 
 
 def test_bins_are_half_open_and_null_counts_as_largest(spark, work):
