@@ -25,12 +25,16 @@ ACTIONS_SCHEMA = (
 COMMIT_SALTS = 16
 
 
-def log_pattern(location: str) -> str:
-    return f"{storage.as_literal_path(location.rstrip('/'))}/{LOG_DIR}/*.json"
+# Folders are listed by executors and hold more than commits.
+COMMIT_FILES = {"pathGlobFilter": "*.json"}
+
+
+def log_folder(location: str) -> str:
+    return f"{location.rstrip('/')}/{LOG_DIR}"
 
 
 def has_log(spark: SparkSession, location: str) -> bool:
-    return storage.matches(spark, log_pattern(location))
+    return storage.exists(spark, log_folder(location))
 
 
 def commit_version(file_name: Column) -> Column:
@@ -45,11 +49,14 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
     ``locations`` maps table names to table folders that have a log.
     """
     roots = {name: storage.qualify(spark, location) for name, location in locations.items()}
-    patterns = [log_pattern(root) for root in sorted(set(roots.values()))]
+    folders = [
+        storage.as_literal_path(log_folder(root)) for root in sorted(set(roots.values()))
+    ]
     file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     lines = (
         spark.read.schema(ACTIONS_SCHEMA)
-        .json(patterns)
+        .options(**COMMIT_FILES)
+        .json(folders)
         .select(
             # The table's folder: the path without log folder, file and two slashes.
             F.left(

@@ -42,12 +42,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def matches(spark: SparkSession, pattern: str) -> bool:
-    """Whether any file matches the glob."""
-    fs, hadoop_path = _open(spark, pattern)
-    return bool(fs.globStatus(hadoop_path))
-
-
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder, none when there is no such folder."""
     fs, hadoop_path = _open(spark, path)

@@ -67,8 +67,10 @@ def _stream_commits(
 ) -> FlowSource:
     stream = (
         spark.readStream.schema(commit_log.ACTIONS_SCHEMA)
-        .options(**{"maxFilesPerTrigger": str(COMMITS_PER_BATCH), **options})
-        .json(commit_log.log_pattern(location))
+        .options(
+            **{"maxFilesPerTrigger": str(COMMITS_PER_BATCH), **commit_log.COMMIT_FILES, **options}
+        )
+        .json(storage.as_literal_path(commit_log.log_folder(location)))
         .select(
             F.lit(name).alias("table_name"),
             commit_log.commit_version(F.col("_metadata.file_name")).alias("version"),

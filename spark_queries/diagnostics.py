@@ -57,7 +57,7 @@ def write_commit_files(spark: SparkSession, actions: DataFrame, root: str) -> di
     version = F.col("version") * COMMITS_PER_VERSION + F.floor(order_key / KEYS_PER_COMMIT)
     (
         actions.select("table_name", version.alias("version"), "add", "remove")
-        .repartition("table_name", "version")
+        .repartition(spark.sparkContext.defaultParallelism, "table_name", "version")
         .write.partitionBy("table_name", "version")
         .json(staged)
     )
@@ -143,7 +143,7 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     (
         inputs.table(spark, sf_dir, "orders")
         .withColumn("piece", F.col("o_custkey") % 16)
-        .repartition("o_orderpriority", "piece")
+        .repartition(spark.sparkContext.defaultParallelism, "o_orderpriority", "piece")
         .write.partitionBy("o_orderpriority", "piece")
         .parquet(root)
     )
