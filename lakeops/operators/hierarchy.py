@@ -62,7 +62,7 @@ def owned_groups(records: DataFrame, by_subscription: bool = False) -> DataFrame
 
 
 def subscriptions(records: DataFrame) -> DataFrame:
-    return records.groupBy(SUBSCRIPTION).agg(F.min("pos").alias("pos"))
+    return pairs(records).groupBy(SUBSCRIPTION).agg(F.min("pos").alias("pos"))
 
 
 def tenant(records: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from lakeops.operators import filestats
 from lakeops.session import small_table
 from lakeops.sources import commit_log, inventory, storage
 
-ALL_ADDS, LIVE, FILES = "all_adds", "live", "files"
+# Which files count: every logged add, the live ones, those in the folder, or the
+# live ones where there is a log and those in the folder where there is none.
+ALL_ADDS, LIVE, FILES, LIVE_OR_FILES = "all_adds", "live", "files", "live_or_files"
 
 
 def table_files(spark: SparkSession, locations: dict[str, str], mode: str = ALL_ADDS) -> DataFrame:
@@ -60,8 +62,16 @@ def analyze_table(spark: SparkSession, name: str, mode: str = ALL_ADDS) -> DataF
     return analyze_tables(spark, [name], mode)
 
 
-def table_detail(spark: SparkSession, names: Iterable[str], mode: str = LIVE) -> DataFrame:
+def table_detail(
+    spark: SparkSession, names: Iterable[str], mode: str = LIVE_OR_FILES
+) -> DataFrame:
     """Location, file count and byte size of each table, ``error`` where there is none."""
+    if mode == LIVE_OR_FILES:
+        names = list(dict.fromkeys(names))
+        _, unlogged = _locate(spark, names, LIVE)
+        return table_detail(spark, [n for n in names if n not in unlogged], LIVE).unionByName(
+            table_detail(spark, unlogged, FILES)
+        )
     locations, errors = _locate(spark, names, mode)
     rows = [(n, l, None) for n, l in locations.items()] + [(n, None, e) for n, e in errors.items()]
     tables = small_table(spark, rows, "table_name", "location", "error")

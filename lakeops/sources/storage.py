@@ -6,6 +6,7 @@ and written by Spark jobs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -64,7 +65,7 @@ def publish_text(spark: SparkSession, path: str, text: str) -> bool:
     fs, final = _open(spark, path)
     if fs.exists(final):
         return False
-    draft = final.suffix(".draft")
+    draft = final.suffix(f".{uuid.uuid4().hex}.draft")
     stream = fs.create(draft, True)
     stream.write(bytearray(text.encode("utf-8")))
     stream.close()

@@ -171,6 +171,12 @@ def test_detail_from_log_and_from_files(spark, work):
     by_name = {r.table_name: r for r in logged}
     assert (by_name["detail_t"].num_files, by_name["detail_t"].size_in_bytes) == (1, 5)
     assert by_name["gone.t"].error and by_name["gone.t"].num_files is None
+    spark.range(1).coalesce(1).write.parquet(f"{work}/plain")
+    spark.catalog.createTable("detail_plain", path=f"{work}/plain", source="parquet")
+    both = diagnose.table_detail(spark, ["detail_plain", "detail_t", "gone.t"]).collect()
+    assert {r.table_name: r.num_files for r in both} == {
+        "detail_plain": 1, "detail_t": 1, "gone.t": None,
+    }
     listed = diagnose.table_detail(spark, ["detail_t"], diagnose.FILES).first()
     on_disk = [f for f in os.listdir(f"{work}/t") if f.endswith(".parquet")]
     assert listed.num_files == len(on_disk) == 4

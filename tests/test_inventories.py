@@ -94,6 +94,14 @@ def test_groups_may_be_kept_apart_by_subscription(records):
     }
 
 
+def test_upper_levels_share_one_aggregate(spark, records, work):
+    records.write.parquet(f"{work}/r")
+    edges = hierarchy.edges(spark.read.parquet(f"{work}/r"))
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "SortAggregate" not in plan.split("ReusedExchange")[1]
+
+
 def test_nodes_and_first_tenant(records):
     labels = [r.label for r in hierarchy.nodes(records).orderBy("pos", "level").collect()]
     assert "Tenant: t0" in labels and "Workspace: w.a (1)" in labels

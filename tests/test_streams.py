@@ -249,3 +249,25 @@ def test_two_flows_at_once_share_a_target(spark, work, space):
     flows.await_all(started)
     table = targets.read_table(spark, f"{space}.tgt")
     assert ids(table) == list(range(100)) and table.groupBy("note").count().count() == 2
+
+
+def test_partitioned_logged_table_keeps_its_partition_column(spark, work, space):
+    import os
+
+    path = f"{work}/parted"
+    rows = spark.range(10).withColumn("k", (F.col("id") % 2).cast("int"))
+    rows.coalesce(1).write.partitionBy("k").parquet(path)
+    files = [
+        f"{folder}/{name}"
+        for folder in ("k=0", "k=1")
+        for name in os.listdir(f"{path}/{folder}")
+        if name.endswith(".parquet")
+    ]
+    write_log(path, [add(files[0])], [add(files[1].replace("=", "%3D"))])
+    spark.sql(
+        f"CREATE TABLE {space}.parted (id BIGINT, k INT) USING parquet "
+        f"PARTITIONED BY (k) LOCATION '{path}'"
+    )
+    flows.bootstrap_bronze_flow(spark, space, "parted", f"{space}.tgt").awaitTermination()
+    found = {(r.id, r.k) for r in targets.read_table(spark, f"{space}.tgt").collect()}
+    assert found == {(n, n % 2) for n in range(10)}
