@@ -82,7 +82,7 @@ def profile(
     counted = schema_counts(catalogs, inventory.schemas)
     columns = {
         "is_admin": is_member(inventory.groups, user, admin_group).scalar(),
-        "account_id": or_label(F.lit(account_id).cast("string")),
+        "account_id": or_label(F.lit(account_id or None).cast("string")),
         "workspace_id": or_label(F.lit(workspace_id).cast("string")),
         "workspace_url": or_label(host_column),
         "workspace_name": or_label(F.lit(workspace_name).cast("string")),

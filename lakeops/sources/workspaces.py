@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fields of a raw record and of a normalised one, and the columns
 # of the CSV export.
@@ -19,25 +20,51 @@ RECORD_FIELDS = [
 ]
 CSV_FIELDS = RECORD_FIELDS[:5]
 
+# Positions set aside for each page file.
+POSITIONS_PER_PAGE = 1_000_000
+
 
 def strings(fields: list[str], *more: str) -> str:
     return ", ".join([f"{name} STRING" for name in fields] + list(more))
 
 
+def _read_arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Records of JSON array files, with the positions their order gives them.
+
+    Files come in the order of the number in their name, records in that of their
+    array; a ``pos`` field of a record wins over both.
+    """
+    record = strings(names, "pos BIGINT")
+    pages = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract("_metadata.file_name", r"(\d+)", 1).alias("number"),
+        F.from_json("value", f"ARRAY<STRUCT<{record}>>", {"mode": "FAILFAST"}).alias("records"),
+    )
+    page = F.when(F.col("number") != "", F.col("number").cast("bigint")).otherwise(F.lit(0))
+    rows = pages.select(page.alias("page"), F.posexplode("records").alias("index", "record"))
+    position = F.coalesce("record.pos", F.col("page") * POSITIONS_PER_PAGE + F.col("index"))
+    return rows.withColumn("position", position).select(
+        *[f"record.{name}" for name in names], F.col("position").alias("pos")
+    )
+
+
+def _read(spark: SparkSession, path: str, fields: list[str], arrays: bool) -> DataFrame:
+    if arrays:
+        return _read_arrays(spark, path, fields)
+    return spark.read.schema(strings(fields, "pos BIGINT")).json(path)
+
+
 def read_raw_pages(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
     """Raw records of all page files in a folder, in one scan, duplicates kept.
 
-    A page is one JSON array; with ``arrays`` off files hold one record per line,
-    which Spark can split. ``pos`` is the record's place in the whole listing.
+    A page is one JSON array and read as a whole; with ``arrays`` off files hold
+    one record per line, which Spark can split, and carry ``pos`` themselves.
     """
-    reader = spark.read.schema(strings(RAW_FIELDS, "pos BIGINT"))
-    return reader.option("multiLine", arrays).json(path)
+    return _read(spark, path, RAW_FIELDS, arrays)
 
 
 def read_records(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
     """Normalised records from a JSON array file or a folder of them."""
-    reader = spark.read.schema(strings(RECORD_FIELDS, "pos BIGINT"))
-    return reader.option("multiLine", arrays).json(path)
+    return _read(spark, path, RECORD_FIELDS, arrays)
 
 
 def write_json(records: DataFrame, path: str) -> None:

@@ -141,6 +141,17 @@ def read_target(
     return rows.unionByName(ranked) if settled else ranked
 
 
+def create_view(
+    spark: SparkSession,
+    name: str,
+    target: str,
+    keys: Keys | None = None,
+    sequence_by: str | Column | None = None,
+) -> None:
+    """Let SQL see the target, as it is now, under a table name."""
+    read_target(spark, target, keys, sequence_by).createOrReplaceTempView(name)
+
+
 def merge_batch(
     spark: SparkSession,
     target: str,

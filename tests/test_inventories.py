@@ -51,6 +51,19 @@ def test_pages_are_concatenated_with_duplicates(spark, work):
     assert files.read_raw_pages(spark, work).count() == 4
 
 
+def test_array_order_gives_positions(spark, work):
+    for page, names in ((1, ["c", "d"]), (0, ["a", "b"])):
+        with open(f"{work}/page-{page}.json", "w") as out:
+            json.dump([{"subscription_id": n, "resource_group": "rg"} for n in names], out)
+    records = files.read_records(spark, work)
+    assert [r.subscription_id for r in records.orderBy("pos").collect()] == ["a", "b", "c", "d"]
+    assert hierarchy.group_owners(records).first().subscription_id == "a"
+    with open(f"{work}/page-2.json", "w") as out:
+        out.write("[{")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_records(spark, work).count()
+
+
 def test_exports(spark, raw, work):
     records = workspaces.normalise(raw.filter("pos = 2"), "t,x")
     files.write_json(records, f"{work}/j")
@@ -154,6 +167,7 @@ def test_system_catalogs_do_not_count_schemas(spark):
     assert (row.catalog_count, row.schema_count, row.uses_sharing) == (4, 2, True)
     assert (row.uses_serverless, row.is_admin, row.platform) == (True, True, "adb-1")
     assert not profile(spark, listed, user="you").first().is_admin
+    assert profile(spark, listed, account_id="").first().account_id == "Not Available"
     assert not is_member(listed.groups, None).first().is_member
     assert {r.metric: r.value for r in metrics(profile(spark, listed)).collect()}["group_count"] == "2"
 

@@ -218,3 +218,9 @@ def test_gathered_batches_of_expressions_need_them_named_to_read(spark, target):
     with pytest.raises(ValueError, match="name its keys"):
         scd1.read_target(spark, target)
     assert scd1.read_target(spark, target, *by).count() == 1
+
+
+def test_view_of_a_target(spark, target):
+    merge(spark, target, frame(spark, NEW))
+    scd1.create_view(spark, "silver_view", target)
+    assert spark.sql("SELECT seq FROM silver_view").first().seq == 2
