@@ -21,7 +21,7 @@ def _open(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-def on_each[A, B](call: Callable[[A], B], items: Iterable[A]) -> list[B]:
+def on_each(call: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
     """``call`` on every item, many waiting for the file system at a time."""
     with ThreadPoolExecutor(METADATA_THREADS) as pool:
         return list(pool.map(call, items))
