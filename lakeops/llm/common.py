@@ -95,7 +95,8 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # A copy: kernels on strings misread slices of other arrays.
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
         if lower:
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
