@@ -16,7 +16,10 @@ No bucket is expanded into all its pairs:
 2. In each bucket every member is compared with the smallest one. A large group of near
    copies becomes one component through these stars.
 3. Only buckets that still hold several components are looked at again: their members
-   are compared across components, in blocks of bounded size, by signature first.
+   are compared across components, in blocks of bounded size, by signature first; a
+   pair belongs to the first bucket it shares. What is left is checked on full sets in
+   the same blocks, nearest pairs first, and only the links that join two components
+   leave a block, so a group of near misses costs comparisons but no rows.
 
 Skew is left to aggregates with a map-side part and to joins whose other side has one
 row per key, which Spark splits. Words are separated by ASCII white space, A-Z are
@@ -49,6 +52,8 @@ CHUNK_SYMBOLS = 5
 ERRORS = 1
 MISS = 1e-7
 SEED = 20240229
+#: Low bits of a bucket's key that hold its place in the signature.
+_NUMBER_BITS = 8
 #: Members of a bucket that are compared in one block.
 BLOCK_ROWS = 512
 #: So many row numbers of at most 8 bytes are sent to every executor; more are joined.
@@ -78,8 +83,11 @@ def signature_plan(percent: int, miss: float = MISS) -> Plan:
     at the threshold lies beyond is at most ``miss``.
     """
     differ = 1 - percent / 100
-    for chunks in range(2, 200):
+    for chunks in range(2, 1 << _NUMBER_BITS):
         symbols, radius = chunks * CHUNK_SYMBOLS, (ERRORS + 1) * chunks - 1
+        buckets = chunks * math.comb(CHUNK_SYMBOLS, ERRORS)
+        if buckets > 1 << _NUMBER_BITS:
+            break
         if radius < symbols and (differ <= 0 or _tail(symbols, differ, radius) <= miss):
             return Plan(chunks, symbols, radius)
     raise ValueError(f"no signature of this form finds pairs at {percent} %")
@@ -135,16 +143,26 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     chunks = sigs.shape[1] // CHUNK_SYMBOLS
     out = np.empty((len(sigs), chunks * len(variants)), dtype=np.int64)
     wide = sigs.astype(np.uint64)
+    shift = np.uint64(_NUMBER_BITS)
     for c in range(chunks):
         for v, kept in enumerate(variants):
             number = c * len(variants) + v
             acc = np.full(len(sigs), number + 1, dtype=np.uint64) * GOLDEN
             for k in kept:
                 acc = mix(acc ^ (wide[:, c * CHUNK_SYMBOLS + k] + np.uint64(1)))
-            out[:, number] = acc.view(np.int64)
+            out[:, number] = ((acc >> shift) << shift | np.uint64(number)).view(np.int64)
     return out
 
 
+def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of the first bucket that each pair of signatures shares, or -1."""
+    same = (left == right).reshape(len(left), left.shape[1] // CHUNK_SYMBOLS, CHUNK_SYMBOLS)
+    variants = list(combinations(range(CHUNK_SYMBOLS), CHUNK_SYMBOLS - ERRORS))
+    shared = np.stack([same[:, :, kept].all(axis=2) for kept in variants], axis=2)
+    shared = shared.reshape(len(left), shared.shape[1] * shared.shape[2])
+    return np.where(shared.any(axis=1), shared.argmax(axis=1), -1)
+
+
 _SIGNED = pa.schema(
     [
         ("row", pa.int64()),
@@ -252,15 +270,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.mapInArrow(hashed, "row long, hashes binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _linked(percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                sets = (np.frombuffer(h.as_py(), np.uint64) for h in (x, y))
+                good[i] = _similar(*sets, percent)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(good)], names=["a", "b", "linked"]
             )
@@ -281,70 +303,115 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     return checked.filter("linked").select("a", "b")
 
 
-def _across(plan: Plan, percent: int):
-    """Pairs of different components in each run of rows with the same block."""
+_RUN = ["key", "left", "right"]
+_RUN_DDL = (
+    "key long, left int, right int, side int, node long, component long, n long, signature binary"
+)
 
-    def run_pairs(run: dict) -> tuple[np.ndarray, np.ndarray]:
-        sig, node, comp, n = run["signature"], run["node"], run["component"], run["n"]
-        side = run["side"]
-        lefts, rights = [], []
-        for i in np.flatnonzero(side == 0):
-            other = (comp != comp[i]) & ((side == 1) if (side == 1).any() else (node > node[i]))
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            fits = (sig[at] != sig[i]).sum(axis=1) <= plan.radius
-            fits &= 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
-            rights.append(node[at[fits]])
-            lefts.append(np.full(int(fits.sum()), node[i]))
-        empty = np.empty(0, np.int64)
-        return (np.concatenate([empty, *lefts]), np.concatenate([empty, *rights]))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        names = ["key", "left", "right"]
-
-        def emit(table: pa.Table, last: bool):
-            """Pairs of the complete runs of a table; returns what may go on."""
-            if not table.num_rows:
-                return [], table
-            k = np.stack([table.column(c).to_numpy() for c in names], axis=1)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist()] + ([table.num_rows] if last else [])
-            whole = {
-                c: table.column(c).to_numpy() for c in ("node", "component", "n", "side")
-            }
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16)
-            whole["signature"] = sig.reshape(table.num_rows, plan.symbols)
-            found = [
-                run_pairs({c: v[s:e] for c, v in whole.items()})
-                for s, e in zip(bounds[:-1], bounds[1:])
-            ]
-            return found, table.slice(bounds[-1])
-
-        def frame(found):
-            a = np.concatenate([np.empty(0, np.int64), *[x for x, _ in found]])
-            b = np.concatenate([np.empty(0, np.int64), *[y for _, y in found]])
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"]
-            )
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            found, held = emit(table, last=False)
-            yield frame(found)
-        if held is not None:
-            yield frame(emit(held, last=True)[0])
+def _runs(batches: Iterator[pa.RecordBatch], symbols: int):
+    """(table, arrays, bounds) of complete runs of rows with the same block, in order."""
+    held: pa.Table | None = None
+
+    def ready(table: pa.Table, last: bool):
+        k = np.stack([table.column(c).to_numpy() for c in _RUN], axis=1)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        bounds = [0, *cuts.tolist()] + ([table.num_rows] if last else [])
+        whole = table.slice(0, bounds[-1])
+        arrays = {c: whole.column(c).to_numpy() for c in ("key", "side", "node", "component", "n")}
+        sig = np.frombuffer(b"".join(whole.column("signature").to_pylist()), np.uint16)
+        arrays["signature"] = sig.reshape(whole.num_rows, symbols)
+        return (whole, arrays, bounds), table.slice(bounds[-1])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if table.num_rows:
+            out, held = ready(table, last=False)
+            yield out
+    if held is not None and held.num_rows:
+        yield ready(held, last=True)[0]
+
+
+def _near_pairs(run: dict, plan: Plan, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of a run's pairs across components that signatures and sizes allow.
+
+    Only pairs that share no earlier bucket; with their distances.
+    """
+    sig, node, comp, n, side = (run[c] for c in ("signature", "node", "component", "n", "side"))
+    number = int(run["key"][0]) & ((1 << _NUMBER_BITS) - 1)
+    two_sided = bool((side == 1).any())
+    out = [(np.empty(0, np.int64),) * 3]
+    for i in np.flatnonzero(side == 0).tolist():
+        at = np.flatnonzero((comp != comp[i]) & ((side == 1) if two_sided else (node > node[i])))
+        if not len(at):
+            continue
+        distance = (sig[at] != sig[i]).sum(axis=1)
+        fits = distance <= plan.radius
+        fits &= 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
+        at, distance = at[fits], distance[fits]
+        own = first_shared(sig[at], np.broadcast_to(sig[i], (len(at), plan.symbols))) == number
+        out.append((np.full(int(own.sum()), i), at[own], distance[own]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _unsettled(plan: Plan, percent: int):
+    """Keeps the rows of a run that are in a pair of ``_near_pairs``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, arrays, bounds in _runs(batches, plan.symbols):
+            good = np.zeros(table.num_rows, dtype=bool)
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                i, j, _ = _near_pairs({c: v[s:e] for c, v in arrays.items()}, plan, percent)
+                good[s + i] = good[s + j] = True
+            yield from table.filter(pa.array(good)).to_batches()
+
+    return keep
 
-    return compare
 
+def _joining_links(plan: Plan, percent: int):
+    """Links between different components of each run, as few as join them."""
 
-def _residual_pairs(
-    buckets: DataFrame, nodes: DataFrame, found: DataFrame, plan: Plan, percent: int
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, arrays, bounds in _runs(batches, plan.symbols):
+            found: list[tuple[int, int]] = []
+            sets = table.column("hashes").to_pylist()
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                run = {c: v[s:e] for c, v in arrays.items()}
+                i, j, distance = _near_pairs(run, plan, percent)
+                parent: dict[int, int] = {}
+
+                def root(c: int) -> int:
+                    while c in parent:
+                        c = parent[c]
+                    return c
+
+                for p in np.argsort(distance, kind="stable").tolist():
+                    a, b = root(int(run["component"][i[p]])), root(int(run["component"][j[p]]))
+                    if a == b:
+                        continue
+                    x, y = (np.frombuffer(sets[s + q], np.uint64) for q in (i[p], j[p]))
+                    if _similar(x, y, percent):
+                        parent[max(a, b)] = min(a, b)
+                        found.append((int(run["node"][i[p]]), int(run["node"][j[p]])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())],
+                names=["a", "b"],
+            )
+
+    return check
+
+
+def _residual_links(
+    docs: DataFrame,
+    buckets: DataFrame,
+    nodes: DataFrame,
+    found: DataFrame,
+    plan: Plan,
+    width: int,
+    percent: int,
 ) -> DataFrame:
-    """Pairs of different components that share a bucket of three members or more.
+    """Links (a, b) between components that share a bucket of three members or more.
 
     Smaller buckets have been compared in full. A bucket is cut into blocks of
     BLOCK_ROWS; each pair of blocks is compared in one run of sorted rows.
@@ -381,12 +448,22 @@ def _residual_pairs(
             "component",
         )
     )
-    signed = members.join(
-        nodes.select(F.col("row").alias("node"), "n", "signature"), "node"
+    signed = members.join(nodes.select(F.col("row").alias("node"), "n", "signature"), "node")
+    columns = [*_RUN, "side", "node", "component", "n", "signature"]
+    in_runs = lambda df: spread(df, spark, *map(F.col, _RUN)).sortWithinPartitions(
+        *_RUN, "node"
+    )
+    open_rows = stored(
+        in_runs(signed.select(*columns)).mapInArrow(_unsettled(plan, percent), _RUN_DDL),
+        "near-unsettled",
+    )
+    if open_rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    wanted = stored(open_rows.select(F.col("node").alias("row")).distinct(), "near-wanted")
+    sets = stored(_sets(docs, wanted, width), "near-sets").withColumnRenamed("row", "node")
+    return in_runs(open_rows.join(sets, "node").select(*columns, "hashes")).mapInArrow(
+        _joining_links(plan, percent), "a long, b long"
     )
-    order = ["key", "left", "right"]
-    dealt = spread(signed, spark, *map(F.col, order)).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_across(plan, percent), "a long, b long").distinct()
 
 
 def near_components(
@@ -426,12 +503,12 @@ def near_components(
     close = stored(_close_pairs(stars, nodes, plan, percent), "near-pairs")
     links = stored(_confirmed(docs, close, width, percent), "near-links")
     found = stored(components(links), "near-found")
-    rest = _residual_pairs(buckets.select("key", "node"), nodes, found, plan, percent)
-    rest = stored(rest.join(close, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = stored(_confirmed(docs, rest, width, percent), "near-links")
-        if not more.isEmpty():
-            found = stored(components(links.unionByName(more)), "near-found")
+    more = stored(
+        _residual_links(docs, buckets.select("key", "node"), nodes, found, plan, width, percent),
+        "near-links",
+    )
+    if not more.isEmpty():
+        found = stored(components(links.unionByName(more)), "near-found")
     member = classes.join(found, "node", "left").select(
         "same", F.coalesce("component", "node").alias("component")
     )
