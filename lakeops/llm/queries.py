@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import exact_dedup, mixing, near_dedup, toxicity
+from lakeops.llm import (
+    exact_dedup,
+    mixing,
+    near_dedup,
+    personal_data,
+    sampled_pieces,
+    token_files,
+    toxicity,
+)
+from lakeops.session import new_work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[personal_data.count_of(base, kind).alias(f"n_{kind}") for kind in personal_data.KINDS],
+        F.sha2(personal_data.spans_text(base), 256).alias("base_sha256"),
+        personal_data.spans_text(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.mixed_copies(table(spark, sf_dir, "documents"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
@@ -31,11 +52,31 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_work_dir(spark, "token-files")
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
+    read = token_files.read_token_files(spark, folder, files)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampled_pieces.sampled_segmentations(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "sample",
+        "n_pieces",
+        F.round("log_p", 6).alias("log_p"),
+        F.round("log_inclusion", 6).alias("log_inclusion"),
+        F.crc32("ids").alias("ids_crc32"),
+        "decodes",
+    )
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(
         table(spark, sf_dir, "documents"), width=3, percent=85
@@ -49,9 +90,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_token_files": op4_token_files,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_sampled_pieces": op9_sampled_pieces,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 

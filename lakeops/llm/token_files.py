@@ -43,7 +43,7 @@ RANK_BITS = 512
 SUFFIX = ".wvm"
 #: File format, fixed values: magic, then counts of bits, ids and documents.
 MAGIC = b"WVMATRX1"
-HEADER = struct.Struct("<8sqqq")
+HEADER = "<8sqqq"
 _SLICE_BYTES = 32 << 20
 _WORDS_PER_CALL = 2000
 _LETTERS_ONLY = r"^\pL+$"
@@ -182,7 +182,7 @@ def shard_bytes(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, bits: int)
     numbers = np.array([d or 0 for d in doc_ids], dtype="<i8")
     return b"".join(
         [
-            HEADER.pack(MAGIC, bits, len(ids), len(doc_ids)),
+            struct.pack(HEADER, MAGIC, bits, len(ids), len(doc_ids)),
             numbers.tobytes(),
             lengths.astype("<i8").tobytes(),
             WaveletMatrix.build(ids, bits).to_bytes(),
@@ -194,10 +194,10 @@ def shard_bytes(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, bits: int)
 def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     """doc_ids, lengths and the matrix of one file's bytes, which are not copied."""
     view = memoryview(data)
-    magic, bits, n, docs = HEADER.unpack_from(view)
+    magic, bits, n, docs = struct.unpack_from(HEADER, view)
     if magic != MAGIC:
         raise ValueError("not a token file")
-    at = HEADER.size
+    at = struct.calcsize(HEADER)
     numbers = np.frombuffer(view, "<i8", docs, at)
     lengths = np.frombuffer(view, "<i8", docs, at + 8 * docs)
     matrix = WaveletMatrix.from_buffer(view[at + 16 * docs :], n, bits)
