@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.llm import (
+    edit_counts,
     exact_dedup,
     mixing,
     near_dedup,
     personal_data,
     sampled_pieces,
+    simhash,
     token_files,
     toxicity,
 )
+from lakeops.llm.common import stored
 from lakeops.session import new_work_dir
 
 
@@ -59,6 +62,48 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(simhash.compared_with_next(table(spark, sf_dir, "documents")), "simhash")
+    queries = found.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "fingerprint")
+    near = simhash.within_radius(found.select("fingerprint"), queries)
+    counts = near.groupBy("query").agg((F.sum("copies") - 1).alias("n_near"))
+    hex_of = lambda name: F.lower(F.hex(name)).alias(name)
+    return found.join(counts, found["doc_id"] == counts["query"], "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hex_of("fingerprint"),
+        hex_of("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "n_near",
+    )
+
+
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits a document, placed by a hash of doc_id: one replaces, one deletes."""
+    trees = edit_counts.with_trees(table(spark, sf_dir, "documents"))
+    place = F.pmod(F.xxhash64("doc_id"), F.length("text").cast("long") + 1)
+    edits = F.array(
+        F.struct(
+            F.floor(place / 2).alias("start"),
+            (F.floor(place / 2) + 30).alias("end"),
+            F.concat(F.lit(" edited, "), F.substring("text", 1, 24)).alias("text"),
+        ),
+        F.struct(
+            (place + 40).alias("start"), (place + 60).alias("end"), F.lit("").alias("text")
+        ),
+    )
+    return edit_counts.recounted(trees.withColumn("edits", edits)).select(
+        "doc_id",
+        "n_tokens",
+        "edited_tokens",
+        "leaves",
+        "encoded_chars",
+        F.length("edited_text").cast("long").alias("edited_chars"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -94,6 +139,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op6_simhash": op6_simhash,
+    "op7_edit_counts": op7_edit_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_minhash_dedup": op10_minhash_dedup,
