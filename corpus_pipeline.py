@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.llm import exact_dedup, mixing, near_dedup, toxicity
+from lakeops.llm import exact_dedup, mixing, near_dedup, sampled_pieces, toxicity
 from lakeops.session import new_work_dir
 
 
@@ -32,11 +32,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text, as 16-bit piece ids."""
+    return sampled_pieces.sampled_segmentations(docs)
+
+
 STAGES = [
     ("toxicity", without_toxic),
     ("exact dedup", without_copies),
     ("near dedup", without_near_copies),
     ("mixing", mixed),
+    ("sentencepiece", segmented),
 ]
 
 ORACLE_SQL = None

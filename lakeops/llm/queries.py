@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeops.llm import (
     edit_counts,
     exact_dedup,
+    masked_lm,
     mixing,
     near_dedup,
     personal_data,
@@ -62,6 +63,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = masked_lm.pseudo_likelihoods(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.round("log_likelihood", 2).alias("log_likelihood"),
+        F.round("mean_log_likelihood", 4).alias("mean_log_likelihood"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(simhash.compared_with_next(table(spark, sf_dir, "documents")), "simhash")
     queries = found.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "fingerprint")
@@ -139,6 +150,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_masked_lm": op5_masked_lm,
     "op6_simhash": op6_simhash,
     "op7_edit_counts": op7_edit_counts,
     "op8_exact_dedup": op8_exact_dedup,
