@@ -104,8 +104,11 @@ def _told_apart(
     """Names of all places where some blocks differ and yet have the same hash."""
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.posexplode(_blocks(F.regexp_replace(text_of(), SPACE, ""), size)).alias("pos", "block"),
-    ).withColumn("hash", F.xxhash64("block"))
+        _blocks(F.regexp_replace(text_of(), SPACE, ""), size).alias("blocks"),
+    )
+    texts = texts.select("row", F.posexplode("blocks").alias("pos", "block")).withColumn(
+        "hash", F.xxhash64("block")
+    )
     clear = places.join(shared, "hash", "left_anti").join(names.select("hash", "name"), "hash")
     unclear = (
         places.join(shared, "hash", "left_semi")

@@ -213,9 +213,10 @@ def build_lattice(points: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary
         front = first[s]
         for column in (target, piece, log_p):
             column[front], column[winner] = column[winner], column[front].copy()
-    p = np.exp(log_p)
-    running = np.cumsum(p)
-    reach = running - np.repeat((running - p)[first[:-1]], degree)
+    reach = np.exp(log_p)
+    for k in range(1, int(degree.max(initial=0))):
+        at = first[:-1][degree > k] + k
+        reach[at] += reach[at - 1]
     reach[first[1:] - 1] = 2.0
     return Lattice(first, target, piece, log_p, reach, end)
 
@@ -329,9 +330,11 @@ def _search(chunks: _Chunks, lattice: Lattice, doc_keys: np.ndarray, k: int):
         """Keeps paths laid end to end, with bounds of their siblings from ``begins`` on."""
         size = np.diff(ends)
         log_p = lattice.log_p[edges]
-        total = np.concatenate([[0.0], np.cumsum(log_p)])
         step = np.arange(len(edges)) - np.repeat(ends[:-1], size)
-        before = total[:-1] - np.repeat(total[ends[:-1]], size)
+        after = np.empty(len(edges))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            np.cumsum(log_p[a:b], out=after[a:b])
+        before = np.where(step > 0, np.concatenate([[0.0], after])[:-1], 0.0)
         begin = np.repeat(begins, size)
         near = np.flatnonzero((step >= begin) & (before >= FAINTEST))
         mass = before[near] + _rest(log_p[near])
@@ -346,7 +349,7 @@ def _search(chunks: _Chunks, lattice: Lattice, doc_keys: np.ndarray, k: int):
         for j, i in enumerate(docs.tolist()):
             a, b = int(ends[j]), int(ends[j + 1])
             paths[i].append((edges[a:b], at[a:b], bound[a:b], {}))
-            samples[i].append(Sample(edges[a:b], float(total[b] - total[a]), float(scores[j])))
+            samples[i].append(Sample(edges[a:b], float(after[b - 1]), float(scores[j])))
 
     every = np.arange(n)
     places = np.repeat(within, steps)

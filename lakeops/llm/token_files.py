@@ -67,7 +67,7 @@ class WaveletMatrix:
             blocks = -(-len(now) // RANK_BITS)
             padded = np.zeros(blocks * RANK_BITS // 8, np.uint8)
             padded[: len(packed)] = packed
-            counts = np.bitwise_count(padded).reshape(blocks, -1).sum(axis=1, dtype=np.int64)
+            counts = np.bitwise_count(padded).reshape(blocks, RANK_BITS // 8).sum(axis=1, dtype=np.int64)
             planes.append(padded)
             ones.append((np.cumsum(counts) - counts).astype(np.uint32))
             zeros[level] = len(now) - int(counts.sum())
