@@ -55,7 +55,7 @@ SEED = 20240229
 #: Low bits of a bucket's key that hold its place in the signature.
 _NUMBER_BITS = 8
 #: Members of a bucket that are compared in one block.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 4096
 #: So many row numbers of at most 8 bytes are sent to every executor; more are joined.
 BROADCAST_ROWS = 4_000_000
 
