@@ -44,8 +44,9 @@ SUFFIX = ".wvm"
 #: File format, fixed values: magic, then counts of bits, ids and documents.
 MAGIC = b"WVMATRX1"
 HEADER = "<8sqqq"
-_SLICE_BYTES = 32 << 20
+_SLICE_BYTES = 16 << 20
 _WORDS_PER_CALL = 2000
+_TEXTS_PER_CALL = 16
 _LETTERS_ONLY = r"^\pL+$"
 
 
@@ -222,8 +223,13 @@ class Encoder:
         )
 
     def _flat(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.int64) for e in found]
+        """Ids of each text; few texts at a time, as encodings hold far more than ids."""
+        out = []
+        for i in range(0, len(texts), _TEXTS_PER_CALL):
+            some = texts[i : i + _TEXTS_PER_CALL]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            out += [np.array(e.ids, dtype=np.int32) for e in found]
+        return out
 
     def words(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words end to end, and how many each has.
@@ -240,17 +246,17 @@ class Encoder:
             " ".join(strings[i : i + _WORDS_PER_CALL])
             for i in range(0, len(strings), _WORDS_PER_CALL)
         ]
-        flat = np.concatenate([np.empty(0, np.int64), *self._flat(joined)])
+        flat = np.concatenate([np.empty(0, np.int32), *self._flat(joined)])
         ends = np.flatnonzero(self.closes[flat]) + 1
         if len(ends) != len(strings):
             plain[:] = False
-            flat, ends, at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            flat, ends, at = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         counts[at] = np.diff(np.concatenate([[0], ends]))
         rest = np.flatnonzero(~plain)
         single = self._flat(vocabulary.take(pa.array(rest)).to_pylist())
         counts[rest] = [len(x) for x in single]
         begin = np.cumsum(counts) - counts
-        ids = np.empty(int(counts.sum()), dtype=np.int64)
+        ids = np.empty(int(counts.sum()), dtype=np.int32)
         ids[np.repeat(begin[at], counts[at]) + _within(counts[at])] = flat
         if len(rest):
             ids[np.repeat(begin[rest], counts[rest]) + _within(counts[rest])] = np.concatenate(single)
@@ -271,9 +277,13 @@ class Encoder:
         each = counts[words.codes]
         total = np.concatenate([[0], np.cumsum(each)])[words.offsets]
         sizes = np.diff(total) + 1
-        out = np.full(int(sizes.sum()), END_ID, dtype=np.int64)
-        place = np.arange(int(each.sum())) + np.repeat(words.owner, each)
-        out[place] = ids[np.repeat(begin[words.codes], each) + _within(each)]
+        out = np.full(int(sizes.sum()), END_ID, dtype=np.int32)
+        # Every text's ids move up by the end ids of the texts before it.
+        own = np.ones(len(out), dtype=bool)
+        own[np.cumsum(sizes) - 1] = False
+        source = np.repeat((begin[words.codes] - (np.cumsum(each) - each)).astype(np.int32), each)
+        source += np.arange(len(source), dtype=np.int32)
+        out[own] = ids[source]
         return out, sizes
 
 
