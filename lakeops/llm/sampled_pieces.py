@@ -46,7 +46,7 @@ SPACE_MARK = 0x2581
 LITERAL_MARK = 0x110000
 #: Log-probability of a prefix below which its siblings cannot win in double precision.
 FAINTEST = -50.0
-_SLICE_BYTES = 12 << 20
+_SLICE_BYTES = 5 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _FILTER_BITS = 20
 
@@ -105,7 +105,7 @@ class Vocabulary:
         for n in np.unique(sizes):
             keys[sizes == n] = hashed(starts[sizes == n], int(n))
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(ids)[order]
+        self.keys, self.ids = keys[order], np.array(ids, dtype=np.int32)[order]
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
         self.table = pa.array(self.bytes, pa.binary())
@@ -115,7 +115,7 @@ class Vocabulary:
         maybe = np.flatnonzero(self.filter[keys >> np.uint64(64 - _FILTER_BITS)])
         at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
         hit = self.keys[at] == keys[maybe]
-        return maybe[hit], self.ids[at[hit]]
+        return maybe[hit].astype(np.int32), self.ids[at[hit]]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The UTF-8 bytes of id sequences, without the leading space.
@@ -159,12 +159,12 @@ def build_lattice(points: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary
     """
     n = len(points)
     ends = np.append(starts[1:], n)
-    end = np.repeat(ends, ends - starts)
-    left = end - np.arange(n)
+    end = np.repeat(ends, ends - starts).astype(np.int32)
+    left = end - np.arange(n, dtype=np.int32)
     hashed = _substring_hashes(points)
     froms, sizes, ids = [], [], []
     single = np.zeros(n, dtype=bool)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     for size in range(1, vocabulary.longest + 1):
         at = at[left[at] >= size]
         if not len(at):
@@ -175,25 +175,26 @@ def build_lattice(points: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary
         ids.append(found)
         if size == 1:
             single[at[hit]] = True
-    bare = np.flatnonzero(~single)
+    bare = np.flatnonzero(~single).astype(np.int32)
     froms.append(bare)
     sizes.append(1)
-    ids.append(-1 - points[bare].astype(np.int64))
+    ids.append((-1 - points[bare]).astype(np.int32))
     degree = sum(np.bincount(at, minlength=n) for at in froms)
     first = np.concatenate([[0], np.cumsum(degree)])
     total_edges = int(first[-1])
-    target, piece = np.empty(total_edges, np.int64), np.empty(total_edges, np.int64)
+    target, piece = np.empty(total_edges, np.int32), np.empty(total_edges, np.int32)
     filled = first[:-1].copy()
     for at, size, found in zip(froms, sizes, ids):
         place = filled[at]
         target[place], piece[place] = at + size, found
         filled[at] += 1
+    del froms, ids, filled
     known = piece >= 0
-    weight = np.empty(total_edges)
-    weight[known] = vocabulary.weights[piece[known]]
-    weight[~known] = _utf8_lengths(-1 - piece[~known]) * vocabulary.weights[vocabulary.byte_ids[0]]
-    below = np.zeros(n + 1)
+    # Weights first; each becomes its edge's log-probability as its state is reached.
     log_p = np.empty(total_edges)
+    log_p[known] = vocabulary.weights[piece[known]]
+    log_p[~known] = _utf8_lengths(-1 - piece[~known]) * vocabulary.weights[vocabulary.byte_ids[0]]
+    below = np.zeros(n + 1)
     nearest = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")
     bounds = np.searchsorted(left[nearest], np.arange(1, (left.max() if n else 0) + 2))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -202,7 +203,7 @@ def build_lattice(points: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary
         cut = np.cumsum(count) - count
         edge = np.repeat(first[s] - cut, count) + np.arange(int(count.sum()))
         to = target[edge]
-        value = weight[edge] + np.where(to == np.repeat(end[s], count), 0.0, below[to])
+        value = log_p[edge] + np.where(to == np.repeat(end[s], count), 0.0, below[to])
         most = np.maximum.reduceat(value, cut)
         total = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, count)), cut))
         below[s] = total
