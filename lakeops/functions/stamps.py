@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STAMP_COLUMNS = ["insert_ts", "part_col", "file_nm", "sort_struct"]
-
 
 def sequence_column(sort_columns: Sequence[str] | None) -> Column:
     """Struct of the sort columns, the load date when there are none."""

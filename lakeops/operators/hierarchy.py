@@ -16,9 +16,6 @@ from lakeops.functions.text import safe_identifier
 GROUP = "resource_group"
 SUBSCRIPTION = "subscription_id"
 
-# Records of a resource group that one row of the nested form holds, at most.
-CHUNK_POSITIONS = 1000
-
 # Prefixes of node identifiers.
 TENANT_ID, SUBSCRIPTION_ID, GROUP_ID, WORKSPACE_ID = "Tenant", "Sub_", "RG_", "WS_"
 
@@ -73,19 +70,15 @@ def tenant(records: DataFrame) -> DataFrame:
     )
 
 
-def group_workspaces(records: DataFrame, chunk: int = CHUNK_POSITIONS) -> DataFrame:
-    """Workspaces of each resource group as ordered arrays.
+def group_workspaces(records: DataFrame) -> DataFrame:
+    """``(resource_group, pos, name, id)``: the members of every group, one row each.
 
-    A group comes in as many rows as its positions need: ``chunk_no`` orders
-    them, and no array holds more than ``chunk`` positions.
+    A group with a third of all workspaces must not become one array, so members stay
+    rows; ``pos`` gives their order within the group.
     """
-    chunk_no = F.floor(F.col("pos") / chunk).alias("chunk_no")
-    members = F.array_sort(
-        F.collect_list(
-            F.struct("pos", F.col("workspace_name").alias("name"), F.col("workspace_id").alias("id"))
-        )
+    return records.select(
+        GROUP, "pos", F.col("workspace_name").alias("name"), F.col("workspace_id").alias("id")
     )
-    return records.groupBy(GROUP, chunk_no).agg(members.alias("workspaces"))
 
 
 def _group_key(by_subscription: bool) -> list[str]:

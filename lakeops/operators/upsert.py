@@ -23,6 +23,14 @@ def as_column(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the frame has it."""
+    taken = {column.lower() for column in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def latest_by_key(
     df: DataFrame,
     keys: Keys,
@@ -47,10 +55,9 @@ def latest_by_key(
     newest_first = Window.partitionBy(*within, *[as_column(k) for k in keys]).orderBy(
         as_column(sequence_by).desc_nulls_last(), *ties
     )
+    rank = unused_name(df, "key_rank")
     return (
-        df.withColumn("key_rank", F.row_number().over(newest_first))
-        .filter(F.col("key_rank") == 1)
-        .drop("key_rank")
+        df.withColumn(rank, F.row_number().over(newest_first)).filter(F.col(rank) == 1).drop(rank)
     )
 
 

@@ -17,11 +17,19 @@ ALL_ADDS, LIVE, FILES, LIVE_OR_FILES = "all_adds", "live", "files", "live_or_fil
 
 
 def table_files(spark: SparkSession, locations: dict[str, str], mode: str = ALL_ADDS) -> DataFrame:
-    """Files of many tables: every logged add, the live ones, or those in the folder."""
+    """Files of many tables: every logged add, the live ones, or those in the folder.
+
+    Every add means those of retained commits; live files also come from checkpoints.
+    """
     if mode == FILES:
         return inventory.read_file_inventory(spark, locations)
-    actions = commit_log.read_commit_log(spark, locations)
-    return commit_log.live_files(actions) if mode == LIVE else commit_log.added_files(actions)
+    if mode == LIVE:
+        found = storage.on_each(
+            lambda root: commit_log.find_snapshot(spark, root), locations.values()
+        )
+        snapshots = dict(zip(locations, found, strict=True))
+        return commit_log.live_files(commit_log.read_live_actions(spark, locations, snapshots))
+    return commit_log.added_files(commit_log.read_commit_log(spark, locations))
 
 
 def _locate(
@@ -37,9 +45,25 @@ def _locate(
         for name, found in checked
         if not found
     }
+    if mode == LIVE:
+        missing |= _incomplete(spark, {n: l for n, l in locations.items() if n not in missing})
     return {n: l for n, l in locations.items() if n not in missing}, errors | missing
 
 
+def _incomplete(spark: SparkSession, locations: dict[str, str]) -> dict[str, str]:
+    """The fault of each log from which the live files cannot be told."""
+
+    def fault(root: str) -> str | None:
+        try:
+            commit_log.find_snapshot(spark, root)
+        except ValueError as error:
+            return str(error)
+        return None
+
+    faults = storage.on_each(fault, locations.values())
+    return {name: found for name, found in zip(locations, faults, strict=True) if found}
+
+
 def analyze_tables(
     spark: SparkSession, names: Iterable[str], mode: str = ALL_ADDS
 ) -> DataFrame:
@@ -68,7 +92,7 @@ def table_detail(
     """Location, file count and byte size of each table, ``error`` where there is none."""
     if mode == LIVE_OR_FILES:
         names = list(dict.fromkeys(names))
-        _, unlogged = _locate(spark, names, LIVE)
+        _, unlogged = _locate(spark, names, ALL_ADDS)
         return table_detail(spark, [n for n in names if n not in unlogged], LIVE).unionByName(
             table_detail(spark, unlogged, FILES)
         )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,20 @@ COMMIT_SALTS = 16
 COMMIT_FILES = {"pathGlobFilter": "*.json"}
 
 
+# Names of commits and of checkpoints, single or in parts, in a log folder.
+COMMIT_NAME = re.compile(r"(\d{20})\.json")
+CHECKPOINT_NAME = re.compile(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet")
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What tells the live files of a version: a checkpoint, if any, and commits after it."""
+
+    version: int
+    after: int
+    checkpoint: tuple[str, ...]
+
+
 def log_folder(location: str) -> str:
     return f"{location.rstrip('/')}/{LOG_DIR}"
 
@@ -80,6 +97,79 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
     )
 
 
+def find_snapshot(spark: SparkSession, location: str, version: int | None = None) -> Snapshot:
+    """The newest complete checkpoint up to a version, by default the last, and its commits.
+
+    Refuses a log in which commits between the two are missing.
+    """
+    commits: set[int] = set()
+    parts: dict[int, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for name in storage.child_names(spark, log_folder(location)):
+        if found := COMMIT_NAME.fullmatch(name):
+            commits.add(int(found[1]))
+        elif found := CHECKPOINT_NAME.fullmatch(name):
+            parts[int(found[1])][int(found[3] or 1)].append(name)
+    complete = {
+        at: tuple(sorted(names))
+        for at, sizes in parts.items()
+        for size, names in sizes.items()
+        if len(names) == size
+    }
+    last = max([*commits, *complete], default=-1) if version is None else version
+    base = max((at for at in complete if at <= last), default=-1)
+    missing = [v for v in range(base + 1, last + 1) if v not in commits]
+    if last < 0 or missing:
+        lost = f"commit {missing[0]}" if missing else "any commit"
+        raise ValueError(f"the log at {location} lacks {lost} and no checkpoint covers it")
+    return Snapshot(last, base, complete.get(base, ()))
+
+
+def read_live_actions(
+    spark: SparkSession, locations: Mapping[str, str], snapshots: Mapping[str, Snapshot]
+) -> DataFrame:
+    """Actions that decide which files are live: those of checkpoints, then of commits.
+
+    What a checkpoint holds counts as done at its version.
+    """
+    bounds = small_table(
+        spark,
+        [(name, str(s.after), str(s.version)) for name, s in snapshots.items()],
+        "table_name",
+        "after",
+        "until",
+    ).select("table_name", F.col("after").cast("bigint"), F.col("until").cast("bigint"))
+    columns = ["table_name", "location", "version", "add", "remove"]
+    actions = (
+        read_commit_log(spark, locations)
+        .join(bounds, "table_name")
+        .filter((F.col("version") > F.col("after")) & (F.col("version") <= F.col("until")))
+        .select(*columns)
+    )
+    files = {
+        (name, f"{log_folder(storage.qualify(spark, locations[name]))}/{part}")
+        for name, s in snapshots.items()
+        for part in s.checkpoint
+    }
+    if not files:
+        return actions
+    owners = small_table(
+        spark,
+        [(name, locations[name], storage.as_url(spark, path)) for name, path in sorted(files)],
+        "table_name",
+        "location",
+        "path",
+    )
+    held = (
+        spark.read.schema(ACTIONS_SCHEMA)
+        .parquet(*sorted({storage.as_literal_path(path) for _, path in files}))
+        .select(F.col("_metadata.file_path").alias("path"), "add", "remove")
+        .join(owners, "path")
+        .join(bounds, "table_name")
+        .withColumnRenamed("after", "version")
+    )
+    return actions.unionByName(held.select(*columns))
+
+
 def _with_full_path(files: DataFrame, decoded: bool) -> DataFrame:
     if "location" not in files.columns:
         return files
@@ -122,7 +212,7 @@ def live_files(actions: DataFrame, decoded: bool = False) -> DataFrame:
         .groupBy(*table, F.coalesce("add.path", "remove.path").alias("relative_path"))
         .agg(F.max(order).alias("last"), F.max_by("add.size", order).alias("size_in_bytes"))
     )
-    version = F.floor(F.col("last") / 2)
+    version = F.shiftright("last", 1)
     files = last.filter(F.pmod("last", F.lit(2)) == 1).select(
         *table, F.when(version >= 0, version).alias("version"), "relative_path", "size_in_bytes"
     )
@@ -137,17 +227,20 @@ def append_only_actions(actions: DataFrame, salts: int = COMMIT_SALTS) -> DataFr
     one huge commit does not end up in one task either.
     """
     commit = ["table_name", "version"]
+    salt = "commit_salt"
+    while salt in actions.columns:
+        salt += "_"
     removing = (
         actions.filter(F.col("remove.dataChange"))
         .select(*commit)
         .distinct()
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     return (
         actions.filter(F.col("add").isNotNull())
-        .withColumn("salt", F.pmod(F.xxhash64("add.path"), F.lit(salts)).cast("int"))
-        .join(removing, [*commit, "salt"], "left_anti")
-        .drop("salt")
+        .withColumn(salt, F.pmod(F.xxhash64("add.path"), F.lit(salts)).cast("int"))
+        .join(removing, [*commit, salt], "left_anti")
+        .drop(salt)
     )
 
 

@@ -11,10 +11,6 @@ from lakeops.functions.tables import DEFAULT_CLUSTER_COLUMNS
 from lakeops.operators import control
 from lakeops.session import runtime_parameter
 
-# Defaults of an ingestion configuration.
-DEFAULT_SCHEMA = "aldm_staging"
-DEFAULT_CONFIG_TABLE = "aldm_oper.landing_load_config"
-
 
 @dataclass
 class IngestionConfig:
@@ -22,9 +18,9 @@ class IngestionConfig:
 
     spark: SparkSession
     source_name: str | None = None
-    schema_name: str = DEFAULT_SCHEMA
+    schema_name: str = field(kw_only=True)
     cluster_by: Sequence[str] = field(default_factory=lambda: list(DEFAULT_CLUSTER_COLUMNS))
-    config_table: str = DEFAULT_CONFIG_TABLE
+    config_table: str = field(kw_only=True)
 
     def __post_init__(self) -> None:
         if self.source_name is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import PySparkException
@@ -20,7 +21,7 @@ def table_location(spark: SparkSession, name: str) -> str:
     detail = spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()
     location = json.loads(detail[0]).get("location")
     if not location:
-        raise ValueError(f"Could not get location for table {name}")
+        raise ValueError(f"{name} has no folder of its own")
     return location
 
 
@@ -48,14 +49,18 @@ def root_key(path: Column) -> Column:
 
 
 def read_file_inventory(
-    spark: SparkSession, locations: Mapping[str, str], glob: str = "*.parquet"
+    spark: SparkSession, locations: Mapping[str, str], glob: str | None = None
 ) -> DataFrame:
-    """Data files below many folders, in one listing; file contents are not read."""
+    """Data files below many folders, in one listing; file contents are not read.
+
+    Files of every format count, but not those in or under names that begin with an
+    underscore or a dot, which Spark takes for hidden. ``glob`` narrows file names.
+    """
     roots = {name: storage.qualify(spark, location) for name, location in locations.items()}
+    narrowed = {"pathGlobFilter": glob} if glob else {}
     files = (
         spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
+        .options(recursiveFileLookup="true", **narrowed)
         .load([storage.as_literal_path(root) for root in sorted(set(roots.values()))])
         .select(root_key(F.col("path")).alias("full_path"), F.col("length").alias("size_in_bytes"))
     )
@@ -66,14 +71,18 @@ def read_file_inventory(
         "location",
         "root",
     ).withColumn("root", root_key(F.col("root")))
-    # A file belongs to a table if the table's folder is one of its ancestors.
+    # A file belongs to a table if the table's folder is one of its ancestors; only
+    # ancestors as deep as some table's folder are looked at.
     steps = F.split("full_path", "/")
+    depths = sorted({re.sub("^file:/+", "/", root).count("/") + 1 for root in roots.values()})
     ancestors = F.transform(
-        F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/")
+        F.filter(F.array(*map(F.lit, depths)), lambda n: n < F.size(steps)),
+        lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"),
     )
     return (
         files.withColumn("root", F.explode(ancestors))
         .join(tables, "root")
+        .filter(~F.substr("full_path", F.length("root") + 1).rlike(r"/[_.][^=]*(/|$)"))
         .select(
             "table_name",
             "location",

@@ -51,6 +51,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, hadoop_path = _open(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength() if fs.exists(hadoop_path) else 0
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, hadoop_path = _open(spark, path)
     stream = fs.open(hadoop_path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fields of a raw record and of a normalised one, and the columns
@@ -20,9 +20,6 @@ RECORD_FIELDS = [
 ]
 CSV_FIELDS = RECORD_FIELDS[:5]
 
-# Positions set aside for each page file.
-POSITIONS_PER_PAGE = 1_000_000
-
 
 def strings(fields: list[str], *more: str) -> str:
     return ", ".join([f"{name} STRING" for name in fields] + list(more))
@@ -31,20 +28,30 @@ def strings(fields: list[str], *more: str) -> str:
 def _read_arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Records of JSON array files, with the positions their order gives them.
 
-    Files come in the order of the number in their name, records in that of their
-    array; a ``pos`` field of a record wins over both.
+    Files come in the order of the last number in their name, files of equal or no
+    number by name, and records in that of their array: positions count all records
+    before. A ``pos`` field of a record wins over its place.
     """
     record = strings(names, "pos BIGINT")
     pages = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_name", r"(\d+)", 1).alias("number"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("file_name"),
         F.from_json("value", f"ARRAY<STRUCT<{record}>>", {"mode": "FAILFAST"}).alias("records"),
     )
-    page = F.when(F.col("number") != "", F.col("number").cast("bigint")).otherwise(F.lit(0))
-    rows = pages.select(page.alias("page"), F.posexplode("records").alias("index", "record"))
-    position = F.coalesce("record.pos", F.col("page") * POSITIONS_PER_PAGE + F.col("index"))
-    return rows.withColumn("position", position).select(
-        *[f"record.{name}" for name in names], F.col("position").alias("pos")
+    # One row per file, without its records, is put in order.
+    number = F.regexp_extract("file_name", r"(\d+)\D*$", 1).try_cast("decimal(38,0)")
+    before = F.sum("size").over(
+        Window.orderBy(number.asc_nulls_first(), "file_name", "file").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+    )
+    sizes = pages.select("file", "file_name", F.size("records").cast("bigint").alias("size"))
+    starts = sizes.select("file", F.coalesce(before, F.lit(0)).alias("start"))
+    rows = pages.join(starts, "file").select(
+        "start", F.posexplode("records").alias("index", "record")
     )
+    position = F.coalesce("record.pos", F.col("start") + F.col("index"))
+    return rows.select(*[f"record.{name}" for name in names], position.alias("pos"))
 
 
 def _read(spark: SparkSession, path: str, fields: list[str], arrays: bool) -> DataFrame:

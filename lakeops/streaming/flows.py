@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from lakeops.functions.tables import DEFAULT_CLUSTER_COLUMNS, cluster_columns, table_properties
 from lakeops.functions.text import decode_path, is_absolute, join_path
+from lakeops.session import new_work_dir
 from lakeops.sources import commit_log, storage
 from lakeops.sources.inventory import table_location
 from lakeops.streaming import targets
@@ -24,13 +27,28 @@ FLOW_PREFIX = "hive_metastore_"
 # Commits one micro-batch of a logged table takes in.
 COMMITS_PER_BATCH = 100
 
+# Bytes of new files one micro-batch of a plain table takes in.
+BYTES_PER_BATCH = str(64 << 30)
+
+# Data files of a logged table that are read at once.
+FILES_PER_SLICE = 10_000
+
+# Batches of a logged table are cut into slices, whose numbers follow one another
+# and come after those of the rows that were there when the flow began.
+SLICES = 1 << 20
+BEFORE_ALL = -(1 << 60)
+
 
 @dataclass
 class FlowSource:
-    """A stream to trigger on, and how one of its batches turns into rows."""
+    """A stream to trigger on, and how one of its batches turns into rows.
+
+    ``slices`` takes a batch, its number and a folder that keeps the flow's state, and
+    gives numbered frames, in rising order and the same when a batch is replayed.
+    """
 
     stream: DataFrame
-    rows: Callable[[DataFrame], DataFrame]
+    slices: Callable[[DataFrame, int, str], Iterator[tuple[int, DataFrame]]]
     schema: StructType
 
 
@@ -47,15 +65,18 @@ def stream_table(
     """Stream a catalog table.
 
     A plain file table only ever gains files, so there is nothing to skip. A
-    table with a commit log is streamed commit by commit: commits that remove
-    data are skipped or, without ``skip_change_commits``, refused.
+    table with a commit log begins with the files live at that moment and goes on
+    commit by commit: commits that remove data are skipped or, without
+    ``skip_change_commits``, refused.
     """
     location = table_location(spark, name)
     if commit_log.has_log(spark, location):
         return _stream_commits(spark, name, location, skip_change_commits, options or {})
-    stream = spark.readStream.options(**(options or {})).table(name)
+    given = dict(options or {})
+    bound = {} if any("PerTrigger" in key for key in given) else {"maxBytesPerTrigger": BYTES_PER_BATCH}
+    stream = spark.readStream.options(**bound, **given).table(name)
     stream = stream.drop(targets.FLOW, targets.BATCH)
-    return FlowSource(stream, lambda batch: batch, stream.schema)
+    return FlowSource(stream, lambda batch, number, _: iter([(number, batch)]), stream.schema)
 
 
 def _stream_commits(
@@ -80,23 +101,52 @@ def _stream_commits(
     )
     schema = spark.table(name).schema
 
-    def rows(actions: DataFrame) -> DataFrame:
-        removing = actions.filter(F.col("remove.dataChange"))
+    def read(adds: DataFrame, first: int) -> Iterator[tuple[int, DataFrame]]:
+        """Rows of the files in ``adds``, some files at a time."""
+        path = decode_path(F.col("path"))
+        whole = F.when(is_absolute(path), path).otherwise(join_path(F.lit(location), path))
+        files = adds.select(whole.alias("path"))
+        slices = -(-files.count() // FILES_PER_SLICE)
+        if slices > 1:
+            folder = new_work_dir(spark, "slices")
+            number = F.pmod(F.xxhash64("path"), F.lit(slices)).alias("slice")
+            files.select("path", number).write.partitionBy("slice").parquet(folder)
+            files = spark.read.parquet(folder)
+        for i in range(slices):
+            part = files.filter(F.col("slice") == i) if slices > 1 else files
+            # About FILES_PER_SLICE names; the rows stay in Spark.
+            paths = [storage.as_literal_path(row[0]) for row in part.select("path").collect()]
+            if paths:
+                reader = spark.read.schema(schema).option("basePath", location)
+                yield first + i, reader.parquet(*paths)
+
+    def slices(actions: DataFrame, batch_id: int, state: str) -> Iterator[tuple[int, DataFrame]]:
+        start = _start_version(spark, location, state)
+        if batch_id == 0:
+            snapshot = commit_log.find_snapshot(spark, location, start)
+            known = commit_log.read_live_actions(spark, {name: location}, {name: snapshot})
+            yield from read(
+                commit_log.live_files(known).select(F.col("relative_path").alias("path")),
+                BEFORE_ALL,
+            )
+        new = actions.filter(F.col("version") > start)
+        removing = new.filter(F.col("remove.dataChange"))
         if not skip_change_commits and not removing.isEmpty():
             raise ValueError(f"a commit of {name} removes data; set skip_change_commits")
-        path = decode_path(F.col("add.path"))
-        # File names of at most COMMITS_PER_BATCH commits; the rows stay in Spark.
-        paths = [
-            storage.as_literal_path(row[0])
-            for row in commit_log.append_only_actions(actions)
-            .filter(~F.col("add.dataChange").eqNullSafe(False))
-            .select(F.when(is_absolute(path), path).otherwise(join_path(F.lit(location), path)))
-            .collect()
-        ]
-        reader = spark.read.schema(schema).option("basePath", location)
-        return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+        adds = commit_log.append_only_actions(new).filter(
+            ~F.col("add.dataChange").eqNullSafe(False)
+        )
+        yield from read(adds.select("add.path"), batch_id * SLICES)
+
+    return FlowSource(stream, slices, schema)
 
-    return FlowSource(stream, rows, schema)
+
+def _start_version(spark: SparkSession, location: str, state: str) -> int:
+    """The version whose live files a flow began with; kept from its first batch on."""
+    path = f"{state}.start"
+    if not storage.exists(spark, path):
+        storage.publish_text(spark, path, str(commit_log.find_snapshot(spark, location).version))
+    return int(storage.read_text(spark, path))
 
 
 def start_flow(
@@ -114,11 +164,9 @@ def start_flow(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         targets.claim_flow(spark, location, flow, query_id(batch))
-        rows = source.rows(batch)
-        targets.add_missing_columns(spark, target, rows.schema)
-        targets.append_batch(
-            spark, target, flow, batch_id, rows, clustered, location=location
-        )
+        for number, rows in source.slices(batch, batch_id, targets.flow_state(location, flow)):
+            targets.add_missing_columns(spark, target, rows.schema)
+            targets.append_batch(spark, target, flow, number, rows, clustered, location=location)
 
     return start_batches(spark, source.stream, append, target, flow, trigger, checkpoint)
 
@@ -220,13 +268,20 @@ def passthrough_flows(
 
 def distinct_names(names: Iterable[str]) -> list[str]:
     """The names, refusing one that comes twice: flow names must be unique."""
-    seen = list(names)
-    repeated = sorted({name for name in seen if seen.count(name) > 1})
+    listed = list(names)
+    repeated = sorted(name for name, times in Counter(listed).items() if times > 1)
     if repeated:
         raise ValueError(f"flows registered twice: {', '.join(repeated)}")
-    return seen
+    return listed
 
 
 def await_all(queries: Iterable[StreamingQuery]) -> None:
+    """Wait for every query, then raise the first failure, if any, with all named."""
+    failed = []
     for query in queries:
-        query.awaitTermination()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as error:
+            failed.append((query.name, error))
+    if failed:
+        raise RuntimeError(f"failed: {', '.join(str(n) for n, _ in failed)}") from failed[0][1]

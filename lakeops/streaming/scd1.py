@@ -1,155 +1,109 @@
-"""Type-1 upserts into a table kept as key buckets.
-
-A target folder holds ``data/<snapshot>/key_bucket=<b>`` parquet folders and
-numbered manifests. A manifest names the snapshots that make up each bucket and
-the last batch every flow has applied. A batch writes only the buckets its keys
-fall in, under a snapshot of its own, and then publishes a manifest; until then
-readers see the table as it was. A batch replayed after a failure either was
-published and is skipped, or overwrites its own unpublished snapshot.
-
-By default a touched bucket is rewritten whole. Where batches are small and the
-table is not, ``max_deltas`` lets a bucket gather that many batches beside its
-rows before it is rewritten; readers then rank such buckets by key.
+"""Type-1 upserts into a catalog table partitioned by a bucket of its keys.
+
+A batch is cut to one row per key, merged with the current rows of the buckets its keys
+fall in, and written to a folder of its own; then the partitions of these buckets are
+pointed at the new files. Merging a batch twice gives what merging it once gives, so a
+batch that failed half way is simply merged again. Readers use the catalog table as any
+other; while partitions are switched they may see some buckets before and some after a
+batch. One job at a time merges into a table.
+
+A large bucket is merged by several tasks, each ranking a part of its keys and writing
+a file of its own; how many follows from the bytes of the touched buckets.
 """
 
 from __future__ import annotations
 
-import json
+import math
 import threading
+import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from collections.abc import Mapping, Sequence
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lakeops.functions.tables import cluster_columns, table_properties
-from lakeops.operators.upsert import Keys, key_bucket, latest_by_key
+from lakeops.operators.upsert import Keys, as_column, key_bucket, latest_by_key, unused_name
 from lakeops.sources import storage
-from lakeops.streaming import flows
-from lakeops.streaming.targets import evolved
+from lakeops.sources.inventory import table_location
+from lakeops.streaming import flows, targets
 
-BUCKET = "key_bucket"
-DEFAULT_BUCKETS = 64
 SEED = "seed"
+BATCHES_FOLDER = "_batches"
+BUCKET_PROPERTY, COUNT_PROPERTY = "merge.bucketColumn", "merge.buckets"
+
+# Bytes a bucket should hold, and those one task should merge.
+BUCKET_BYTES = 4 << 30
+PIECE_BYTES = 256 << 20
+FEWEST_BUCKETS = 8
 
 # Names and pace of a merged table's flow.
 FLOW_SUFFIX = "_apply_changes"
 SILVER_TRIGGER = {"processingTime": "60 seconds"}
 SILVER_COMMENT = "Clean, merged data"
 
-# A merge that finds the table changed under it starts over this many times.
-ATTEMPTS = 5
-
 _locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
-@dataclass
-class Manifest:
-    """Current state of a target: where each bucket is, what has been applied."""
-
-    version: int
-    num_buckets: int
-    schema: dict
-    snapshots: dict[str, list[str]] = field(default_factory=dict)
-    applied: dict[str, int] = field(default_factory=dict)
-    properties: dict[str, str] = field(default_factory=dict)
-    comment: str | None = None
-    keys: list[str] | None = None
-    sequence_by: str | None = None
-
-    @property
-    def row_type(self) -> StructType:
-        return StructType.fromJson(self.schema)
+# Catalyst's size of a relation about which it knows nothing.
+UNKNOWN_BYTES = 1 << 60
 
 
-def _manifest_path(target: str, version: int) -> str:
-    return f"{target}/manifests/{version:020d}.json"
+def _estimated_bytes(df: DataFrame) -> int:
+    """Bytes of the files a frame reads, 0 if Catalyst cannot tell."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < UNKNOWN_BYTES else 0
 
 
-def load_manifest(spark: SparkSession, target: str) -> Manifest | None:
-    names = storage.child_names(spark, f"{target}/manifests")
-    versions = [name for name in names if name.endswith(".json")]
-    if not versions:
-        return None
-    text = storage.read_text(spark, f"{target}/manifests/{max(versions)}")
-    return Manifest(**json.loads(text))
-
-
-def _publish(spark: SparkSession, target: str, manifest: Manifest) -> bool:
-    path = _manifest_path(target, manifest.version)
-    return storage.publish_text(spark, path, json.dumps(asdict(manifest)))
+def buckets_for(size: int) -> int:
+    """A number of buckets for a table of about so many bytes."""
+    return max(FEWEST_BUCKETS, math.ceil(size / BUCKET_BYTES))
 
 
 def create_target(
     spark: SparkSession,
     target: str,
     schema: StructType,
-    num_buckets: int = DEFAULT_BUCKETS,
+    num_buckets: int,
     cluster_by: str | Sequence[str] | None = None,
     comment: str | None = SILVER_COMMENT,
+    location: str | None = None,
 ) -> None:
-    """Create an empty target unless there is one."""
-    if load_manifest(spark, target) is None:
-        properties = table_properties("silver", cluster_by)
-        manifest = Manifest(0, num_buckets, schema.jsonValue(), {}, {}, properties, comment)
-        _publish(spark, target, manifest)
-
-
-def _read_buckets(
-    spark: SparkSession, target: str, manifest: Manifest, buckets: Iterable[str]
-) -> DataFrame:
-    """All rows kept for some buckets, several per key where batches have gathered."""
-    paths = [
-        f"{target}/data/{snapshot}/{BUCKET}={bucket}"
-        for bucket in buckets
-        for snapshot in manifest.snapshots[bucket]
+    """Create an empty merged table unless there is one."""
+    if spark.catalog.tableExists(target):
+        return
+    bucket = unused_name(spark.createDataFrame([], schema), "key_bucket")
+    own = {BUCKET_PROPERTY: bucket, COUNT_PROPERTY: str(num_buckets)}
+    clauses = [
+        f"CREATE TABLE {target} ({targets.columns_ddl(schema.fields)}, `{bucket}` INT)",
+        f"USING parquet PARTITIONED BY (`{bucket}`)",
     ]
-    if not paths:
-        return spark.createDataFrame([], manifest.row_type)
-    return spark.read.schema(manifest.row_type).parquet(*paths)
+    if location:
+        clauses.append(f"LOCATION {targets.quoted(location)}")
+    if comment:
+        clauses.append(f"COMMENT {targets.quoted(comment)}")
+    pairs = (table_properties("silver", cluster_by) | own).items()
+    listed = ", ".join(f"{targets.quoted(k)} = {targets.quoted(v)}" for k, v in pairs)
+    spark.sql("\n".join([*clauses, f"TBLPROPERTIES ({listed})"]))
 
 
-def read_target(
-    spark: SparkSession,
-    target: str,
-    keys: Keys | None = None,
-    sequence_by: str | Column | None = None,
-) -> DataFrame:
-    """The merged table: one row per key.
-
-    Buckets that have gathered batches are ranked, the others just read. The
-    manifest knows keys and sequence if the flow named them; give them here if it
-    used expressions.
-    """
-    manifest = load_manifest(spark, target)
-    if manifest is None:
-        raise ValueError(f"no merged table at {target}")
-    gathered = [b for b, parts in manifest.snapshots.items() if len(parts) > 1]
-    settled = [b for b, parts in manifest.snapshots.items() if len(parts) == 1]
-    rows = _read_buckets(spark, target, manifest, settled)
-    if not gathered:
-        return rows
-    keys = manifest.keys if keys is None else keys
-    sequence_by = manifest.sequence_by if sequence_by is None else sequence_by
-    if keys is None or sequence_by is None:
-        raise ValueError(f"{target} has unmerged batches; name its keys and sequence")
-    loose = _read_buckets(spark, target, manifest, gathered)
-    ranked = latest_by_key(loose, keys, sequence_by, tie_columns=manifest.row_type.names)
-    return rows.unionByName(ranked) if settled else ranked
-
-
-def create_view(
-    spark: SparkSession,
-    name: str,
-    target: str,
-    keys: Keys | None = None,
-    sequence_by: str | Column | None = None,
-) -> None:
-    """Let SQL see the target, as it is now, under a table name."""
-    read_target(spark, target, keys, sequence_by).createOrReplaceTempView(name)
+def _layout(spark: SparkSession, target: str) -> tuple[str, int]:
+    """The bucket column of a merged table and the number of its buckets."""
+    if not spark.catalog.tableExists(target):
+        raise ValueError(f"no merged table {target}")
+    properties = dict(spark.sql(f"SHOW TBLPROPERTIES {target}").collect())
+    if BUCKET_PROPERTY not in properties:
+        raise ValueError(f"no merged table {target}: it is another table")
+    return properties[BUCKET_PROPERTY], int(properties[COUNT_PROPERTY])
+
+
+def read_target(spark: SparkSession, target: str) -> DataFrame:
+    """The merged rows, without the bucket."""
+    bucket, _ = _layout(spark, target)
+    return spark.table(target).drop(bucket)
 
 
 def merge_batch(
@@ -161,95 +115,102 @@ def merge_batch(
     flow: str,
     batch_id: int,
     cluster_by: str | Sequence[str] | None = None,
-    max_deltas: int = 0,
-) -> bool:
-    """Merge one batch; False if this flow applied it before."""
+) -> None:
+    """Merge one batch; a replayed batch changes nothing."""
     with _locks[target]:
-        for attempt in range(ATTEMPTS):
-            manifest = load_manifest(spark, target)
-            if manifest is None:
-                raise ValueError(f"no merged table at {target}")
-            if manifest.applied.get(flow, -1) >= batch_id:
-                return False
-            snapshot = f"{quote(flow, safe='')}-{batch_id}-{attempt}"
-            merged = _write_merged(
-                spark, target, manifest, snapshot, batch, keys, sequence_by, cluster_by, max_deltas
-            )
-            merged.applied[flow] = batch_id
-            if _publish(spark, target, merged):
-                return True
-    raise RuntimeError(f"{target} kept changing while batch {batch_id} of {flow} was merged")
-
-
-def _due(manifest: Manifest, bucket: str, max_deltas: int) -> bool:
-    """Whether a touched bucket is rewritten rather than added to.
-
-    Buckets take turns, so that no batch has to rewrite all of them at once.
-    """
-    if bucket not in manifest.snapshots:
-        return False
-    if max_deltas == 0:
-        return True
-    turn = (manifest.version + int(bucket)) % max_deltas == 0
-    return turn or len(manifest.snapshots[bucket]) > max_deltas
+        bucket, count = _layout(spark, target)
+        if bucket in {c.lower() for c in batch.columns}:
+            raise ValueError(f"column name {bucket} is reserved in {target}")
+        targets.add_missing_columns(spark, target, batch.schema)
+        number = key_bucket(keys, count)
+        # At most ``count`` numbers, found without sorting or caching the batch.
+        touched = [row[0] for row in batch.select(number).distinct().collect()]
+        if not touched:
+            return
+        names = [c for c in spark.table(target).columns if c != bucket]
+        present = {c.lower() for c in batch.columns}
+        # One row per key before anything is shuffled by bucket: a bucket then grows
+        # with its keys, never with the versions of one hot key.
+        newest = latest_by_key(
+            batch, keys, sequence_by, tie_columns=[c for c in names if c.lower() in present]
+        )
+        current = spark.table(target).filter(F.col(bucket).isin(touched)).drop(bucket)
+        both = current.unionByName(newest, allowMissingColumns=True)
+        pieces = math.ceil(_estimated_bytes(current) / len(touched) / PIECE_BYTES) or 1
+        _replace(
+            spark, target, both.withColumn(bucket, number), bucket, touched, pieces,
+            keys, sequence_by, f"{quote(flow, safe='')}-{batch_id}", cluster_by,
+        )
 
 
-def _write_merged(
+def _replace(
     spark: SparkSession,
     target: str,
-    manifest: Manifest,
-    snapshot: str,
-    batch: DataFrame,
+    rows: DataFrame,
+    bucket: str,
+    numbers: Sequence[int],
+    pieces: int,
     keys: Keys,
     sequence_by: str | Column,
-    cluster_by: str | Sequence[str] | None = None,
-    max_deltas: int = 0,
-) -> Manifest:
-    """Write the touched buckets of a batch; returns the manifest that includes it."""
-    schema = evolved(manifest.row_type, batch.schema)
-    bucket = key_bucket(keys, manifest.num_buckets)
-    # At most ``num_buckets`` numbers, found without sorting or caching the batch.
-    touched = [str(row[0]) for row in batch.select(bucket).distinct().collect()]
-    due = [number for number in touched if _due(manifest, number, max_deltas)]
-    if touched:
-        # One row per key before anything is shuffled by bucket: a bucket then grows
-        # with its keys, never with the versions of one hot key.
-        newest = latest_by_key(batch, keys, sequence_by, tie_columns=_common(schema, batch))
-        both = _read_buckets(spark, target, manifest, due).unionByName(
-            newest, allowMissingColumns=True
-        )
-        # Buckets are both the shuffle key and the output folders, so the rank and
-        # the write need no further shuffle.
-        merged = latest_by_key(
-            both.withColumn(BUCKET, bucket).repartition(len(touched), BUCKET),
-            keys,
-            sequence_by,
-            within=[BUCKET],
-            tie_columns=schema.names,
-        )
-        sort_by = [BUCKET, *cluster_columns(cluster_by)]
-        (
-            (merged.sortWithinPartitions(*sort_by) if cluster_by else merged)
-            .write.mode("overwrite")
-            .partitionBy(BUCKET)
-            .parquet(f"{target}/data/{snapshot}")
-        )
-    kept = {number: manifest.snapshots.get(number, []) for number in set(touched) - set(due)}
-    parts = {number: [*kept.get(number, []), snapshot] for number in touched}
-    return replace(
-        manifest,
-        version=manifest.version + 1,
-        schema=schema.jsonValue(),
-        snapshots=manifest.snapshots | parts,
-        applied=dict(manifest.applied),
-        keys=list(keys) if all(isinstance(k, str) for k in keys) else None,
-        sequence_by=sequence_by if isinstance(sequence_by, str) else None,
-    )
-
+    label: str,
+    cluster_by: str | Sequence[str] | None,
+) -> None:
+    """Rank rows by key and make the outcome the content of their buckets."""
+    piece = unused_name(rows, "key_piece")
+    spread = rows.withColumn(
+        piece, F.pmod(F.hash(*[as_column(k) for k in keys]), F.lit(pieces))
+    ).repartition(len(numbers) * pieces, bucket, piece)
+    # The keys determine bucket and piece, so rank and write need no further shuffle.
+    merged = latest_by_key(
+        spread,
+        keys,
+        sequence_by,
+        within=[bucket, piece],
+        tie_columns=[c for c in rows.columns if c != bucket],
+    ).drop(piece)
+    if cluster_by:
+        merged = merged.sortWithinPartitions(bucket, *cluster_columns(cluster_by))
+    folder = f"{table_location(spark, target)}/{BATCHES_FOLDER}/{label}-{uuid.uuid4().hex[:8]}"
+    merged.write.partitionBy(bucket).parquet(folder)
+    known = {row[0] for row in spark.sql(f"SHOW PARTITIONS {target}").collect()}
+    for n in sorted(numbers):
+        place = targets.quoted(f"{folder}/{bucket}={n}")
+        if f"{bucket}={n}" in known:
+            spark.sql(f"ALTER TABLE {target} PARTITION (`{bucket}` = {n}) SET LOCATION {place}")
+        else:
+            spark.sql(f"ALTER TABLE {target} ADD PARTITION (`{bucket}` = {n}) LOCATION {place}")
+    spark.catalog.refreshTable(target)
+
+
+def rebucket(
+    spark: SparkSession,
+    target: str,
+    keys: Keys,
+    sequence_by: str | Column,
+    num_buckets: int,
+) -> None:
+    """Deal all rows of a merged table to another number of buckets.
 
-def _common(schema: StructType, batch: DataFrame) -> list[str]:
-    present = {name.lower() for name in batch.columns}
-    return [name for name in schema.names if name.lower() in present]
+    Run it while nothing reads or merges: buckets are switched one after another.
+    """
+    with _locks[target]:
+        bucket, before = _layout(spark, target)
+        # The filter lets Catalyst look at the partitions and so know their size.
+        current = spark.table(target).filter(F.col(bucket) >= 0).drop(bucket)
+        rows = current.withColumn(bucket, key_bucket(keys, num_buckets))
+        filled = [row[0] for row in rows.select(bucket).distinct().collect()]
+        if filled:
+            pieces = math.ceil(_estimated_bytes(rows) / len(filled) / PIECE_BYTES) or 1
+            _replace(
+                spark, target, rows, bucket, filled, pieces, keys, sequence_by,
+                f"rebucket-{num_buckets}", None,
+            )
+        for n in set(range(before)) - set(filled):
+            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION (`{bucket}` = {n})")
+        spark.sql(
+            f"ALTER TABLE {target} SET TBLPROPERTIES ('{COUNT_PROPERTY}' = '{num_buckets}')"
+        )
+        spark.catalog.refreshTable(target)
 
 
 def seed_target(
@@ -258,30 +219,28 @@ def seed_target(
     rows: DataFrame,
     keys: Keys,
     sequence_by: str | Column,
-    num_buckets: int = DEFAULT_BUCKETS,
+    num_buckets: int | None = None,
 ) -> None:
-    """Create a target that holds rows already."""
-    create_target(spark, target, rows.schema, num_buckets)
+    """Create a merged table that holds rows already."""
+    create_target(spark, target, rows.schema, num_buckets or buckets_for(_estimated_bytes(rows)))
     merge_batch(spark, target, rows, keys, sequence_by, SEED, 0)
 
 
-def expire_snapshots(spark: SparkSession, target: str, keep: int = 2) -> list[str]:
-    """Drop manifests but the last ``keep`` and the snapshots none of those names.
+def drop_stale(spark: SparkSession, target: str) -> list[str]:
+    """Delete the folders of batches no bucket points at any more.
 
-    Run it while no merge runs, and keep as many versions as readers may hold.
+    Run it while no merge runs and no reader holds an older state.
     """
     with _locks[target]:
-        names = sorted(storage.child_names(spark, f"{target}/manifests"))
-        versions = [name for name in names if name.endswith(".json")]
-        kept: set[str] = set()
-        for name in versions[-keep:]:
-            manifest = json.loads(storage.read_text(spark, f"{target}/manifests/{name}"))
-            kept |= {part for parts in manifest["snapshots"].values() for part in parts}
-        stale = [s for s in storage.child_names(spark, f"{target}/data") if s not in kept]
-        for name in versions[:-keep]:
-            storage.delete_folder(spark, f"{target}/manifests/{name}")
-        for snapshot in stale:
-            storage.delete_folder(spark, f"{target}/data/{snapshot}")
+        root = f"{table_location(spark, target)}/{BATCHES_FOLDER}"
+        used = {path.split(f"/{BATCHES_FOLDER}/", 1)[-1].split("/")[0] for path in spark.table(target).inputFiles()}
+        stale = [
+            name
+            for name in storage.child_names(spark, root)
+            if storage.as_url(spark, name) not in used and name not in used
+        ]
+        for name in stale:
+            storage.delete_folder(spark, f"{root}/{name}")
         return stale
 
 
@@ -298,37 +257,30 @@ def bootstrap_scd1_flow(
     comment: str | None = SILVER_COMMENT,
     *,
     catalog: str | None = None,
-    num_buckets: int = DEFAULT_BUCKETS,
-    max_deltas: int = 0,
-    keep_versions: int | None = None,
+    num_buckets: int | None = None,
+    location: str | None = None,
     options: Mapping[str, str] | None = None,
     trigger: Mapping[str, object] | None = SILVER_TRIGGER,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Stream a catalog table into a merged target folder.
+    """Stream a catalog table into a merged table.
 
-    Without ``create_target_table`` the target must exist and may hold rows. With
-    ``keep_versions`` older states are dropped as new ones are published; give it
-    only where one job merges into the target.
+    Without ``create_target_table`` the target must exist and may hold rows. The number
+    of buckets of a new one follows from the source's size unless given.
     """
     name = flows.qualified(schema_name, table_name, catalog)
-    alias = flows.FLOW_PREFIX + table_name
-    flow = alias + FLOW_SUFFIX
+    flow = flows.FLOW_PREFIX + table_name + FLOW_SUFFIX
     source = flows.stream_table(spark, name, skip_change_commits, options)
     if create_target_table:
-        create_target(spark, target, source.schema, num_buckets, cluster_by, comment)
-    elif load_manifest(spark, target) is None:
-        raise ValueError(f"no merged table at {target}")
+        count = num_buckets or buckets_for(
+            storage.folder_bytes(spark, table_location(spark, name))
+        )
+        create_target(spark, target, source.schema, count, cluster_by, comment, location)
+    _layout(spark, target)
+    state = targets.flow_state(table_location(spark, target), flow)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # Batches are numbered by the checkpoint, so its identity is part of the name.
-        run = f"{flow}@{flows.query_id(batch)}"
-        rows = source.rows(batch)
-        merge_batch(
-            spark, target, rows, keys, sequence_by, run, batch_id, cluster_by, max_deltas
-        )
-        if keep_versions:
-            expire_snapshots(spark, target, keep_versions)
+        for number, rows in source.slices(batch, batch_id, state):
+            merge_batch(spark, target, rows, keys, sequence_by, flow, number, cluster_by)
 
-    folder = checkpoint or f"{target}/_checkpoints/{flow}"
-    return flows.start_batches(spark, source.stream, merge, target, flow, trigger, folder)
+    return flows.start_batches(spark, source.stream, merge, target, flow, trigger, checkpoint)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
+from lakeops.operators.upsert import unused_name
 from lakeops.sources import storage
 from lakeops.sources.inventory import table_location
 
@@ -26,11 +27,11 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _altering: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _columns_ddl(fields: Sequence[StructField]) -> str:
+def columns_ddl(fields: Sequence[StructField]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
 
@@ -50,26 +51,47 @@ def create_table(
     comment: str | None = None,
     location: str | None = None,
 ) -> None:
-    """Create the table unless it exists; data already at its location is found again."""
+    """Create the table unless it exists; data already at its location is found again.
+
+    The names of the two bookkeeping columns are refused in ``schema``.
+    """
+    taken = {FLOW, BATCH} & {f.name.lower() for f in schema.fields}
+    if taken:
+        raise ValueError(f"column names {sorted(taken)} are reserved")
     if spark.catalog.tableExists(name):
         return
     dates = date_partition(schema, clustered)
     clauses = [
         f"CREATE TABLE IF NOT EXISTS {name} "
-        f"({_columns_ddl(schema.fields)}, {FLOW} STRING, {BATCH} BIGINT)",
+        f"({columns_ddl(schema.fields)}, {FLOW} STRING, {BATCH} BIGINT)",
         "USING parquet",
         f"PARTITIONED BY ({', '.join([FLOW, BATCH, *dates])})",
     ]
     if location:
-        clauses.append(f"LOCATION {_quoted(location)}")
+        clauses.append(f"LOCATION {quoted(location)}")
     if comment:
-        clauses.append(f"COMMENT {_quoted(comment)}")
+        clauses.append(f"COMMENT {quoted(comment)}")
     if properties:
-        pairs = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in properties.items())
+        pairs = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in properties.items())
         clauses.append(f"TBLPROPERTIES ({pairs})")
     spark.sql("\n".join(clauses))
-    if storage.child_names(spark, table_location(spark, name)):
-        spark.sql(f"MSCK REPAIR TABLE {name}")
+    _find_finished_batches(spark, name)
+
+
+def _find_finished_batches(spark: SparkSession, name: str) -> None:
+    """Make the batches below a new table's location visible, but no unfinished one."""
+    root = table_location(spark, name)
+    for flow in [n for n in storage.child_names(spark, root) if n.startswith(f"{FLOW}=")]:
+        for batch in storage.child_names(spark, f"{root}/{flow}"):
+            folder = f"{root}/{flow}/{batch}"
+            if batch.startswith(f"{BATCH}=") and storage.exists(spark, f"{folder}/_SUCCESS"):
+                label = unquote(flow.split("=", 1)[1])
+                _show_batch(spark, name, folder, label, int(batch.split("=", 1)[1]))
+
+
+def _show_batch(spark: SparkSession, name: str, folder: str, flow: str, batch_id: int) -> None:
+    specs = [f"PARTITION ({spec})" for spec in _partition_specs(spark, folder, flow, batch_id)]
+    spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
 
 
 def evolved(known: StructType, incoming: StructType) -> StructType:
@@ -89,7 +111,7 @@ def add_missing_columns(spark: SparkSession, name: str, schema: StructType) -> N
         known = spark.table(name).schema
         missing = evolved(known, schema).fields[len(known.fields) :]
         if missing:
-            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_columns_ddl(missing)})")
+            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns_ddl(missing)})")
 
 
 def clustered_layout(df: DataFrame, clustered: Sequence[str]) -> DataFrame:
@@ -104,21 +126,27 @@ def clustered_layout(df: DataFrame, clustered: Sequence[str]) -> DataFrame:
         return df
     if date_partition(df.schema, columns):
         return df.hint("rebalance", *columns)
+    position = unused_name(df, "row_position")
     return (
-        df.withColumn("row_position", F.monotonically_increasing_id())
-        .repartitionByRange(*columns, "row_position")
+        df.withColumn(position, F.monotonically_increasing_id())
+        .repartitionByRange(*columns, position)
         .sortWithinPartitions(*columns)
-        .drop("row_position")
+        .drop(position)
     )
 
 
+def flow_state(location: str, flow: str) -> str:
+    """Where a flow keeps what it must remember between batches."""
+    return f"{location}/_flows/{quote(flow, safe='')}"
+
+
 def claim_flow(spark: SparkSession, location: str, flow: str, query_id: str) -> None:
     """Tie a flow to its checkpoint.
 
     Batches are numbered by the checkpoint, so a flow started over with a new one
     would take its first batches for written and lose them. That is refused.
     """
-    path = f"{location}/_flows/{quote(flow, safe='')}"
+    path = flow_state(location, flow)
     if storage.publish_text(spark, path, query_id):
         return
     owner = storage.read_text(spark, path)
@@ -127,12 +155,12 @@ def claim_flow(spark: SparkSession, location: str, flow: str, query_id: str) ->
 
 
 def _partition_specs(spark: SparkSession, folder: str, flow: str, batch_id: int) -> list[str]:
-    batch = f"{FLOW} = {_quoted(flow)}, {BATCH} = {batch_id}"
+    batch = f"{FLOW} = {quoted(flow)}, {BATCH} = {batch_id}"
     inner = [n.split("=", 1) for n in storage.child_names(spark, folder) if "=" in n]
     if not inner:
         return [batch]
     return [
-        f"{batch}, `{column}` = {'NULL' if value == NULL_PARTITION else _quoted(unquote(value))}"
+        f"{batch}, `{column}` = {'NULL' if value == NULL_PARTITION else quoted(unquote(value))}"
         for column, value in inner
     ]
 
@@ -158,8 +186,7 @@ def append_batch(
     if not storage.exists(spark, f"{folder}/_SUCCESS"):
         arranged = batch if dates and one_date else clustered_layout(batch, clustered)
         arranged.write.mode("overwrite").partitionBy(*dates).parquet(folder)
-    specs = [f"PARTITION ({spec})" for spec in _partition_specs(spark, folder, flow, batch_id)]
-    spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
+    _show_batch(spark, name, folder, flow, batch_id)
     spark.catalog.refreshTable(name)
 
 

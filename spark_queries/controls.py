@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ control AS (
 
 
 def registered(spark: SparkSession, rows: DataFrame, **config: object) -> IngestionConfig:
-    name = new_work_dir(spark, "v").rsplit("-", 1)[1]
-    rows.createOrReplaceTempView(f"control_{name}")
-    return IngestionConfig(spark, config_table=f"control_{name}", **config)
+    view = f"control_{uuid.uuid4().hex[:12]}"
+    rows.createOrReplaceTempView(view)
+    return IngestionConfig(spark, schema_name="staging", config_table=view, **config)
 
 
 def control_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def control_env(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("table_name"),
         F.when(F.col("c_custkey") % 5 == 0, "Y").otherwise("N").alias("skip_table"),
     )
-    chosen = control.environment_filter("prd", defaults=segments)
+    chosen = control.environment_filter("prd", segments)
     return control.select_rows(rows, table_filter=chosen)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,27 +139,147 @@ def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CHECKPOINT_AT = 10
+
+
+def _checkpointed_log(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The log on disk with its first versions folded into a checkpoint in two parts.
+
+    Versions of all tables are made contiguous: a commit without actions is empty.
+    """
+    root = new_work_dir(spark, "log")
+    actions = inputs.actions(spark, sf_dir)
+    early = commit_log.live_files(actions.filter(F.col("version") <= CHECKPOINT_AT))
+    name = F.col("table_name")
+    kept = early.select(
+        name,
+        F.pmod(F.xxhash64("relative_path"), F.lit(2)).alias("part"),
+        F.struct(
+            F.col("relative_path").alias("path"),
+            F.col("size_in_bytes").alias("size"),
+            F.lit(True).alias("dataChange"),
+            F.lit(0).cast("bigint").alias("modificationTime"),
+        ).alias("add"),
+        F.lit(None).cast(inputs.ACTION_FIELDS[1]).alias("remove"),
+    )
+    kept.repartition(8, "table_name", "part").write.partitionBy("table_name", "part").parquet(
+        f"{root}/kept"
+    )
+    late = actions.filter(F.col("version") > CHECKPOINT_AT)
+    late.select(name, "version", "add", "remove").repartition(
+        8, "table_name", "version"
+    ).write.partitionBy("table_name", "version").json(f"{root}/late")
+    newest = late.agg(F.max("version")).first()[0]
+    locations = {}
+    for table in [d for d in storage.child_names(spark, f"{root}/kept") if "=" in d]:
+        location = f"{root}/{table}"
+        locations[table.split("=")[1]] = location
+        log = commit_log.log_folder(location)
+        moves = [
+            (f"{root}/kept/{table}/part={n}", f"{CHECKPOINT_AT:020d}.checkpoint.{n + 1:010d}.{2:010d}.parquet")
+            for n in (0, 1)
+        ]
+        moves += [
+            (f"{root}/late/{table}/version={v}", f"{v:020d}.json")
+            for v in range(CHECKPOINT_AT + 1, newest + 1)
+        ]
+        for folder, target in moves:
+            written = [n for n in storage.child_names(spark, folder) if n.startswith("part-")]
+            if written:
+                storage.rename(spark, f"{folder}/{written[0]}", f"{log}/{target}")
+            else:
+                storage.publish_text(spark, f"{log}/{target}", "{}")
+    return locations
+
+
+def live_files_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    locations = _checkpointed_log(spark, sf_dir)
+    files = diagnose.table_files(spark, locations, diagnose.LIVE)
+    return files.select("table_name", "relative_path", "size_in_bytes")
+
+
+def table_detail_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and bytes of checkpointed tables; a log with a gap gives an error."""
+    locations = _checkpointed_log(spark, sf_dir)
+    name, broken = sorted(locations.items())[0]
+    gap = f"{commit_log.log_folder(broken)}/{CHECKPOINT_AT + 3:020d}.json"
+    storage.delete_folder(spark, gap)
+    detail = diagnose.table_detail(spark, locations.values(), diagnose.LIVE)
+    return detail.select(
+        F.regexp_extract("table_name", "([^/=]+)$", 1).alias("table_name"),
+        "num_files",
+        "size_in_bytes",
+        F.col("error").contains(f"lacks commit {CHECKPOINT_AT + 3}").alias("lacks_commit"),
+    )
+
+
+def single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table's profile, found by its path."""
+    root = new_work_dir(spark, "log")
+    locations = write_commit_files(spark, inputs.actions(spark, sf_dir), root)
+    profile = diagnose.analyze_table(spark, locations["1-URGENT"])
+    return flat_stats(profile).drop("error").withColumn("table_name", F.lit("1-URGENT"))
+
+
+def configured_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the tables a control table lists, joined to its rows."""
+    root = new_work_dir(spark, "log")
+    locations = write_commit_files(spark, inputs.actions(spark, sf_dir), root)
+    rows = [(locations[n], n, "Y" if n.startswith("5") else "N") for n in sorted(locations)]
+    control = spark.createDataFrame(rows, "table_name STRING, label STRING, skip_table STRING")
+    chosen = control.filter("skip_table = 'N'")
+    analysed = diagnose.analyze_configured(spark, chosen)
+    joined = filestats.configured_statistics(control, analysed)
+    return joined.join(chosen, "table_name").select(
+        F.col("label").alias("table_name"), "num_files", "total_size_bytes"
+    )
+
+
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count of the files Spark wrote, one per order priority and customer piece."""
+    """Files and bytes of folders of Parquet, CSV and ORC, against what Spark wrote."""
     root = new_work_dir(spark, "files")
-    (
-        inputs.table(spark, sf_dir, "orders")
-        .withColumn("piece", F.col("o_custkey") % 16)
-        .repartition(spark.sparkContext.defaultParallelism, "o_orderpriority", "piece")
-        .write.partitionBy("o_orderpriority", "piece")
-        .parquet(root)
+    rows = inputs.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("priority"), (F.col("o_custkey") % 16).alias("piece")
     )
+    formats = ["parquet", "csv", "orc"]
+    for kind in formats:
+        rows.repartition(8, "priority", "piece").write.partitionBy("priority", "piece").format(
+            kind
+        ).save(f"{root}/{kind}")
     locations = {
-        d.split("=")[1]: f"{root}/{d}" for d in storage.child_names(spark, root) if "=" in d
+        f"{root}/{kind}/{d}": (kind, d.split("=")[1])
+        for kind in formats
+        for d in storage.child_names(spark, f"{root}/{kind}")
+        if "=" in d
     }
-    detail = diagnose.table_detail(spark, locations.values(), mode=diagnose.FILES)
-    return detail.select(
+    detail = diagnose.table_detail(spark, locations, mode=diagnose.FILES)
+    sizes = _sizes_on_disk(spark, locations)
+    return detail.join(sizes, "table_name").select(
+        F.element_at(F.split("table_name", "/"), -2).alias("format"),
         F.regexp_extract("table_name", "([^/=]+)$", 1).alias("table_name"),
         "num_files",
-        (F.col("size_in_bytes") > 0).alias("has_bytes"),
+        (F.col("size_in_bytes") == F.col("on_disk")).alias("all_bytes"),
     )
 
 
+def _sizes_on_disk(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
+    """Bytes of the data files of each folder, asked of the file system itself."""
+
+    def size(folder: str) -> int:
+        total = 0
+        for piece in storage.child_names(spark, folder):
+            for name in storage.child_names(spark, f"{folder}/{piece}"):
+                if not name.startswith(("_", ".")):
+                    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{piece}/{name}")
+                    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+                    total += system.getFileStatus(path).getLen()
+        return total
+
+    listed = list(folders)
+    pairs = list(zip(listed, storage.on_each(size, listed), strict=True))
+    return spark.createDataFrame(pairs, "table_name STRING, on_disk BIGINT")
+
+
 QUERIES = {
     "log_files": log_files,
     "log_roundtrip": log_roundtrip,
@@ -169,6 +291,10 @@ QUERIES = {
     "multi_table_stats": multi_table_stats,
     "stats_report": stats_report,
     "file_inventory": file_inventory,
+    "live_files_checkpointed": live_files_checkpointed,
+    "table_detail_checkpointed": table_detail_checkpointed,
+    "single_table": single_table,
+    "configured_stats": configured_stats,
 }
 
 FILE_COLUMNS = "table_name, version, path AS relative_path, size AS size_in_bytes"
@@ -204,7 +330,20 @@ SELECT table_name, metric, round(value, 2) AS value FROM (
   UNION ALL SELECT table_name, 'mean', stat_mean FROM stats
   UNION ALL SELECT table_name, 'stddev', stat_stddev FROM stats
   UNION ALL SELECT table_name, {BIN_SQL}, count(*)::DOUBLE FROM adds GROUP BY ALL)""",
-    "file_inventory": """SELECT o_orderpriority AS table_name,
-  count(DISTINCT o_custkey % 16) AS num_files, TRUE AS has_bytes
-FROM orders GROUP BY o_orderpriority""",
+    "file_inventory": """SELECT format, o_orderpriority AS table_name,
+  count(DISTINCT o_custkey % 16) AS num_files, TRUE AS all_bytes
+FROM orders, (VALUES ('parquet'), ('csv'), ('orc')) AS f(format) GROUP BY ALL""",
+    "live_files_checkpointed": f"""WITH {inputs.ACTIONS_SQL}
+SELECT table_name, path AS relative_path, size AS size_in_bytes FROM live""",
+    "table_detail_checkpointed": f"""WITH {inputs.ACTIONS_SQL}
+SELECT table_name, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS size_in_bytes,
+       CAST(NULL AS BOOLEAN) AS lacks_commit
+FROM live WHERE table_name <> (SELECT min(table_name) FROM live) GROUP BY table_name
+UNION ALL SELECT min(table_name), NULL, NULL, TRUE FROM live""",
+    "single_table": f"""WITH {inputs.ACTIONS_SQL}
+SELECT table_name, {TOTALS_SQL}, {DESCRIPTIVE_SQL} FROM adds
+WHERE table_name = '1-URGENT' GROUP BY table_name""",
+    "configured_stats": f"""WITH {inputs.ACTIONS_SQL}
+SELECT table_name, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS total_size_bytes
+FROM adds WHERE table_name NOT LIKE '5%' GROUP BY table_name""",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.operators.upsert import latest_by_key
 from lakeops.plans import ingest
 from lakeops.session import new_work_dir
+from lakeops.sources import commit_log, storage
 from lakeops.sources.control import IngestionConfig, read_name_list
 from lakeops.streaming import flows, landing, scd1, targets
 from spark_queries import inputs
@@ -117,7 +120,7 @@ def multi_flow_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passthrough_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A silver copy of every table on a name list."""
     space = Workspace(spark)
-    names = ["payments", "payments_inc"]
+    names = ["first_half", "second_half"]
     for half, name in enumerate(names):
         space.add_source(name, events(spark, sf_dir).filter(F.col("event_id") % 2 == half))
     listed = f"{space.root}/names"
@@ -155,18 +158,23 @@ def _merge(space: Workspace, source: str, batches: int = BATCHES, **merge: objec
         source,
         ["user_id"],
         F.struct(*SEQUENCE),
-        f"{space.root}/silver",
+        f"{space.target}.silver",
         options=space.in_batches(batches),
         trigger=flows.AVAILABLE_NOW,
         **merge,
     ).awaitTermination()
 
 
+def silver(space: Workspace) -> DataFrame:
+    """The merged table as SQL sees it, without its bucket."""
+    return space.spark.table(f"{space.target}.silver").drop("key_bucket")
+
+
 def scd1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark)
     space.add_source("events", events(spark, sf_dir), F.col("ts"))
     _merge(space, "events", create_target_table=True, num_buckets=8)
-    return scd1.read_target(spark, f"{space.root}/silver")
+    return silver(space)
 
 
 def scd1_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +185,7 @@ def scd1_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (rows.filter(~late), rows.filter(late), rows):
         space.add_source("events", part, F.col("ts").desc())
         _merge(space, "events", 2, create_target_table=True, num_buckets=8)
-    return scd1.read_target(spark, f"{space.root}/silver")
+    return silver(space)
 
 
 def scd1_prefilled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,19 +194,24 @@ def scd1_prefilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     sequence = F.struct(*SEQUENCE)
     scd1.seed_target(
-        spark, f"{space.root}/silver", rows.filter("event_id % 2 = 0"), ["user_id"], sequence, 8
+        spark, f"{space.target}.silver", rows.filter("event_id % 2 = 0"), ["user_id"], sequence, 8
     )
     space.add_source("events", rows.filter("event_id % 2 = 1"), F.col("ts"))
     _merge(space, "events")
-    return scd1.read_target(spark, f"{space.root}/silver")
+    return silver(space)
 
 
 def scd1_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches gathered beside their buckets and ranked on reading."""
+    """Many small batches, then other buckets, into a table whose columns look like ours."""
     space = Workspace(spark)
-    space.add_source("events", events(spark, sf_dir), F.col("ts"))
-    _merge(space, "events", create_target_table=True, num_buckets=8, max_deltas=4)
-    return scd1.read_target(spark, f"{space.root}/silver", ["user_id"], F.struct(*SEQUENCE))
+    named = events(spark, sf_dir).withColumns({"key_bucket": F.lit(7), "key_rank": F.col("value")})
+    space.add_source("events", named, F.col("ts"))
+    _merge(space, "events", 2 * BATCHES, create_target_table=True, num_buckets=3)
+    table = f"{space.target}.silver"
+    scd1.rebucket(spark, table, ["user_id"], F.struct(*SEQUENCE), 8)
+    scd1.drop_stale(spark, table)
+    rows = scd1.read_target(spark, table)
+    return rows.filter("key_bucket = 7 AND key_rank <=> value").select(*EVENT_COLUMNS)
 
 
 HINTS = "c_custkey BIGINT, c_acctbal DOUBLE"
@@ -289,7 +302,7 @@ def _controlled(space: Workspace, sf_dir: str) -> tuple[IngestionConfig, list[st
     )
     control.createOrReplaceTempView(f"control_{space.source}")
     config = IngestionConfig(
-        space.spark, "APP", space.source, config_table=f"control_{space.source}"
+        space.spark, "APP", schema_name=space.source, config_table=f"control_{space.source}"
     )
     return config, [kind for kind in kinds if kind != "error"]
 
@@ -305,20 +318,21 @@ def config_bronze_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per configured type a bronze copy and a silver table of each user's last event."""
     space = Workspace(spark)
     config, kinds = _controlled(space, sf_dir)
-    schema = events(spark, sf_dir).schema
-    for kind in kinds:
-        scd1.create_target(spark, f"{space.root}/{kind}", schema, num_buckets=4)
-    flows.await_all(
-        ingest.run_configured_tables(
-            config, space.target, space.root, silver_keys=["user_id"], sequence_by="event_id"
-        )
+    started = ingest.run_configured_tables(
+        config,
+        space.target,
+        silver_keys=["user_id"],
+        sequence_by="event_id",
+        silver_options={"create_target_table": True, "num_buckets": 4},
     )
+    failures = ingest.await_flows(spark, started).filter("error IS NOT NULL")
     bronze = [space.rows(f"{kind}_inc").withColumn("layer", F.lit("bronze")) for kind in kinds]
     silver = [
-        scd1.read_target(spark, f"{space.root}/{kind}").withColumn("layer", F.lit("silver"))
+        scd1.read_target(spark, f"{space.target}.{kind}").withColumn("layer", F.lit("silver"))
         for kind in kinds
     ]
-    return _all_rows([f.select("layer", *EVENT_COLUMNS) for f in bronze + silver])
+    rows = _all_rows([f.select("layer", *EVENT_COLUMNS) for f in bronze + silver])
+    return rows.join(failures, F.lit(True), "left_anti")
 
 
 def config_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,10 +342,167 @@ def config_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = events(spark, sf_dir).schema
     for kind in kinds:
         targets.create_table(spark, f"{space.target}.{kind}_inc", schema)
-    flows.await_all(ingest.run_incremental_tables(config, space.target))
+    ingest.await_flows(spark, ingest.run_incremental_tables(config, space.target))
     return _all_rows([space.rows(f"{kind}_inc").select(*EVENT_COLUMNS) for kind in kinds])
 
 
+def config_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each flow: one table is missing, one has no name, one comes twice."""
+    space = Workspace(spark)
+    config, kinds = _controlled(space, sf_dir)
+    faulty = spark.createDataFrame(
+        [("gone", "gone_inc"), ("nameless", None), ("twice", "same"), ("twice_more", "same")],
+        "table_name STRING, inc_table_name STRING",
+    ).select("*", F.lit("APP").alias("source_system"), F.lit("N").alias("skip_table"))
+    rows = spark.table(config.config_table).unionByName(faulty)
+    rows.createOrReplaceTempView(f"faulty_{space.source}")
+    config.config_table = f"faulty_{space.source}"
+    flows_done = ingest.await_flows(
+        spark, ingest.run_configured_tables(config, space.target, use_historic_silver=False)
+    )
+    counts = [
+        space.rows(f"{kind}_inc").agg(F.count("*").alias("rows")).select(
+            F.lit(f"{kind}_inc").alias("name"), "rows"
+        )
+        for kind in kinds
+    ]
+    reason = F.when(F.col("error").contains("no name"), "no name").when(
+        F.col("error").contains("registered 2 times"), "twice"
+    )
+    return flows_done.join(_all_rows(counts), F.col("source") == F.col("name"), "left").select(
+        "layer",
+        "source",
+        F.when(F.col("error").isNotNull(), F.coalesce(reason, F.lit("not found"))).alias("error"),
+        "rows",
+    )
+
+
+def environment_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze tables of an environment's list of tables, its flows really run."""
+    space = Workspace(spark)
+    config, _ = _controlled(space, sf_dir)
+    started = ingest.run_environment(
+        spark,
+        "test",
+        space.target,
+        {"TEST": ["view", "click"], "LIVE": ["purchase"]},
+        source_name="APP",
+        schema_name=space.source,
+        config_table=config.config_table,
+    )
+    done = ingest.await_flows(spark, started).filter("error IS NULL").select("source").collect()
+    return _all_rows(
+        [
+            space.rows(r.source).select(F.lit(r.source).alias("flow"), *EVENT_COLUMNS)
+            for r in done
+        ]
+    )
+
+
+def session_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control rows of the source that a session parameter names."""
+    space = Workspace(spark)
+    config, _ = _controlled(space, sf_dir)
+    spark.conf.set("source_name", "APP")
+    try:
+        named = IngestionConfig(spark, schema_name=space.source, config_table=config.config_table)
+        spark.conf.set("source_name", "NONE")
+        other = IngestionConfig(spark, schema_name=space.source, config_table=config.config_table)
+    finally:
+        spark.conf.unset("source_name")
+    return named.rows().select("table_name", "source_system").unionByName(
+        other.rows().select("table_name", "source_system")
+    )
+
+
+def table_properties_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties a bronze flow gives its table, beside the rows it copied."""
+    space = Workspace(spark)
+    dated = events(spark, sf_dir).withColumn("part_col", F.to_date("ts"))
+    space.add_source("events", dated)
+    table = f"{space.target}.events"
+    flows.bootstrap_bronze_flow(
+        spark, space.source, "events", table, properties={"steward": "nobody"}
+    ).awaitTermination()
+    wanted = ["quality", "steward", "delta.enableDeletionVectors", "delta.dataSkippingStatsColumns"]
+    found = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key").isin(wanted))
+    return found.crossJoin(F.broadcast(space.rows("events").agg(F.count("*").alias("rows"))))
+
+
+def landing_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many landed rows carry the name of a file that exists, by file type."""
+    space = Workspace(spark)
+    write_landing(spark, sf_dir, f"{space.root}/landed")
+    files = landing.CsvLanding(HINTS, f"{space.root}/landed")
+    landing.create_landing_table(spark, f"{space.target}.customer", files).awaitTermination()
+    listed = spark.read.format("binaryFile").load(f"{space.root}/landed").select(
+        F.element_at(F.split("path", "/"), -1).alias("name")
+    )
+    own = F.element_at(F.split("file_nm", "/"), -1)
+    return (
+        space.rows("customer")
+        .select("c_custkey", own.alias("name"))
+        .join(listed, "name")
+        .groupBy(F.element_at(F.split("name", r"\."), -1).alias("file_type"))
+        .agg(F.count("*").alias("rows"))
+    )
+
+
+def logged_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logged table with an update, appends, a compaction, strays and removed files.
+
+    Customers by parts of ten: part 0 was written by commit 0 and rewritten by commit 1,
+    whose old files are gone; 2 and 3 were appended before the flow began, 4 and 5 after.
+    """
+    space = Workspace(spark)
+    customers = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    part = F.col("c_custkey") % 10
+    root = f"{space.root}/logged"
+    known: set[str] = set()
+
+    def write(rows: DataFrame) -> list[str]:
+        rows.repartition(2).write.mode("append").parquet(root)
+        names = {n for n in storage.child_names(spark, root) if n.endswith(".parquet")}
+        new = sorted(names - known)
+        known.update(new)
+        return new
+
+    def commit(version: int, adds: list[str], removes: list[str] = (), change: bool = True) -> None:
+        lines = [{"add": {"path": p, "size": 1, "dataChange": change}} for p in adds]
+        lines += [{"remove": {"path": p, "dataChange": change}} for p in removes]
+        text = "\n".join(map(json.dumps, lines))
+        storage.publish_text(spark, f"{commit_log.log_folder(root)}/{version:020d}.json", text)
+
+    def run() -> None:
+        flows.bootstrap_bronze_flow(
+            spark, space.source, "logged", f"{space.target}.logged"
+        ).awaitTermination()
+
+    old = write(customers.filter(part == 0))
+    commit(0, old)
+    spark.catalog.createTable(
+        f"{space.source}.logged", path=root, source="parquet", schema=customers.schema
+    )
+    commit(1, write(customers.filter(part == 0).withColumn("c_name", F.upper("c_name"))), old)
+    for name in old:
+        storage.delete_folder(spark, f"{root}/{name}")
+    appended = [write(customers.filter(part == n)) for n in (2, 3)]
+    for n, files in enumerate(appended):
+        commit(2 + n, files)
+    run()
+    commit(4, write(customers.filter(part == 4)))
+    commit(5, write(customers.filter(part.isin(2, 3))), appended[0] + appended[1], change=False)
+    storage.publish_text(
+        spark, f"{commit_log.log_folder(root)}/{0:020d}.{5:020d}.compacted.json", '{"add":{"path":"x"}}'
+    )
+    run()
+    commit(6, write(customers.filter(part == 5)))
+    commit(7, write(customers.filter(part == 6)), write(customers.filter(part == 7)))
+    run()
+    run()
+    return space.rows("logged").select("c_custkey", "c_name")
+
+
 QUERIES = {
     "bronze_append": bronze_append,
     "bronze_clustered": bronze_clustered,
@@ -350,6 +521,12 @@ QUERIES = {
     "landing_append": landing_append,
     "config_bronze_silver": config_bronze_silver,
     "config_incremental": config_incremental,
+    "config_with_failures": config_with_failures,
+    "environment_pipeline": environment_pipeline,
+    "session_source": session_source,
+    "table_properties": table_properties_query,
+    "landing_lineage": landing_lineage,
+    "logged_append": logged_append,
 }
 
 COLUMNS_SQL = ", ".join(EVENT_COLUMNS)
@@ -376,7 +553,7 @@ ORACLES = {
     "multi_flow_append": """SELECT event_id, user_id, event_type, value,
   CAST(NULL AS VARCHAR) AS _rescued_data FROM events""",
     "passthrough_flows": f"""SELECT
-  CASE WHEN event_id % 2 = 0 THEN 'payments' ELSE 'payments_inc' END AS table_name, {COLUMNS_SQL}
+  CASE WHEN event_id % 2 = 0 THEN 'first_half' ELSE 'second_half' END AS table_name, {COLUMNS_SQL}
 FROM events""",
     "scd1_batch": LATEST,
     "scd1_ties": f"""{ALL_EVENTS} QUALIFY row_number() OVER (PARTITION BY event_type, user_id
@@ -401,4 +578,22 @@ UNION ALL
 SELECT 'silver', {COLUMNS_SQL} FROM events WHERE event_type <> 'error'
 QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1""",
     "config_incremental": f"{ALL_EVENTS} WHERE event_type <> 'error'",
+    "config_with_failures": """SELECT 'bronze' AS layer, event_type || '_inc' AS source,
+  CAST(NULL AS VARCHAR) AS error, count(*) AS "rows"
+FROM events WHERE event_type <> 'error' GROUP BY event_type
+UNION ALL SELECT * FROM (VALUES ('bronze', 'gone_inc', 'not found', NULL),
+  ('bronze', NULL, 'no name', NULL), ('bronze', 'same', 'twice', NULL),
+  ('bronze', 'same', 'twice', NULL))""",
+    "environment_pipeline": f"""SELECT event_type || '_inc' AS flow, {COLUMNS_SQL}
+FROM events WHERE event_type IN ('view', 'click')""",
+    "session_source": """SELECT DISTINCT event_type AS table_name, 'APP' AS source_system
+FROM events WHERE event_type <> 'error'""",
+    "table_properties": """SELECT key, value, "rows" FROM (VALUES ('quality', 'bronze'),
+  ('steward', 'nobody'), ('delta.enableDeletionVectors', 'true'),
+  ('delta.dataSkippingStatsColumns', 'part_col')) AS p(key, value),
+  (SELECT count(*) AS "rows" FROM events)""",
+    "landing_lineage": "SELECT 'csv' AS file_type, count(*) AS \"rows\" FROM customer",
+    "logged_append": """SELECT c_custkey,
+  CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) ELSE c_name END AS c_name
+FROM customer WHERE c_custkey % 10 IN (0, 2, 3, 4, 5)""",
 }

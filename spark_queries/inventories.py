@@ -14,6 +14,7 @@ from lakeops.operators.profile import (
     schema_counts,
 )
 from lakeops.session import new_work_dir
+from lakeops.sources import storage
 from lakeops.sources import workspaces as files
 from spark_queries import inputs
 
@@ -97,6 +98,27 @@ def workspace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_raw_pages(spark, path)
 
 
+def workspace_pages_unpositioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without positions, in page files named by a date and a number."""
+    path = new_work_dir(spark, "pages")
+    page = F.floor(F.col("pos") / 40).cast("string")
+    pages = (
+        raw_records(spark, sf_dir)
+        .groupBy(page.alias("page"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", *files.RAW_FIELDS))).alias("records"))
+        .select(
+            "page", F.to_json(F.transform("records", lambda r: r.dropFields("pos"))).alias("value")
+        )
+    )
+    pages.repartition("page").write.partitionBy("page").text(path)
+    for folder in [n for n in storage.child_names(spark, path) if n.startswith("page=")]:
+        for name in storage.child_names(spark, f"{path}/{folder}"):
+            if name.endswith(".txt"):
+                target = f"{path}/pages/2026-12-01_page{folder.split('=')[1]}.json"
+                storage.rename(spark, f"{path}/{folder}/{name}", target)
+    return files.read_raw_pages(spark, f"{path}/pages")
+
+
 def workspace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read back from the JSON export joined to those of the CSV export."""
     root = new_work_dir(spark, "export")
@@ -129,13 +151,10 @@ def hierarchy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested form, its arrays as text."""
-    nested = hierarchy.group_workspaces(records(spark, sf_dir), chunk=100)
-    named = F.transform("workspaces", lambda w: F.concat_ws(":", w["pos"], w["name"], w["id"]))
-    return nested.select("resource_group", "chunk_no", F.array_join(named, "|").alias("workspaces"))
+    return hierarchy.group_workspaces(records(spark, sf_dir))
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> Inventory:
+def inventory(spark: SparkSession, sf_dir: str, shared: str = "s_acctbal > 1e9") -> Inventory:
     customers = inputs.table(spark, sf_dir, "customer")
     suppliers = inputs.table(spark, sf_dir, "supplier")
     regions = inputs.table(spark, sf_dir, "region")
@@ -166,7 +185,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> Inventory:
             F.col("s_name").alias("name"),
             (F.col("s_suppkey") % 2 == 0).alias("enable_serverless_compute"),
         ),
-        shares=suppliers.filter("s_acctbal > 1e9").select(F.col("s_name").alias("name")),
+        shares=suppliers.filter(shared).select(F.col("s_name").alias("name")),
         experiments=inputs.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")),
     )
 
@@ -197,6 +216,7 @@ QUERIES = {
     "workspace_search": workspace_search,
     "workspace_match_count": workspace_match_count,
     "workspace_pages": workspace_pages,
+    "workspace_pages_unpositioned": workspace_pages_unpositioned,
     "workspace_export": workspace_export,
     "hierarchy_nodes": hierarchy_nodes,
     "hierarchy_edges": hierarchy_edges,
@@ -262,6 +282,9 @@ FROM raw WHERE contains(name, '7')""",
 SELECT count(*) AS match_count FROM raw WHERE contains(name, '7')""",
     "workspace_pages": f"""WITH {RAW_SQL}
 SELECT name, id, location, workspaceUrl, subscriptionId, resourceGroup, pos FROM raw""",
+    "workspace_pages_unpositioned": f"""WITH {RAW_SQL}
+SELECT name, id, location, workspaceUrl, subscriptionId, resourceGroup,
+       row_number() OVER (ORDER BY pos) - 1 AS pos FROM raw""",
     "workspace_export": f"""WITH {RAW_SQL}
 SELECT {RECORDS}, pos, workspace_id AS csv_id FROM records""",
     "hierarchy_nodes": f"""WITH {RAW_SQL}
@@ -293,10 +316,7 @@ SELECT 'workspace', {SUB_RG_ID}, {WS_ID}, pos FROM records""",
     "hierarchy_groups": f"""WITH {RAW_SQL}
 SELECT resource_group, subscription_id, pos, workspace_count FROM owners""",
     "hierarchy_members": f"""WITH {RAW_SQL}
-SELECT resource_group, pos // 100 AS chunk_no,
-       string_agg(pos || ':' || workspace_name || ':' || workspace_id, '|' ORDER BY pos)
-         AS workspaces
-FROM records GROUP BY ALL""",
+SELECT resource_group, pos, workspace_name AS name, workspace_id AS id FROM records""",
     "inventory_profile": f"WITH {PROFILE_SQL} SELECT * FROM profile",
     "inventory_metrics": f"WITH {PROFILE_SQL} "
     + " UNION ALL ".join(

@@ -61,20 +61,21 @@ def test_table_list_marks_incremental_names(rows):
 
 
 def test_environment_filter():
-    assert control.environment_filter("dev") == control.ENVIRONMENT_TABLES["DEV"]
-    assert control.environment_filter("PRD") == control.ENVIRONMENT_TABLES["PRD"]
-    assert control.environment_filter("test") is None
-    assert control.environment_filter("dev", ["X"]) == ["X"]
+    tables = {"dev": ["A"], "PRD": ("B", "C")}
+    assert control.environment_filter("DEV", tables) == ["A"]
+    assert control.environment_filter("prd", tables) == ["B", "C"]
+    assert control.environment_filter("test", tables) is None
+    assert control.environment_filter("dev", tables, ["X"]) == ["X"]
 
 
 def test_source_name_comes_from_the_session(spark, rows):
     rows.createOrReplaceTempView("control_conf")
-    assert IngestionConfig(spark, config_table="control_conf").source_name is None
+    assert IngestionConfig(spark, schema_name="s", config_table="control_conf").source_name is None
     spark.conf.set("source_name", "S2")
     try:
-        config = IngestionConfig(spark, config_table="control_conf")
+        config = IngestionConfig(spark, schema_name="s", config_table="control_conf")
         assert names(config.rows()) == ["C"]
-        assert IngestionConfig(spark, "S1", config_table="control_conf").source_name == "S1"
+        assert IngestionConfig(spark, "S1", schema_name="s", config_table="control_conf").source_name == "S1"
     finally:
         spark.conf.unset("source_name")
 
@@ -87,8 +88,8 @@ def test_name_list_is_not_trimmed_unless_asked(spark):
 
 def test_name_list_file_with_byte_order_mark(spark, work):
     with open(f"{work}/names.csv", "wb") as out:
-        out.write(b"\xef\xbb\xbftable_name\npayments\npayments_inc\n")
-    assert names(read_name_list(spark, f"{work}/names.csv")) == ["payments", "payments_inc"]
+        out.write(b"\xef\xbb\xbftable_name\nfirst_half\nsecond_half\n")
+    assert names(read_name_list(spark, f"{work}/names.csv")) == ["first_half", "second_half"]
 
 
 def test_cluster_columns_and_properties():
@@ -108,12 +109,47 @@ def test_cluster_columns_and_properties():
 def test_flow_names_must_be_unique(spark):
     with pytest.raises(ValueError, match="registered twice: A"):
         flows.distinct_names(["A", "B", "A"])
-    twice = spark.createDataFrame([("A", "X", "S", "N"), ("B", "X", "S", "N")], COLUMNS)
-    twice.createOrReplaceTempView("control_twice")
-    with pytest.raises(ValueError, match="registered twice: X"):
-        ingest.run_configured_tables(IngestionConfig(spark, config_table="control_twice"), "t")
+
+
+def test_faulty_names_do_not_stop_a_run(spark):
+    rows = [("A", "X", "S", "N"), ("B", "X", "S", "N"), ("C", None, "S", "N"), ("D", None, "S", "N")]
+    spark.createDataFrame(rows, COLUMNS).createOrReplaceTempView("control_faulty")
+    config = IngestionConfig(spark, schema_name="no_schema", config_table="control_faulty")
+    done = ingest.await_flows(spark, ingest.run_configured_tables(config, "t")).collect()
+    assert [r.error for r in done] == [
+        *["t.X is registered 2 times"] * 2, *["the control table gives no name"] * 2,
+    ]
+    missing = ingest.run_configured_tables(config, "t", null_fallback=True, table_filter=["C"])
+    assert "not be found" in ingest.await_flows(spark, missing).first().error
+
+
+def test_the_next_flow_starts_when_any_has_ended(monkeypatch):
+    class Query:
+        def __init__(self, looks):
+            self.looks = looks
+
+        @property
+        def isActive(self):
+            self.looks -= 1
+            return self.looks > 0
+
+    monkeypatch.setattr(ingest, "ACTIVE_FLOWS", 2)
+    monkeypatch.setattr(ingest, "POLL_SECONDS", 0)
+    planned = [ingest.Flow("bronze", str(i), str(i)) for i in range(5)]
+
+    def start(flow):
+        if flow.source == "3":
+            raise ValueError("bad")
+        return Query(10**9 if flow.source == "0" else 3)
+
+    started = ingest._start_all(planned, start, flows.AVAILABLE_NOW)
+    assert [f.error for f in started] == [None, None, None, "bad", None]
 
 
 def test_environment_run_selects_its_tables(spark):
     spark.createDataFrame([("OTHER", "X", "S", "N")], COLUMNS).createOrReplaceTempView("control_env")
-    assert ingest.run_environment(spark, "DEV", "t", config_table="control_env") == []
+    config = {"schema_name": "s", "config_table": "control_env"}
+    assert ingest.run_environment(spark, "DEV", "t", {"DEV": ["ITEM"]}, **config) == []
+    started = ingest.run_environment(spark, "DEV", "t", {"DEV": ["OTHER"]}, **config)
+    assert [(f.layer, f.source, f.target) for f in started] == [("bronze", "X", "t.X")]
+    assert started[0].error

@@ -19,10 +19,10 @@ def remove(path, data_change=True):
     return {"remove": {"path": path, "dataChange": data_change, "deletionTimestamp": 0}}
 
 
-def write_log(folder, *commits):
+def write_log(folder, *commits, first=0):
     log = os.path.join(folder, "_delta_log")
     os.makedirs(log, exist_ok=True)
-    for version, commit in enumerate(commits):
+    for version, commit in enumerate(commits, first):
         with open(os.path.join(log, f"{version:020d}.json"), "w") as out:
             out.writelines(json.dumps(action) + "\n" for action in commit)
     return folder
@@ -229,3 +229,35 @@ def test_modes_share_one_shape(spark, work, mode):
     write_log(f"{work}/t", [add("a", 3)])
     columns = diagnose.analyze_table(spark, f"{work}/t", mode).columns
     assert columns[0] == "table_name" and columns[-1] == "error"
+
+
+def test_live_files_come_from_checkpoints_too(spark, work):
+    log = f"{work}/_delta_log"
+    write_log(work, [add("late", 5)], [remove("old1")], first=11)
+    held = [(f"old{i}", 10) for i in range(11)]
+    rows = spark.createDataFrame(held, "path STRING, size BIGINT").selectExpr(
+        "named_struct('path', path, 'size', size, 'dataChange', true, 'modificationTime', 0L) AS add",
+        "CAST(NULL AS STRUCT<path: STRING, dataChange: BOOLEAN, deletionTimestamp: BIGINT>) AS remove",
+    )
+    rows.coalesce(1).write.parquet(f"{work}/held")
+    part = next(n for n in os.listdir(f"{work}/held") if n.endswith(".parquet"))
+    os.rename(f"{work}/held/{part}", f"{log}/{10:020d}.checkpoint.parquet")
+    with open(f"{log}/{12:020d}.checkpoint.{1:010d}.{2:010d}.parquet", "w"):
+        pass  # one part of two: not complete
+    row = diagnose.table_detail(spark, [work], diagnose.LIVE).first()
+    assert (row.num_files, row.size_in_bytes, row.error) == (11, 105, None)
+    os.remove(f"{log}/{11:020d}.json")
+    row = diagnose.table_detail(spark, [work], diagnose.LIVE).first()
+    assert row.num_files is None and "lacks commit 11" in row.error
+
+
+@pytest.mark.parametrize("kind", ["orc", "json", "csv"])
+def test_files_of_every_format_count(spark, work, kind):
+    spark.range(20).repartition(3).write.format(kind).save(f"{work}/t")
+    os.makedirs(f"{work}/t/_hidden")
+    with open(f"{work}/t/_hidden/x", "w") as out:
+        out.write("x")
+    row = diagnose.table_detail(spark, [f"{work}/t"], diagnose.FILES).first()
+    on_disk = [n for n in os.listdir(f"{work}/t") if n.startswith("part-")]
+    assert row.num_files == len(on_disk) == 3
+    assert row.size_in_bytes == sum(os.path.getsize(f"{work}/t/{n}") for n in on_disk)

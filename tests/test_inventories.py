@@ -122,10 +122,27 @@ def test_nodes_and_first_tenant(records):
     assert hierarchy.nodes(records.limit(0)).count() == 0
 
 
-def test_members_come_in_order_and_in_bounded_rows(records):
-    chunks = hierarchy.group_workspaces(records, chunk=3).filter("resource_group = 'rg'")
-    found = {r.chunk_no: [(w["name"], w["id"]) for w in r.workspaces] for r in chunks.collect()}
-    assert found == {0: [("w.a", "1"), ("w.b", "2")], 1: [("w.d", "4")]}
+def test_members_come_in_order(records):
+    members = hierarchy.group_workspaces(records).filter("resource_group = 'rg'").orderBy("pos")
+    assert [(r.name, r.id) for r in members.collect()] == [("w.a", "1"), ("w.b", "2"), ("w.d", "4")]
+
+
+def test_positions_follow_page_numbers_and_names(spark, work):
+    import json
+
+    pages = {
+        "workspaces_20261201192148.json": ["p", "q"],
+        "2026-12-01_page2.json": ["c"],
+        "2026-12-01_page10.json": ["d", "e"],
+        "2026-12-02_page2.json": ["c2"],
+        "plain.json": ["a"],
+    }
+    for name, records in pages.items():
+        with open(f"{work}/{name}", "w") as out:
+            json.dump([{"name": r} for r in records], out)
+    found = files.read_raw_pages(spark, work).orderBy("pos").collect()
+    assert [r.name for r in found] == ["a", "c", "c2", "d", "e", "p", "q"]
+    assert [r.pos for r in found] == list(range(7))
 
 
 def inventory(spark, catalogs=(), schemas=(), groups=(), warehouses=(), shares=()):

@@ -122,10 +122,10 @@ def test_column_of_another_type_is_refused(spark, work, space):
     query = flows.bootstrap_incremental_flow(spark, space, "b", f"{space}.tgt", flow="second")
     with pytest.raises(StreamingQueryException, match="column id is bigint, not string"):
         query.awaitTermination()
-    scd1.create_target(spark, f"{work}/silver", spark.range(1).schema, 2)
+    scd1.create_target(spark, f"{space}.silver", spark.range(1).schema, 2)
     with pytest.raises(ValueError, match="column id is bigint"):
         text = spark.table(f"{space}.b")
-        scd1.merge_batch(spark, f"{work}/silver", text, ["id"], "id", "f", 0)
+        scd1.merge_batch(spark, f"{space}.silver", text, ["id"], "id", "f", 0)
 
 
 def test_dates_are_rebalanced_and_constants_not_shuffled(spark):
@@ -135,7 +135,8 @@ def test_dates_are_rebalanced_and_constants_not_shuffled(spark):
     assert "Exchange" not in targets.clustered_layout(dated, [])._jdf.queryExecution().toString()
 
 
-def logged_table(spark, work, space, *, removing):
+def logged_table(spark, work, space, *, removing, skip=True):
+    """A logged table whose flow has begun at its first commit; two more follow."""
     path = f"{work}/logged"
     for n in range(3):
         spark.range(n * 10, n * 10 + 10).coalesce(1).write.mode("append").parquet(path)
@@ -147,8 +148,13 @@ def logged_table(spark, work, space, *, removing):
     )
     commits = [[add(files[0])], [add(files[1])]]
     commits.append([add(files[2]), remove(files[0])] if removing else [add(files[2])])
-    write_log(path, *commits)
+    write_log(path, commits[0])
     spark.catalog.createTable(f"{space}.logged", path=path, source="parquet")
+    flows.bootstrap_bronze_flow(
+        spark, space, "logged", f"{space}.tgt", skip_change_commits=skip
+    ).awaitTermination()
+    assert ids(targets.read_table(spark, f"{space}.tgt")) == list(range(10))
+    write_log(path, *commits[1:], first=1)
     return path
 
 
@@ -161,7 +167,7 @@ def test_commits_that_remove_data_are_skipped(spark, work, space):
 
 
 def test_without_skipping_they_are_refused(spark, work, space):
-    logged_table(spark, work, space, removing=True)
+    logged_table(spark, work, space, removing=True, skip=False)
     query = flows.bootstrap_bronze_flow(
         spark, space, "logged", f"{space}.tgt", skip_change_commits=False
     )
@@ -170,7 +176,7 @@ def test_without_skipping_they_are_refused(spark, work, space):
 
 
 def test_compaction_commits_add_no_rows(spark, work, space):
-    path = logged_table(spark, work, space, removing=False)
+    path = logged_table(spark, work, space, removing=False, skip=False)
     write_log_at = f"{path}/_delta_log/{3:020d}.json"
     import json
 
@@ -185,7 +191,7 @@ def test_compaction_commits_add_no_rows(spark, work, space):
 
 def test_streamed_upsert_survives_restart_and_order(spark, work, space):
     rows = spark.range(200).selectExpr("id % 10 AS k", "id AS seq", "CAST(id AS STRING) AS v")
-    target = f"{work}/silver"
+    target = f"{space}.silver"
     for part in (rows.filter("seq >= 100"), rows.filter("seq < 100"), rows):
         make_source(spark, work, space, "src", part.repartition(4))
         scd1.bootstrap_scd1_flow(
@@ -199,7 +205,7 @@ def test_streamed_upsert_survives_restart_and_order(spark, work, space):
 def test_upsert_needs_its_target(spark, work, space):
     make_source(spark, work, space, "src", spark.range(1))
     with pytest.raises(ValueError, match="no merged table"):
-        scd1.bootstrap_scd1_flow(spark, space, "src", ["id"], "id", f"{work}/none")
+        scd1.bootstrap_scd1_flow(spark, space, "src", ["id"], "id", f"{space}.none")
 
 
 def test_table_dropped_after_flows_ran_is_found_again(spark, work, space):
@@ -227,11 +233,11 @@ def test_landing_to_bronze_to_silver(spark, work, space):
             out.write(text)
         landing.create_landing_table(spark, f"{space}.raw", files).awaitTermination()
         scd1.bootstrap_scd1_flow(
-            spark, space, "raw", ["id"], "sort_struct", f"{work}/silver",
-            create_target_table=True, num_buckets=2, max_deltas=3, keep_versions=2,
+            spark, space, "raw", ["id"], "sort_struct", f"{space}.silver",
+            create_target_table=True, num_buckets=2,
             trigger=flows.AVAILABLE_NOW,
         ).awaitTermination()
-    merged = scd1.read_target(spark, f"{work}/silver")
+    merged = scd1.read_target(spark, f"{space}.silver")
     assert sorted((r.id, r.v, r.note) for r in merged.collect()) == [(1, 3, "x"), (2, 5, None)]
 
 
@@ -271,3 +277,58 @@ def test_partitioned_logged_table_keeps_its_partition_column(spark, work, space)
     flows.bootstrap_bronze_flow(spark, space, "parted", f"{space}.tgt").awaitTermination()
     found = {(r.id, r.k) for r in targets.read_table(spark, f"{space}.tgt").collect()}
     assert found == {(n, n % 2) for n in range(10)}
+
+
+def test_logged_table_begins_with_its_live_files(spark, work, space):
+    """Rows removed before are not copied, files vacuumed do not matter, nothing doubles."""
+    import os
+
+    path = f"{work}/live"
+    names = []
+    for first in (0, 100, 200):
+        spark.range(first, first + 5).coalesce(1).write.mode("append").parquet(path)
+        names += sorted({n for n in os.listdir(path) if n.endswith(".parquet")} - set(names))
+    write_log(path, [add(names[0])], [remove(names[0]), add(names[1])])
+    os.remove(f"{path}/{names[0]}")
+    with open(f"{path}/_delta_log/{0:020d}.{1:020d}.compacted.json", "w") as out:
+        out.write('{"add": {"path": "%s", "size": 1, "dataChange": true}}' % names[1])
+    spark.catalog.createTable(f"{space}.live", path=path, source="parquet", schema=spark.range(1).schema)
+
+    def run():
+        flows.bootstrap_bronze_flow(spark, space, "live", f"{space}.tgt").awaitTermination()
+        return ids(targets.read_table(spark, f"{space}.tgt"))
+
+    assert run() == list(range(100, 105))
+    assert run() == list(range(100, 105))
+    write_log(path, [add(names[2])], first=2)
+    assert run() == [*range(100, 105), *range(200, 205)]
+
+
+def test_logged_files_are_read_in_slices(spark, work, space, monkeypatch):
+    import os
+
+    monkeypatch.setattr(flows, "FILES_PER_SLICE", 3)
+    path = f"{work}/sliced"
+    spark.range(40).repartition(10).write.parquet(path)
+    names = sorted(n for n in os.listdir(path) if n.endswith(".parquet"))
+    write_log(path, [add(n) for n in names])
+    spark.catalog.createTable(f"{space}.sliced", path=path, source="parquet", schema=spark.range(1).schema)
+    flows.bootstrap_bronze_flow(spark, space, "sliced", f"{space}.tgt").awaitTermination()
+    assert ids(targets.read_table(spark, f"{space}.tgt")) == list(range(40))
+    assert spark.table(f"{space}.tgt").select(targets.BATCH).distinct().count() > 1
+
+
+def test_an_unfinished_batch_stays_hidden(spark, work, space):
+    import os
+
+    make_source(spark, work, space, "src", spark.range(6))
+    kept = {"location": f"{work}/kept"}
+    flows.bootstrap_bronze_flow(spark, space, "src", f"{space}.tgt", **kept).awaitTermination()
+    unfinished = f"{work}/kept/{targets.FLOW}=other/{targets.BATCH}=0"
+    spark.range(3).write.parquet(unfinished)
+    os.remove(f"{unfinished}/_SUCCESS")
+    spark.sql(f"DROP TABLE {space}.tgt")
+    flows.bootstrap_bronze_flow(spark, space, "src", f"{space}.tgt", **kept).awaitTermination()
+    assert ids(targets.read_table(spark, f"{space}.tgt")) == list(range(6))
+    with pytest.raises(ValueError, match="reserved"):
+        targets.create_table(spark, f"{space}.bad", spark.range(1).withColumnRenamed("id", targets.FLOW).schema)

@@ -1,12 +1,12 @@
 """Contract of the type-1 upsert, batch core and merged target."""
 
 import itertools
+import uuid
 
 import pyspark.sql.functions as F
 import pytest
 
-from lakeops.operators.upsert import key_bucket, latest_by_key
-from lakeops.sources import storage
+from lakeops.operators.upsert import latest_by_key
 from lakeops.streaming import scd1
 
 SCHEMA = "k STRING, seq INT, a STRING, b INT"
@@ -25,14 +25,19 @@ def target_rows(spark, target):
     return rows(scd1.read_target(spark, target).select("k", "seq", "a", "b"))
 
 
-def merge(spark, target, batch, flow="f", batch_id=0):
-    return scd1.merge_batch(spark, target, batch, ["k"], "seq", flow, batch_id)
+def merge(spark, target, batch, batch_id=0):
+    scd1.merge_batch(spark, target, batch, ["k"], "seq", "f", batch_id)
 
 
 @pytest.fixture
 def target(spark, work):
-    scd1.create_target(spark, f"{work}/t", frame(spark).schema, num_buckets=4)
-    return f"{work}/t"
+    return new_target(spark, work, 4)
+
+
+def new_target(spark, work, buckets):
+    name = f"merged_{uuid.uuid4().hex[:10]}"
+    scd1.create_target(spark, name, frame(spark).schema, buckets, location=f"{work}/{name}")
+    return name
 
 
 def test_newest_whole_row_wins(spark):
@@ -71,8 +76,8 @@ def test_losing_rows_go_before_the_shuffle(spark):
 
 
 def test_late_row_changes_nothing(spark, target):
-    merge(spark, target, frame(spark, NEW), batch_id=0)
-    merge(spark, target, frame(spark, OLD), batch_id=1)
+    merge(spark, target, frame(spark, NEW))
+    merge(spark, target, frame(spark, OLD), 1)
     assert target_rows(spark, target) == [NEW]
 
 
@@ -83,94 +88,113 @@ def test_any_batch_order_gives_the_same_table(spark, work):
         [("y", 1, "b", 0), ("x", 2, None, 7)],
     ]
     results = set()
-    for n, order in enumerate(itertools.permutations(batches)):
-        scd1.create_target(spark, f"{work}/{n}", frame(spark).schema, num_buckets=2)
+    for order in itertools.permutations(batches):
+        target = new_target(spark, work, 2)
         for i, batch in enumerate(order):
-            merge(spark, f"{work}/{n}", frame(spark, *batch), batch_id=i)
-        results.add(repr(target_rows(spark, f"{work}/{n}")))
+            merge(spark, target, frame(spark, *batch), i)
+        results.add(repr(target_rows(spark, target)))
     assert len(results) == 1
 
 
-def test_applied_batch_is_skipped_and_merging_twice_is_merging_once(spark, target):
-    assert merge(spark, target, frame(spark, NEW))
-    assert not merge(spark, target, frame(spark, ("z", 1, "lost", 1)))
-    merge(spark, target, frame(spark, NEW), flow="again")
-    assert target_rows(spark, target) == [NEW]
+def test_a_batch_that_failed_half_way_is_merged_again(spark, target, monkeypatch):
+    old = [(str(i), 1, "old", i) for i in range(20)]
+    new = [(str(i), 2, "new", i) for i in range(20)]
+    merge(spark, target, frame(spark, *old))
+    real, seen = type(spark).sql, []
 
+    def failing(self, query, *more, **args):
+        if "SET LOCATION" in query:
+            seen.append(query)
+            if len(seen) == 3:
+                raise OSError("lost")
+        return real(self, query, *more, **args)
 
-def test_unpublished_snapshot_is_overwritten_by_the_replay(spark, target, monkeypatch):
-    merge(spark, target, frame(spark, OLD), batch_id=0)
     with monkeypatch.context() as patch:
-        patch.setattr(scd1, "_publish", lambda *args: (_ for _ in ()).throw(OSError("lost")))
+        patch.setattr(type(spark), "sql", failing)
         with pytest.raises(OSError):
-            merge(spark, target, frame(spark, NEW), batch_id=1)
-    assert target_rows(spark, target) == [OLD]
-    assert merge(spark, target, frame(spark, NEW), batch_id=1)
-    assert target_rows(spark, target) == [NEW]
-
-
-def test_merge_starts_over_when_another_published_first(spark, target, monkeypatch):
-    real, calls = scd1._publish, []
-
-    def racing(session, folder, manifest):
-        if not calls:
-            calls.append(1)
-            rival = scd1._write_merged(
-                session, folder, scd1.load_manifest(session, folder), "rival",
-                frame(session, ("r", 1, "rival", 1)), ["k"], "seq",
-            )
-            real(session, folder, rival)
-        return real(session, folder, manifest)
-
-    monkeypatch.setattr(scd1, "_publish", racing)
-    merge(spark, target, frame(spark, NEW))
-    assert target_rows(spark, target) == [("r", 1, "rival", 1), NEW]
+            merge(spark, target, frame(spark, *new), 1)
+    assert scd1.read_target(spark, target).count() == 20
+    merge(spark, target, frame(spark, *new), 1)
+    assert target_rows(spark, target) == sorted(new, key=repr)
 
 
-def test_seeded_target_keeps_its_rows(spark, work):
-    scd1.seed_target(spark, f"{work}/s", frame(spark, NEW, ("y", 1, "k", 1)), ["k"], "seq", 4)
-    merge(spark, f"{work}/s", frame(spark, OLD, ("y", 2, "k2", 2)))
-    assert target_rows(spark, f"{work}/s") == [NEW, ("y", 2, "k2", 2)]
+def test_seeded_target_keeps_its_rows(spark):
+    name = f"seeded_{uuid.uuid4().hex[:10]}"
+    scd1.seed_target(spark, name, frame(spark, NEW, ("y", 1, "k", 1)), ["k"], "seq", 4)
+    merge(spark, name, frame(spark, OLD, ("y", 2, "k2", 2)))
+    assert target_rows(spark, name) == [NEW, ("y", 2, "k2", 2)]
+    assert spark.table(name).count() == 2
 
 
 def test_new_columns_are_added_and_old_rows_read_null(spark, target):
-    merge(spark, target, frame(spark, OLD, ("y", 1, "k", 1)), batch_id=0)
-    wider = frame(spark, NEW).withColumn("extra", F.lit("e"))
-    merge(spark, target, wider, batch_id=1)
-    merge(spark, target, frame(spark, ("z", 1, "n", 1)), batch_id=2)
+    merge(spark, target, frame(spark, OLD, ("y", 1, "k", 1)))
+    merge(spark, target, frame(spark, NEW).withColumn("extra", F.lit("e")), 1)
+    merge(spark, target, frame(spark, ("z", 1, "n", 1)), 2)
     table = scd1.read_target(spark, target)
     assert {r.k: r.extra for r in table.collect()} == {"x": "e", "y": None, "z": None}
 
 
-def test_only_touched_buckets_are_rewritten(spark, work):
-    scd1.create_target(spark, f"{work}/b", frame(spark).schema, num_buckets=16)
-    merge(spark, f"{work}/b", frame(spark, *[(str(i), 1, "a", i) for i in range(100)]), batch_id=0)
-    before = scd1.load_manifest(spark, f"{work}/b").snapshots
-    merge(spark, f"{work}/b", frame(spark, ("5", 2, "b", 5)), batch_id=1)
-    after = scd1.load_manifest(spark, f"{work}/b").snapshots
-    assert len([b for b in after if after[b] != before[b]]) == 1
-    assert scd1.read_target(spark, f"{work}/b").count() == 100
-
-
-def test_merge_shuffles_current_rows_once(spark, target):
-    merge(spark, target, frame(spark, OLD))
-    current = scd1.read_target(spark, target).withColumn(scd1.BUCKET, key_bucket(["k"], 4))
-    ranked = latest_by_key(current.repartition(4, scd1.BUCKET), ["k"], "seq", [scd1.BUCKET])
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_columns_named_like_ours_survive(spark, work):
+    named = frame(spark, OLD, ("y", 1, "k", 1)).withColumns(
+        {"key_bucket": F.lit(7), "key_rank": F.lit("r"), "key_piece": F.lit(1)}
+    )
+    scd1.seed_target(spark, (name := f"named_{uuid.uuid4().hex[:10]}"), named, ["k"], "seq", 2)
+    scd1.merge_batch(spark, name, named.withColumn("seq", F.lit(9)), ["k"], "seq", "f", 0)
+    found = scd1.read_target(spark, name)
+    assert rows(found.select("k", "seq", "key_bucket", "key_rank", "key_piece")) == [
+        ("x", 9, 7, "r", 1), ("y", 9, 7, "r", 1),
+    ]
+    assert rows(latest_by_key(named, ["k"], "seq").select("k", "key_rank")) == [("x", "r"), ("y", "r")]
+    with pytest.raises(ValueError, match="reserved"):
+        merge(spark, new_target(spark, work, 2), frame(spark, OLD).withColumn("key_bucket", F.lit(1)))
 
 
-def test_expiring_keeps_the_current_table(spark, target):
+def test_only_touched_buckets_are_rewritten(spark, work):
+    target = new_target(spark, work, 16)
+    merge(spark, target, frame(spark, *[(str(i), 1, "a", i) for i in range(100)]))
+    before = set(spark.table(target).inputFiles())
+    merge(spark, target, frame(spark, ("5", 2, "b", 5)), 1)
+    after = set(spark.table(target).inputFiles())
+    assert len(after - before) == 1 and scd1.read_target(spark, target).count() == 100
+
+
+def test_a_large_bucket_is_split_over_tasks_and_files(spark, work, monkeypatch):
+    target = new_target(spark, work, 1)
+    many = [(str(i), 1, "a", i) for i in range(300)]
+    merge(spark, target, frame(spark, *many))
+    assert len(spark.table(target).inputFiles()) == 1
+    monkeypatch.setattr(scd1, "PIECE_BYTES", 500)
+    merge(spark, target, frame(spark, ("5", 2, "b", 5)), 1)
+    assert len(spark.table(target).inputFiles()) > 3
+    assert target_rows(spark, target) == sorted([r for r in many if r[0] != "5"] + [("5", 2, "b", 5)], key=repr)
+
+
+def test_another_number_of_buckets(spark, target):
+    all_rows = [(str(i), 1, "a", i) for i in range(50)] + [(None, 1, "n", 0)]
+    merge(spark, target, frame(spark, *all_rows))
+    for buckets in (9, 2):
+        scd1.rebucket(spark, target, ["k"], "seq", buckets)
+        assert target_rows(spark, target) == sorted(all_rows, key=repr)
+        assert spark.sql(f"SHOW PARTITIONS {target}").count() <= buckets
+    merge(spark, target, frame(spark, ("5", 2, "b", 5)), 1)
+    assert scd1.read_target(spark, target).filter("seq = 2").count() == 1
+    assert scd1.read_target(spark, target).count() == 51
+
+
+def test_stale_batches_are_dropped(spark, target):
     for i in range(4):
-        merge(spark, target, frame(spark, ("x", i, "a", i)), batch_id=i)
-    assert len(scd1.expire_snapshots(spark, target, keep=1)) == 3
+        merge(spark, target, frame(spark, ("x", i, "a", i)), i)
+    assert len(scd1.drop_stale(spark, target)) == 3
+    assert scd1.drop_stale(spark, target) == []
     assert target_rows(spark, target) == [("x", 3, "a", 3)]
-    assert len(storage.child_names(spark, f"{target}/data")) == 1
 
 
-def test_missing_target_is_refused(spark, work):
+def test_missing_target_is_refused(spark):
     with pytest.raises(ValueError, match="no merged table"):
-        merge(spark, f"{work}/none", frame(spark, NEW))
+        merge(spark, "no_such_merged_table", frame(spark, NEW))
+    spark.range(1).write.mode("overwrite").saveAsTable("not_merged")
+    with pytest.raises(ValueError, match="another table"):
+        merge(spark, "not_merged", frame(spark, NEW))
 
 
 def test_clustered_target(spark, target):
@@ -179,48 +203,7 @@ def test_clustered_target(spark, target):
     assert scd1.read_target(spark, target).count() == 20
 
 
-@pytest.mark.parametrize("max_deltas", [1, 2, 5])
-def test_gathered_batches_read_like_rewritten_buckets(spark, work, max_deltas):
-    plain, gathering = f"{work}/p", f"{work}/g"
-    for path in (plain, gathering):
-        scd1.create_target(spark, path, frame(spark).schema, num_buckets=2)
-    for i in range(7):
-        batch = frame(
-            spark,
-            *[(str(k), (k * 7 + i * 3) % 5, f"v{i}", i) for k in range(i % 3, 12, 2)],
-            (None, i % 2, "n", i),
-        )
-        merge(spark, plain, batch, batch_id=i)
-        scd1.merge_batch(
-            spark, gathering, batch, ["k"], "seq", "f", i, max_deltas=max_deltas
-        )
-        parts = scd1.load_manifest(spark, gathering).snapshots.values()
-        assert max(map(len, parts)) <= max_deltas + 1
-        assert target_rows(spark, gathering) == target_rows(spark, plain)
-
-
-def test_a_gathering_batch_reads_no_current_rows(spark, target, monkeypatch):
-    merge(spark, target, frame(spark, OLD), batch_id=0)
-    read = []
-    real = scd1._read_buckets
-    monkeypatch.setattr(
-        scd1, "_read_buckets", lambda s, t, m, b: read.append(list(b)) or real(s, t, m, b)
-    )
-    scd1.merge_batch(spark, target, frame(spark, NEW), ["k"], "seq", "f", 1, max_deltas=100)
-    assert read == [[]]
-    assert target_rows(spark, target) == [NEW]
-
-
-def test_gathered_batches_of_expressions_need_them_named_to_read(spark, target):
-    by = ([F.col("k")], F.struct("seq"))
-    for i, row in enumerate((OLD, NEW)):
-        scd1.merge_batch(spark, target, frame(spark, row), *by, "f", i, max_deltas=100)
-    with pytest.raises(ValueError, match="name its keys"):
-        scd1.read_target(spark, target)
-    assert scd1.read_target(spark, target, *by).count() == 1
-
-
-def test_view_of_a_target(spark, target):
+def test_an_empty_batch_changes_nothing(spark, target):
     merge(spark, target, frame(spark, NEW))
-    scd1.create_view(spark, "silver_view", target)
-    assert spark.sql("SELECT seq FROM silver_view").first().seq == 2
+    merge(spark, target, frame(spark), 1)
+    assert target_rows(spark, target) == [NEW]
