@@ -46,7 +46,7 @@ SPACE_MARK = 0x2581
 LITERAL_MARK = 0x110000
 #: Log-probability of a prefix below which its siblings cannot win in double precision.
 FAINTEST = -50.0
-_SLICE_BYTES = 5 << 20
+_SLICE_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _FILTER_BITS = 20
 
