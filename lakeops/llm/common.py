@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -87,6 +92,15 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
     return pd.util.hash_array(values.astype(object), categorize=False)
 
 
+def worker_cache(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` once made in this Python process, for all tasks it runs."""
+    name = "lakeops_worker_cache"
+    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 class Words:
     """The white-space separated words of a batch of texts, dictionary-encoded.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import text_of
+from lakeops.llm.common import text_of, worker_cache
 
 LEAF_PARTS = 32
 #: Distinct parts a task remembers before it starts anew.
@@ -170,7 +170,7 @@ def with_trees(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     path = ranks or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = worker_cache(f"counter {path}", lambda: Counter(path))
         for batch in batches:
             trees = [Tree.of(leaves_of(t, counter)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -197,7 +197,7 @@ def recounted(trees: DataFrame, ranks: str | None = None) -> DataFrame:
     path = ranks or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = worker_cache(f"counter {path}", lambda: Counter(path))
         for batch in batches:
             out = []
             for text, chars, sums, edits in zip(*(c.to_pylist() for c in batch.columns[1:])):

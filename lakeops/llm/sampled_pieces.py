@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import GOLDEN, mix, pieces, text_of, uniform
+from lakeops.llm.common import GOLDEN, mix, pieces, text_of, uniform, worker_cache
 
 SAMPLES = 2
 SHARPNESS = 1.0
@@ -472,7 +472,8 @@ def sampled_segmentations(
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path, sharpness)
+        key = f"pieces {path} {sharpness}"
+        vocabulary = worker_cache(key, lambda: Vocabulary(path, sharpness))
         for batch in batches:
             for piece in pieces(batch, "text", _SLICE_BYTES):
                 yield from _sampled(piece, vocabulary, samples, seed)

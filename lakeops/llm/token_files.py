@@ -8,8 +8,8 @@ before, with the number of ones before each block of RANK_BITS bits. That is lit
 more than an id's own bits, and it answers, from the file alone, which id is at a place,
 how often an id occurs up to a place, and where it occurs for the j-th time.
 
-Text is shuffled once, by ranges of doc_id. A task encodes the distinct words of a slice
-of texts through the tokenizer and copies ids from there: the vocabulary's pre-tokenizer
+Text is shuffled once, by ranges of doc_id. A task encodes distinct words
+through the tokenizer, remembers them for the next texts and copies ids from there: the vocabulary's pre-tokenizer
 never joins characters across white space, nor an ASCII letter and the point or comma
 after it. Files get their name last, so a task that is run again replaces them by the
 same content.
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import Words, pieces, stored, text_of
+from lakeops.llm.common import Words, pieces, stored, text_of, worker_cache
 
 END_ID = 2
 SHARD_TOKENS = 2_000_000
@@ -44,7 +44,9 @@ SUFFIX = ".wvm"
 #: File format, fixed values: magic, then counts of bits, ids and documents.
 MAGIC = b"WVMATRX1"
 HEADER = "<8sqqq"
-_SLICE_BYTES = 16 << 20
+_SLICE_BYTES = 4 << 20
+#: Words whose ids a worker remembers before it starts anew.
+REMEMBERED = 400_000
 _WORDS_PER_CALL = 2000
 _TEXTS_PER_CALL = 16
 _LETTERS_ONLY = r"^\pL+$"
@@ -207,7 +209,7 @@ def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 
 
 class Encoder:
-    """Ids of texts through the tokenizer, each distinct word of a slice once."""
+    """Ids of texts through the tokenizer; a word is encoded once while it is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -222,6 +224,31 @@ class Encoder:
             token.content for token in self.tokenizer.get_added_tokens_decoder().values()
         )
 
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.empty(0, np.int32)
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def recall(self, vocabulary: pa.Array) -> np.ndarray:
+        """Places of distinct words in ``begin`` and ``count``; new ones are encoded."""
+        strings = vocabulary.to_pylist()
+        at = np.fromiter((self.known.get(w, -1) for w in strings), np.int64, len(strings))
+        new = np.flatnonzero(at < 0)
+        if self.known and len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            new = np.arange(len(strings))
+        if len(new):
+            ids, count = self.words(vocabulary.take(pa.array(new)))
+            first = len(self.known)
+            at[new] = first + np.arange(len(new))
+            self.known.update(zip((strings[i] for i in new.tolist()), range(first, first + len(new))))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, ids])
+        return at
+
     def _flat(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; few texts at a time, as encodings hold far more than ids."""
         out = []
@@ -272,18 +299,17 @@ class Encoder:
             return np.concatenate([y for x in whole for y in (x, [END_ID])]), sizes
         parted = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])", r"\1 \2")
         words = Words(parted, lower=True)
-        ids, counts = self.words(words.vocabulary)
-        begin = np.cumsum(counts) - counts
-        each = counts[words.codes]
+        at = self.recall(words.vocabulary)[words.codes]
+        each = self.count[at]
         total = np.concatenate([[0], np.cumsum(each)])[words.offsets]
         sizes = np.diff(total) + 1
         out = np.full(int(sizes.sum()), END_ID, dtype=np.int32)
         # Every text's ids move up by the end ids of the texts before it.
         own = np.ones(len(out), dtype=bool)
         own[np.cumsum(sizes) - 1] = False
-        source = np.repeat((begin[words.codes] - (np.cumsum(each) - each)).astype(np.int32), each)
+        source = np.repeat((self.begin[at] - (np.cumsum(each) - each)).astype(np.int32), each)
         source += np.arange(len(source), dtype=np.int32)
-        out[own] = ids[source]
+        out[own] = self.ids[source]
         return out, sizes
 
 
@@ -320,7 +346,7 @@ def write_token_files(
     path = tokenizer or default_tokenizer()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_cache(f"tokenizer {path}", lambda: Encoder(path))
         part = TaskContext.get().partitionId()
         held: list[tuple] = []
         shard = 0
