@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -97,12 +97,39 @@ def _with_hinted(df: DataFrame, hints: StructType) -> DataFrame:
     )
 
 
+def header_names(spark: SparkSession, line: str, landing: CsvLanding) -> list[str]:
+    """Column names of a header line, as Spark's CSV reader would name them.
+
+    The line is parsed under the reader's own options, on the driver.
+
+    A blank or null name becomes ``_c<index>``; a name that comes again, in any case,
+    gets its index appended wherever it stands.
+    """
+    jvm = spark._jvm
+    options = {key: str(value) for key, value in landing.csv_options.items()}
+    settings = jvm.org.apache.spark.sql.catalyst.csv.CSVOptions(
+        jvm.PythonUtils.toScalaMap(options), True, "UTC"
+    ).asParserSettings()
+    parser = jvm.com.univocity.parsers.csv.CsvParser(settings)
+    names = list(parser.parseLine(line.lstrip("\ufeff")) or [])
+    times = Counter(name.lower() for name in names if name)
+    return [
+        f"_c{i}"
+        if not name or name == NULL_TOKEN
+        else f"{name}{i}"
+        if times[name.lower()] > 1
+        else name
+        for i, name in enumerate(names)
+    ]
+
+
 def read_files(spark: SparkSession, landing: CsvLanding, paths: Sequence[str]) -> DataFrame:
     """Rows of some landed files, columns matched by name across different headers.
 
     Spark maps CSV columns by position, so files are grouped by header line and
     each group is read with its own schema. Only first lines are read to group
-    them; every file's data is scanned once.
+    them, and no job runs until the rows are asked for; every file's data is scanned
+    once.
     """
     groups: dict[str | None, list[str]] = defaultdict(list)
     if landing.header:
@@ -113,9 +140,9 @@ def read_files(spark: SparkSession, landing: CsvLanding, paths: Sequence[str]) -
     elif paths:
         groups[None] = [storage.as_literal_path(path) for path in paths]
 
-    def read_group(files: list[str]) -> DataFrame:
+    def read_group(line: str | None, files: list[str]) -> DataFrame:
         reader = spark.read.options(**landing.csv_options)
-        columns = reader.csv(files[0]).columns if landing.header else landing.hints.names
+        columns = header_names(spark, line, landing) if line else landing.hints.names
         return (
             reader.schema(_typed(columns, landing.hints))
             .options(mode="PERMISSIVE", columnNameOfCorruptRecord=RESCUED)
@@ -126,7 +153,7 @@ def read_files(spark: SparkSession, landing: CsvLanding, paths: Sequence[str]) -
     if not groups:
         empty = StructType([*_typed([], landing.hints).fields, StructField("file_nm", StringType())])
         return _with_hinted(spark.createDataFrame([], empty), landing.hints)
-    frames = [read_group(files) for _, files in sorted(groups.items(), key=lambda g: str(g[0]))]
+    frames = [read_group(*group) for group in sorted(groups.items(), key=lambda g: str(g[0]))]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return _with_hinted(merged, landing.hints)
 

@@ -66,6 +66,27 @@ def test_repeated_and_blank_header_names(spark, work):
     assert rows(df, *df.columns[:4]) == [(1, "a", "b", "c")]
 
 
+@pytest.mark.parametrize(
+    "line", ["id,v,V,,NULL,id2", 'a,"b ""q"" c",A, x ', "one", '"x,y",\\"z', "é,É,e"]
+)
+def test_headers_are_named_as_the_reader_names_them(spark, work, line):
+    path = put(work, "h.csv", f"{line}\n")
+    files = CsvLanding(HINTS, work)
+    by_reader = spark.read.options(**files.csv_options).csv(path).columns
+    assert landing.header_names(spark, line, files) == by_reader
+
+
+def test_many_headers_need_no_job_of_their_own(spark, work):
+    files = [put(work, f"{n}.csv", f"id,amount,c{n}\n{n},1.5,x\n") for n in range(6)]
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        df = read_files(spark, CsvLanding(HINTS, work), files)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("headers") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert df.count() == 6 and {f"c{n}" for n in range(6)} <= set(df.columns)
+
+
 @pytest.mark.parametrize(
     ("text", "age"), [("14 days", "14d"), ("14d", "14d"), ("1 week", "7d"), ("2 hours", "2h")]
 )
