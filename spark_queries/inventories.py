@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,6 +212,23 @@ def inventory_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_counts(listed.catalogs, listed.schemas)
 
 
+def inventory_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether sharing is used: with neither sign of it, with a share, with such a catalog."""
+    plain = inventory(spark, sf_dir)
+    sharing = F.col("securable_kind").contains("SHARING")
+    unshared = replace(plain, catalogs=plain.catalogs.filter(~F.coalesce(sharing, F.lit(False))))
+    cases = {
+        "neither": unshared,
+        "share": replace(unshared, shares=inventory(spark, sf_dir, "s_acctbal < 1e9").shares),
+        "catalog": plain,
+    }
+    rows = [
+        profile(spark, case).select(F.lit(name).alias("case"), "uses_sharing")
+        for name, case in cases.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 QUERIES = {
     "workspace_normalise": records,
     "workspace_unmatched": workspace_unmatched,
@@ -226,6 +245,7 @@ QUERIES = {
     "inventory_profile": inventory_profile,
     "inventory_metrics": inventory_metrics,
     "inventory_schemas": inventory_schemas,
+    "inventory_sharing": inventory_sharing,
 }
 
 
@@ -323,6 +343,9 @@ SELECT resource_group, pos, workspace_name AS name, workspace_id AS id FROM reco
         f"SELECT '{name}' AS metric, CAST({name} AS VARCHAR) AS value FROM profile"
         for name in PROFILE_COLUMNS
     ),
+    "inventory_sharing": """SELECT 'neither' AS "case", FALSE AS uses_sharing
+UNION ALL SELECT 'share', count(*) > 0 FROM supplier WHERE s_acctbal < 1e9
+UNION ALL SELECT 'catalog', count(*) > 0 FROM region WHERE r_regionkey = 2""",
     "inventory_schemas": """SELECT r_name AS full_name, count(s_suppkey) AS schema_count
 FROM region LEFT JOIN nation ON n_regionkey = r_regionkey
 LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name""",
