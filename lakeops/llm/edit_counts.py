@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import text_of, worker_cache
+from lakeops.llm.common import pieces, text_of, worker_cache
 
 LEAF_PARTS = 32
 #: Distinct parts a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -172,15 +172,16 @@ def with_trees(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(f"counter {path}", lambda: Counter(path))
         for batch in batches:
-            trees = [Tree.of(leaves_of(t, counter)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([t.leaf_chars for t in trees], pa.list_(pa.int64())),
-                    pa.array([t.sums for t in trees], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "text", "leaf_chars", "sums"],
-            )
+            for piece in pieces(batch, "text"):
+                trees = [Tree.of(leaves_of(t, counter)) for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *piece.columns,
+                        pa.array([t.leaf_chars for t in trees], pa.list_(pa.int64())),
+                        pa.array([t.sums for t in trees], pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "text", "leaf_chars", "sums"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(
@@ -198,22 +199,24 @@ def recounted(trees: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(f"counter {path}", lambda: Counter(path))
+        names = ["doc_id", "edited_text", "n_tokens", "edited_tokens", "leaves", "encoded_chars"]
         for batch in batches:
-            out = []
-            for text, chars, sums, edits in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                tree, before = Tree(chars, sums), sums[1]
-                steps = [(e["start"], e["end"], e["text"] or "") for e in edits or []]
-                new, after, encoded = apply_edits(text, tree, steps, counter)
-                out.append((new, before, after, len(chars), encoded))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(columns[0], pa.string()),
-                    *(pa.array(c, pa.int64()) for c in columns[1:]),
-                ],
-                names=["doc_id", "edited_text", "n_tokens", "edited_tokens", "leaves", "encoded_chars"],
-            )
+            for piece in pieces(batch, "text"):
+                out = []
+                for text, chars, sums, edits in zip(*(c.to_pylist() for c in piece.columns[1:])):
+                    tree, before = Tree(chars, sums), sums[1]
+                    steps = [(e["start"], e["end"], e["text"] or "") for e in edits or []]
+                    new, after, encoded = apply_edits(text, tree, steps, counter)
+                    out.append((new, before, after, len(chars), encoded))
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(0),
+                        pa.array(columns[0], pa.string()),
+                        *(pa.array(c, pa.int64()) for c in columns[1:]),
+                    ],
+                    names=names,
+                )
 
     return trees.select("doc_id", "text", "leaf_chars", "sums", "edits").mapInArrow(
         run,

@@ -92,8 +92,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two edits a document, placed by a hash of doc_id: one replaces, one deletes."""
-    trees = edit_counts.with_trees(table(spark, sf_dir, "documents"))
+    """Two edits a document, placed by a hash of doc_id: one replaces, one deletes.
+
+    The trees are kept as a table beside the texts; the edits come to them afterwards.
+    """
+    trees = stored(edit_counts.with_trees(table(spark, sf_dir, "documents")), "edit-trees")
     place = F.pmod(F.xxhash64("doc_id"), F.length("text").cast("long") + 1)
     edits = F.array(
         F.struct(
