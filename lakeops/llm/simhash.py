@@ -27,6 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ RADIUS = 3
 CLEAN = 1
 _TERMS_AT_ONCE = 1 << 16
 _HEAVIEST = 16
+_SLICE_BYTES = 4 << 20
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -48,8 +50,7 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     filled = np.flatnonzero(words.counts)
     if len(filled):
         hashes = string_hashes(words.vocabulary)[words.codes]
-        sizes = np.char.str_len(words.vocabulary.to_numpy(zero_copy_only=False).astype(str))
-        sizes = sizes[words.codes]
+        sizes = pc.utf8_length(words.vocabulary).to_numpy(zero_copy_only=False)[words.codes]
         counts = words.counts[filled] + 1
         starts = np.cumsum(counts) - counts
         left = np.zeros(int(counts.sum()), np.uint64)
@@ -134,7 +135,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*front, *(pa.nulls(1, f.type) for f in list(_ROW)[4:])], schema=_ROW)
 
     for batch in batches:
-        for piece in pieces(batch, "text"):
+        for piece in pieces(batch, "text", _SLICE_BYTES):
             doc_ids, texts = (piece.column(c).to_pylist() for c in ("doc_id", "text"))
             marks = fingerprints(piece.column("text"))
             if held is None:
