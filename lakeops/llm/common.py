@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeops.session import new_work_dir
@@ -52,9 +52,8 @@ def numbered(df: DataFrame, order: list[Column], name: str, label: str) -> DataF
     kept = stored(ranged.withColumn(local, F.monotonically_increasing_id()), label)
     part = F.shiftright(F.col(local), 33)
     counts = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
-    before = F.sum("__rows").over(
-        _ordered("__part").rowsBetween(_UNBOUNDED, -1)
-    )
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("__rows").over(ahead)
     offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
     inside = F.col(local).bitwiseAND((1 << 33) - 1)
     return (
@@ -65,15 +64,6 @@ def numbered(df: DataFrame, order: list[Column], name: str, label: str) -> DataF
     )
 
 
-def _ordered(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
-_UNBOUNDED = -(1 << 63)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_1

@@ -25,7 +25,6 @@ import posixpath
 import re
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
