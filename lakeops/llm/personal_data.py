@@ -254,7 +254,8 @@ def accepted_instances(
         ),
         "pii-seeds",
     )
-    counted = stored(known.select("word").distinct().join(totals, "word"), "pii-totals")
+    words = seeds.select("word").union(open_edges.select("word")).distinct()
+    counted = stored(words.join(totals, "word"), "pii-totals")
     scores = None
     pattern = ["label", "side", "word"]
     for _ in range(rounds):

@@ -554,6 +554,24 @@ def test_patterns_discover_identifiers(spark):
     assert found.filter("doc_id = 101").select(F.size("added")).first()[0] == 0
 
 
+def card(prefix, good):
+    """A number of 16 digits that passes the Luhn test or fails it."""
+    return next(n for n in (f"{prefix}{d}" for d in range(10)) if luhn(n) == good)
+
+
+def test_patterns_are_learnt_beside_discovered_identifiers(spark):
+    from tests.llm.conftest import save
+
+    texts = [f"card {card(411111111110000 + i, True)}" for i in range(12)]
+    between = [card(422222222220000 + i, False) for i in range(3)]
+    texts += [f"{word} {value}" for value in between for word in ("card", "visa")]
+    last = card(433333333330000, False)
+    docs = save(spark, [*enumerate(texts), (100, f"visa {last}"), (101, f"room {last[::-1]}")], "doc_id long, text string")
+    found = {r.doc_id: r.added for r in personal_data.personal_data(docs).collect()}
+    assert [tuple(s) for s in found[100]] == [(5, 2, 21, last)]
+    assert all(len(found[i]) == (12 <= i) for i in range(18)) and not found[101]
+
+
 # sampled segmentations
 
 
