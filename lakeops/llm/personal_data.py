@@ -2,15 +2,22 @@
 
 Base identifiers (e-mail and IP addresses, card and phone numbers) are found by regular
 expressions; they are the seeds. The words beside a seed are lexical patterns, one to
-its left and one to its right. Identifier-like tokens that no expression matches are
-candidates. On the bipartite graph of patterns and instances (seeds and candidates),
-scores are passed to and fro:
+its left and one to its right. What else could be an identifier is a candidate: every run
+of numbers parted by spaces, brackets, dots, slashes or hyphens, every group of digits and
+hex digits parted by colons, and every other token that is more than letters with
+punctuation around them. A candidate overlaps no seed, and a token no run. On the
+bipartite graph of patterns and instances (seeds and candidates), scores are passed to and
+fro:
 
 * a pattern's confidence for a kind is the mass of that kind's instances beside it,
   divided by how often its word occurs in the whole corpus; it counts only when at least
   ``MIN_SUPPORT`` different instances support it, so copies of a text do not help;
-* a candidate's score for a kind is the noisy-or of the confidences of its patterns,
-  if its shape (runs of letters and of digits) is one that seeds of the kind have.
+* a candidate's score for a kind is the noisy-or of the confidences of its patterns. Each
+  side counts less if the candidate often stands beside other words there, and the more so
+  the shorter it is: a long number is the same thing everywhere, a 5 is not;
+* the shape (runs of letters and digits) is soft evidence: the score is multiplied by 1 if
+  seeds of the kind have the candidate's shape, by ``SHAPE_ALIKE`` if they have it but for
+  the lengths of runs of digits, by ``SHAPE_UNSEEN`` otherwise.
 
 After ``ROUNDS`` rounds the candidates scored ``ACCEPT`` or more become spans.
 
@@ -37,7 +44,7 @@ from lakeops.llm.common import stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
-_TOKEN = r"[^\s\"'(),;:<>\[\]{}|]"
+_TOKEN = r"[^\s\"'(),;:<>\[\]{}|\p{Pi}\p{Pf}　-〿！-／：-？]"
 #: The base expressions, with possessive quantifiers and bounded starts.
 EXPRESSIONS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -47,12 +54,26 @@ EXPRESSIONS = {
 }
 #: What a text must contain for the expression to match anywhere.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = rf"(?<!{_TOKEN})(?:(?![0-9]){_TOKEN})*+[0-9]{_TOKEN}*+"
-CANDIDATE_DIGITS = 5
+_GAP = r"[\x20()./-]"
+_SYMBOL = _TOKEN.replace("^", r"^\p{L}\p{M}\p{N}")
+_END = rf"(?={_SYMBOL}*+(?!{_TOKEN}))"
+_TIGHT = r"(?:[./-]{1,3}+[0-9]++)"
+_MORE = rf"(?:[./-]?+[\x20()]{_GAP}{{0,2}}+[0-9]++{_TIGHT}*+{_END})"
+#: Candidates of several groups of digits, and tokens that are more than letters.
+RUN = (
+    rf"(?<!{_TOKEN})[+(]*+(?:[0-9]++{_TIGHT}++{_END}{_MORE}*+|[0-9]++{_END}{_MORE}++)"
+    r"|(?<![\p{L}\p{N}:])[0-9A-Fa-f]{1,4}+(?::{1,2}+[0-9A-Fa-f]{1,4}+){2,}+(?![\p{L}\p{N}])"
+)
+TOKEN = (
+    rf"(?<!{_TOKEN})(?!{_SYMBOL}*+[\p{{L}}\p{{M}}]*+{_SYMBOL}*+(?!{_TOKEN}))"
+    rf"{_TOKEN}*[\p{{L}}\p{{M}}\p{{N}}]"
+)
 CONTEXT_CHARS = 64
 ROUNDS = 3
 MIN_SUPPORT = 3
 ACCEPT = 0.5
+SHAPE_ALIKE = 0.8
+SHAPE_UNSEEN = 0.55
 _BLOCK = 256
 
 
@@ -155,34 +176,34 @@ def matched(docs: DataFrame) -> DataFrame:
         df = _with_matches(
             df, kind, EXPRESSIONS[kind], needs, number, lambda v, kind=kind: _valid(kind, v)
         )
-    df = _with_matches(
-        df,
-        "candidates",
-        CANDIDATE,
-        F.col("text").rlike(f"(?:[0-9][^0-9]*+){{{CANDIDATE_DIGITS}}}"),
-        -1,
-        lambda v: F.length(_digits(v)) >= CANDIDATE_DIGITS,
-    )
+    some, every = F.col("text").rlike("[0-9:]"), F.lit(True)
+    df = _with_matches(df, "runs", RUN, some, -1, lambda v: F.lit(True))
+    df = _with_matches(df, "tokens", TOKEN, every, -2, lambda v: F.lit(True))
     return df.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.concat(*KINDS).alias("base"),
-        "candidates",
+        F.concat("runs", "tokens").alias("candidates"),
     )
 
 
 def _alone(found: DataFrame) -> DataFrame:
-    """Every span and every candidate that overlaps no span, one row each.
-
-    Overlap is seen from the furthest end of a span before and the nearest start after.
-    """
+    """Every span, every run that overlaps no span, every token that overlaps neither."""
     spans = found.select("row", F.explode(F.concat("base", "candidates")).alias("s")).select(
         "row", "s.*"
     )
-    is_span = F.col("kind") >= 0
+    return _clear(_clear(spans, 0), -1)
+
+
+def _clear(spans: DataFrame, least: int) -> DataFrame:
+    """Rows of kind ``least`` or more, and the others that overlap none of them.
+
+    Overlap is seen from the furthest end of a span before and the nearest start after.
+    """
+    held = F.col("kind") >= least
     by = Window.partitionBy("row").orderBy("start", F.col("kind").desc())
-    before = F.max(F.when(is_span, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(is_span, F.col("start"))).over(
+    before = F.max(F.when(held, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(held, F.col("start"))).over(
         Window.partitionBy("row").orderBy(F.col("start").desc(), "kind").rowsBetween(
             Window.unboundedPreceding, 0
         )
@@ -193,7 +214,7 @@ def _alone(found: DataFrame) -> DataFrame:
     return (
         spans.withColumn("before", before)
         .withColumn("after", after)
-        .filter(is_span | free)
+        .filter(held | free)
         .drop("before", "after")
     )
 
@@ -219,7 +240,7 @@ def _edges(occurrences: DataFrame) -> DataFrame:
     )
     instance = F.lower("value")
     return (
-        occurrences.select("kind", instance.alias("instance"), _shape(F.col("value")).alias("shape"), sides.alias("s"))
+        occurrences.select(F.greatest("kind", F.lit(-1)).alias("kind"), instance.alias("instance"), _shape(F.col("value")).alias("shape"), sides.alias("s"))
         .select("kind", "instance", "shape", "s.side", "s.word")
         .filter("word != ''")
         .groupBy("kind", "instance", "shape", "side", "word")
@@ -239,13 +260,21 @@ def accepted_instances(
     ``edges`` has kind -1 for candidates; ``totals`` is (word, total).
     """
     seeds = edges.filter("kind >= 0")
-    shapes = stored(
-        seeds.select(F.col("kind").alias("label"), "shape").distinct(), "pii-shapes"
-    )
+    candidates = edges.filter("kind < 0")
+    beside = candidates.groupBy("instance", "side").agg(F.sum("n").alias("beside"))
+    lone = F.regexp_replace("shape", "9+", "9")
+    same = seeds.groupBy("shape").agg(F.collect_set("kind").alias("same"))
+    alike = seeds.groupBy(lone.alias("alike_shape")).agg(F.collect_set("kind").alias("alike"))
+    has = lambda name, k: F.coalesce(F.array_contains(name, k), F.lit(False))
+    fit = [
+        F.when(has("same", k), 1.0).when(has("alike", k), SHAPE_ALIKE).otherwise(SHAPE_UNSEEN)
+        for k in range(len(KINDS))
+    ]
     open_edges = stored(
-        edges.filter("kind < 0")
-        .join(shapes, "shape")
-        .select("instance", "label", "side", "word", "n"),
+        candidates.join(beside, ["instance", "side"])
+        .join(same, "shape", "left")
+        .join(alike, lone == F.col("alike_shape"), "left")
+        .select("instance", "side", "word", "n", "beside", F.array(*fit).alias("fit")),
         "pii-candidates",
     )
     known = stored(
@@ -262,7 +291,7 @@ def accepted_instances(
         mass = known
         if scores is not None:
             learnt = (
-                open_edges.join(scores, ["instance", "label"])
+                open_edges.join(scores, "instance")
                 .groupBy(*pattern)
                 .agg(
                     F.sum(F.col("n") * F.col("score")).alias("mass"),
@@ -279,11 +308,22 @@ def accepted_instances(
             .join(counted, "word")
             .select(*pattern, F.least(F.col("mass") / F.col("total"), F.lit(1.0)).alias("trust"))
         )
-        doubt = F.sum(F.log(F.greatest(1.0 - F.col("trust"), F.lit(1e-12))))
+        any_of = lambda p: 1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - p, F.lit(1e-12)))))
+        share = F.least(F.sum(F.col("n") * F.col("trust")) / F.max("trust") / F.first("beside"), F.lit(1.0))
+        sides = (
+            open_edges.join(confident, ["side", "word"])
+            .groupBy("instance", "label", "side")
+            .agg(
+                any_of(F.col("trust")).alias("vouched"),
+                share.alias("share"),
+                F.first("fit").alias("fit"),
+            )
+        )
+        size = F.greatest(F.length(F.regexp_replace("instance", r"[^\p{L}\p{N}]", "")), F.lit(1))
         scores = stored(
-            open_edges.join(confident, pattern)
+            sides.withColumn("side_score", F.col("vouched") * F.pow("share", 1.0 / size))
             .groupBy("instance", "label")
-            .agg((1.0 - F.exp(doubt)).alias("score")),
+            .agg((any_of(F.col("side_score")) * F.get(F.first("fit"), F.col("label"))).alias("score")),
             "pii-scores",
         )
     best = F.max(F.struct("score", -F.col("label")))

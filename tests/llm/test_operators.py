@@ -572,6 +572,39 @@ def test_patterns_are_learnt_beside_discovered_identifiers(spark):
     assert all(len(found[i]) == (12 <= i) for i in range(18)) and not found[101]
 
 
+def test_contexts_vouch_for_any_format(spark):
+    from tests.llm.conftest import save
+
+    names = ["".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(60)]
+    texts = [f"please dial +1 (389) 555-{5000 + i} today or write" for i in range(60)]
+    texts += [f"reach {name}@example.com by mail" for name in names]
+    texts += [f"take {number} steps" for number in (5, "x-ray", "(389) 555 9999") for _ in range(20)]
+    cases = {
+        "please dial (389) 555 4010 today or write": (12, 3, 26, "(389) 555 4010"),
+        "please dial 0389-551 today or write": (12, 3, 20, "0389-551"),
+        "please dial +1-389-KL-5554000 today or write": (12, 3, 29, "+1-389-KL-5554000"),
+        "reach bob@localhost by mail": (6, 0, 19, "bob@localhost"),
+        "reach bob_k by mail": (6, 0, 11, "bob_k"),
+        "please dial 5 today or write": None,
+    }
+    docs = save(spark, list(enumerate([*texts, *cases])), "doc_id long, text string")
+    found = {r.doc_id: r.added for r in personal_data.personal_data(docs).collect()}
+    assert all(not found[i] for i in range(len(texts)))
+    for i, want in enumerate(cases.values(), len(texts)):
+        assert [tuple(s) for s in found[i]] == ([want] if want else [])
+
+
+def test_candidates_in_long_texts(spark):
+    from tests.llm.conftest import save
+
+    texts = ["x" * 30_000, "1 " * 20_000 + "2x", "-" * 30_000 + "7", "a:" * 20_000, "it’s a well known word.", "fe80::1:2 (12) 34-5, a-1."]
+    docs = save(spark, list(enumerate(texts)), "doc_id long, text string")
+    rows = personal_data._alone(personal_data.matched(docs)).filter("kind < 0").select("row", "value").collect()
+    values = sorted(r.value for r in rows if len(r.value) < 100)
+    assert values == ["(12) 34-5", "2x", "a-1", "fe80::1:2"]
+    assert sorted(len(r.value) for r in rows)[-3:] == [30_001, 39_999, 39_999]
+
+
 # sampled segmentations
 
 
