@@ -5,10 +5,13 @@ after the last. Every term has a 128-bit hash and a weight that grows with the l
 its words, which stands for rarity without a corpus count. Each bit of the fingerprint
 is the sign of the weighted votes of the terms' bits.
 
-A search cuts fingerprints into ``radius + clean`` blocks. Two fingerprints within the
-radius agree in at least ``clean`` blocks, so with one table per choice of that many
-blocks they share a key; a pair is reported by the first table it shares. Equal
-fingerprints are one row of a table, so copies do not multiply.
+A search cuts fingerprints into so many blocks that two fingerprints within the radius
+differ in at most ``flips`` bits in each of at least ``clean`` blocks. There is one table
+per choice of that many blocks; queries look up their key of a table and, with one flip,
+every key with one bit of a block changed. A pair is reported by the first table that
+finds it, and the search finds every fingerprint within the radius. Equal fingerprints are
+one row of a table, so copies do not multiply. ``RADIUS`` is meant for one changed word in
+200, which moves about 6 of the 128 bits and seldom more than 12.
 
 The neighbours of documents in doc_id order come from one range partitioning of the
 texts: each task walks its sorted rows, and only its first and last row are matched with
@@ -35,8 +38,9 @@ from pyspark.sql import functions as F
 from lakeops.llm.common import GOLDEN, Words, mix, pieces, stored, string_hashes, text_of
 
 BITS = 128
-RADIUS = 3
+RADIUS = 12
 CLEAN = 1
+FLIPS = 1
 _TERMS_AT_ONCE = 1 << 16
 _HEAVIEST = 16
 _SLICE_BYTES = 4 << 20
@@ -204,16 +208,44 @@ def _block(high: Column, low: Column, number: int, blocks: int) -> Column:
 
 
 def within_radius(
-    marks: DataFrame, queries: DataFrame, radius: int = RADIUS, clean: int = CLEAN
+    marks: DataFrame,
+    queries: DataFrame,
+    radius: int = RADIUS,
+    clean: int = CLEAN,
+    flips: int = FLIPS,
 ) -> DataFrame:
     """(query, fingerprint, distance, copies): all fingerprints near each query's.
 
     ``marks`` has a column fingerprint, ``queries`` columns query and fingerprint;
     ``copies`` counts the rows of ``marks`` with that fingerprint.
     """
-    blocks = radius + clean
+    if flips not in (0, 1):
+        raise ValueError("flips is 0 or 1")
+    blocks = radius // (flips + 1) + clean
     tables = list(combinations(range(blocks), clean))
 
+    def versions(bits: Column) -> Column:
+        """A block and, with a flip, all blocks that differ from it in one bit."""
+        if not flips:
+            return F.array(bits)
+        turned = F.transform(
+            F.sequence(F.lit(1), F.length(bits)),
+            lambda i: F.overlay(bits, F.translate(F.substring(bits, i, F.lit(1)), "01", "10"), i),
+        )
+        return F.concat(F.array(bits), turned)
+
+    def paired(left: Column, right: Column) -> Column:
+        return F.flatten(
+            F.transform(left, lambda x: F.transform(right, lambda y: F.concat(x, F.lit(","), y)))
+        )
+
+    def keys_of(parts: list[Column], number: int, probing: bool) -> Column:
+        """The keys of one table; every block of a query comes in all its versions."""
+        found = F.array(F.lit(""))
+        for part in parts:
+            found = paired(found, versions(part) if probing else F.array(part))
+        return F.transform(found, lambda k: F.struct(F.lit(number).alias("table"), F.xxhash64(k).alias("key")))
+
     def keyed(df: DataFrame, name: str) -> DataFrame:
         high, low = _halves(F.col("fingerprint"))
         split = df.select(
@@ -222,29 +254,33 @@ def within_radius(
             low.alias(f"{name}_low"),
         )
         parts = [_block(F.col(f"{name}_high"), F.col(f"{name}_low"), b, blocks) for b in range(blocks)]
-        keys = F.array(
-            *[
-                F.struct(F.lit(t).alias("table"), F.xxhash64(*[parts[b] for b in chosen]).alias("key"))
-                for t, chosen in enumerate(tables)
-            ]
-        )
-        return split.withColumn(f"{name}_keys", F.transform(keys, lambda k: k["key"])).select(
-            "*", F.inline(keys)
-        )
+        keys = [keys_of([parts[b] for b in chosen], t, name == "q") for t, chosen in enumerate(tables)]
+        return split.select("*", F.inline(F.concat(*keys)))
+
+    def apart(number: int) -> Column:
+        """How many bits of a block differ."""
+        begin, end = number * BITS // blocks, (number + 1) * BITS // blocks
+        total = F.lit(0)
+        for half, first in (("high", 0), ("low", BITS // 2)):
+            lo, hi = max(begin, first) - first, min(end, first + BITS // 2) - first
+            if lo < hi:
+                mask = (1 << (64 - lo)) - (1 << (64 - hi))
+                mask = mask - (1 << 64) if mask >= 1 << 63 else mask
+                both = F.col(f"q_{half}").bitwiseXOR(F.col(f"m_{half}"))
+                total += F.bit_count(both.bitwiseAND(F.lit(mask).cast("long")))
+        return total
 
     counted = marks.groupBy("fingerprint").agg(F.count("*").alias("copies"))
     left, right = keyed(queries.select("query", "fingerprint"), "q"), keyed(counted, "m")
     gap = F.bit_count(F.col("q_high").bitwiseXOR(F.col("m_high"))) + F.bit_count(
         F.col("q_low").bitwiseXOR(F.col("m_low"))
     )
-    earlier = F.exists(
-        F.zip_with(
-            F.slice("q_keys", F.lit(1), F.col("table")),
-            F.slice("m_keys", F.lit(1), F.col("table")),
-            lambda a, b: a == b,
-        ),
-        lambda same: same,
+    close = F.array(*[apart(b) <= flips for b in range(blocks)])
+    first = F.array_position(
+        F.array(*[F.forall(F.array(*[F.get(close, b) for b in chosen]), lambda x: x) for chosen in tables]),
+        True,
     )
+    earlier = first - 1 < F.col("table")
     right = right.withColumnsRenamed({"table": "m_table", "key": "m_key"})
     on = (F.col("table") == F.col("m_table")) & (F.col("key") == F.col("m_key"))
     return left.join(right, on & (gap <= radius) & ~earlier).select(

@@ -446,6 +446,20 @@ def test_search_finds_all_within_the_radius(spark, radius, clean):
         assert got[q] == near
 
 
+def test_search_finds_texts_with_one_word_changed(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 10))) for _ in range(4000)]
+    texts = [[rng.choice(words) for _ in range(200)] for _ in range(200)]
+    changed = [[*t[:90], rng.choice(words), *t[91:]] for t in texts]
+    left, right = (simhash.fingerprints(pa.array(list(map(" ".join, x)))) for x in (texts, changed))
+    marks = spark.createDataFrame([(m.tobytes(),) for m in right], "fingerprint binary")
+    asked = spark.createDataFrame([(i, m.tobytes()) for i, m in enumerate(left)], "query long, fingerprint binary")
+    found = {(r["query"], bytes(r.fingerprint)) for r in simhash.within_radius(marks, asked).collect()}
+    hits = sum((i, m.tobytes()) in found for i, m in enumerate(right))
+    assert len(found) == hits == (simhash.distance(left, right) <= simhash.RADIUS).sum()
+    assert hits >= 190
+
+
 # edit-aware counts
 
 
