@@ -12,10 +12,13 @@ from lakeops.llm import (
     mixing,
     near_dedup,
     personal_data,
+    reply_trees,
     sampled_pieces,
     simhash,
+    source_audit,
     token_files,
     toxicity,
+    whitening,
 )
 from lakeops.llm.common import stored
 from lakeops.session import new_work_dir
@@ -148,6 +151,29 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, a tree without branches, and one that holds control strings."""
+    controls = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    replies, texts = reply_trees.chained(rows.unionByName(controls))
+    folder = new_work_dir(spark, "conversations")
+    written = reply_trees.write_conversations(reply_trees.reply_paths(replies), texts, folder)
+    return reply_trees.digests(written).drop("path").withColumnRenamed("tree", "conv_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_mixing": op2_mixing,
@@ -159,6 +185,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_reply_trees": op11_reply_trees,
+    "op12_whitening": op12_whitening,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLES = {
@@ -174,5 +203,63 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM n
 WINDOW g AS (PARTITION BY t ORDER BY chars DESC, doc_id)
+""",
+    "op11_reply_trees": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+written AS (
+  SELECT *, regexp_replace(text, '(\\*(?:###|</turn>))', '\\\1', 'g') AS body,
+         replace(replace(role, '%', '%25'), chr(10), '%0A') AS head
+  FROM rows)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text))
+         AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(head) + length(body) + 15) AS BIGINT) AS formatted_chars
+FROM written
+GROUP BY conv_id
+""",
+    "op13_source_audit": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+t AS (
+  SELECT row, lang, source,
+         unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+each AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, c,
+         1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p
+  FROM each JOIN v USING (lang)),
+whole AS (
+  SELECT lang, term,
+         1 + (1000000000::HUGEINT * (sum(c) + 5)) // (sum(sum(c)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q
+  FROM each JOIN v USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b USING (lang, term) GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT)
+  FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found
+QUALIFY part = 'pair' OR rank <= 50
 """,
 }
