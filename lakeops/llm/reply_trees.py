@@ -21,8 +21,8 @@ holds: a text ends at the first ``</turn>`` that follows a line break. In a role
 one line, line breaks and per cent signs are written as %0A and %25. ``loss`` lists the spans, in code
 points of the part, of the texts that the model learns from.
 
-Shuffled are numbers of messages, then every text of a chosen path to its part, and every
-part to the task that reads it back. A message with a third of all replies is one key of
+Shuffled are numbers of messages, then every text of a chosen path, twice, to its part,
+and every part to the task that reads it back. A message with a third of all replies is one key of
 the joins that look upwards; it is one row on the one side, and Spark splits the other.
 Ranks come from one sort of all paths, so a tree with a third of all paths is many tasks.
 The digest of a conversation is read in order by one task that holds a batch of parts at a
@@ -34,8 +34,8 @@ the circle's smallest message; rows with one message number are one message, wit
 least parent and score and the least tree, role and text, NULL first; rows without a
 number belong to no path; a message of a path without a text is left out of its
 conversation; paths of equal score rank by their last message; an empty table gives an
-empty result. ``chained`` orders rows with one turn by role, then text, NULL turns last,
-and takes the rows without ``conv_id`` for a conversation of their own.
+empty result. ``chained`` orders rows with one turn by role, then a hash of the text, NULL
+turns last, and takes the rows without ``conv_id`` for a conversation of their own.
 """
 
 from __future__ import annotations
@@ -67,15 +67,24 @@ def chained(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     role, text).
     """
     rows = conversations.select(
-        F.col("conv_id").alias("tree"), "turn", text_of("role").alias("role"), text_of().alias("text")
+        F.monotonically_increasing_id().alias("message"),
+        F.col("conv_id").alias("tree"),
+        "turn",
+        text_of("role").alias("role"),
+        text_of().alias("text"),
     )
-    keys = [F.col(c).asc_nulls_last() for c in ("tree", "turn")]
-    texts = numbered(rows, [*keys, F.col("role"), F.col("text")], "message", "chat-rows").drop("turn")
-    first = texts.groupBy("tree").agg(F.min("message").alias("message")).select("message", "tree")
-    begins = first.select("message", F.lit(True).alias("begins"))
-    replies = texts.select("message").join(begins, "message", "left")
-    parent = F.when(F.col("begins").isNull(), F.col("message") - 1)
-    return replies.select("message", parent.alias("parent"), F.lit(0.0).alias("score")), texts
+    kept = stored(rows, "chat-rows")
+    keys = kept.select("message", "tree", "turn", "role", F.xxhash64("text").alias("hash"))
+    order = [F.col(c).asc_nulls_last() for c in ("tree", "turn", "role", "hash", "message")]
+    placed = stored(numbered(keys, order, "place", "chat-order").select("message", "tree", "place"), "chat-places")
+    before = placed.select(
+        F.col("message").alias("parent"), F.col("tree").alias("above"), (F.col("place") + 1).alias("place")
+    )
+    same = F.col("above").eqNullSafe(F.col("tree"))
+    replies = placed.join(before, "place", "left").select(
+        "message", F.when(same, F.col("parent")).alias("parent"), F.lit(0.0).alias("score")
+    )
+    return replies, kept.select("tree", "message", "role", "text")
 
 
 def _lifted(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:

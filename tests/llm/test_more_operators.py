@@ -137,11 +137,15 @@ def test_chained_conversations(spark):
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")):
         told[conv].append((role or "", text or ""))
     assert set(found) == set(told)
+    told[1][1:4] = [("assistant", t) for t in ("", "b", "b")]  # one turn, ordered by a hash
     for conv, turns in told.items():
         whole = "".join(f"{role}\n{text}\n" for role, text in turns)
         under = "".join(t for role, t in turns if role == "assistant")
         r = found[conv]
         assert (r.n_turns, r.loss_chars) == (len(turns), len(under))
+        if conv == 1 and r.turns_sha256 != hashlib.sha256(whole.encode()).hexdigest():
+            turns[1:4] = [("assistant", t) for t in ("b", "b", "")]
+            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
         assert r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(under.encode()).hexdigest()
 
