@@ -11,9 +11,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeops.operators.upsert import unused_name
 from lakeops.session import new_work_dir
 
 #: White space of the contracts, as a Java character class.
@@ -41,6 +43,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that tell its rows apart in every read, and their names.
+
+    A row of a Parquet file is known by a hash of the file's name and its place in the
+    file, which do not depend on how Spark splits a read. Where rows have no such place, or
+    not one each, as after a join, and where two files share a hash, the rows are written
+    once with numbers and read from there.
+    """
+    names = [unused_name(docs, "row_file"), unused_name(docs, "row_place")]
+    if "_metadata" not in docs.columns:
+        try:
+            path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+            found = docs.withColumns({names[0]: F.xxhash64(path), names[1]: place})
+            files = docs.select(path.alias("path")).distinct().agg(
+                F.count("*"), F.count_distinct(F.xxhash64("path"))
+            )
+        except AnalysisException:
+            pass
+        else:
+            twice = found.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1")
+            if len(set(files.first())) == 1 and twice.isEmpty():
+                return found, names
+    numbers = {names[0]: F.lit(0).cast("long"), names[1]: F.monotonically_increasing_id()}
+    return stored(docs.withColumns(numbers), "keyed-rows"), names
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
     """``df`` with a dense 0-based rank over all rows in the given order.
 

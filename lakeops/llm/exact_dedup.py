@@ -8,8 +8,8 @@ level exactly when they are equal, whatever hashes do.
 
 Only distinct blocks are shuffled as text, after a map-side combine, so a block that
 a third of all documents share costs one row per task. Occurrences find their name by
-a 64-bit hash of the block; blocks whose hash another block shares are told apart by
-their text in a second join, which is empty unless that happens.
+a 64-bit hash of the block; only if two blocks share a hash do the blocks themselves take
+part in that join.
 
 Defined cases: NULL text is the empty text, and all empty texts are equal; rows with
 the same ``doc_id`` are separate rows and each is reported; a NULL ``doc_id`` sorts
@@ -18,10 +18,12 @@ after all others; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import SPACE, stored, text_of
+from lakeops.llm.common import SPACE, keyed, stored, text_of
 
 BLOCK_CHARS = 2048
 #: More levels than any text has.
@@ -45,13 +47,16 @@ def _sorted_names(distinct: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def block_identities(
+    docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: Sequence[str] = ()
+) -> DataFrame:
     """(row, doc_id, n_chars, text_sha256, level, name): equal texts share level and name.
 
-    ``row`` is a number of the input row. ``n_chars`` counts the original text.
+    ``row`` is a number of the input row, ``carry`` names columns kept after it.
+    ``n_chars`` counts the original text.
     """
-    spark = docs.sparkSession
     normal = docs.select(
+        *carry,
         "doc_id",
         F.length(text_of()).cast("long").alias("n_chars"),
         F.regexp_replace(text_of(), SPACE, "").alias("normal"),
@@ -63,27 +68,25 @@ def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
         ),
         "block-names",
     )
+    shared = names.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    # Only where blocks share a hash are their texts written with the rows.
+    by = ["hash"] if shared.isEmpty() else ["hash", "block"]
+
+    def place(block: Column, i: Column) -> Column:
+        found = [i.alias("pos"), F.xxhash64(block).alias("hash"), block.alias("block")]
+        return F.struct(*found[: 1 + len(by)])
+
     numbered = normal.select(
         F.monotonically_increasing_id().alias("row"),
+        *carry,
         "doc_id",
         "n_chars",
         F.sha2("normal", 256).alias("text_sha256"),
-        F.transform(
-            _blocks(F.col("normal"), block_chars),
-            lambda block, i: F.struct(i.alias("pos"), F.xxhash64(block).alias("hash")),
-        ).alias("blocks"),
+        F.transform(_blocks(F.col("normal"), block_chars), place).alias("blocks"),
     )
     rows = stored(numbered, "block-rows")
-    shared = stored(
-        names.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"),
-        "block-shared",
-    )
-    alone = names.select("hash", "name")
     places = rows.select("row", F.size("blocks").alias("n"), F.inline("blocks"))
-    if shared.isEmpty():
-        named = places.join(alone, "hash").select("row", "n", "pos", "name")
-    else:
-        named = _told_apart(docs, places, names, shared, block_chars)
+    named = places.join(names.select(*by, "name"), by).select("row", "n", "pos", "name")
     done = []
     current = stored(named, "block-level")
     for level in range(MAX_LEVELS):
@@ -98,27 +101,6 @@ def block_identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     return rows.drop("blocks").join(identity, "row")
 
 
-def _told_apart(
-    docs: DataFrame, places: DataFrame, names: DataFrame, shared: DataFrame, size: int
-) -> DataFrame:
-    """Names of all places where some blocks differ and yet have the same hash."""
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        _blocks(F.regexp_replace(text_of(), SPACE, ""), size).alias("blocks"),
-    )
-    texts = texts.select("row", F.posexplode("blocks").alias("pos", "block")).withColumn(
-        "hash", F.xxhash64("block")
-    )
-    clear = places.join(shared, "hash", "left_anti").join(names.select("hash", "name"), "hash")
-    unclear = (
-        places.join(shared, "hash", "left_semi")
-        .join(texts.join(shared, "hash", "left_semi"), ["row", "pos", "hash"])
-        .join(names, ["hash", "block"])
-    )
-    columns = ["row", "n", "pos", "name"]
-    return clear.select(*columns).unionByName(unclear.select(*columns))
-
-
 def _paired(current: DataFrame) -> DataFrame:
     """The next level: names of the adjacent pairs of names; an odd last one stands alone."""
     even = F.col("pos") % 2 == 0
@@ -137,13 +119,16 @@ def _paired(current: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per input row: which row of its equal texts stays, and how many they are.
 
-    Columns row, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the one
-    with the most code points stays, then the smallest doc_id, then the first row.
+    Columns row, those in ``carry``, doc_id, keep_id, group_size, kept, text_sha256. Of
+    equal texts the one with the most code points stays, then the smallest doc_id, then
+    the first row.
     """
-    members = stored(block_identities(docs, block_chars), "block-members")
+    members = stored(block_identities(docs, block_chars, carry), "block-members")
     last = F.col("doc_id").isNull()
     best = F.min(F.struct(-F.col("n_chars"), last, F.col("doc_id"), F.col("row")))
     groups = (
@@ -159,6 +144,7 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     )
     return members.join(groups, ["level", "name"]).select(
         "row",
+        *carry,
         "doc_id",
         "keep_id",
         "group_size",
@@ -170,11 +156,8 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 def keep_first_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns.
 
-    Rows are told apart by their number, so ``docs`` must be a table of files, which
-    Spark reads in the same order each time. Of repeated rows one stays.
+    Of repeated rows one stays.
     """
-    found = exact_duplicates(docs, block_chars).filter("kept")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(found.select(F.col("row").alias("__row")), "__row", "left_semi").drop(
-        "__row"
-    )
+    rows, keys = keyed(docs)
+    found = exact_duplicates(rows, block_chars, keys).filter("kept").select(*keys)
+    return rows.join(found, keys, "left_semi").drop(*keys)

@@ -9,9 +9,12 @@ per source and gives exponentially tilted rates,
 
 which are 1 at lambda = 0 and never exceed ``most``. Newton steps, each one
 aggregation over (source, size, rows) counts, solve the dual for all sources at once.
-Rates then become whole copies: documents of a source are dealt to segments of bounded
-size, and in each segment, longest first, the rounding error is carried to the next
-document, so a segment misses its words by no more than about its shortest text.
+Rates then become whole copies: documents of a source are sorted by a hash of doc_id and
+text and cut into segments of bounded size, and in each segment, longest first, the rounding
+error is carried to the next document, so a segment misses its words by no more than about
+its shortest text. Sums of the solution are exact decimals, and rows are told apart by
+what they hold, so neither the split of a table into files or tasks nor the order of its
+rows changes what is taken.
 
 Defined cases: NULL text has size 0; documents of size 0 are taken 0 times over in
 words and their rate is rounded like any other; NULL source is a source of its own,
@@ -21,12 +24,15 @@ result; rows with the same doc_id are mixed as separate rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import WORD, numbered, stored, text_of
+from lakeops.llm.common import WORD, keyed, numbered, stored, text_of
+from lakeops.operators.upsert import unused_name
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,6 +102,11 @@ def _rate(tilt: Column, x: Column, most: float) -> Column:
     return most / (1.0 + (most - 1.0) * F.exp(-F.least(tilt * x, F.lit(STEEPEST))))
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of its terms."""
+    return F.sum(value.cast("decimal(38,9)")).cast("double")
+
+
 def solve_tilts(counts: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
     """(source, rows, source_size, target, tilt): the dual solution of every source.
 
@@ -122,8 +133,8 @@ def solve_tilts(counts: DataFrame, targets: DataFrame, most: float = MOST) -> Da
         rate = _rate(F.col("tilt"), x, most)
         words = F.col("n") * F.col("size")
         sums = both.groupBy(*by).agg(
-            F.sum(words * rate).alias("__got"),
-            F.sum(words * x * rate * (1.0 - rate / most)).alias("__slope"),
+            _exact_sum(words * rate).alias("__got"),
+            _exact_sum(words * x * rate * (1.0 - rate / most)).alias("__slope"),
         )
         miss = F.col("__got") - F.col("target")
         close = F.abs(miss) <= TOLERANCE * F.col("target")
@@ -175,16 +186,20 @@ def mixed_copies(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, doc_id, size, source_size, target, copies) of every row of ``docs``.
 
-    ``key`` numbers the input row. Copies times size is what the mix takes of it.
+    ``key`` numbers the input row; the columns named by ``carry`` follow the others. Copies
+    times size is what the mix takes of it.
     """
     rows = stored(
         docs.select(
             F.monotonically_increasing_id().alias("key"),
+            F.struct(*carry).alias("carried") if carry else F.lit(0).alias("carried"),
             "doc_id",
             "source",
+            F.xxhash64("doc_id", text_of()).alias("order"),
             word_count(text_of()).alias("size"),
         ),
         "mix-rows",
@@ -192,13 +207,20 @@ def mixed_copies(
     targets = source_targets(rows.select("source", "size"), weights, share, most)
     counts = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     tilts = solve_tilts(counts, targets, most).withColumnRenamed("source", "__s")
-    rated = rows.join(tilts, F.col("__s").eqNullSafe(F.col("source")))
+    # Rows that cannot be told apart but by their number may swap places, and only they.
+    by = [F.col("source").asc_nulls_last(), F.col("order"), F.col("key")]
+    ranked = stored(
+        numbered(rows.select("key", "doc_id", "source", "size", "order"), by, "place", "mix-order"),
+        "mix-places",
+    )
+    first = ranked.groupBy("source").agg(F.min("place").alias("first")).withColumnRenamed("source", "__f")
+    rated = ranked.join(tilts, F.col("__s").eqNullSafe(F.col("source"))).join(
+        first, F.col("__f").eqNullSafe(F.col("source"))
+    )
     rate = _rate(F.col("tilt"), F.col("size") / F.col("mean"), most)
     whole = (F.col("tilt") >= STEEPEST) & (F.col("size") > 0)
     rate = F.when(whole, F.lit(most)).otherwise(rate)
-    order = F.xxhash64("doc_id", "key")
-    segment = F.pmod(order, F.ceil(F.col("rows") / F.lit(SEGMENT_ROWS)).cast("long"))
-    return (
+    copies = (
         rated.select(
             "key",
             "doc_id",
@@ -206,11 +228,11 @@ def mixed_copies(
             "source_size",
             "target",
             rate.alias("rate"),
-            order.alias("order"),
+            "order",
             F.lit(most).alias("most"),
             F.col("__s").isNull().alias("none"),
             F.coalesce("__s", F.lit("")).alias("name"),
-            segment.alias("segment"),
+            F.floor((F.col("place") - F.col("first")) / SEGMENT_ROWS).alias("segment"),
         )
         .groupBy("none", "name", "segment")
         .applyInPandas(
@@ -218,14 +240,17 @@ def mixed_copies(
             "key long, doc_id long, size long, source_size long, target double, copies long",
         )
     )
+    if not carry:
+        return copies
+    return copies.join(rows.select("key", "carried"), "key").select(*copies.columns, "carried.*")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, all columns as they were."""
-    copies = mixed_copies(docs, **options).filter("copies > 0")
-    counted = copies.select(F.col("key").alias("__key"), F.col("copies").cast("int").alias("__n"))
-    keyed = docs.withColumn("__key", F.monotonically_increasing_id())
-    repeated = keyed.join(counted, "__key").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))
-    )
-    return repeated.select(*[repeated[c] for c in docs.columns])
+    rows, keys = keyed(docs)
+    times = unused_name(rows, "times")
+    copies = mixed_copies(rows, carry=keys, **options).filter("copies > 0")
+    counted = copies.select(*keys, F.col("copies").cast("int").alias(times))
+    repeated = rows.join(counted, keys)
+    copy = F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)
+    return repeated.select(*[repeated[c] for c in docs.columns], copy).drop(times)

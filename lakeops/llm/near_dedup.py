@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import GOLDEN, Words, mix, pieces, spread, stored, string_hashes, text_of
+from lakeops.llm.common import GOLDEN, Words, keyed, mix, pieces, spread, stored, string_hashes, text_of
 from lakeops.llm.graph import components
 
 SYMBOL_BITS = 16
@@ -56,8 +56,8 @@ SEED = 20240229
 _NUMBER_BITS = 8
 #: Members of a bucket that are compared in one block.
 BLOCK_ROWS = 4096
-#: So many row numbers of at most 8 bytes are sent to every executor; more are joined.
-BROADCAST_ROWS = 4_000_000
+#: So many row numbers of 24 bytes are sent to every executor; more are joined.
+BROADCAST_ROWS = 1_300_000
 
 
 class Plan(NamedTuple):
@@ -166,17 +166,25 @@ def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 _SIGNED = pa.schema(
     [
         ("row", pa.int64()),
+        ("file", pa.int64()),
+        ("place", pa.int64()),
         ("doc_id", pa.int64()),
         ("n", pa.int64()),
         ("same", pa.binary()),
         ("signature", pa.binary()),
     ]
 )
-_SIGNED_DDL = "row long, doc_id long, n long, same binary, signature binary"
+_SIGNED_DDL = (
+    "row long, file long, place long, doc_id long, n long, same binary, signature binary"
+)
+_KEYS = ["file", "place"]
+
 
+def signed_rows(docs: DataFrame, width: int, symbols: int, keys: list[str]) -> DataFrame:
+    """(row, file, place, doc_id, n, same, signature); ``same`` is a digest of the whole set.
 
-def signed_rows(docs: DataFrame, width: int, symbols: int) -> DataFrame:
-    """(row, doc_id, n, same, signature); ``same`` is a digest of the whole set."""
+    ``row`` numbers the rows; ``keys``, here file and place, find them again.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +197,7 @@ def signed_rows(docs: DataFrame, width: int, symbols: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("row"),
-                        piece.column("doc_id"),
+                        *(piece.column(c) for c in ("row", "file", "place", "doc_id")),
                         pa.array(np.diff(offsets)),
                         pa.array(same, pa.binary()),
                         pa.array([s.tobytes() for s in sigs], pa.binary()),
@@ -200,6 +207,7 @@ def signed_rows(docs: DataFrame, width: int, symbols: int) -> DataFrame:
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
+        *[F.col(key).alias(name) for key, name in zip(keys, _KEYS)],
         F.col("doc_id").cast("long").alias("doc_id"),
         text_of().alias("text"),
     )
@@ -252,8 +260,8 @@ def _close_pairs(pairs: DataFrame, nodes: DataFrame, plan: Plan, percent: int) -
     return pairs.join(left, "a").join(right, "b").mapInArrow(_near(plan, percent), "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(row, hashes) of the rows in ``wanted``, read again from the documents."""
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(row, hashes) of the rows in ``wanted`` (row, file, place), read again from the texts."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +273,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 )
 
     few = wanted.count() <= BROADCAST_ROWS
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
-    chosen = rows.join(F.broadcast(wanted) if few else wanted, "row", "left_semi")
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, _KEYS).select("row", "text")
     return chosen.mapInArrow(hashed, "row long, hashes binary")
 
 
@@ -290,11 +297,13 @@ def _linked(percent: int):
     return check
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(
+    texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int
+) -> DataFrame:
     """(a, b) of those pairs whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
-    wanted = stored(ends.distinct(), "near-wanted")
-    sets = stored(_sets(docs, wanted, width), "near-sets")
+    wanted = stored(nodes.select("row", *_KEYS).join(ends.distinct(), "row"), "near-wanted")
+    sets = stored(_sets(texts, wanted, width), "near-sets")
     left = sets.select(F.col("row").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("row").alias("b"), F.col("hashes").alias("hb"))
     checked = pairs.join(right, "b").join(left, "a").mapInArrow(
@@ -403,7 +412,7 @@ def _joining_links(plan: Plan, percent: int):
 
 
 def _residual_links(
-    docs: DataFrame,
+    texts: DataFrame,
     buckets: DataFrame,
     nodes: DataFrame,
     found: DataFrame,
@@ -459,8 +468,9 @@ def _residual_links(
     )
     if open_rows.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    wanted = stored(open_rows.select(F.col("node").alias("row")).distinct(), "near-wanted")
-    sets = stored(_sets(docs, wanted, width), "near-sets").withColumnRenamed("row", "node")
+    ends = open_rows.select(F.col("node").alias("row")).distinct()
+    wanted = stored(nodes.select("row", *_KEYS).join(ends, "row"), "near-wanted")
+    sets = stored(_sets(texts, wanted, width), "near-sets").withColumnRenamed("row", "node")
     return in_runs(open_rows.join(sets, "node").select(*columns, "hashes")).mapInArrow(
         _joining_links(plan, percent), "a long, b long"
     )
@@ -469,13 +479,23 @@ def _residual_links(
 def near_components(
     docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS
 ) -> DataFrame:
-    """(row, doc_id, n_shingles, component): rows linked by chains of near copies.
+    """(row, file, place, doc_id, n_shingles, component): rows linked by chains of near copies.
 
-    ``row`` numbers the input rows, which must be a table of files, since Spark then
-    reads them in the same order each time; ``component`` is a row number.
+    ``row`` numbers the input rows, file and place find them in ``keyed`` rows;
+    ``component`` is a row number.
     """
+    rows, keys = keyed(docs)
+    return _components_of(rows, keys, width, percent, miss)
+
+
+def _components_of(
+    docs: DataFrame, keys: list[str], width: int, percent: int, miss: float
+) -> DataFrame:
     plan = signature_plan(percent, miss)
-    signed = stored(signed_rows(docs, width, plan.symbols), "near-signed")
+    signed = stored(signed_rows(docs, width, plan.symbols, keys), "near-signed")
+    texts = docs.select(
+        *[F.col(key).alias(name) for key, name in zip(keys, _KEYS)], text_of().alias("text")
+    )
     filled = signed.filter("n > 0")
     classes = stored(
         filled.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies")),
@@ -483,7 +503,7 @@ def near_components(
     )
     nodes = stored(
         filled.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(
-            "row", "n", "signature"
+            "row", *_KEYS, "n", "signature"
         ),
         "near-nodes",
     )
@@ -501,10 +521,10 @@ def near_components(
         .distinct()
     )
     close = stored(_close_pairs(stars, nodes, plan, percent), "near-pairs")
-    links = stored(_confirmed(docs, close, width, percent), "near-links")
+    links = stored(_confirmed(texts, nodes, close, width, percent), "near-links")
     found = stored(components(links), "near-found")
     more = stored(
-        _residual_links(docs, buckets.select("key", "node"), nodes, found, plan, width, percent),
+        _residual_links(texts, buckets.select("key", "node"), nodes, found, plan, width, percent),
         "near-links",
     )
     if not more.isEmpty():
@@ -514,6 +534,7 @@ def near_components(
     )
     return signed.join(member, "same", "left").select(
         "row",
+        *_KEYS,
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"),
@@ -523,18 +544,23 @@ def near_components(
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, miss: float = MISS
 ) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, kept_row): one row per document.
+    """(row, file, place, doc_id, n_shingles, component_id, kept_row): one row per document.
 
     ``component_id`` is the smallest doc_id reachable, NULL if none has one. The first
     row with that doc_id has ``kept_row``.
     """
-    members = stored(near_components(docs, width, percent, miss), "near-members")
+    return _duplicates_of(near_components(docs, width, percent, miss))
+
+
+def _duplicates_of(components_: DataFrame) -> DataFrame:
+    members = stored(components_, "near-members")
     least = members.groupBy("component").agg(
         F.min("doc_id").alias("component_id"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
     )
     return members.join(least, "component").select(
         "row",
+        *_KEYS,
         "doc_id",
         "n_shingles",
         "component_id",
@@ -544,8 +570,7 @@ def near_duplicates(
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the row of smallest doc_id of each component, all its columns."""
-    kept = near_duplicates(docs, width, percent).filter("kept_row")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept.select(F.col("row").alias("__row")), "__row", "left_semi").drop(
-        "__row"
-    )
+    rows, keys = keyed(docs)
+    found = _duplicates_of(_components_of(rows, keys, width, percent, MISS)).filter("kept_row")
+    kept = found.select(*[F.col(name).alias(key) for key, name in zip(keys, _KEYS)])
+    return rows.join(kept, keys, "left_semi").drop(*keys)

@@ -77,12 +77,13 @@ def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stored(simhash.compared_with_next(table(spark, sf_dir, "documents")), "simhash")
-    queries = found.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "fingerprint")
+    compared = simhash.compared_with_next(table(spark, sf_dir, "documents"))
+    found = stored(compared.withColumn("row", F.monotonically_increasing_id()), "simhash")
+    queries = found.filter("doc_id % 50 = 0").select(F.col("row").alias("query"), "fingerprint")
     near = simhash.within_radius(found.select("fingerprint"), queries)
     counts = near.groupBy("query").agg((F.sum("copies") - 1).alias("n_near"))
     hex_of = lambda name: F.lower(F.hex(name)).alias(name)
-    return found.join(counts, found["doc_id"] == counts["query"], "left").select(
+    return found.join(counts, found["row"] == counts["query"], "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",

@@ -172,8 +172,8 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     the first. Likeness is the share of equal bits. Fingerprints are bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    order = F.col("doc_id").desc_nulls_last()
-    dealt = rows.repartitionByRange(order).sortWithinPartitions(order, F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     walked = stored(dealt.mapInArrow(_walk, _ROW_DDL), "simhash-walk")
     firsts = walked.filter("edge = 0").select("part", F.col("text").alias("following"))
     parts = firsts.select("part").withColumn(

@@ -8,11 +8,14 @@ before, with the number of ones before each block of RANK_BITS bits. That is lit
 more than an id's own bits, and it answers, from the file alone, which id is at a place,
 how often an id occurs up to a place, and where it occurs for the j-th time.
 
-Text is shuffled once, by ranges of doc_id. A task encodes distinct words
-through the tokenizer, remembers them for the next texts and copies ids from there: the vocabulary's pre-tokenizer
-never joins characters across white space, nor an ASCII letter and the point or comma
-after it. Files get their name last, so a task that is run again replaces them by the
-same content.
+Text is shuffled once, by ranges of doc_id and a hash of the text. A task encodes distinct
+words through the tokenizer, remembers them for the next texts and copies ids from there:
+the vocabulary's pre-tokenizer never joins characters across white space, nor an ASCII
+letter and the point or comma after it, and does not tell capitals from small letters. A
+tokenizer for which that does not hold is refused when it is opened. What is remembered
+lies in two generations; when the younger is full it becomes the elder, and words still
+met move over, so the words in use are never encoded anew. Files get their name last, so a task
+that is run again replaces them by the same content.
 
 Defined cases: NULL text is the empty text, which is just the end id; NULL doc_ids come
 first; rows with the same doc_id follow each other, ordered by a hash of their text; an
@@ -44,11 +47,17 @@ SUFFIX = ".wvm"
 MAGIC = b"WVMATRX1"
 HEADER = "<8sqqq"
 _SLICE_BYTES = 4 << 20
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers in each of two generations.
+REMEMBERED = 250_000
 _WORDS_PER_CALL = 2000
 _TEXTS_PER_CALL = 16
 _LETTERS_ONLY = r"^\pL+$"
+#: Texts that a usable tokenizer encodes as their parts, one after another.
+_PARTED = (
+    ("one two\n three", ("one", "two", "three")),
+    ("ends. a,b", ("ends", ".", "a", ",", "b")),
+    ("Ab\tCD\x0b.x", ("ab", "cd", ".x")),
+)
 
 
 class WaveletMatrix:
@@ -207,6 +216,41 @@ def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [int(d) if k else None for d, k in zip(numbers, known)], lengths, matrix
 
 
+class Growing:
+    """An array that doubles its room when it is full."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.n + len(values)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Remembered:
+    """Ids of words: ``count`` of them from ``begin`` on, by the word's place."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.begin, self.count = Growing(np.int32), Growing(np.int64), Growing(np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.place.update(zip(words, range(self.begin.n, self.begin.n + len(words))))
+        self.begin.add(self.ids.n + np.cumsum(count) - count)
+        self.count.add(count)
+        self.ids.add(ids)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places end to end, and how many each has."""
+        count = self.count.room[at]
+        shift = self.begin.room[at] - (np.cumsum(count) - count)
+        return self.ids.room[np.repeat(shift, count) + np.arange(int(count.sum()))], count
+
+
 class Encoder:
     """Ids of texts through the tokenizer; a word is encoded once while it is remembered."""
 
@@ -222,31 +266,33 @@ class Encoder:
         self.special = sorted(
             token.content for token in self.tokenizer.get_added_tokens_decoder().values()
         )
-
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(0, np.int32)
-        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def recall(self, vocabulary: pa.Array) -> np.ndarray:
-        """Places of distinct words in ``begin`` and ``count``; new ones are encoded."""
+        for whole, parts in _PARTED:
+            if self._ids(whole) != [i for part in parts for i in self._ids(part)]:
+                raise ValueError(f"{path} does not encode words one by one: {whole!r}")
+        if any(re.search(r"\s", token) for token in self.special):
+            raise ValueError(f"{path} has special tokens with white space")
+        self.young, self.old = Remembered(), Remembered()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def recall(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has; new ones are encoded."""
         strings = vocabulary.to_pylist()
-        at = np.fromiter((self.known.get(w, -1) for w in strings), np.int64, len(strings))
-        new = np.flatnonzero(at < 0)
-        if self.known and len(self.known) + len(new) > REMEMBERED:
-            self._forget()
-            new = np.arange(len(strings))
-        if len(new):
-            ids, count = self.words(vocabulary.take(pa.array(new)))
-            first = len(self.known)
-            at[new] = first + np.arange(len(new))
-            self.known.update(zip((strings[i] for i in new.tolist()), range(first, first + len(new))))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, ids])
-        return at
+        if self.young.begin.n + len(strings) > REMEMBERED and self.young.begin.n:
+            self.young, self.old = Remembered(), self.young
+        at = np.fromiter((self.young.place.get(w, -1) for w in strings), np.int64, len(strings))
+        lacking = np.flatnonzero(at < 0)
+        known = [self.old.place.get(strings[i], -1) for i in lacking.tolist()]
+        known = np.array(known, np.int64)
+        moved, new = lacking[known >= 0], lacking[known < 0]
+        for which, found in (
+            (moved, self.old.of(known[known >= 0])),
+            (new, self.words(vocabulary.take(pa.array(new)))),
+        ):
+            at[which] = self.young.begin.n + np.arange(len(which))
+            self.young.add([strings[i] for i in which.tolist()], *found)
+        return self.young.of(at)
 
     def _flat(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; few texts at a time, as encodings hold far more than ids."""
@@ -291,24 +337,29 @@ class Encoder:
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts end to end, an end id after each, and how many each has."""
         texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
-        special = pc.match_substring_regex(texts, "(?i)" + "|".join(map(re.escape, self.special)))
-        if self.special and pc.any(special).as_py():
+        words = Words(texts, lower=True)
+        special = "(?i)" + "|".join(map(re.escape, self.special))
+        if self.special and pc.any(pc.match_substring_regex(words.vocabulary, special)).as_py():
             whole = self._flat(texts.to_pylist())
             sizes = np.array([len(x) + 1 for x in whole], dtype=np.int64)
             return np.concatenate([y for x in whole for y in (x, [END_ID])]), sizes
-        parted = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])", r"\1 \2")
-        words = Words(parted, lower=True)
-        at = self.recall(words.vocabulary)[words.codes]
-        each = self.count[at]
-        total = np.concatenate([[0], np.cumsum(each)])[words.offsets]
-        sizes = np.diff(total) + 1
+        # Points and commas are parted from their words in the distinct words only.
+        parted = Words(pc.replace_substring_regex(words.vocabulary, r"([A-Za-z])([.,])", r"\1 \2"))
+        ids, count = self.recall(parted.vocabulary)
+        begin = np.cumsum(count) - count
+        each = count[parted.codes]
+        held = ids[np.repeat(begin[parted.codes] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        total = np.concatenate([[0], np.cumsum(each)])[parted.offsets]
+        begin, count = total[:-1], np.diff(total)
+        each = count[words.codes]
+        sizes = np.diff(np.concatenate([[0], np.cumsum(each)])[words.offsets]) + 1
         out = np.full(int(sizes.sum()), END_ID, dtype=np.int32)
         # Every text's ids move up by the end ids of the texts before it.
         own = np.ones(len(out), dtype=bool)
         own[np.cumsum(sizes) - 1] = False
-        source = np.repeat((self.begin[at] - (np.cumsum(each) - each)).astype(np.int32), each)
+        source = np.repeat((begin[words.codes] - (np.cumsum(each) - each)).astype(np.int32), each)
         source += np.arange(len(source), dtype=np.int32)
-        out[own] = self.ids[source]
+        out[own] = held[source]
         return out, sizes
 
 
@@ -380,7 +431,8 @@ def write_token_files(
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = dealt.mapInArrow(write, "part long, shard long, name string, docs long, tokens long")
     return stored(files, "token-files")
 
@@ -429,7 +481,7 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
         .load(folder)
         .select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     )
-    named = contents.join(F.broadcast(_starts(files)), "name")
+    named = contents.join(_starts(files), "name")
     return named.select("before", "content").mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids binary"
     )
