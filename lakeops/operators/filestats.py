@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeops.functions.sizes import BIN_LABELS, average_or_zero, size_bin, sum_or_zero, to_mb
 
 TABLE = "table_name"
+FAULT = "fault"
 
 # What a text report shows of the descriptive statistics.
 REPORTED_STATS = ["min", "max", "mean", "stddev"]
@@ -22,8 +23,16 @@ TOTALS = [
 ]
 
 
-def _totals() -> list[Column]:
-    total, files = sum_or_zero(F.col("size_in_bytes")), F.count("*")
+def _totals(files: DataFrame) -> list[Column]:
+    """Totals of each table; rows with a fault are no files, and the first is its error."""
+    faulty = FAULT in files.columns
+    count = F.count_if(F.col(FAULT).isNull()) if faulty else F.count("*")
+    error = [F.min(FAULT).alias("error")] if faulty else []
+    return [*_sums(count), *error]
+
+
+def _sums(files: Column) -> list[Column]:
+    total = sum_or_zero(F.col("size_in_bytes"))
     average = average_or_zero(total, files)
     return [
         total.alias("total_size_bytes"),
@@ -65,12 +74,12 @@ def file_size_statistics(files: DataFrame, descriptive: bool = True) -> DataFram
     The average divides by all files, the descriptive mean by those of known size.
     """
     extra = [_descriptive_stats()] if descriptive else []
-    return files.groupBy(TABLE).agg(*_totals(), *extra)
+    return files.groupBy(TABLE).agg(*_totals(files), *extra)
 
 
 def file_profile(files: DataFrame) -> DataFrame:
     """Statistics and distribution of each table from a single pass over its files."""
-    return files.groupBy(TABLE).agg(*_totals(), _descriptive_stats(), _bin_counts())
+    return files.groupBy(TABLE).agg(*_totals(files), _descriptive_stats(), _bin_counts())
 
 
 def file_size_distribution(files: DataFrame, unknown_label: str | None = None) -> DataFrame:
@@ -95,6 +104,12 @@ def for_tables(tables: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
+def without_figures(profile: DataFrame) -> DataFrame:
+    """A profile in which tables with an ``error`` have no figures."""
+    figures = [c for c in profile.columns if c not in (TABLE, "error")]
+    return profile.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in figures})
+
+
 def configured_statistics(control: DataFrame, statistics: DataFrame) -> DataFrame:
     """Statistics of the tables a control selection names."""
     return statistics.join(control.select(TABLE).distinct(), TABLE)

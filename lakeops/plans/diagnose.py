@@ -16,10 +16,13 @@ from lakeops.sources import commit_log, inventory, storage
 ALL_ADDS, LIVE, FILES, LIVE_OR_FILES = "all_adds", "live", "files", "live_or_files"
 
 
-def table_files(spark: SparkSession, locations: dict[str, str], mode: str = ALL_ADDS) -> DataFrame:
+def table_files(
+    spark: SparkSession, locations: dict[str, str], mode: str = ALL_ADDS, faults: bool = False
+) -> DataFrame:
     """Files of many tables: every logged add, the live ones, or those in the folder.
 
     Every add means those of retained commits; live files also come from checkpoints.
+    With ``faults`` the parts of a log that cannot be read are rows with a ``fault``.
     """
     if mode == FILES:
         return inventory.read_file_inventory(spark, locations)
@@ -28,8 +31,9 @@ def table_files(spark: SparkSession, locations: dict[str, str], mode: str = ALL_
             lambda root: commit_log.find_snapshot(spark, root), locations.values()
         )
         snapshots = dict(zip(locations, found, strict=True))
-        return commit_log.live_files(commit_log.read_live_actions(spark, locations, snapshots))
-    return commit_log.added_files(commit_log.read_commit_log(spark, locations))
+        actions = commit_log.read_live_actions(spark, locations, snapshots, isolate=faults)
+        return commit_log.live_files(actions, faults=faults)
+    return commit_log.added_files(commit_log.read_commit_log(spark, locations), faults=faults)
 
 
 def _locate(
@@ -67,19 +71,22 @@ def _incomplete(spark: SparkSession, locations: dict[str, str]) -> dict[str, str
 def analyze_tables(
     spark: SparkSession, names: Iterable[str], mode: str = ALL_ADDS
 ) -> DataFrame:
-    """One row per named table: its profile, or the reason it has none in ``error``."""
+    """One row per named table: its profile, or the reason it has none in ``error``.
+
+    Faults in the logs travel through the one scan of all tables and end in the one
+    aggregate, so a log that cannot be read whole costs its own table only.
+    """
     locations, errors = _locate(spark, names, mode)
     failed = small_table(spark, list(errors.items()), "table_name", "error")
     if not locations:
         no_files = spark.createDataFrame([], "table_name STRING, size_in_bytes BIGINT")
         return filestats.file_profile(no_files).unionByName(failed, allowMissingColumns=True)
     tables = small_table(spark, [(name,) for name in locations], "table_name")
-    profile = filestats.file_profile(table_files(spark, locations, mode))
-    return (
-        filestats.for_tables(tables, profile)
-        .withColumn("error", F.lit(None).cast("string"))
-        .unionByName(failed, allowMissingColumns=True)
-    )
+    profile = filestats.file_profile(table_files(spark, locations, mode, faults=mode != FILES))
+    if "error" not in profile.columns:
+        profile = profile.withColumn("error", F.lit(None).cast("string"))
+    known = filestats.without_figures(filestats.for_tables(tables, profile))
+    return known.unionByName(failed, allowMissingColumns=True)
 
 
 def analyze_table(spark: SparkSession, name: str, mode: str = ALL_ADDS) -> DataFrame:
@@ -103,19 +110,25 @@ def table_detail(
         return tables.withColumns(
             {c: F.lit(None).cast("bigint") for c in ("num_files", "size_in_bytes")}
         )
-    sizes = filestats.file_size_statistics(
-        table_files(spark, locations, mode), descriptive=False
-    ).select(
-        "table_name",
-        F.col("num_files"),
-        F.col("total_size_bytes").alias("size_in_bytes"),
+    files = table_files(spark, locations, mode, faults=mode != FILES)
+    sizes = filestats.file_size_statistics(files, descriptive=False)
+    fault = F.col("error") if "error" in sizes.columns else F.lit(None).cast("string")
+    sizes = sizes.select(
+        "table_name", "num_files", F.col("total_size_bytes").alias("size_in_bytes"), fault.alias("fault")
     )
-    located = F.col("location").isNotNull()
-    return tables.join(sizes, "table_name", "left").withColumns(
-        {
-            name: F.when(located, F.coalesce(name, F.lit(0)))
-            for name in ("num_files", "size_in_bytes")
-        }
+    located = F.col("location").isNotNull() & F.col("fault").isNull()
+    return (
+        tables.join(sizes, "table_name", "left")
+        .withColumns(
+            {
+                "error": F.coalesce("error", "fault"),
+                **{
+                    name: F.when(located, F.coalesce(name, F.lit(0)))
+                    for name in ("num_files", "size_in_bytes")
+                },
+            }
+        )
+        .drop("fault")
     )
 
 

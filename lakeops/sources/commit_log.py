@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,17 @@ ACTIONS_SCHEMA = (
     "remove STRUCT<path: STRING, dataChange: BOOLEAN, deletionTimestamp: BIGINT>"
 )
 
+# Commit lines that are no JSON, or hold a value of another type, are kept as they are.
+FAULT = "fault"
+LINES_SCHEMA = f"{ACTIONS_SCHEMA}, {FAULT} STRING"
+FAULT_CHARS = 80
+
 # Pieces a removing commit's files are spread over when commits are matched.
 COMMIT_SALTS = 16
 
 
 # Folders are listed by executors and hold more than commits.
-COMMIT_FILES = {"pathGlobFilter": "*.json"}
+COMMIT_FILES = {"pathGlobFilter": "*.json", "columnNameOfCorruptRecord": FAULT}
 
 
 # Names of commits and of checkpoints, single or in parts, in a log folder.
@@ -63,7 +70,8 @@ def commit_version(file_name: Column) -> Column:
 def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFrame:
     """Actions of all JSON commits of many tables, in one scan.
 
-    ``locations`` maps table names to table folders that have a log.
+    ``locations`` maps table names to table folders that have a log. A line that cannot
+    be read whole has a ``fault``, which says where it is.
     """
     roots = {name: storage.qualify(spark, location) for name, location in locations.items()}
     folders = [
@@ -71,7 +79,7 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
     ]
     file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     lines = (
-        spark.read.schema(ACTIONS_SCHEMA)
+        spark.read.schema(LINES_SCHEMA)
         .options(**COMMIT_FILES)
         .json(folders)
         .select(
@@ -82,6 +90,15 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
             commit_version(file_name).alias("version"),
             "add",
             "remove",
+            F.when(
+                F.col(FAULT).isNotNull(),
+                F.concat(
+                    F.lit("malformed line in "),
+                    file_name,
+                    F.lit(": "),
+                    F.left(F.col(FAULT), F.lit(FAULT_CHARS)),
+                ),
+            ).alias(FAULT),
         )
     )
     # Roots are spelled as Spark reports file paths, so lines need no parsing.
@@ -93,7 +110,7 @@ def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFr
         "root",
     )
     return lines.join(tables, "root").select(
-        "table_name", "location", "version", "add", "remove"
+        "table_name", "location", "version", "add", "remove", FAULT
     )
 
 
@@ -124,12 +141,49 @@ def find_snapshot(spark: SparkSession, location: str, version: int | None = None
     return Snapshot(last, base, complete.get(base, ()))
 
 
+def unreadable_checkpoints(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """Those of many Parquet files whose rows cannot all be read, found by one job.
+
+    A file's rows are counted twice with errors passed over: by its footer alone, and
+    with every column an action needs. Files with a lost footer appear in neither, like
+    files without rows; only these few are opened one by one.
+    """
+    urls = {storage.as_url(spark, path): path for path in paths}
+    names = [storage.as_literal_path(path) for path in sorted(urls.values())]
+    rows = spark.read.schema(ACTIONS_SCHEMA).option("ignoreCorruptFiles", "true").parquet(*names)
+    path = F.col("_metadata.file_path").alias("path")
+    told = rows.select(path).groupBy("path").agg(F.count("*").alias("told"))
+    fields = ["add.path", "add.size", "remove.path", "remove.dataChange"]
+    held = F.xxhash64(*fields).alias("held")
+    # A xor of hashes: every value is read, and nothing but a number is kept of it.
+    found = rows.select(path, held).groupBy("path").agg(
+        F.count("*").alias("found"), F.bit_xor("held").alias("held")
+    )
+    whole = told.join(found.filter("held is not null"), "path").filter("told = found")
+    listed = small_table(spark, [(url,) for url in urls], "path")
+    suspects = [row["path"] for row in listed.join(whole, "path", "left_anti").collect()]
+
+    def fails(url: str) -> bool:
+        try:
+            name = storage.as_literal_path(urls[url])
+            return not spark.read.schema(ACTIONS_SCHEMA).parquet(name).select(*fields).isEmpty()
+        except (PySparkException, Py4JError):
+            return True
+
+    faulty = storage.on_each(fails, suspects)
+    return sorted(urls[url] for url, bad in zip(suspects, faulty, strict=True) if bad)
+
+
 def read_live_actions(
-    spark: SparkSession, locations: Mapping[str, str], snapshots: Mapping[str, Snapshot]
+    spark: SparkSession,
+    locations: Mapping[str, str],
+    snapshots: Mapping[str, Snapshot],
+    isolate: bool = False,
 ) -> DataFrame:
     """Actions that decide which files are live: those of checkpoints, then of commits.
 
-    What a checkpoint holds counts as done at its version.
+    What a checkpoint holds counts as done at its version. A checkpoint that cannot be read
+    fails the job, or with ``isolate`` gives a row with a ``fault`` for its table.
     """
     bounds = small_table(
         spark,
@@ -138,7 +192,7 @@ def read_live_actions(
         "after",
         "until",
     ).select("table_name", F.col("after").cast("bigint"), F.col("until").cast("bigint"))
-    columns = ["table_name", "location", "version", "add", "remove"]
+    columns = ["table_name", "location", "version", "add", "remove", FAULT]
     actions = (
         read_commit_log(spark, locations)
         .join(bounds, "table_name")
@@ -159,10 +213,27 @@ def read_live_actions(
         "location",
         "path",
     )
+    paths = {path for _, path in files}
+    lost = unreadable_checkpoints(spark, paths) if isolate else []
+    if lost:
+        broken = small_table(
+            spark,
+            [(name, locations[name], path.rsplit("/", 1)[1]) for name, path in sorted(files) if path in lost],
+            "table_name",
+            "location",
+            "file",
+        )
+        nothing = [F.lit(None).cast(actions.schema[c].dataType).alias(c) for c in ("version", "add", "remove")]
+        fault = F.concat(F.lit("unreadable checkpoint "), F.col("file")).alias(FAULT)
+        actions = actions.unionByName(broken.select("table_name", "location", *nothing, fault))
+    readable = [storage.as_literal_path(path) for path in sorted(paths.difference(lost))]
+    if not readable:
+        return actions
     held = (
         spark.read.schema(ACTIONS_SCHEMA)
-        .parquet(*sorted({storage.as_literal_path(path) for _, path in files}))
+        .parquet(*readable)
         .select(F.col("_metadata.file_path").alias("path"), "add", "remove")
+        .withColumn(FAULT, F.lit(None).cast("string"))
         .join(owners, "path")
         .join(bounds, "table_name")
         .withColumnRenamed("after", "version")
@@ -183,38 +254,48 @@ def _with_full_path(files: DataFrame, decoded: bool) -> DataFrame:
     return files
 
 
-def added_files(actions: DataFrame, decoded: bool = False) -> DataFrame:
+def added_files(actions: DataFrame, decoded: bool = False, faults: bool = False) -> DataFrame:
     """Every file a retained commit added, whether or not it was removed later.
 
     ``decoded`` adds the path as a reader would open it: percent-escapes resolved,
-    absolute paths not prefixed.
+    absolute paths not prefixed. With ``faults`` the rows that have one stay among them.
     """
-    files = actions.filter(F.col("add").isNotNull()).select(
+    kept = F.col("add").isNotNull()
+    files = actions.filter(kept | F.col(FAULT).isNotNull() if faults else kept).select(
         *[c for c in ("table_name", "location", "version") if c in actions.columns],
         F.col("add.path").alias("relative_path"),
         F.col("add.size").alias("size_in_bytes"),
+        *([FAULT] if faults else []),
     )
     return _with_full_path(files, decoded)
 
 
-def live_files(actions: DataFrame, decoded: bool = False) -> DataFrame:
+def live_files(actions: DataFrame, decoded: bool = False, faults: bool = False) -> DataFrame:
     """Files a reader of the table would open now: the last action on them is an add.
 
     Version and kind of an action make one number, so the last action is found by
     a hash aggregate of fixed-width values with a map-side part, no sort. Within
-    a commit an add counts as later than a remove.
+    a commit an add counts as later than a remove. With ``faults`` a row stays for every
+    path with a fault, and one for the lines without a path.
     """
     is_add = F.col("add").isNotNull()
     order = F.coalesce("version", F.lit(-1)) * 2 + is_add.cast("int")
     table = [c for c in ("table_name", "location") if c in actions.columns]
+    known = is_add | F.col("remove").isNotNull()
+    first = [F.min(FAULT).alias(FAULT)] if faults else []
     last = (
-        actions.filter(is_add | F.col("remove").isNotNull())
+        actions.filter(known | F.col(FAULT).isNotNull() if faults else known)
         .groupBy(*table, F.coalesce("add.path", "remove.path").alias("relative_path"))
-        .agg(F.max(order).alias("last"), F.max_by("add.size", order).alias("size_in_bytes"))
+        .agg(F.max(order).alias("last"), F.max_by("add.size", order).alias("size_in_bytes"), *first)
     )
     version = F.shiftright("last", 1)
-    files = last.filter(F.pmod("last", F.lit(2)) == 1).select(
-        *table, F.when(version >= 0, version).alias("version"), "relative_path", "size_in_bytes"
+    live = F.pmod("last", F.lit(2)) == 1
+    files = last.filter(live | F.col(FAULT).isNotNull() if faults else live).select(
+        *table,
+        F.when(version >= 0, version).alias("version"),
+        "relative_path",
+        "size_in_bytes",
+        *([FAULT] if faults else []),
     )
     return _with_full_path(files, decoded)
 

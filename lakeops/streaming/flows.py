@@ -87,7 +87,7 @@ def _stream_commits(
     options: Mapping[str, str],
 ) -> FlowSource:
     stream = (
-        spark.readStream.schema(commit_log.ACTIONS_SCHEMA)
+        spark.readStream.schema(commit_log.LINES_SCHEMA)
         .options(
             **{"maxFilesPerTrigger": str(COMMITS_PER_BATCH), **commit_log.COMMIT_FILES, **options}
         )
@@ -97,6 +97,7 @@ def _stream_commits(
             commit_log.commit_version(F.col("_metadata.file_name")).alias("version"),
             "add",
             "remove",
+            commit_log.FAULT,
         )
     )
     schema = spark.table(name).schema
@@ -130,8 +131,13 @@ def _stream_commits(
                 BEFORE_ALL,
             )
         new = actions.filter(F.col("version") > start)
-        removing = new.filter(F.col("remove.dataChange"))
-        if not skip_change_commits and not removing.isEmpty():
+        seen = new.agg(
+            F.max(F.col("remove.dataChange")).alias("removes"),
+            F.min(F.when(F.col(commit_log.FAULT).isNotNull(), F.col("version"))).alias("broken"),
+        ).first()
+        if seen["broken"] is not None:
+            raise ValueError(f"commit {seen['broken']} of {name} has a malformed line")
+        if not skip_change_commits and seen["removes"]:
             raise ValueError(f"a commit of {name} removes data; set skip_change_commits")
         adds = commit_log.append_only_actions(new).filter(
             ~F.col("add.dataChange").eqNullSafe(False)

@@ -213,6 +213,29 @@ def table_detail_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def isolated_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with a broken commit or checkpoint among whole ones, in one scan a mode."""
+    locations = _checkpointed_log(spark, sf_dir)
+    (_, commit), (_, checkpoint), *_ = sorted(locations.items())
+    versions = [commit_log.COMMIT_NAME.fullmatch(n) for n in storage.child_names(spark, commit_log.log_folder(commit))]
+    following = max(int(found[1]) for found in versions if found) + 1
+    cut_off = '{"add": {"path": "part-0", "size": 1}}\n{"add": {"path": "part-1", "si'
+    storage.publish_text(spark, f"{commit_log.log_folder(commit)}/{following:020d}.json", cut_off)
+    second_part = f"{commit_log.log_folder(checkpoint)}/{CHECKPOINT_AT:020d}.checkpoint.{2:010d}.{2:010d}.parquet"
+    storage.delete_folder(spark, second_part)
+    storage.publish_text(spark, second_part, "PAR1 without the rest")
+    found = [
+        flat_stats(diagnose.analyze_tables(spark, locations.values(), mode)).withColumn("mode", F.lit(mode))
+        for mode in (diagnose.LIVE, diagnose.ALL_ADDS)
+    ]
+    return found[0].unionByName(found[1]).withColumns(
+        {
+            "table_name": F.regexp_extract("table_name", "([^/=]+)$", 1),
+            "error": F.regexp_extract("error", "^(malformed line|unreadable checkpoint)", 1),
+        }
+    )
+
+
 def single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table's profile, found by its path."""
     root = new_work_dir(spark, "log")
@@ -293,6 +316,7 @@ QUERIES = {
     "file_inventory": file_inventory,
     "live_files_checkpointed": live_files_checkpointed,
     "table_detail_checkpointed": table_detail_checkpointed,
+    "isolated_faults": isolated_faults,
     "single_table": single_table,
     "configured_stats": configured_stats,
 }
@@ -340,6 +364,20 @@ SELECT table_name, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS size_in_b
        CAST(NULL AS BOOLEAN) AS lacks_commit
 FROM live WHERE table_name <> (SELECT min(table_name) FROM live) GROUP BY table_name
 UNION ALL SELECT min(table_name), NULL, NULL, TRUE FROM live""",
+    "isolated_faults": f"""WITH {inputs.ACTIONS_SQL},
+found AS (
+  SELECT 'live' AS mode, * FROM live
+  UNION ALL SELECT 'all_adds', * FROM adds WHERE version > 10),
+faults AS (
+  SELECT 'live' AS mode, min(table_name) AS table_name, 'malformed line' AS error FROM live
+  UNION ALL SELECT 'all_adds', min(table_name), 'malformed line' FROM live
+  UNION ALL SELECT 'live', min(table_name), 'unreadable checkpoint' FROM live
+  WHERE table_name > (SELECT min(table_name) FROM live))
+SELECT table_name, mode, {TOTALS_SQL}, {DESCRIPTIVE_SQL}, CAST(NULL AS VARCHAR) AS error
+FROM found ANTI JOIN faults USING (mode, table_name) GROUP BY table_name, mode
+UNION ALL
+SELECT table_name, mode, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error
+FROM faults""",
     "single_table": f"""WITH {inputs.ACTIONS_SQL}
 SELECT table_name, {TOTALS_SQL}, {DESCRIPTIVE_SQL} FROM adds
 WHERE table_name = '1-URGENT' GROUP BY table_name""",

@@ -452,7 +452,8 @@ def logged_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A logged table with an update, appends, a compaction, strays and removed files.
 
     Customers by parts of ten: part 0 was written by commit 0 and rewritten by commit 1,
-    whose old files are gone; 2 and 3 were appended before the flow began, 4 and 5 after.
+    whose old files are gone; 1, 2, 3 and 8 were appended before the flow began, 4, 5, 7
+    and 9 after. Only part 6 never arrives: it comes with a commit that removes part 7.
     """
     space = Workspace(spark)
     customers = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -486,18 +487,19 @@ def logged_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     commit(1, write(customers.filter(part == 0).withColumn("c_name", F.upper("c_name"))), old)
     for name in old:
         storage.delete_folder(spark, f"{root}/{name}")
-    appended = [write(customers.filter(part == n)) for n in (2, 3)]
+    appended = [write(customers.filter(part.isin(*parts))) for parts in ((1, 2), (3, 8))]
     for n, files in enumerate(appended):
         commit(2 + n, files)
     run()
-    commit(4, write(customers.filter(part == 4)))
-    commit(5, write(customers.filter(part.isin(2, 3))), appended[0] + appended[1], change=False)
+    commit(4, write(customers.filter(part.isin(4, 9))))
+    commit(5, write(customers.filter(part.isin(1, 2, 3, 8))), appended[0] + appended[1], change=False)
     storage.publish_text(
         spark, f"{commit_log.log_folder(root)}/{0:020d}.{5:020d}.compacted.json", '{"add":{"path":"x"}}'
     )
     run()
-    commit(6, write(customers.filter(part == 5)))
-    commit(7, write(customers.filter(part == 6)), write(customers.filter(part == 7)))
+    replaced = write(customers.filter(part == 7))
+    commit(6, write(customers.filter(part == 5)) + replaced)
+    commit(7, write(customers.filter(part == 6)), replaced)
     run()
     run()
     return space.rows("logged").select("c_custkey", "c_name")
@@ -595,5 +597,5 @@ FROM events WHERE event_type <> 'error'""",
     "landing_lineage": "SELECT 'csv' AS file_type, count(*) AS \"rows\" FROM customer",
     "logged_append": """SELECT c_custkey,
   CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) ELSE c_name END AS c_name
-FROM customer WHERE c_custkey % 10 IN (0, 2, 3, 4, 5)""",
+FROM customer WHERE c_custkey % 10 <> 6""",
 }

@@ -2,6 +2,7 @@
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 
@@ -261,3 +262,51 @@ def test_files_of_every_format_count(spark, work, kind):
     on_disk = [n for n in os.listdir(f"{work}/t") if n.startswith("part-")]
     assert row.num_files == len(on_disk) == 3
     assert row.size_in_bytes == sum(os.path.getsize(f"{work}/t/{n}") for n in on_disk)
+
+
+def checkpointed(spark, folder, rows, parts):
+    """A log whose checkpoint, in parts, holds ``rows`` adds of size 1 in its first part."""
+    for part in range(1, parts + 1):
+        held = [((f"c{i}", 1, True, 0), None) for i in range(rows if part == 1 else 0)]
+        draft = f"{folder}/draft{part}"
+        spark.createDataFrame(held, commit_log.ACTIONS_SCHEMA).coalesce(1).write.parquet(draft)
+        written = next(Path(draft).glob("part-*.parquet"))
+        name = f"{3:020d}.checkpoint.{part:010d}.{parts:010d}.parquet"
+        Path(folder, "_delta_log").mkdir(exist_ok=True)
+        written.rename(Path(folder, "_delta_log", name))
+    return Path(folder, "_delta_log")
+
+
+def test_faults_cost_their_own_table_only(spark, tmp_path):
+    logs = {}
+    for name in ("good", "cut", "footer", "pages", "typed"):
+        (tmp_path / name).mkdir()
+        logs[name] = checkpointed(spark, str(tmp_path / name), 5000, 2)
+        line = '{"add": {"path": "new", "size": 2}}\n'
+        extra = {"cut": '{"add": {"path": "lo', "typed": '{"add": {"path": "x", "size": "big"}}'}.get(name, "\n")
+        (logs[name] / f"{4:020d}.json").write_text(line + extra)
+    first = f"{3:020d}.checkpoint.{1:010d}.{2:010d}.parquet"
+    whole = (logs["footer"] / first).read_bytes()
+    for log in logs.values():
+        for crc in log.glob(".*.crc"):
+            crc.unlink()
+    (logs["footer"] / first).write_bytes(whole[: len(whole) // 2])
+    (logs["pages"] / first).write_bytes(whole[:4] + bytes(2000) + whole[2004:])
+    names = [str(tmp_path / name) for name in logs]
+    for rows in (
+        diagnose.analyze_tables(spark, names, diagnose.LIVE).collect(),
+        diagnose.table_detail(spark, names, diagnose.LIVE).collect(),
+    ):
+        found = {r.table_name.rsplit("/", 1)[1]: r for r in rows}
+        assert (found["good"].num_files, found["good"].error) == (5001, None)
+        for name, fault in (
+            ("cut", "malformed line in 00000000000000000004.json: "),
+            ("typed", "malformed line in 00000000000000000004.json: "),
+            ("footer", f"unreadable checkpoint {first}"),
+            ("pages", f"unreadable checkpoint {first}"),
+        ):
+            assert found[name].num_files is None and found[name].error.startswith(fault)
+    adds = {r.table_name.rsplit("/", 1)[1]: r for r in diagnose.analyze_tables(spark, names).collect()}
+    assert {n: (r.num_files, r.error is None) for n, r in adds.items()} == {
+        "good": (1, True), "cut": (None, False), "footer": (1, True), "pages": (1, True), "typed": (None, False)
+    }

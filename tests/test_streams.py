@@ -332,3 +332,21 @@ def test_an_unfinished_batch_stays_hidden(spark, work, space):
     assert ids(targets.read_table(spark, f"{space}.tgt")) == list(range(6))
     with pytest.raises(ValueError, match="reserved"):
         targets.create_table(spark, f"{space}.bad", spark.range(1).withColumnRenamed("id", targets.FLOW).schema)
+
+
+def test_a_malformed_commit_line_is_refused(spark, work, space):
+    path = f"{work}/broken"
+    spark.range(5).coalesce(1).write.parquet(path)
+    write_log(path, [])
+    with open(f"{path}/_delta_log/{1:020d}.json", "w") as out:
+        out.write('{"add": {"path": "part-0.parquet", "si')
+    spark.catalog.createTable(f"{space}.broken", path=path, source="parquet", schema=spark.range(1).schema)
+    (known := f"{work}/state")
+    with pytest.raises(Exception, match="malformed line"):
+        source = flows.stream_table(spark, f"{space}.broken")
+        batch = spark.read.schema(flows.commit_log.LINES_SCHEMA).options(**flows.commit_log.COMMIT_FILES).json(f"{path}/_delta_log")
+        batch = batch.select(
+            flows.commit_log.commit_version(F.col("_metadata.file_name")).alias("version"), "add", "remove", "fault"
+        ).withColumn("table_name", F.lit("t"))
+        flows.storage.publish_text(spark, f"{known}.start", "0")
+        list(source.slices(batch, 1, known))
