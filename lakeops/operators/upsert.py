@@ -31,6 +31,22 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _tie_columns(
+    df: DataFrame, keys: Keys, sequence_by: str | Column, names: Sequence[str]
+) -> list[str]:
+    named = {name for name in (*keys, sequence_by) if isinstance(name, str)}
+    return [n for n in names if n not in named and _orderable(df.schema[n].dataType)]
+
+
+def precedence(
+    df: DataFrame, keys: Keys, sequence_by: str | Column, tie_columns: Sequence[str]
+) -> Column:
+    """A value whose largest is that of the row ``latest_by_key`` keeps; NULL is smallest."""
+    ties = [F.col(f"`{name}`") for name in _tie_columns(df, keys, sequence_by, tie_columns)]
+    parts = [as_column(sequence_by), *ties]
+    return F.struct(*[part.alias(f"c{i}") for i, part in enumerate(parts)])
+
+
 def latest_by_key(
     df: DataFrame,
     keys: Keys,
@@ -46,11 +62,10 @@ def latest_by_key(
     holding a third of all rows sends one row per map task. ``within`` names
     columns the keys determine, to rank on a partitioning that already exists.
     """
-    named = {name for name in (*keys, sequence_by) if isinstance(name, str)}
+    others = [name for name in tie_columns or df.columns if name not in within]
     ties = [
         F.col(f"`{name}`").desc_nulls_last()
-        for name in tie_columns or df.columns
-        if name not in named and name not in within and _orderable(df.schema[name].dataType)
+        for name in _tie_columns(df, keys, sequence_by, others)
     ]
     newest_first = Window.partitionBy(*within, *[as_column(k) for k in keys]).orderBy(
         as_column(sequence_by).desc_nulls_last(), *ties

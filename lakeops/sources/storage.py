@@ -1,6 +1,6 @@
 """Small metadata calls on the file system Spark itself uses.
 
-Only names, header lines and manifests pass through here; data is always read
+Only names and manifests pass through here; data is always read
 and written by Spark jobs.
 """
 
@@ -90,27 +90,6 @@ def delete_folder(spark: SparkSession, path: str) -> bool:
     return fs.delete(hadoop_path, True)
 
 
-def first_line(spark: SparkSession, path: str) -> str | None:
-    """First non-blank line of a plain or compressed text file; reads no further."""
-    jvm = spark._jvm
-    fs, hadoop_path = _open(spark, path)
-    stream = fs.open(hadoop_path)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
-        spark._jsc.hadoopConfiguration()
-    )
-    codec = codecs.getCodec(hadoop_path)
-    reader = jvm.java.io.BufferedReader(
-        jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
-    )
-    try:
-        line = reader.readLine()
-        while line is not None and not line.strip():
-            line = reader.readLine()
-        return line
-    finally:
-        reader.close()
-
-
 def as_literal_path(path: str) -> str:
     """``path`` with glob characters escaped, for readers that expand globs."""
     return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)

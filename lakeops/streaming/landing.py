@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +23,7 @@ from pyspark.sql.types import (
 
 from lakeops.functions.stamps import stamp_load
 from lakeops.functions.tables import cluster_columns, table_properties
+from lakeops.session import small_table
 from lakeops.sources import storage
 from lakeops.sources.inventory import table_location
 from lakeops.streaming import flows, targets
@@ -97,63 +100,109 @@ def _with_hinted(df: DataFrame, hints: StructType) -> DataFrame:
     )
 
 
-def header_names(spark: SparkSession, line: str, landing: CsvLanding) -> list[str]:
-    """Column names of a header line, as Spark's CSV reader would name them.
+def _opener(path: str) -> tuple[str, str] | None:
+    """(address of the file system, path in it) where Arrow can open files, else None."""
+    scheme, host, inside = re.fullmatch(r"(?:([A-Za-z][\w+.-]*):)?(//[^/]*)?(/.*)", path).groups()
+    if scheme in (None, "file"):
+        return "", inside
+    try:
+        address = f"{scheme}:{host or '//'}/"
+        fs.FileSystem.from_uri(address)
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    return address, inside
 
-    The line is parsed under the reader's own options, on the driver.
 
-    A blank or null name becomes ``_c<index>``; a name that comes again, in any case,
-    gets its index appended wherever it stands.
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, line): the first non-blank line of each text file, read by one job.
+
+    Tasks open the files and read no further than that line, plain or compressed. Files in
+    a store that only Spark reaches are read through its text source instead. Files without
+    such a line do not appear.
     """
-    jvm = spark._jvm
-    options = {key: str(value) for key, value in landing.csv_options.items()}
-    settings = jvm.org.apache.spark.sql.catalyst.csv.CSVOptions(
-        jvm.PythonUtils.toScalaMap(options), True, "UTC"
-    ).asParserSettings()
-    parser = jvm.com.univocity.parsers.csv.CsvParser(settings)
-    names = list(parser.parseLine(line.lstrip("\ufeff")) or [])
-    times = Counter(name.lower() for name in names if name)
-    return [
-        f"_c{i}"
-        if not name or name == NULL_TOKEN
-        else f"{name}{i}"
-        if times[name.lower()] > 1
-        else name
-        for i, name in enumerate(names)
-    ]
+    places = {path: _opener(path) for path in paths}
+    named = [(path, *place) for path, place in places.items() if place is not None]
+    closed = [path for path, place in places.items() if place is None]
+
+    def read(batches):
+        for batch in batches:
+            found = []
+            for path, address, inside in zip(*(c.to_pylist() for c in batch.columns)):
+                system, root = fs.FileSystem.from_uri(address) if address else (fs.LocalFileSystem(), "")
+                with system.open_input_stream(root.rstrip("/") + inside, compression="detect") as file:
+                    held, line = b"", None
+                    while line is None:
+                        chunk = file.read(1 << 16)
+                        held += chunk
+                        *whole, rest = re.split(b"\r\n|\r|\n", held)
+                        lines = whole if chunk else [*whole, rest]
+                        line = next((part for part in lines if part.strip()), None)
+                        if not chunk:
+                            break
+                        held = held if line is None and held.strip() else rest
+                if line is not None:
+                    found.append((path, line.decode("utf-8", "replace").removeprefix("\ufeff")))
+            columns = [list(column) for column in zip(*found)] or [[], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, pa.string()) for column in columns], names=["path", "line"]
+            )
+
+    listed = small_table(spark, named, "path", "address", "inside")
+    dealt = listed.repartition(max(1, min(len(named), spark.sparkContext.defaultParallelism)))
+    lines = dealt.mapInArrow(read, "path STRING, line STRING")
+    if not closed:
+        return lines
+    # A line's place: the part of the file, and the line in order of that part's rows.
+    begins, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    every = spark.read.text([storage.as_literal_path(path) for path in closed]).select(
+        F.col("_metadata.file_path").alias("url"), "value", F.struct(begins, row).alias("place")
+    )
+    urls = [(path, storage.as_url(spark, storage.qualify(spark, path))) for path in closed]
+    firsts = (
+        every.filter(F.col("value").rlike(r"\S"))
+        .groupBy("url")
+        .agg(F.min_by("value", "place").alias("line"))
+        .join(small_table(spark, urls, "path", "url"), "url")
+    )
+    return lines.unionByName(firsts.select("path", "line"))
 
 
 def read_files(spark: SparkSession, landing: CsvLanding, paths: Sequence[str]) -> DataFrame:
     """Rows of some landed files, columns matched by name across different headers.
 
     Spark maps CSV columns by position, so files are grouped by header line and
-    each group is read with its own schema. Only first lines are read to group
-    them, and no job runs until the rows are asked for; every file's data is scanned
-    once.
+    each group is read with its own schema. One job reads the first lines; the columns
+    of each distinct header are those that Spark's reader gives one of its files. Every
+    file's data is scanned once, when the rows are asked for.
     """
     groups: dict[str | None, list[str]] = defaultdict(list)
-    if landing.header:
-        lines = storage.on_each(lambda path: storage.first_line(spark, path), paths)
-        for path, line in zip(paths, lines, strict=True):
+    if landing.header and paths:
+        # At most ``files_per_batch`` names.
+        for path, line in first_lines(spark, paths).collect():
             groups[line].append(storage.as_literal_path(path))
-        groups.pop(None, None)
     elif paths:
         groups[None] = [storage.as_literal_path(path) for path in paths]
 
-    def read_group(line: str | None, files: list[str]) -> DataFrame:
+    ordered = sorted(groups.items(), key=lambda g: str(g[0]))
+    if landing.header:
         reader = spark.read.options(**landing.csv_options)
-        columns = header_names(spark, line, landing) if line else landing.hints.names
+        names = storage.on_each(lambda group: reader.csv(min(group[1])).columns, ordered)
+    else:
+        names = [landing.hints.names] * len(ordered)
+
+    def read_group(columns: list[str], files: list[str]) -> DataFrame:
         return (
-            reader.schema(_typed(columns, landing.hints))
+            spark.read.options(**landing.csv_options)
+            .schema(_typed(columns, landing.hints))
             .options(mode="PERMISSIVE", columnNameOfCorruptRecord=RESCUED)
-            .csv(files)
+            .csv(sorted(files))
             .select("*", F.col("_metadata.file_path").alias("file_nm"))
         )
 
     if not groups:
         empty = StructType([*_typed([], landing.hints).fields, StructField("file_nm", StringType())])
         return _with_hinted(spark.createDataFrame([], empty), landing.hints)
-    frames = [read_group(*group) for group in sorted(groups.items(), key=lambda g: str(g[0]))]
+    frames = [read_group(columns, files) for columns, (_, files) in zip(names, ordered, strict=True)]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return _with_hinted(merged, landing.hints)
 

@@ -7,8 +7,12 @@ batch that failed half way is simply merged again. Readers use the catalog table
 other; while partitions are switched they may see some buckets before and some after a
 batch. One job at a time merges into a table.
 
-A large bucket is merged by several tasks, each ranking a part of its keys and writing
-a file of its own; how many follows from the bytes of the touched buckets.
+The cut batch is written once, so its size is known. A small one is sent to every task
+that scans current rows: rows of the touched buckets are updated where they stand and
+written again without being shuffled, and only keys that the batch brings anew are dealt to
+their buckets. With a large one, current rows and batch are shuffled by bucket and by a
+piece of it, each task ranking a part of a bucket's keys and writing a file of its own; how
+many pieces follows from the bytes of the touched buckets and of the batch.
 """
 
 from __future__ import annotations
@@ -26,7 +30,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lakeops.functions.tables import cluster_columns, table_properties
-from lakeops.operators.upsert import Keys, as_column, key_bucket, latest_by_key, unused_name
+from lakeops.operators.upsert import (
+    Keys,
+    as_column,
+    key_bucket,
+    latest_by_key,
+    precedence,
+    unused_name,
+)
+from lakeops.session import new_work_dir
 from lakeops.sources import storage
 from lakeops.sources.inventory import table_location
 from lakeops.streaming import flows, targets
@@ -39,6 +51,8 @@ BUCKET_PROPERTY, COUNT_PROPERTY = "merge.bucketColumn", "merge.buckets"
 BUCKET_BYTES = 4 << 30
 PIECE_BYTES = 256 << 20
 FEWEST_BUCKETS = 8
+# Bytes on disk of a batch that is sent to every task; a larger one is shuffled.
+SENT_BYTES = 16 << 20
 
 # Names and pace of a merged table's flow.
 FLOW_SUFFIX = "_apply_changes"
@@ -123,10 +137,6 @@ def merge_batch(
             raise ValueError(f"column name {bucket} is reserved in {target}")
         targets.add_missing_columns(spark, target, batch.schema)
         number = key_bucket(keys, count)
-        # At most ``count`` numbers, found without sorting or caching the batch.
-        touched = [row[0] for row in batch.select(number).distinct().collect()]
-        if not touched:
-            return
         names = [c for c in spark.table(target).columns if c != bucket]
         present = {c.lower() for c in batch.columns}
         # One row per key before anything is shuffled by bucket: a bucket then grows
@@ -134,40 +144,90 @@ def merge_batch(
         newest = latest_by_key(
             batch, keys, sequence_by, tie_columns=[c for c in names if c.lower() in present]
         )
-        current = spark.table(target).filter(F.col(bucket).isin(touched)).drop(bucket)
-        both = current.unionByName(newest, allowMissingColumns=True)
-        pieces = math.ceil(_estimated_bytes(current) / len(touched) / PIECE_BYTES) or 1
-        _replace(
-            spark, target, both.withColumn(bucket, number), bucket, touched, pieces,
-            keys, sequence_by, f"{quote(flow, safe='')}-{batch_id}", cluster_by,
+        staged = new_work_dir(spark, "merge-batch")
+        newest.write.parquet(staged)
+        newest = spark.read.schema(newest.schema).parquet(staged)
+        # At most ``count`` numbers.
+        touched = [row[0] for row in newest.select(number).distinct().collect()]
+        if not touched:
+            return
+        held = spark.table(target).filter(F.col(bucket).isin(touched))
+        none = spark.createDataFrame([], held.drop(bucket).schema)
+        newest = none.unionByName(newest, allowMissingColumns=True)
+        size = storage.folder_bytes(spark, staged)
+        if size <= SENT_BYTES:
+            merged = updated_rows(held, newest.withColumn(bucket, number), bucket, keys, sequence_by)
+        else:
+            both = held.drop(bucket).unionByName(newest).withColumn(bucket, number)
+            share = (_estimated_bytes(held) + size) / len(touched)
+            pieces = math.ceil(share / PIECE_BYTES) or 1
+            merged = _ranked_rows(both, bucket, len(touched), pieces, keys, sequence_by)
+        label = f"{quote(flow, safe='')}-{batch_id}"
+        _replace(spark, target, merged, bucket, touched, label, cluster_by)
+        storage.delete_folder(spark, staged)
+
+
+def updated_rows(
+    held: DataFrame, newest: DataFrame, bucket: str, keys: Keys, sequence_by: str | Column
+) -> DataFrame:
+    """Current rows and a batch small enough to be sent to every task, one row a key.
+
+    A current row is replaced where it stands if the batch has a row of its key that comes
+    before it. The batch's other keys are those that no current row has: the keys met are
+    found by the same kind of join, over key columns only.
+    """
+    names = held.columns
+    mark = "merge"
+    while any(c.lower().startswith(mark) for c in names):
+        mark += "_"
+    own = {f"{mark}{i}": as_column(key) for i, key in enumerate(keys)}
+    order = {f"{mark}order": precedence(held, keys, sequence_by, [c for c in names if c != bucket])}
+    sent = F.broadcast(
+        newest.withColumns(own | order).select(
+            F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"{mark}new"),
+            *[F.col(name).alias(f"{name}_new") for name in (*own, *order)],
         )
-
-
-def _replace(
-    spark: SparkSession,
-    target: str,
-    rows: DataFrame,
-    bucket: str,
-    numbers: Sequence[int],
-    pieces: int,
-    keys: Keys,
-    sequence_by: str | Column,
-    label: str,
-    cluster_by: str | Sequence[str] | None,
-) -> None:
-    """Rank rows by key and make the outcome the content of their buckets."""
+    )
+    same = [F.col(name).eqNullSafe(F.col(f"{name}_new")) for name in own]
+    both = held.withColumns(own | order).join(sent, same, "left")
+    wins = F.col(f"{mark}new").isNotNull() & (F.col(f"{mark}order_new") > F.col(f"{mark}order"))
+    updated = both.select(
+        *[F.when(wins, F.col(f"{mark}new.`{c}`")).otherwise(F.col(f"`{c}`")).alias(c) for c in names]
+    )
+    met = held.select(*[key.alias(name) for name, key in own.items()]).join(sent, same)
+    known = met.select(*[F.col(name).alias(f"{name}_new") for name in own]).distinct()
+    added = newest.withColumns(own).join(known, same, "left_anti")
+    return updated.unionByName(added.select(*[F.col(f"`{c}`") for c in names]).repartition(bucket))
+
+
+def _ranked_rows(
+    rows: DataFrame, bucket: str, buckets: int, pieces: int, keys: Keys, sequence_by: str | Column
+) -> DataFrame:
+    """The latest row of each key, dealt by bucket and pieces of a bucket."""
     piece = unused_name(rows, "key_piece")
     spread = rows.withColumn(
         piece, F.pmod(F.hash(*[as_column(k) for k in keys]), F.lit(pieces))
-    ).repartition(len(numbers) * pieces, bucket, piece)
+    ).repartition(buckets * pieces, bucket, piece)
     # The keys determine bucket and piece, so rank and write need no further shuffle.
-    merged = latest_by_key(
+    return latest_by_key(
         spread,
         keys,
         sequence_by,
         within=[bucket, piece],
         tie_columns=[c for c in rows.columns if c != bucket],
     ).drop(piece)
+
+
+def _replace(
+    spark: SparkSession,
+    target: str,
+    merged: DataFrame,
+    bucket: str,
+    numbers: Sequence[int],
+    label: str,
+    cluster_by: str | Sequence[str] | None,
+) -> None:
+    """Make merged rows the content of their buckets."""
     if cluster_by:
         merged = merged.sortWithinPartitions(bucket, *cluster_columns(cluster_by))
     folder = f"{table_location(spark, target)}/{BATCHES_FOLDER}/{label}-{uuid.uuid4().hex[:8]}"
@@ -201,10 +261,8 @@ def rebucket(
         filled = [row[0] for row in rows.select(bucket).distinct().collect()]
         if filled:
             pieces = math.ceil(_estimated_bytes(rows) / len(filled) / PIECE_BYTES) or 1
-            _replace(
-                spark, target, rows, bucket, filled, pieces, keys, sequence_by,
-                f"rebucket-{num_buckets}", None,
-            )
+            dealt = _ranked_rows(rows, bucket, len(filled), pieces, keys, sequence_by)
+            _replace(spark, target, dealt, bucket, filled, f"rebucket-{num_buckets}", None)
         for n in set(range(before)) - set(filled):
             spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION (`{bucket}` = {n})")
         spark.sql(

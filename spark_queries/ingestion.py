@@ -201,6 +201,28 @@ def scd1_prefilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver(space)
 
 
+def scd1_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, then a batch of a few per customer: newer rows, older ones, new keys."""
+    space = Workspace(spark)
+    table = f"{space.target}.silver"
+    orders = inputs.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.lit(1).alias("seq"), F.col("o_orderstatus").alias("state")
+    )
+    scd1.seed_target(spark, table, orders, ["o_orderkey"], "seq")
+
+    def of_customer(key: Column, seq: int, state: str) -> DataFrame:
+        return orders.groupBy("o_custkey").agg(key.alias("o_orderkey")).select(
+            "o_orderkey", "o_custkey", F.lit(seq).alias("seq"), F.lit(state).alias("state")
+        )
+
+    newer = of_customer(F.max("o_orderkey"), 2, "newer")
+    older = of_customer(F.min("o_orderkey"), 0, "older")
+    brought = of_customer(-F.min("o_orderkey"), 1, "brought")
+    batch = newer.unionByName(older).unionByName(brought)
+    scd1.merge_batch(spark, table, batch, ["o_orderkey"], "seq", "changes", 0)
+    return scd1.read_target(spark, table)
+
+
 def scd1_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small batches, then other buckets, into a table whose columns look like ours."""
     space = Workspace(spark)
@@ -517,6 +539,7 @@ QUERIES = {
     "scd1_out_of_order": scd1_out_of_order,
     "scd1_prefilled": scd1_prefilled,
     "scd1_gathered": scd1_gathered,
+    "scd1_small_batch": scd1_small_batch,
     "landing_csv": landing_csv,
     "landing_evolved": landing_evolved,
     "landing_rescued": landing_rescued,
@@ -565,6 +588,15 @@ FROM events""",
     "scd1_out_of_order": LATEST,
     "scd1_prefilled": LATEST,
     "scd1_gathered": LATEST,
+    "scd1_small_batch": """WITH changes AS (
+  SELECT max(o_orderkey) AS o_orderkey, o_custkey, 2 AS seq, 'newer' AS state FROM orders GROUP BY o_custkey
+  UNION ALL
+  SELECT min(o_orderkey), o_custkey, 0, 'older' FROM orders GROUP BY o_custkey
+  UNION ALL
+  SELECT -min(o_orderkey), o_custkey, 1, 'brought' FROM orders GROUP BY o_custkey)
+SELECT * FROM (
+  SELECT o_orderkey, o_custkey, 1 AS seq, o_orderstatus AS state FROM orders UNION ALL FROM changes)
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) = 1""",
     "landing_csv": f"""WITH {LANDED_SQL}
 SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customers""",
     "landing_evolved": f"""WITH {LANDED_SQL}

@@ -73,18 +73,43 @@ def test_headers_are_named_as_the_reader_names_them(spark, work, line):
     path = put(work, "h.csv", f"{line}\n")
     files = CsvLanding(HINTS, work)
     by_reader = spark.read.options(**files.csv_options).csv(path).columns
-    assert landing.header_names(spark, line, files) == by_reader
-
-
-def test_many_headers_need_no_job_of_their_own(spark, work):
-    files = [put(work, f"{n}.csv", f"id,amount,c{n}\n{n},1.5,x\n") for n in range(6)]
+    assert read_files(spark, files, [path]).columns[: len(by_reader)] == by_reader
+
+
+HEADS = {
+    "a.csv": ("id,b\n1,2\n", "id,b"),
+    "b c%20[x].csv": ("\r\n  \r\nid;é\r1;2", "id;é"),
+    "c.csv.gz": ("\n\n" + "x" * 200_000 + "\nrest", "x" * 200_000),
+    "d.csv": ("only", "only"),
+    "e.csv": ("\n \n\n", None),
+    "f.csv": ("", None),
+    "g.csv": ("\ufeffid,b\n" + "1,2\n" * 50_000, "id,b"),
+}
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_first_lines_are_read_by_one_job(spark, work, monkeypatch, closed):
+    """Also in a store that Arrow cannot open, whose files Spark's reader lists by URL."""
+    if closed:
+        monkeypatch.setattr(landing, "_opener", lambda path: None)
+    paths = {put(work, name, text): line for name, (text, line) in HEADS.items()}
     spark.sparkContext.setJobGroup("headers", "headers")
     try:
-        df = read_files(spark, CsvLanding(HINTS, work), files)
-        assert spark.sparkContext.statusTracker().getJobIdsForGroup("headers") == []
+        found = landing.first_lines(spark, list(paths)).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert df.count() == 6 and {f"c{n}" for n in range(6)} <= set(df.columns)
+    assert {os.path.basename(r.path): r.line for r in found} == {
+        os.path.basename(path): line for path, line in paths.items() if line
+    }
+    assert jobs <= 5  # one for every stage, whatever the number of files
+
+
+def test_files_in_a_closed_store_are_landed(spark, work, monkeypatch):
+    monkeypatch.setattr(landing, "_opener", lambda path: None)
+    files = [put(work, f"{n} [x].csv", f"id,c{n}\n{n},x\n") for n in range(3)]
+    df = read_files(spark, CsvLanding(HINTS, work), [f"file:{path}" for path in files])
+    assert rows(df, "id", "c1") == [(0, None), (1, "x"), (2, None)]
 
 
 @pytest.mark.parametrize(

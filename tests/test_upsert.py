@@ -9,6 +9,16 @@ import pytest
 from lakeops.operators.upsert import latest_by_key
 from lakeops.streaming import scd1
 
+
+
+@pytest.fixture(autouse=True, params=["sent", "shuffled"])
+def way(request, monkeypatch):
+    """Every test merges batches both ways: sent to the scan, and shuffled with it."""
+    if request.param == "shuffled":
+        monkeypatch.setattr(scd1, "SENT_BYTES", 0)
+    return request.param
+
+
 SCHEMA = "k STRING, seq INT, a STRING, b INT"
 OLD, NEW = ("x", 1, "old", 1), ("x", 2, None, 2)
 
@@ -164,6 +174,7 @@ def test_a_large_bucket_is_split_over_tasks_and_files(spark, work, monkeypatch):
     merge(spark, target, frame(spark, *many))
     assert len(spark.table(target).inputFiles()) == 1
     monkeypatch.setattr(scd1, "PIECE_BYTES", 500)
+    monkeypatch.setattr(scd1, "SENT_BYTES", 0)
     merge(spark, target, frame(spark, ("5", 2, "b", 5)), 1)
     assert len(spark.table(target).inputFiles()) > 3
     assert target_rows(spark, target) == sorted([r for r in many if r[0] != "5"] + [("5", 2, "b", 5)], key=repr)
@@ -207,3 +218,38 @@ def test_an_empty_batch_changes_nothing(spark, target):
     merge(spark, target, frame(spark, NEW))
     merge(spark, target, frame(spark), 1)
     assert target_rows(spark, target) == [NEW]
+
+
+def test_a_first_load_is_split_by_its_own_size(spark, work, monkeypatch):
+    monkeypatch.setattr(scd1, "PIECE_BYTES", 2000)
+    monkeypatch.setattr(scd1, "SENT_BYTES", 0)
+    target = new_target(spark, work, 1)
+    many = [(str(i), 1, f"a{i}", i) for i in range(2000)]
+    merge(spark, target, frame(spark, *many))
+    assert len(spark.table(target).inputFiles()) > 3
+    assert target_rows(spark, target) == sorted(many, key=repr)
+
+
+def test_current_rows_are_not_shuffled_for_a_small_batch(spark, work):
+    path = f"{work}/batch"
+    frame(spark, *[(str(i), i % 5, "new", i) for i in range(0, 900, 3)]).withColumn(
+        "key_bucket", scd1.key_bucket(["k"], 4)
+    ).write.parquet(path)
+    target = new_target(spark, work, 4)
+    merge(spark, target, frame(spark, *[(str(i), 2, "old", i) for i in range(600)]))
+    merged = scd1.updated_rows(spark.table(target), spark.read.parquet(path), "key_bucket", ["k"], "seq")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if line.strip()]
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "merged_" in line and "seq" in line.split("ReadSchema")[-1]]
+    assert len(scans) == 1
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    above, now = [], depth(lines[scans[0]])
+    for line in reversed(lines[: scans[0]]):
+        if depth(line) < now:
+            above.append(line.lstrip(" :+-|").split("(")[0].strip())
+            now = depth(line)
+    assert not [name for name in above if name.endswith("Exchange")]
+    old = {str(i): (2, "old") for i in range(600)}
+    new = {str(i): (i % 5, "new") for i in range(0, 900, 3)}
+    expected = {k: max((v for v in (old.get(k), new.get(k)) if v), key=lambda v: (v[0], v[1])) for k in old | new}
+    assert {r.k: (r.seq, r.a) for r in merged.collect()} == expected
