@@ -24,6 +24,7 @@ empty table writes no file.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 import struct
@@ -255,6 +256,8 @@ class Encoder:
     """Ids of texts through the tokenizer; a word is encoded once while it is remembered."""
 
     def __init__(self, path: str):
+        # A task has one core; Spark spreads the work, and threads that wait cost time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
