@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeops.session import new_work_dir
+
 # Fields of a raw record and of a normalised one, and the columns
 # of the CSV export.
 RAW_FIELDS = ["name", "id", "location", "workspaceUrl", "subscriptionId", "resourceGroup"]
@@ -31,27 +33,36 @@ def _read_arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     Files come in the order of the last number in their name, files of equal or no
     number by name, and records in that of their array: positions count all records
     before. A ``pos`` field of a record wins over its place.
+
+    Arrays are parsed once, from the file's stream, and their records written with the
+    number they have in that read; counts of files and places in them come from there.
     """
-    record = strings(names, "pos BIGINT")
-    pages = spark.read.text(path, wholetext=True).select(
+    place = F.monotonically_increasing_id()
+    parsed = spark.read.schema(strings(names, "pos BIGINT")).json(
+        path, multiLine=True, mode="FAILFAST"
+    )
+    kept = new_work_dir(spark, "records")
+    parsed.select(
+        "*",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.from_json("value", f"ARRAY<STRUCT<{record}>>", {"mode": "FAILFAST"}).alias("records"),
-    )
-    # One row per file, without its records, is put in order.
+        place.alias("place"),
+    ).write.parquet(kept)
+    rows = spark.read.parquet(kept)
+    # One row per file is put in order. A file is one piece of the scan, so its records
+    # are numbered without a gap.
     number = F.regexp_extract("file_name", r"(\d+)\D*$", 1).try_cast("decimal(38,0)")
     before = F.sum("size").over(
         Window.orderBy(number.asc_nulls_first(), "file_name", "file").rowsBetween(
             Window.unboundedPreceding, -1
         )
     )
-    sizes = pages.select("file", "file_name", F.size("records").cast("bigint").alias("size"))
-    starts = sizes.select("file", F.coalesce(before, F.lit(0)).alias("start"))
-    rows = pages.join(starts, "file").select(
-        "start", F.posexplode("records").alias("index", "record")
+    sizes = rows.groupBy("file", "file_name").agg(
+        F.count("*").alias("size"), F.min("place").alias("first")
     )
-    position = F.coalesce("record.pos", F.col("start") + F.col("index"))
-    return rows.select(*[f"record.{name}" for name in names], position.alias("pos"))
+    starts = sizes.select("file", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("start"))
+    position = F.coalesce("pos", F.col("start") + F.col("place"))
+    return rows.join(starts, "file").select(*names, position.alias("pos"))
 
 
 def _read(spark: SparkSession, path: str, fields: list[str], arrays: bool) -> DataFrame:
@@ -63,7 +74,7 @@ def _read(spark: SparkSession, path: str, fields: list[str], arrays: bool) -> Da
 def read_raw_pages(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
     """Raw records of all page files in a folder, in one scan, duplicates kept.
 
-    A page is one JSON array and read as a whole; with ``arrays`` off files hold
+    A page is one JSON array, read by one task as a stream; with ``arrays`` off files hold
     one record per line, which Spark can split, and carry ``pos`` themselves.
     """
     return _read(spark, path, RAW_FIELDS, arrays)

@@ -10,7 +10,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import (
@@ -33,13 +33,21 @@ RESCUED = "_rescued_data"
 NULL_TOKEN = "NULL"
 FLOW_PREFIX = "auto-loader_"
 
+#: What the rescue column holds: the line as it is, or the refused fields as a JSON map.
+RAW_LINE, FIELDS = "line", "fields"
+FILE_PATH = "_file_path"
+
 FILE_ENTRY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 FILES_PER_BATCH = 1000
 
 
 @dataclass
 class CsvLanding:
-    """How the files of one landing folder look."""
+    """How the files of one landing folder look.
+
+    ``rescue`` says what is kept of a row that does not fit: its whole line, or only the
+    fields that were refused (see ``refused_fields``).
+    """
 
     schema_hints: str
     file_dir: str
@@ -49,6 +57,11 @@ class CsvLanding:
     sort_columns: Sequence[str] | None = None
     max_file_age: str = "14 days"
     files_per_batch: int = FILES_PER_BATCH
+    rescue: str = RAW_LINE
+
+    def __post_init__(self) -> None:
+        if self.rescue not in (RAW_LINE, FIELDS):
+            raise ValueError(f"rescue is {RAW_LINE!r} or {FIELDS!r}, not {self.rescue!r}")
 
     @property
     def hints(self) -> StructType:
@@ -167,6 +180,43 @@ def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return lines.unionByName(firsts.select("path", "line"))
 
 
+def refused_fields(landing: CsvLanding, columns: Sequence[str], path: Column) -> Column:
+    """The fields of a rescued line that the typed columns do not hold, as a JSON map.
+
+    The line is cut into fields, each read as text beside the typed columns. Kept are
+    those whose typed value is missing although there is text, under their column, and
+    those beyond the header, under ``_c`` and their place from 0, with the file's path
+    under ``_file_path``. NULL where nothing was refused, as for a short line. Only lines
+    that Spark's reader rescued are looked at.
+    """
+    sep = re.escape(landing.delimiter)
+    quoted = r'"(?:[^"\\]|\\.)*"'
+    field = F.lit(rf"(?s){sep}((?:\s*{quoted}\s*(?={sep}|$))|(?:(?!{sep}).)*)")
+    line = F.concat(F.lit(landing.delimiter), F.col(RESCUED))
+    tokens = F.transform(
+        F.regexp_extract_all(line, field, F.lit(1)),
+        lambda token: F.from_csv(
+            token, "value STRING", {"sep": landing.delimiter, "nullValue": NULL_TOKEN}
+        )["value"],
+    )
+    names = F.array(*[F.lit(name) for name in columns])
+    missing = F.array(*[F.col(f"`{name}`").isNull() for name in columns])
+    fields = F.transform(
+        tokens,
+        lambda text, i: F.struct(
+            F.coalesce(F.get(names, i), F.concat(F.lit("_c"), i)).alias("key"),
+            text.alias("value"),
+            F.coalesce(F.get(missing, i), F.lit(True)).alias("refused"),
+        ),
+    )
+    kept = F.filter(fields, lambda f: f["refused"] & f["value"].isNotNull())
+    pairs = F.transform(kept, lambda f: F.struct(f["key"], f["value"]))
+    file = F.array(F.struct(F.lit(FILE_PATH).alias("key"), path.alias("value")))
+    return F.when(
+        F.size(kept) > 0, F.to_json(F.map_from_entries(F.concat(pairs, file)))
+    )
+
+
 def read_files(spark: SparkSession, landing: CsvLanding, paths: Sequence[str]) -> DataFrame:
     """Rows of some landed files, columns matched by name across different headers.
 
@@ -191,13 +241,16 @@ def read_files(spark: SparkSession, landing: CsvLanding, paths: Sequence[str]) -
         names = [landing.hints.names] * len(ordered)
 
     def read_group(columns: list[str], files: list[str]) -> DataFrame:
-        return (
+        read = (
             spark.read.options(**landing.csv_options)
             .schema(_typed(columns, landing.hints))
             .options(mode="PERMISSIVE", columnNameOfCorruptRecord=RESCUED)
             .csv(sorted(files))
             .select("*", F.col("_metadata.file_path").alias("file_nm"))
         )
+        if landing.rescue == FIELDS:
+            return read.withColumn(RESCUED, refused_fields(landing, columns, F.col("file_nm")))
+        return read
 
     if not groups:
         empty = StructType([*_typed([], landing.hints).fields, StructField("file_nm", StringType())])

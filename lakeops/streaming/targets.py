@@ -10,11 +10,21 @@ from __future__ import annotations
 import threading
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    NumericType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from lakeops.operators.upsert import unused_name
 from lakeops.sources import storage
@@ -23,6 +33,11 @@ from lakeops.sources.inventory import table_location
 FLOW, BATCH = "ingest_flow", "ingest_batch"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+#: Ranks a column has on the curve, as a power of two; rows its quantiles are taken from;
+#: columns the curve follows, which is as many as one number has bits for.
+CURVE_BITS, CURVE_SAMPLE, CURVE_COLUMNS = 6, 20_000, 62
+CURVE_TYPES = (BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType)
+
 # Flows of one job may find the same new column at the same time.
 _altering: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
@@ -114,24 +129,67 @@ def add_missing_columns(spark: SparkSession, name: str, schema: StructType) -> N
             spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns_ddl(missing)})")
 
 
-def clustered_layout(df: DataFrame, clustered: Sequence[str]) -> DataFrame:
-    """Rows arranged so that files cover narrow ranges of the clustering columns.
+def _curve(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A row's place on a curve that keeps neighbours in every column near each other.
+
+    Each value is ranked among quantiles of a sample, and the bits of the ranks take
+    turns. A frequent value takes as many ranks as it has rows, so that a column of few
+    values steers the curve as much as one of many. NULL has the lowest rank.
+    """
+    bits = max(1, min(CURVE_BITS, 62 // len(columns)))
+    steps = 1 << bits
+    keys = df.select(*columns)
+    sampled = keys.sample(min(1.0, CURVE_SAMPLE / max(1, keys.count())), seed=0)
+    bounds = sampled.agg(
+        *[F.sort_array(F.collect_list(name)).alias(f"c{i}") for i, name in enumerate(columns)]
+    ).first()
+    ranks = []
+    for name, values in zip(columns, bounds):
+        cuts = [values[i * len(values) // steps] for i in range(1, steps)] if values else []
+        above = [(F.col(name) >= F.lit(cut)).cast("long") for cut in cuts]
+        ranks.append(F.coalesce(reduce(Column.__add__, above, F.lit(0).cast("long")), F.lit(0)))
+    turns = [
+        F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1)), bit * len(columns) + i)
+        for bit in range(bits)
+        for i, rank in enumerate(reversed(ranks))
+    ]
+    return reduce(Column.__add__, turns)
+
+
+def clustered_layout(
+    df: DataFrame, clustered: Sequence[str], files: int | None = None
+) -> DataFrame:
+    """Rows arranged so that files cover narrow ranges of every clustering column.
 
     One date is rebalanced by value, which splits a hot date and merges small
-    ones. Other columns are range-partitioned together with the row's position,
+    ones. Several plain columns are laid along a space-filling curve, whose quantiles
+    come from at most some CURVE_SAMPLE rows; one column, or columns that are no plain
+    values, by their order. Both are range-partitioned together with the row's position,
     so a value holding a third of the rows is spread over many partitions too.
+    ``files`` sets the number of partitions, which is left to Spark without it.
     """
     columns = [name for name in clustered if name in df.columns]
     if not columns:
         return df
     if date_partition(df.schema, columns):
         return df.hint("rebalance", *columns)
+    number = [files] if files else []
     position = unused_name(df, "row_position")
+    placed = df.withColumn(position, F.monotonically_increasing_id())
+    if len(columns) == 1 or not all(
+        isinstance(df.schema[name].dataType, CURVE_TYPES) for name in columns
+    ):
+        return (
+            placed.repartitionByRange(*number, *columns, position)
+            .sortWithinPartitions(*columns)
+            .drop(position)
+        )
+    curve = unused_name(placed, "curve")
     return (
-        df.withColumn(position, F.monotonically_increasing_id())
-        .repartitionByRange(*columns, position)
-        .sortWithinPartitions(*columns)
-        .drop(position)
+        placed.withColumn(curve, _curve(df, columns[:CURVE_COLUMNS]))
+        .repartitionByRange(*number, curve, position)
+        .sortWithinPartitions(curve, *columns)
+        .drop(curve, position)
     )
 
 

@@ -82,6 +82,38 @@ def bronze_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.rows("events").select(*EVENT_COLUMNS)
 
 
+def clustered_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a table laid out by two columns a predicate on either one reads.
+
+    A file is read for a value within its bounds of the column. ``narrow`` says that a
+    value is in less than half of the files on average, over all values of the column.
+    """
+    columns = ["l_partkey", "l_shipdate"]
+    path = new_work_dir(spark, "curve")
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    targets.clustered_layout(lines, columns, files=16).write.parquet(path)
+    laid_out = spark.read.parquet(path)
+
+    def measured(name: str) -> DataFrame:
+        value = F.col(name).cast("string") if name == "l_shipdate" else F.col(name)
+        rows = laid_out.select(value.alias("value"), F.col("_metadata.file_path").alias("file"))
+        files = rows.groupBy("file").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        values = rows.groupBy("value").agg(F.count("*").alias("rows"))
+        # At most 16 files.
+        reads = values.join(F.broadcast(files), F.col("value").between(F.col("low"), F.col("high")))
+        per_value = reads.groupBy("value").agg(
+            F.count("*").alias("files"), F.first("rows").alias("rows")
+        )
+        return per_value.agg(
+            F.lit(name).alias("column_name"),
+            F.sum("rows").alias("rows"),
+            F.count("*").alias("n_values"),
+            (F.avg("files") < 8).alias("narrow"),
+        )
+
+    return measured(columns[0]).unionByName(measured(columns[1]))
+
+
 def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second source appended to a table a bronze flow created."""
     space = Workspace(spark)
@@ -295,6 +327,31 @@ def landing_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.select("c_custkey", "_rescued_data")
 
 
+def landing_rescued_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with balances that are no numbers and fields beyond the header."""
+    space = Workspace(spark)
+    key, name = F.col("c_custkey"), F.concat(F.lit('"'), "c_name", F.lit(', \\"x\\""'))
+    balance = F.when(key % 10 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    line = F.concat_ws(
+        ",", key, name, balance, F.when(key % 15 == 0, F.concat(F.lit('"a,b",,'), "c_mktsegment"))
+    )
+    inputs.table(spark, sf_dir, "customer").select(line.alias("c_custkey,c_name,c_acctbal")).write.options(
+        header=True, sep="\u0001", quote=""
+    ).csv(f"{space.root}/landed")
+    files = landing.CsvLanding(HINTS, f"{space.root}/landed", rescue=landing.FIELDS)
+    landing.create_landing_table(spark, f"{space.target}.customer", files).awaitTermination()
+    field = {
+        "refused": "$.c_acctbal", "beyond": "$._c3", "blank": "$._c4", "last": "$._c5"
+    }
+    return space.rows("customer").select(
+        "c_custkey",
+        "c_name",
+        "c_acctbal",
+        *[F.get_json_object("_rescued_data", at).alias(column) for column, at in field.items()],
+        F.get_json_object("_rescued_data", "$._file_path").eqNullSafe(F.col("file_nm")).alias("has_path"),
+    )
+
+
 def landing_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without header, columns by position, into a table that exists."""
     space = Workspace(spark)
@@ -530,6 +587,7 @@ def logged_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "bronze_append": bronze_append,
     "bronze_clustered": bronze_clustered,
+    "clustered_skipping": clustered_skipping,
     "incremental_append": incremental_append,
     "multi_flow_append": multi_flow_append,
     "passthrough_flows": passthrough_flows,
@@ -543,6 +601,7 @@ QUERIES = {
     "landing_csv": landing_csv,
     "landing_evolved": landing_evolved,
     "landing_rescued": landing_rescued,
+    "landing_rescued_fields": landing_rescued_fields,
     "landing_append": landing_append,
     "config_bronze_silver": config_bronze_silver,
     "config_incremental": config_incremental,
@@ -574,6 +633,11 @@ customers AS (
 ORACLES = {
     "bronze_append": f"SELECT {COLUMNS_SQL}, CAST(ts AS DATE) AS part_col FROM events",
     "bronze_clustered": ALL_EVENTS,
+    "clustered_skipping": " UNION ALL ".join(
+        f"""SELECT '{name}' AS column_name, count(*) AS "rows",
+  count(DISTINCT {name}) AS n_values, TRUE AS narrow FROM lineitem"""
+        for name in ("l_partkey", "l_shipdate")
+    ),
     "incremental_append": ALL_EVENTS,
     "multi_flow_append": """SELECT event_id, user_id, event_type, value,
   CAST(NULL AS VARCHAR) AS _rescued_data FROM events""",
@@ -604,6 +668,12 @@ SELECT c_custkey, c_name, c_acctbal, c_mktsegment, _rescued_data,
        c_custkey AS sort_key, c_name AS sort_name FROM customers""",
     "landing_rescued": f"""WITH {LANDED_SQL}
 SELECT c_custkey, _rescued_data FROM customers WHERE _rescued_data IS NOT NULL""",
+    "landing_rescued_fields": """SELECT c_custkey, c_name || ', "x"' AS c_name,
+  CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS c_acctbal,
+  CASE WHEN c_custkey % 10 = 0 THEN 'n/a' END AS refused,
+  CASE WHEN c_custkey % 15 = 0 THEN 'a,b' END AS beyond, CAST(NULL AS VARCHAR) AS blank,
+  CASE WHEN c_custkey % 15 = 0 THEN c_mktsegment END AS last,
+  c_custkey % 10 = 0 OR c_custkey % 15 = 0 AS has_path FROM customer""",
     "landing_append": """SELECT p_partkey, p_brand, p_size, CAST(NULL AS VARCHAR) AS _rescued_data
 FROM part""",
     "config_bronze_silver": f"""SELECT 'bronze' AS layer, {COLUMNS_SQL} FROM events

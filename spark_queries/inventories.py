@@ -113,11 +113,15 @@ def workspace_pages_unpositioned(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     pages.repartition("page").write.partitionBy("page").text(path)
-    for folder in [n for n in storage.child_names(spark, path) if n.startswith("page=")]:
+    folders = [n for n in storage.child_names(spark, path) if n.startswith("page=")]
+
+    def rename(folder: str) -> None:
         for name in storage.child_names(spark, f"{path}/{folder}"):
             if name.endswith(".txt"):
                 target = f"{path}/pages/2026-12-01_page{folder.split('=')[1]}.json"
                 storage.rename(spark, f"{path}/{folder}/{name}", target)
+
+    storage.on_each(rename, folders)
     return files.read_raw_pages(spark, f"{path}/pages")
 
 

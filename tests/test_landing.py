@@ -1,6 +1,7 @@
 """CSV landing: headers, hints, rescue, incremental pick-up."""
 
 import gzip
+import json
 import os
 import uuid
 
@@ -51,6 +52,29 @@ def test_bad_fields_and_short_rows_are_rescued(spark, work):
     ]
 
 
+def test_refused_fields_are_rescued_by_name(spark, work):
+    lines = ['1,x,"q"', "2", '3,3.0,n,"e \\"1\\", f",,NULL,z', ",y,n", "4,NULL,n", 'u,"v,w",n', "5,5.0,n"]
+    path = put(work, "a.csv", "id,amount,note\n" + "\n".join(lines) + "\n")
+    df = read_files(spark, CsvLanding(HINTS, work, rescue=landing.FIELDS), [path])
+    found = {}
+    for row in df.collect():
+        kept = json.loads(row["_rescued_data"]) if row["_rescued_data"] else None
+        assert kept is None or kept.pop("_file_path") == row["file_nm"]
+        found[row["id"], row["amount"], row["note"]] = kept
+    assert found == {
+        (1, None, "q"): {"amount": "x"},
+        (2, None, None): None,
+        (3, 3.0, "n"): {"_c3": 'e "1", f', "_c6": "z"},
+        (None, None, "n"): found[None, None, "n"],
+        (4, None, "n"): None,
+        (5, 5.0, "n"): None,
+    }
+    bad = [json.loads(r[0]) for r in df.filter("id IS NULL").select("_rescued_data").collect()]
+    assert sorted((b.get("id", ""), b["amount"]) for b in bad) == [("", "y"), ("u", "v,w")]
+    with pytest.raises(ValueError, match="rescue"):
+        CsvLanding(HINTS, work, rescue="none")
+
+
 def test_hinted_columns_exist_even_if_no_file_has_them(spark, work):
     path = put(work, "a.csv", "ID|x\n1|NULL\n")
     df = read_files(spark, CsvLanding(HINTS, work, delimiter="|"), [path])

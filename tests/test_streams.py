@@ -104,6 +104,26 @@ def test_hot_cluster_value_is_spread_over_tasks(spark):
     assert laid_out.columns == ["id", "k", "p"]
 
 
+def test_several_columns_are_laid_along_a_curve(spark):
+    kinds = F.element_at(F.array(*[F.lit(k) for k in "aaabcd"]), (F.hash("id") % 3 + 3).cast("int"))
+    rows = spark.range(40000).select(
+        "id", kinds.alias("kind"), F.when(F.col("id") % 7 > 0, F.xxhash64("id")).alias("number")
+    )
+    laid_out = targets.clustered_layout(rows, ["kind", "number"], files=16)
+    assert laid_out.columns == rows.columns and laid_out.exceptAll(rows).isEmpty()
+    parts = laid_out.withColumn("p", F.spark_partition_id()).groupBy("p")
+    found = parts.agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"))
+    spread = [((r.high or 0) - (r.low or 0)) / 2**64 for r in found.collect()]
+    assert len(spread) == 16 and sum(spread) / 16 < 0.5
+    assert max(r.n for r in found.collect()) < 40000 / 8
+    # Empty tables, constant and missing values, and columns without a plain order.
+    assert targets.clustered_layout(rows.limit(0), ["kind", "number"]).count() == 0
+    flat = rows.select(F.lit(None).cast("string").alias("a"), F.lit(1).alias("b"))
+    assert targets.clustered_layout(flat, ["a", "b"], files=4).count() == 40000
+    nested = rows.select(F.struct("id").alias("a"), "kind")
+    assert targets.clustered_layout(nested, ["a", "kind"]).count() == 40000
+
+
 def test_new_source_columns_reach_the_target(spark, work, space):
     make_source(spark, work, space, "a", spark.range(3))
     make_source(spark, work, space, "b", spark.range(3, 5).withColumn("note", F.lit("n")))
