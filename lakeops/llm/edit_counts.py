@@ -5,7 +5,10 @@ tokenizer's pre-tokens never cross such a cut, so counts of the parts add up to
 count of the text. Runs of LEAF_PARTS parts are the leaves of a segment tree that keeps
 their token counts and the sums above them. An edit re-encodes the leaves it touches
 and as many beside them as it takes until both ends are cuts again; then only the sums
-above the changed leaves are renewed.
+above the changed leaves are renewed. The parts of a changed region are dealt to the
+leaves it had; only where that gives a leaf more than twice LEAF_PARTS parts, leaves are
+added, and sums are added up anew without encoding. The tree that comes out is one of the
+edited text, ready for the next edits.
 
 Counting is by distinct parts, which a task keeps while there are not too many. Nothing
 is shuffled.
@@ -30,6 +33,8 @@ from lakeops.llm.common import pieces, text_of, worker_cache
 LEAF_PARTS = 32
 #: Distinct parts a task remembers before it starts anew.
 REMEMBERED = 200_000
+EDITED = ["doc_id", "text", "leaf_chars", "sums"]
+EDITED += ["n_tokens", "edited_tokens", "leaves", "encoded_chars"]
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -94,20 +99,25 @@ class Tree:
             i //= 2
 
 
-def leaves_of(text: str, counter: Counter) -> list[tuple[int, int]]:
+def leaves_of(text: str, counter: Counter, fewest: int = 1) -> list[tuple[int, int]]:
+    """(characters, tokens) of the leaves of a text, ``fewest`` of them if they are not overfull."""
     parts = cut(text)
+    size = LEAF_PARTS
+    if fewest > 1 and len(parts) <= 2 * LEAF_PARTS * fewest:
+        size = -(-len(parts) // fewest)
     out = []
-    for i in range(0, len(parts), LEAF_PARTS):
-        leaf = parts[i : i + LEAF_PARTS]
+    for i in range(0, len(parts), size):
+        leaf = parts[i : i + size]
         out.append((sum(map(len, leaf)), counter.parts(leaf)))
-    return out
+    return out + [(0, 0)] * (fewest - len(out))
 
 
 def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], counter: Counter):
-    """The edited text, its number of tokens, and how many characters were encoded for it.
+    """The edited text, its tree, and how many characters were encoded for it.
 
-    Each changed region becomes the new content of its first leaf, and the other leaves
-    of the region become empty, so sums change along a few paths of the tree.
+    The parts of a changed region go to the leaves it had, so sums change along a few
+    paths of the tree, which is changed in place; a region that needs more leaves than
+    it had makes another tree of the same counts and its own. A leaf may be left empty.
     """
     bounds = [0]
     for chars in tree.leaf_chars:
@@ -120,6 +130,7 @@ def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], counte
         clipped.append((start, end, new))
         at = end
     out, done, encoded = [], 0, 0
+    changed: list[tuple[int, int, list[tuple[int, int]]]] = []
     i = leaf = 0
     last = len(tree.leaf_chars) - 1
     while i < len(clipped):
@@ -127,7 +138,8 @@ def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], counte
         while leaf < last and bounds[leaf + 1] <= start:
             leaf += 1
         first = leaf
-        if first and bounds[first] == start and bounds[first] > done:
+        # The leaf before the edit, which may follow empty ones.
+        while first and bounds[first] == start and bounds[first] > done:
             first -= 1
         begin = bounds[first]
         region, here, final = [], max(begin, done), first
@@ -146,14 +158,21 @@ def apply_edits(text: str, tree: Tree, edits: list[tuple[int, int, str]], counte
             final += 1
         out += [text[done:begin], whole]
         done = bounds[final + 1]
-        tokens = counter.parts(cut(whole)) if whole else 0
         encoded += len(whole)
-        tree.set(first, tokens)
-        for other in range(first + 1, final + 1):
-            tree.set(other, 0)
+        changed.append((first, final + 1, leaves_of(whole, counter, final + 1 - first)))
         leaf = min(final + 1, last)
     out.append(text[done:])
-    return "".join(out), tree.tokens, encoded
+    if any(len(new) > until - first for first, until, new in changed):
+        leaves = list(zip(tree.leaf_chars, tree.sums[tree.width :]))
+        for first, until, new in reversed(changed):
+            leaves[first:until] = new
+        tree = Tree.of(leaves)
+    else:
+        for first, _, new in changed:
+            for at, (chars, tokens) in enumerate(new, first):
+                tree.leaf_chars[at] = chars
+                tree.set(at, tokens)
+    return "".join(out), tree, encoded
 
 
 def default_ranks() -> str:
@@ -190,36 +209,40 @@ def with_trees(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def recounted(trees: DataFrame, ranks: str | None = None) -> DataFrame:
-    """(doc_id, edited_text, n_tokens, edited_tokens, leaves, encoded_chars).
+    """(doc_id, text, leaf_chars, sums, n_tokens, edited_tokens, leaves, encoded_chars).
 
     ``trees`` is as from ``with_trees`` with a further column edits, an array of
-    (start, end, text).
+    (start, end, text). Text and tree are those after the edits, so the result, with new
+    edits, can be given to this function again. ``n_tokens`` and ``leaves`` are those
+    before them.
     """
     path = ranks or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(f"counter {path}", lambda: Counter(path))
-        names = ["doc_id", "edited_text", "n_tokens", "edited_tokens", "leaves", "encoded_chars"]
         for batch in batches:
             for piece in pieces(batch, "text"):
                 out = []
                 for text, chars, sums, edits in zip(*(c.to_pylist() for c in piece.columns[1:])):
-                    tree, before = Tree(chars, sums), sums[1]
+                    before, leaves = sums[1], len(chars)
                     steps = [(e["start"], e["end"], e["text"] or "") for e in edits or []]
-                    new, after, encoded = apply_edits(text, tree, steps, counter)
-                    out.append((new, before, after, len(chars), encoded))
+                    new, tree, encoded = apply_edits(text, Tree(chars, sums), steps, counter)
+                    out.append(
+                        (new, tree.leaf_chars, tree.sums, before, tree.tokens, leaves, encoded)
+                    )
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
                         pa.array(columns[0], pa.string()),
-                        *(pa.array(c, pa.int64()) for c in columns[1:]),
+                        *(pa.array(c, pa.list_(pa.int64())) for c in columns[1:3]),
+                        *(pa.array(c, pa.int64()) for c in columns[3:]),
                     ],
-                    names=names,
+                    names=EDITED,
                 )
 
     return trees.select("doc_id", "text", "leaf_chars", "sums", "edits").mapInArrow(
         run,
-        "doc_id long, edited_text string, n_tokens long, edited_tokens long, leaves long, "
-        "encoded_chars long",
+        "doc_id long, text string, leaf_chars array<long>, sums array<long>, n_tokens long, "
+        "edited_tokens long, leaves long, encoded_chars long",
     )

@@ -118,7 +118,7 @@ def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_tokens",
         "leaves",
         "encoded_chars",
-        F.length("edited_text").cast("long").alias("edited_chars"),
+        F.length("text").cast("long").alias("edited_chars"),
     )
 
 

@@ -472,19 +472,47 @@ def test_edits_are_counted_like_whole_texts(monkeypatch):
         monkeypatch.setattr(edit_counts, "LEAF_PARTS", rng.choice([1, 2, 3, 8]))
         tree = edit_counts.Tree.of(edit_counts.leaves_of(text, counter))
         assert tree.tokens == len(counter.encoding.encode_ordinary(text))
-        edits, at = [], 0
-        for _ in range(rng.randrange(4)):
-            start = rng.randint(at, max(at, len(text) + 2))
-            at = start + rng.choice([0, 0, 1, 3, 30])
-            edits.append((start, at, "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 4])))))
-        whole, at = "", 0
-        for start, end, new in edits:
-            whole += text[at : min(start, len(text))] + new
-            at = min(end, len(text))
-        whole += text[at:]
-        new, tokens, encoded = edit_counts.apply_edits(text, tree, edits, counter)
-        assert (new, tokens) == (whole, len(counter.encoding.encode_ordinary(whole)))
-        assert tree.sums[1] == sum(tree.sums[tree.width :])
+        # Rounds of edits follow each other without a new encoding of the whole.
+        for _ in range(3):
+            edits, at = [], 0
+            for _ in range(rng.randrange(4)):
+                start = rng.randint(at, max(at, len(text) + 2))
+                at = start + rng.choice([0, 0, 1, 3, 30])
+                added = rng.choice([0, 1, 4, 4, 60])
+                edits.append((start, at, "".join(rng.choice(alphabet) for _ in range(added))))
+            whole, at = "", 0
+            for start, end, new in edits:
+                whole += text[at : min(start, len(text))] + new
+                at = min(end, len(text))
+            whole += text[at:]
+            text, tree, encoded = edit_counts.apply_edits(text, tree, edits, counter)
+            assert (text, tree.tokens) == (whole, len(counter.encoding.encode_ordinary(whole)))
+            assert all(
+                tree.sums[i] == tree.sums[2 * i] + tree.sums[2 * i + 1] for i in range(1, tree.width)
+            )
+            at = 0
+            for chars, tokens in zip(tree.leaf_chars, tree.sums[tree.width :]):
+                leaf, at = text[at : at + chars], at + chars
+                assert tokens == len(counter.encoding.encode_ordinary(leaf))
+                assert len(edit_counts.cut(leaf)) <= 2 * edit_counts.LEAF_PARTS
+            assert at == len(text)
+
+
+def test_edited_trees_take_more_edits(spark):
+    text = "one two, three " * 400
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "x")], "doc_id long, text string")
+    trees = edit_counts.with_trees(rows)
+    edit = F.array(F.struct(F.lit(40).alias("start"), F.lit(43).alias("end"), F.lit(" new" * 300).alias("text")))
+    counter = edit_counts.Counter(edit_counts.default_ranks())
+    expected = {1: text, 2: "", 3: "x"}
+    for _ in range(3):
+        trees = edit_counts.recounted(trees.withColumn("edits", edit))
+        expected = {k: t[:40] + " new" * 300 + t[43:] for k, t in expected.items()}
+        for row in trees.collect():
+            assert row.text == expected[row.doc_id] and sum(row.leaf_chars) == len(row.text)
+            assert row.edited_tokens == row.sums[1] == len(counter.encoding.encode_ordinary(row.text))
+            assert row.doc_id != 1 or row.encoded_chars < len(row.text) / 2
+            assert row.edited_tokens != row.n_tokens
 
 
 def test_small_edits_encode_little(spark, edges, edge_rows, nothing):
@@ -493,7 +521,7 @@ def test_small_edits_encode_little(spark, edges, edge_rows, nothing):
     trees = edit_counts.with_trees(edges)
     none = trees.withColumn("edits", F.lit(None).cast("array<struct<start:long,end:long,text:string>>"))
     rows = edit_counts.recounted(none).collect()
-    assert order((r.doc_id, r.edited_text) for r in rows) == order((d, t or "") for d, t, _ in edge_rows)
+    assert order((r.doc_id, r.text) for r in rows) == order((d, t or "") for d, t, _ in edge_rows)
     assert all(r.n_tokens == r.edited_tokens and r.encoded_chars == 0 for r in rows)
     assert edit_counts.with_trees(nothing).count() == 0
 
