@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.functions.sizes import BIN_LABELS, average_or_zero, size_bin, sum_or_zero, to_mb
@@ -88,6 +88,82 @@ def file_size_distribution(files: DataFrame, unknown_label: str | None = None) -
     return files.groupBy(TABLE, label.alias("size_bin")).count()
 
 
+def partial_profile(files: DataFrame) -> DataFrame:
+    """Partial figures of each table, from which a profile and larger partials follow.
+
+    ``deviations`` are the squares of distances from the partial's own mean, added up.
+    """
+    size = F.col("size_in_bytes")
+    known = F.count(size)
+    label = size_bin(size)
+    faulty = FAULT in files.columns
+    return files.groupBy(TABLE).agg(
+        (F.count_if(F.col(FAULT).isNull()) if faulty else F.count("*")).alias("files"),
+        known.alias("known"),
+        F.sum(size).alias("bytes"),
+        (F.var_pop(size) * known).alias("deviations"),
+        F.min(size).alias("low"),
+        F.max(size).alias("high"),
+        *[F.count_if(label == name).alias(f"bin_{i}") for i, name in enumerate(BIN_LABELS)],
+        *([F.min(FAULT).alias("error")] if faulty else []),
+    )
+
+
+def merged_partials(partials: DataFrame, *latest: str) -> DataFrame:
+    """One partial a table out of several; of the columns ``latest`` the largest value stays.
+
+    Deviations are moved from each part's mean to the common one, so nothing is lost to
+    the difference of large squares.
+    """
+    every = Window.partitionBy(TABLE)
+    moved = F.col("bytes") / F.col("known") - F.col("all_bytes") / F.col("all_known")
+    counts = ["files", "known", *[f"bin_{i}" for i in range(len(BIN_LABELS))]]
+    return (
+        partials.withColumns(
+            {"all_bytes": F.sum("bytes").over(every), "all_known": F.sum("known").over(every)}
+        )
+        .withColumn(
+            "deviations",
+            F.when(F.col("known") > 0, F.col("deviations") + F.col("known") * moved * moved),
+        )
+        .groupBy(TABLE)
+        .agg(
+            *[F.sum(name).alias(name) for name in [*counts, "bytes", "deviations"]],
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            *[F.max(name).alias(name) for name in latest],
+        )
+    )
+
+
+def profile_of(partials: DataFrame) -> DataFrame:
+    """The profile that one partial a table gives, as ``file_profile`` of all its files."""
+    known, files = F.col("known"), F.col("files")
+    total = F.coalesce("bytes", F.lit(0))
+    average = average_or_zero(total, files)
+    spread = F.when(known > 1, F.sqrt(F.col("deviations") / F.nullif(known - 1, F.lit(0))))
+    stats = {
+        "count": known,
+        "mean": F.when(known > 0, F.col("bytes") / F.nullif(known, F.lit(0))),
+        "stddev": spread,
+        "min": F.col("low"),
+        "max": F.col("high"),
+    }
+    place = {name: f"bin_{i}" for i, name in enumerate(BIN_LABELS)}
+    return partials.select(
+        TABLE,
+        total.alias("total_size_bytes"),
+        to_mb(total).alias("total_size_mb"),
+        files.alias("num_files"),
+        average.alias("average_file_size_bytes"),
+        to_mb(average).alias("average_file_size_mb"),
+        F.struct(*[value.cast("double").alias(name) for name, value in stats.items()]).alias(
+            "descriptive_stats"
+        ),
+        _bins(lambda name: F.col(place[name])).alias("size_distribution"),
+    )
+
+
 def distribution_of(profile: DataFrame, empty_bins: bool = False) -> DataFrame:
     """The distribution rows held in a profile, on request with the empty bins."""
     rows = profile.select(TABLE, F.inline("size_distribution"))

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeops.functions.sizes import BIN_LABELS
 from lakeops.operators import filestats
-from lakeops.session import small_table
+from lakeops.session import new_work_dir, small_table
 from lakeops.sources import commit_log, inventory, storage
 
 # Which files count: every logged add, the live ones, those in the folder, or the
 # live ones where there is a log and those in the folder where there is none.
 ALL_ADDS, LIVE, FILES, LIVE_OR_FILES = "all_adds", "live", "files", "live_or_files"
 
+# What is kept of a table between runs, see ``filestats.partial_profile``.
+PARTIALS = (
+    "table_name STRING, files BIGINT, known BIGINT, "
+    + "".join(f"bin_{i} BIGINT, " for i in range(len(BIN_LABELS)))
+    + "bytes BIGINT, deviations DOUBLE, low BIGINT, high BIGINT, until BIGINT"
+)
+
 
 def table_files(
     spark: SparkSession, locations: dict[str, str], mode: str = ALL_ADDS, faults: bool = False
@@ -89,6 +98,72 @@ def analyze_tables(
     return known.unionByName(failed, allowMissingColumns=True)
 
 
+def _newest_run(spark: SparkSession, store: str) -> int:
+    """Number of the last whole run kept in a store, -1 if there is none."""
+    runs = [n.split("=")[1] for n in storage.child_names(spark, store) if n.startswith("run=")]
+    for run in sorted(map(int, runs), reverse=True):
+        if storage.exists(spark, f"{store}/run={run}/_SUCCESS"):
+            return run
+    return -1
+
+
+def analyze_new_commits(spark: SparkSession, names: Iterable[str], store: str) -> DataFrame:
+    """As ``analyze_tables`` of every logged add, reading only commits not seen before.
+
+    ``store`` is a folder this function keeps one partial a table in, with the version it
+    reaches; each run merges the commits above into it and writes the next. Commits that
+    a log has dropped since stay counted. A table with a fault in new commits, with commits
+    gone before they were read, or whose log ends below what was read, has an error and
+    keeps its partial as it was, so a mended log goes on where it stopped. One run at a
+    time uses a store; a run that did not end leaves nothing that counts.
+    """
+    locations, errors = _locate(spark, names, ALL_ADDS)
+    newest = _newest_run(spark, store) if storage.exists(spark, store) else -1
+    kept = spark.read.schema(PARTIALS).parquet(f"{store}/run={newest}") if newest >= 0 else None
+    # One number a table.
+    reached = {row[0]: row[1] for row in kept.select("table_name", "until").collect()} if kept else {}
+    listed = storage.on_each(
+        lambda root: commit_log.commit_versions(spark, root), locations.values()
+    )
+    fresh: dict[str, list[int]] = {}
+    for name, versions in zip(locations, listed, strict=True):
+        until = reached.get(name, -1)
+        if versions and versions[-1] < until:
+            errors[name] = f"the log ends at version {versions[-1]}, below {until} read before"
+        elif versions and until >= 0 and versions[0] > until + 1:
+            errors[name] = f"commits from version {until + 1} are gone before they were read"
+        else:
+            fresh[name] = [version for version in versions if version > until]
+    ends = {name: versions[-1] for name, versions in fresh.items() if versions}
+    run = newest + 1
+    parts = [kept] if kept is not None else []
+    faulty: DataFrame | None = None
+    if ends:
+        actions = commit_log.read_commit_log(spark, {n: locations[n] for n in ends}, fresh)
+        found = filestats.partial_profile(commit_log.added_files(actions, faults=True))
+        until = small_table(spark, [(n, str(v)) for n, v in ends.items()], "table_name", "until")
+        # Commits without files count as read too.
+        new = new_work_dir(spark, "partials")
+        until.select("table_name", F.col("until").cast("bigint")).join(
+            found, "table_name", "left"
+        ).fillna(0, subset=[c for c in found.columns if c.startswith(("bin_", "files", "known"))]).write.parquet(new)
+        rows = spark.read.parquet(new)
+        faulty = rows.filter(F.col("error").isNotNull()).select("table_name", "error")
+        parts.append(rows.filter(F.col("error").isNull()).drop("error"))
+        merged = filestats.merged_partials(reduce(DataFrame.unionByName, parts), "until")
+        merged.write.mode("overwrite").parquet(f"{store}/run={run}")
+        kept = spark.read.schema(PARTIALS).parquet(f"{store}/run={run}")
+    tables = small_table(spark, [(name,) for name in fresh], "table_name")
+    partials = kept if kept is not None else spark.createDataFrame([], PARTIALS)
+    known = filestats.for_tables(tables, filestats.profile_of(partials))
+    if faulty is None:
+        known = known.withColumn("error", F.lit(None).cast("string"))
+    else:
+        known = filestats.without_figures(known.join(faulty, "table_name", "left"))
+    failed = small_table(spark, list(errors.items()), "table_name", "error")
+    return known.unionByName(failed, allowMissingColumns=True)
+
+
 def analyze_table(spark: SparkSession, name: str, mode: str = ALL_ADDS) -> DataFrame:
     return analyze_tables(spark, [name], mode)
 

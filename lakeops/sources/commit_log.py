@@ -67,16 +67,34 @@ def commit_version(file_name: Column) -> Column:
     return F.when(named, F.left(file_name, F.lit(COMMIT_DIGITS)).try_cast("bigint"))
 
 
-def read_commit_log(spark: SparkSession, locations: Mapping[str, str]) -> DataFrame:
+def commit_versions(spark: SparkSession, location: str) -> list[int]:
+    """Versions of the JSON commits a log retains, ascending."""
+    names = map(COMMIT_NAME.fullmatch, storage.child_names(spark, log_folder(location)))
+    return sorted(int(found[1]) for found in names if found)
+
+
+def read_commit_log(
+    spark: SparkSession,
+    locations: Mapping[str, str],
+    versions: Mapping[str, Iterable[int]] | None = None,
+) -> DataFrame:
     """Actions of all JSON commits of many tables, in one scan.
 
     ``locations`` maps table names to table folders that have a log. A line that cannot
-    be read whole has a ``fault``, which says where it is.
+    be read whole has a ``fault``, which says where it is. With ``versions`` only those
+    commits of each table are opened.
     """
     roots = {name: storage.qualify(spark, location) for name, location in locations.items()}
-    folders = [
-        storage.as_literal_path(log_folder(root)) for root in sorted(set(roots.values()))
-    ]
+    logs = {name: log_folder(root) for name, root in roots.items()}
+    if versions is None:
+        paths = set(logs.values())
+    else:
+        paths = {
+            f"{logs[name]}/{version:0{COMMIT_DIGITS}d}.json"
+            for name, wanted in versions.items()
+            for version in wanted
+        }
+    folders = [storage.as_literal_path(path) for path in sorted(paths)]
     file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     lines = (
         spark.read.schema(LINES_SCHEMA)

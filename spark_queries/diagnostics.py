@@ -132,6 +132,30 @@ def multi_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stats_of_new_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics kept up over two runs, with the later half of the commits between them."""
+    root = new_work_dir(spark, "log")
+    actions = inputs.actions(spark, sf_dir)
+    early, late = F.col("version") < 10, F.col("version") >= 10
+    locations = write_commit_files(spark, actions.filter(early), f"{root}/early")
+    store = f"{root}/partials"
+    names = [*locations.values(), f"{root}/unknown"]
+    diagnose.analyze_new_commits(spark, names, store)
+    for name, folder in write_commit_files(spark, actions.filter(late), f"{root}/late").items():
+        log, target = (commit_log.log_folder(at) for at in (folder, locations[name]))
+        storage.on_each(
+            lambda file: storage.rename(spark, f"{log}/{file}", f"{target}/{file}"),
+            [file for file in storage.child_names(spark, log) if file.endswith(".json")],
+        )
+    analysed = diagnose.analyze_new_commits(spark, names, store)
+    return flat_stats(analysed).withColumns(
+        {
+            "table_name": F.regexp_extract("table_name", "([^/=]+)$", 1),
+            "error": F.when(F.col("error").isNotNull(), "no commit log"),
+        }
+    )
+
+
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = commit_log.added_files(inputs.actions(spark, sf_dir))
     return filestats.report(filestats.file_profile(files)).withColumn(
@@ -312,6 +336,7 @@ QUERIES = {
     "file_size_distribution": file_size_distribution,
     "append_only_files": append_only_files,
     "multi_table_stats": multi_table_stats,
+    "stats_of_new_commits": stats_of_new_commits,
     "stats_report": stats_report,
     "file_inventory": file_inventory,
     "live_files_checkpointed": live_files_checkpointed,
@@ -385,3 +410,4 @@ WHERE table_name = '1-URGENT' GROUP BY table_name""",
 SELECT table_name, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS total_size_bytes
 FROM adds WHERE table_name NOT LIKE '5%' GROUP BY table_name""",
 }
+ORACLES["stats_of_new_commits"] = ORACLES["multi_table_stats"]

@@ -2,6 +2,7 @@
 
 import json
 import os
+import statistics
 from pathlib import Path
 
 import pytest
@@ -310,3 +311,45 @@ def test_faults_cost_their_own_table_only(spark, tmp_path):
     assert {n: (r.num_files, r.error is None) for n, r in adds.items()} == {
         "good": (1, True), "cut": (None, False), "footer": (1, True), "pages": (1, True), "typed": (None, False)
     }
+
+
+def test_only_new_commits_are_read(spark, work):
+    def commit(table, version, *lines):
+        log = f"{work}/{table}/_delta_log"
+        os.makedirs(log, exist_ok=True)
+        with open(f"{log}/{version:020d}.json", "w") as out:
+            out.writelines(json.dumps(line) + "\n" if isinstance(line, dict) else line for line in lines)
+
+    def added(name, size):
+        return {"add": {"path": name, "size": size, "dataChange": True}}
+
+    def found():
+        rows = diagnose.analyze_new_commits(spark, [f"{work}/{t}" for t in "abcd"], f"{work}/store").collect()
+        return {r.table_name[-1]: r for r in rows}
+
+    mb = 1024 * 1024
+    for table in "abc":
+        commit(table, 0, added("p0", 10), added("p1", 20 * mb))
+    commit("d", 0, {"commitInfo": {}})
+    first = found()
+    assert [first[t].num_files for t in "abcd"] == [2, 2, 2, 0]
+    assert first["d"].descriptive_stats["count"] in (0, None)
+    # What was read is not read again: garbage there goes unseen.
+    commit("a", 0, "{{{")
+    commit("a", 1, added("p2", None), added("p3", 7))
+    commit("b", 1, added("p2", 1), '{"add": {"pa')
+    os.rename(f"{work}/c/_delta_log/{0:020d}.json", f"{work}/c/_delta_log/{5:020d}.json")
+    second = found()
+    sizes = [10, 20 * mb, 7]
+    stats = second["a"].descriptive_stats
+    assert (second["a"].num_files, second["a"].total_size_bytes, stats["count"]) == (4, sum(sizes), 3)
+    assert stats["stddev"] == pytest.approx(statistics.stdev(sizes), rel=1e-12)
+    assert (stats["min"], stats["max"]) == (7, 20 * mb)
+    assert [row["count"] for row in second["a"].size_distribution] == [2, 0, 1, 1]
+    assert second["b"].num_files is None and "malformed line" in second["b"].error
+    assert "gone" in second["c"].error
+    # A mended commit goes on where its table stopped; without news nothing changes.
+    commit("b", 1, added("p2", 1))
+    third = found()
+    assert third["b"].num_files == 3 and third["b"].error is None
+    assert third["a"] == second["a"] and found()["b"] == third["b"]
