@@ -181,9 +181,11 @@ def for_tables(tables: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def without_figures(profile: DataFrame) -> DataFrame:
-    """A profile in which tables with an ``error`` have no figures."""
+    """A profile in which tables with an ``error``, the last column, have no figures."""
     figures = [c for c in profile.columns if c not in (TABLE, "error")]
-    return profile.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in figures})
+    return profile.select(
+        TABLE, *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in figures], "error"
+    )
 
 
 def configured_statistics(control: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeops.functions.sizes import BIN_LABELS
 from lakeops.operators import filestats
 from lakeops.session import new_work_dir, small_table
-from lakeops.sources import commit_log, inventory, storage
+from lakeops.sources import commit_log, inventory, live_view, storage
 
 # Which files count: every logged add, the live ones, those in the folder, or the
 # live ones where there is a log and those in the folder where there is none.
@@ -164,6 +164,20 @@ def analyze_new_commits(spark: SparkSession, names: Iterable[str], store: str) -
     return known.unionByName(failed, allowMissingColumns=True)
 
 
+def analyze_live_view(spark: SparkSession, names: Iterable[str], store: str) -> DataFrame:
+    """As ``analyze_tables`` of live files, which are kept in ``store`` between runs.
+
+    Only commits not seen before are read, see ``live_view.refresh``.
+    """
+    locations, errors = _locate(spark, names, ALL_ADDS)
+    errors |= live_view.refresh(spark, locations, store)
+    sound = [name for name in locations if name not in errors]
+    profile = filestats.file_profile(live_view.read(spark, store, sound))
+    tables = small_table(spark, [(name,) for name in sound], "table_name")
+    failed = small_table(spark, list(errors.items()), "table_name", "error")
+    return filestats.for_tables(tables, profile).unionByName(failed, allowMissingColumns=True)
+
+
 def analyze_table(spark: SparkSession, name: str, mode: str = ALL_ADDS) -> DataFrame:
     return analyze_tables(spark, [name], mode)
 

@@ -259,7 +259,8 @@ def read_live_actions(
     return actions.unionByName(held.select(*columns))
 
 
-def _with_full_path(files: DataFrame, decoded: bool) -> DataFrame:
+def with_full_path(files: DataFrame, decoded: bool = False) -> DataFrame:
+    """Files of known location with their whole path, see ``added_files`` for ``decoded``."""
     if "location" not in files.columns:
         return files
     files = files.withColumn("full_path", join_path(F.col("location"), F.col("relative_path")))
@@ -285,11 +286,11 @@ def added_files(actions: DataFrame, decoded: bool = False, faults: bool = False)
         F.col("add.size").alias("size_in_bytes"),
         *([FAULT] if faults else []),
     )
-    return _with_full_path(files, decoded)
+    return with_full_path(files, decoded)
 
 
-def live_files(actions: DataFrame, decoded: bool = False, faults: bool = False) -> DataFrame:
-    """Files a reader of the table would open now: the last action on them is an add.
+def last_actions(actions: DataFrame, faults: bool = False) -> DataFrame:
+    """The last action on every path: its version, whether the file is ``live``, its size.
 
     Version and kind of an action make one number, so the last action is found by
     a hash aggregate of fixed-width values with a map-side part, no sort. Within
@@ -307,15 +308,24 @@ def live_files(actions: DataFrame, decoded: bool = False, faults: bool = False)
         .agg(F.max(order).alias("last"), F.max_by("add.size", order).alias("size_in_bytes"), *first)
     )
     version = F.shiftright("last", 1)
-    live = F.pmod("last", F.lit(2)) == 1
-    files = last.filter(live | F.col(FAULT).isNotNull() if faults else live).select(
+    return last.select(
         *table,
         F.when(version >= 0, version).alias("version"),
         "relative_path",
         "size_in_bytes",
+        (F.pmod("last", F.lit(2)) == 1).alias("live"),
         *([FAULT] if faults else []),
     )
-    return _with_full_path(files, decoded)
+
+
+def live_files(actions: DataFrame, decoded: bool = False, faults: bool = False) -> DataFrame:
+    """Files a reader of the table would open now: the last action on them is an add.
+
+    With ``faults`` rows with a fault stay, see ``last_actions``.
+    """
+    last = last_actions(actions, faults)
+    kept = F.col("live") | F.col(FAULT).isNotNull() if faults else F.col("live")
+    return with_full_path(last.filter(kept).drop("live"), decoded)
 
 
 def append_only_actions(actions: DataFrame, salts: int = COMMIT_SALTS) -> DataFrame:

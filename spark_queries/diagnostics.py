@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeops.operators import filestats
 from lakeops.plans import diagnose
 from lakeops.session import new_work_dir
-from lakeops.sources import commit_log, storage
+from lakeops.sources import commit_log, live_view, storage
 from spark_queries import inputs
 
 
@@ -222,6 +223,52 @@ def live_files_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("table_name", "relative_path", "size_in_bytes")
 
 
+# Versions a kept view is brought up to date at; the first is above the checkpoint.
+VIEW_STEPS = (14, 19, 24, 29)
+
+
+def live_files_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live files after each of four runs that take in the commits since the one before."""
+    locations = _checkpointed_log(spark, sf_dir)
+    store = new_work_dir(spark, "view")
+    logs = [commit_log.log_folder(location) for location in locations.values()]
+
+    def move(versions: Iterable[int], outward: bool) -> None:
+        names = [f"{version:020d}.json" for version in versions]
+        for log in logs:
+            pairs = [(f"{log}/{name}", f"{log}/_held/{name}") for name in names]
+            storage.on_each(
+                lambda pair: storage.rename(spark, *(pair if outward else pair[::-1])), pairs
+            )
+
+    move(range(VIEW_STEPS[0] + 1, VIEW_STEPS[-1] + 1), outward=True)
+    views = []
+    for before, version in zip((VIEW_STEPS[0], *VIEW_STEPS), VIEW_STEPS):
+        move(range(before + 1, version + 1), outward=False)
+        faults = live_view.refresh(spark, locations, store)
+        if faults:
+            raise ValueError(f"faults in the log: {faults}")
+        views.append(live_view.read(spark, store).withColumn("as_of", F.lit(version)))
+    return reduce(DataFrame.unionByName, views).select(
+        "as_of", "table_name", "relative_path", "size_in_bytes"
+    )
+
+
+def live_view_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles from a kept view: two tables taken in first, then all, one without a log."""
+    locations = _checkpointed_log(spark, sf_dir)
+    store = new_work_dir(spark, "view")
+    names = [*sorted(locations.values()), f"{store}/unknown"]
+    diagnose.analyze_live_view(spark, names[:2], store)
+    analysed = diagnose.analyze_live_view(spark, names, store)
+    return flat_stats(analysed).withColumns(
+        {
+            "table_name": F.regexp_extract("table_name", "([^/=]+)$", 1),
+            "error": F.when(F.col("error").isNotNull(), "no commit log"),
+        }
+    )
+
+
 def table_detail_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and bytes of checkpointed tables; a log with a gap gives an error."""
     locations = _checkpointed_log(spark, sf_dir)
@@ -340,6 +387,8 @@ QUERIES = {
     "stats_report": stats_report,
     "file_inventory": file_inventory,
     "live_files_checkpointed": live_files_checkpointed,
+    "live_files_kept": live_files_kept,
+    "live_view_stats": live_view_stats,
     "table_detail_checkpointed": table_detail_checkpointed,
     "isolated_faults": isolated_faults,
     "single_table": single_table,
@@ -384,6 +433,18 @@ SELECT table_name, metric, round(value, 2) AS value FROM (
 FROM orders, (VALUES ('parquet'), ('csv'), ('orc')) AS f(format) GROUP BY ALL""",
     "live_files_checkpointed": f"""WITH {inputs.ACTIONS_SQL}
 SELECT table_name, path AS relative_path, size AS size_in_bytes FROM live""",
+    "live_files_kept": f"""WITH {inputs.ACTIONS_SQL},
+steps AS (SELECT * FROM (VALUES (14), (19), (24), (29)) AS s(as_of))
+SELECT as_of, table_name, path AS relative_path, size AS size_in_bytes
+FROM (SELECT as_of, actions.* FROM steps JOIN actions ON version <= as_of
+      QUALIFY row_number() OVER (
+        PARTITION BY as_of, table_name, path ORDER BY version DESC, is_add DESC) = 1)
+WHERE is_add""",
+    "live_view_stats": f"""WITH {inputs.ACTIONS_SQL}
+SELECT table_name, {TOTALS_SQL}, {DESCRIPTIVE_SQL}, CAST(NULL AS VARCHAR) AS error
+FROM live GROUP BY table_name
+UNION ALL
+SELECT 'unknown', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no commit log'""",
     "table_detail_checkpointed": f"""WITH {inputs.ACTIONS_SQL}
 SELECT table_name, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS size_in_bytes,
        CAST(NULL AS BOOLEAN) AS lacks_commit

@@ -10,7 +10,7 @@ import pytest
 from lakeops.functions.sizes import BYTES_PER_MB
 from lakeops.operators import filestats
 from lakeops.plans import diagnose
-from lakeops.sources import commit_log, inventory
+from lakeops.sources import commit_log, inventory, live_view
 
 
 def add(path, size=1, data_change=True):
@@ -353,3 +353,108 @@ def test_only_new_commits_are_read(spark, work):
     third = found()
     assert third["b"].num_files == 3 and third["b"].error is None
     assert third["a"] == second["a"] and found()["b"] == third["b"]
+
+
+def live_now(spark, locations):
+    found = diagnose.table_files(spark, locations, diagnose.LIVE)
+    return sorted(found.collect(), key=str)
+
+
+def kept_now(spark, store, names=None):
+    return sorted(live_view.read(spark, store, names).collect(), key=str)
+
+
+def test_kept_view_follows_every_commit(spark, work, monkeypatch):
+    locations = {name: f"{work}/{name}" for name in ("a", "b")}
+    store = f"{work}/store"
+    write_log(locations["a"], [add("p1"), add("p2", 5)], [remove("p1")])
+    write_log(locations["b"], [add("p1", 7)])
+    news = [
+        ("a", [add("p1", 9), remove("p2")]),
+        ("b", [remove("p1"), add("p3", 4)]),
+        ("a", [add("p2", 6), remove("p2")]),
+        ("b", [{"commitInfo": {}}]),
+        ("a", [add("p4", None), remove("nowhere")]),
+    ]
+    version = {"a": 2, "b": 1}
+    monkeypatch.setattr(live_view, "MERGE_PIECES", 3)
+    monkeypatch.setattr(live_view, "MERGE_SHARE", 1e9)
+    assert live_view.refresh(spark, locations, store) == {}
+    assert kept_now(spark, store) == live_now(spark, locations)
+    before = kept_now(spark, store)
+    earlier = live_view.read(spark, store)
+    for table, lines in news:
+        write_log(locations[table], lines, first=version[table])
+        version[table] += 1
+        # What was read is not opened again.
+        old = Path(locations[table], "_delta_log", f"{0:020d}.json")
+        text = old.read_text()
+        old.write_text("{{{")
+        assert live_view.refresh(spark, locations, store) == {}
+        old.write_text(text)
+        assert kept_now(spark, store) == live_now(spark, locations)
+    assert sorted(earlier.collect(), key=str) == before
+    manifest = live_view.newest(spark, store)
+    pieces = {number for kept in manifest.tables.values() for number in kept.pieces}
+    assert manifest.merged > 0 and len(pieces) <= 3
+    # Nothing new: nothing is written.
+    assert live_view.refresh(spark, locations, store) == {}
+    assert live_view.newest(spark, store) == manifest
+    assert live_view.drop_unused(spark, store)
+    assert kept_now(spark, store) == live_now(spark, locations)
+    assert {r.table_name for r in kept_now(spark, store, ["b"])} == {"b"}
+
+
+def test_kept_view_of_broken_and_replaced_logs(spark, work):
+    locations = {name: f"{work}/{name}" for name in ("good", "cut", "moved", "gone")}
+    store = f"{work}/store"
+    for folder in locations.values():
+        write_log(folder, [add("p1", 3)], [add("p2", 4)])
+    assert live_view.refresh(spark, locations, store) == {}
+    log = {name: Path(folder, "_delta_log") for name, folder in locations.items()}
+    for name in locations:
+        write_log(locations[name], [remove("p1"), add("p3", 5)], first=2)
+    whole = (log["cut"] / f"{2:020d}.json").read_text()
+    (log["cut"] / f"{2:020d}.json").write_text(whole[:-9])
+    # A log that starts over is shorter than what was read of it.
+    for version in (1, 2):
+        (log["moved"] / f"{version:020d}.json").unlink()
+    (log["gone"] / f"{1:020d}.json").unlink()
+    faults = live_view.refresh(spark, locations, store)
+    assert set(faults) == {"cut", "gone"}
+    assert "malformed line" in faults["cut"] and "lacks commit 1" in faults["gone"]
+
+    def paths():
+        rows = live_view.read(spark, store).groupBy("table_name").agg({"relative_path": "collect_set"})
+        return {row[0]: set(row[1]) for row in rows.collect()}
+
+    assert paths() == {
+        "good": {"p2", "p3"}, "cut": {"p1", "p2"}, "moved": {"p1"}, "gone": {"p1", "p2"}
+    }
+    (log["cut"] / f"{2:020d}.json").write_text(whole)
+    names = list(locations.values())
+    assert set(live_view.refresh(spark, locations, store)) == {"gone"}
+    assert paths()["cut"] == {"p2", "p3"}
+    rows = {r.table_name: r for r in diagnose.analyze_live_view(spark, [*names, f"{work}/none"], f"{work}/other").collect()}
+    assert {n[len(work) + 1 :]: (r.num_files, r.error is None) for n, r in rows.items()} == {
+        "good": (2, True), "cut": (2, True), "moved": (1, True), "gone": (None, False), "none": (None, False)
+    }
+
+
+def test_kept_view_without_any_table(spark, work):
+    assert live_view.refresh(spark, {}, f"{work}/store") == {}
+    assert kept_now(spark, f"{work}/store") == []
+
+
+def test_first_pieces_of_a_kept_view_are_not_shuffled(spark, work, monkeypatch):
+    monkeypatch.setattr(live_view, "MERGE_SHARE", 1e9)
+    locations = {"a": f"{work}/a"}
+    write_log(locations["a"], [add(f"p{i}", i) for i in range(50)])
+    live_view.refresh(spark, locations, f"{work}/store")
+    write_log(locations["a"], [remove("p1")], first=1)
+    live_view.refresh(spark, locations, f"{work}/store")
+    files = live_view.read(spark, f"{work}/store")
+    assert files.count() == 49
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    anti = next(line for line in plan.splitlines() if "LeftAnti" in line)
+    assert "BroadcastHashJoin" in anti
