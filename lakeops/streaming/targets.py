@@ -7,9 +7,11 @@ after a failure finds its own folder, so nothing is lost or repeated.
 
 from __future__ import annotations
 
+import json
 import threading
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import quote, unquote
 
@@ -33,6 +35,9 @@ from lakeops.sources.inventory import table_location
 FLOW, BATCH = "ingest_flow", "ingest_batch"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+# Folder of batches written together; its name hides it from streams over the table.
+PACKS = "_packs"
+
 #: Ranks a column has on the curve, as a power of two; rows its quantiles are taken from;
 #: columns the curve follows, which is as many as one number has bits for.
 CURVE_BITS, CURVE_SAMPLE, CURVE_COLUMNS = 6, 20_000, 62
@@ -42,6 +47,15 @@ CURVE_TYPES = (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
 _altering: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
+@dataclass(frozen=True)
+class Pack:
+    """Batches of a flow that lie together in a folder below the table."""
+
+    flow: str
+    batches: tuple[int, ...]
+    folder: str
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -96,17 +110,71 @@ def create_table(
 def _find_finished_batches(spark: SparkSession, name: str) -> None:
     """Make the batches below a new table's location visible, but no unfinished one."""
     root = table_location(spark, name)
+    packed = packed_batches(spark, root)
     for flow in [n for n in storage.child_names(spark, root) if n.startswith(f"{FLOW}=")]:
+        label = unquote(flow.split("=", 1)[1])
         for batch in storage.child_names(spark, f"{root}/{flow}"):
             folder = f"{root}/{flow}/{batch}"
             if batch.startswith(f"{BATCH}=") and storage.exists(spark, f"{folder}/_SUCCESS"):
-                label = unquote(flow.split("=", 1)[1])
-                _show_batch(spark, name, folder, label, int(batch.split("=", 1)[1]))
+                number = int(batch.split("=", 1)[1])
+                if (label, number) not in packed:
+                    _show_batch(spark, name, folder, label, number)
+    for pack in dict.fromkeys(packed.values()):
+        show_pack(spark, name, root, pack)
 
 
 def _show_batch(spark: SparkSession, name: str, folder: str, flow: str, batch_id: int) -> None:
     specs = [f"PARTITION ({spec})" for spec in _partition_specs(spark, folder, flow, batch_id)]
-    spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
+    if specs:
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
+
+
+def pack_manifest(root: str, number: int) -> str:
+    return f"{root}/{PACKS}/manifests/{number:020d}.json"
+
+
+def pack_manifests(
+    spark: SparkSession, root: str, finished: bool = False
+) -> dict[int, list[Pack]]:
+    """Packs by number of their manifest, on request those the catalog knows too."""
+    names = set(storage.child_names(spark, f"{root}/{PACKS}/manifests"))
+    wanted = [n for n in sorted(names) if n.endswith(".json") and (finished or f"{n}.done" not in names)]
+    texts = storage.on_each(
+        lambda name: storage.read_text(spark, f"{root}/{PACKS}/manifests/{name}"), wanted
+    )
+    return {
+        int(name.split(".")[0]): [
+            Pack(p["flow"], tuple(p["batches"]), p["folder"]) for p in json.loads(text)
+        ]
+        for name, text in zip(wanted, texts, strict=True)
+    }
+
+
+def packed_batches(spark: SparkSession, root: str) -> dict[tuple[str, int], Pack]:
+    """The pack of every batch that lies in one."""
+    return {
+        (pack.flow, batch): pack
+        for packs in pack_manifests(spark, root, finished=True).values()
+        for pack in packs
+        for batch in pack.batches
+    }
+
+
+def batch_specs(spark: SparkSession, root: str, flow: str, batch_id: int) -> list[str]:
+    """The partitions a batch has of its own."""
+    folder = f"{root}/{FLOW}={quote(flow, safe='')}/{BATCH}={batch_id}"
+    return _partition_specs(spark, folder, flow, batch_id)
+
+
+def show_pack(spark: SparkSession, name: str, root: str, pack: Pack) -> None:
+    """Make a pack visible, as a batch with the number of its first one."""
+    folder = f"{root}/{pack.folder}"
+    inner = [n for n in storage.child_names(spark, folder) if "=" in n]
+    specs = _partition_specs(spark, folder, pack.flow, pack.batches[0])
+    places = [f"{folder}/{n}" for n in inner] or [folder] * len(specs)
+    located = [f"PARTITION ({s}) LOCATION {quoted(at)}" for s, at in zip(specs, places, strict=True)]
+    if located:
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(located)}")
 
 
 def evolved(known: StructType, incoming: StructType) -> StructType:
@@ -214,9 +282,11 @@ def claim_flow(spark: SparkSession, location: str, flow: str, query_id: str) ->
 
 def _partition_specs(spark: SparkSession, folder: str, flow: str, batch_id: int) -> list[str]:
     batch = f"{FLOW} = {quoted(flow)}, {BATCH} = {batch_id}"
-    inner = [n.split("=", 1) for n in storage.child_names(spark, folder) if "=" in n]
+    names = storage.child_names(spark, folder)
+    inner = [n.split("=", 1) for n in names if "=" in n]
     if not inner:
-        return [batch]
+        # Without rows a batch of a table with dates has no files either.
+        return [batch] if any(n.startswith("part-") for n in names) else []
     return [
         f"{batch}, `{column}` = {'NULL' if value == NULL_PARTITION else quoted(unquote(value))}"
         for column, value in inner
@@ -244,6 +314,8 @@ def append_batch(
     if not storage.exists(spark, f"{folder}/_SUCCESS"):
         arranged = batch if dates and one_date else clustered_layout(batch, clustered)
         arranged.write.mode("overwrite").partitionBy(*dates).parquet(folder)
+    elif (flow, batch_id) in packed_batches(spark, root):
+        return
     _show_batch(spark, name, folder, flow, batch_id)
     spark.catalog.refreshTable(name)
 

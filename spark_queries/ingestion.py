@@ -12,7 +12,7 @@ from lakeops.plans import ingest
 from lakeops.session import new_work_dir
 from lakeops.sources import commit_log, storage
 from lakeops.sources.control import IngestionConfig, read_name_list
-from lakeops.streaming import flows, landing, scd1, targets
+from lakeops.streaming import flows, landing, packing, scd1, targets
 from spark_queries import inputs
 
 # Micro-batches a streamed source is cut into, whatever its size.
@@ -584,6 +584,35 @@ def logged_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.rows("logged").select("c_custkey", "c_name")
 
 
+# Batches the packed table gets from its first flow.
+SMALL_BATCHES = 50
+
+
+def packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of many small batches, packed between two runs of a stream that copies it."""
+    space = Workspace(spark)
+    rows = events(spark, sf_dir).select(*EVENT_COLUMNS)
+    for name, share in (("early", F.col("event_id") % 2 == 0), ("late", F.col("event_id") % 2 == 1)):
+        space.add_source(name, rows.filter(share).repartition(SMALL_BATCHES if name == "early" else 2))
+    table, copied = f"{space.target}.small", f"{space.target}.copied"
+    flows.bootstrap_bronze_flow(
+        spark, space.source, "early", table, options={"maxFilesPerTrigger": "1"}
+    ).awaitTermination()
+
+    def copy() -> None:
+        flows.bootstrap_bronze_flow(spark, space.target, "small", copied).awaitTermination()
+
+    copy()
+    packing.pack_batches(spark, table, ["event_type"], partly=True)
+    flows.bootstrap_incremental_flow(
+        spark, space.source, "late", table, flow="late"
+    ).awaitTermination()
+    copy()
+    return space.rows("small").withColumn("held_by", F.lit("small")).unionByName(
+        space.rows("copied").withColumn("held_by", F.lit("copied"))
+    )
+
+
 QUERIES = {
     "bronze_append": bronze_append,
     "bronze_clustered": bronze_clustered,
@@ -611,6 +640,7 @@ QUERIES = {
     "table_properties": table_properties_query,
     "landing_lineage": landing_lineage,
     "logged_append": logged_append,
+    "packed_batches": packed_batches,
 }
 
 COLUMNS_SQL = ", ".join(EVENT_COLUMNS)
@@ -641,6 +671,8 @@ ORACLES = {
     "incremental_append": ALL_EVENTS,
     "multi_flow_append": """SELECT event_id, user_id, event_type, value,
   CAST(NULL AS VARCHAR) AS _rescued_data FROM events""",
+    "packed_batches": f"""SELECT {COLUMNS_SQL}, held_by
+FROM events, (VALUES ('small'), ('copied')) AS t(held_by)""",
     "passthrough_flows": f"""SELECT
   CASE WHEN event_id % 2 = 0 THEN 'first_half' ELSE 'second_half' END AS table_name, {COLUMNS_SQL}
 FROM events""",
