@@ -6,9 +6,10 @@ an explicit ``pos``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import safe_identifier
@@ -20,8 +21,19 @@ SUBSCRIPTION = "subscription_id"
 TENANT_ID, SUBSCRIPTION_ID, GROUP_ID, WORKSPACE_ID = "Tenant", "Sub_", "RG_", "WS_"
 
 
-def _node_id(prefix: str, *names: str):
-    return F.concat(F.lit(prefix), safe_identifier(F.concat_ws("_", *names)))
+# Hex digits of a hash that tell apart nodes whose names look alike when made safe.
+HASH_DIGITS = 16
+
+
+def _node_id(prefix: str, *names: str, apart: bool = False, also: Sequence[str] = ()) -> Column:
+    """An identifier made of safe characters, and ``apart`` of a hash of names and ``also``."""
+    plain = F.concat(F.lit(prefix), safe_identifier(F.concat_ws("_", *names)))
+    if not apart:
+        return plain
+    # With its length before each part, different parts never make one text.
+    parts = [F.coalesce(name, F.lit("")) for name in (*names, *also)]
+    whole = F.concat(*[text for part in parts for text in (F.length(part), F.lit(":"), part)])
+    return F.concat(plain, F.lit("_"), F.left(F.sha2(whole, 256), F.lit(HASH_DIGITS)))
 
 
 def pairs(records: DataFrame) -> DataFrame:
@@ -85,9 +97,20 @@ def _group_key(by_subscription: bool) -> list[str]:
     return [SUBSCRIPTION, GROUP] if by_subscription else [GROUP]
 
 
-def nodes(records: DataFrame, by_subscription: bool = False) -> DataFrame:
-    """``(level, node_id, label, pos)``: one row per tenant, subscription, group, record."""
-    group_id = _node_id(GROUP_ID, *_group_key(by_subscription))
+def _workspace_id(apart: bool) -> Column:
+    return _node_id(WORKSPACE_ID, "workspace_name", apart=apart, also=["workspace_id"])
+
+
+def nodes(
+    records: DataFrame, by_subscription: bool = False, told_apart: bool = False
+) -> DataFrame:
+    """``(level, node_id, label, pos)``: one row per tenant, subscription, group, record.
+
+    Names that differ in unsafe characters only share an id, and so do workspaces of one
+    name. With ``told_apart`` ids also carry a hash of the names, workspaces' also of their
+    own id; it follows from the row alone, so ids stay the same when records are added.
+    """
+    group_id = _node_id(GROUP_ID, *_group_key(by_subscription), apart=told_apart)
     levels = [
         tenant(records).select(
             F.lit("tenant").alias("level"),
@@ -97,7 +120,7 @@ def nodes(records: DataFrame, by_subscription: bool = False) -> DataFrame:
         ),
         subscriptions(records).select(
             F.lit("subscription").alias("level"),
-            _node_id(SUBSCRIPTION_ID, SUBSCRIPTION).alias("node_id"),
+            _node_id(SUBSCRIPTION_ID, SUBSCRIPTION, apart=told_apart).alias("node_id"),
             F.format_string("Subscription: %s", SUBSCRIPTION).alias("label"),
             "pos",
         ),
@@ -109,7 +132,7 @@ def nodes(records: DataFrame, by_subscription: bool = False) -> DataFrame:
         ),
         records.select(
             F.lit("workspace").alias("level"),
-            _node_id(WORKSPACE_ID, "workspace_name").alias("node_id"),
+            _workspace_id(told_apart).alias("node_id"),
             F.format_string("Workspace: %s (%s)", "workspace_name", "workspace_id").alias("label"),
             "pos",
         ),
@@ -117,10 +140,12 @@ def nodes(records: DataFrame, by_subscription: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def edges(records: DataFrame, by_subscription: bool = False) -> DataFrame:
-    """``(level, parent_id, child_id, pos)`` from each node to those below it."""
-    group_id = _node_id(GROUP_ID, *_group_key(by_subscription))
-    subscription_id = _node_id(SUBSCRIPTION_ID, SUBSCRIPTION)
+def edges(
+    records: DataFrame, by_subscription: bool = False, told_apart: bool = False
+) -> DataFrame:
+    """``(level, parent_id, child_id, pos)`` from each node to those below it; ids as ``nodes``."""
+    group_id = _node_id(GROUP_ID, *_group_key(by_subscription), apart=told_apart)
+    subscription_id = _node_id(SUBSCRIPTION_ID, SUBSCRIPTION, apart=told_apart)
     levels = [
         subscriptions(records).select(
             F.lit("subscription").alias("level"),
@@ -137,8 +162,29 @@ def edges(records: DataFrame, by_subscription: bool = False) -> DataFrame:
         records.select(
             F.lit("workspace").alias("level"),
             group_id.alias("parent_id"),
-            _node_id(WORKSPACE_ID, "workspace_name").alias("child_id"),
+            _workspace_id(told_apart).alias("child_id"),
             "pos",
         ),
     ]
     return reduce(DataFrame.unionByName, levels)
+
+
+def collisions(records: DataFrame, by_subscription: bool = False) -> DataFrame:
+    """``(level, node_id, n_nodes, first_label, last_label)`` of ids that several nodes share.
+
+    Every node is counted under its plain id by the id that tells it apart; distinct ids are
+    found on the map side first, so an id that very many records carry is no hot group.
+    """
+    apart = nodes(records, by_subscription, told_apart=True).filter(F.col("level") != "tenant")
+    plain = F.left("node_id", F.length("node_id") - F.lit(HASH_DIGITS + 1))
+    return (
+        apart.groupBy("level", plain.alias("plain_id"), "node_id")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .groupBy("level", F.col("plain_id").alias("node_id"))
+        .agg(
+            F.count("*").alias("n_nodes"),
+            F.min("low").alias("first_label"),
+            F.max("high").alias("last_label"),
+        )
+        .filter("n_nodes > 1")
+    )

@@ -160,6 +160,24 @@ def hierarchy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.group_workspaces(records(spark, sf_dir))
 
 
+def _look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose names differ from those of two others in one unsafe character."""
+    serial = F.substring_index("workspace_name", "#", -1).cast("bigint")
+    sign = F.element_at(F.array(*map(F.lit, "#-.")), (serial % 3 + 1).cast("int"))
+    return records(spark, sf_dir).withColumn(
+        "workspace_name", F.concat(F.lit("w"), sign, F.floor(serial / 3).cast("string"))
+    )
+
+
+def hierarchy_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.collisions(_look_alikes(spark, sf_dir))
+
+
+def hierarchy_told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose ids tell every node from those that look like it."""
+    return hierarchy.edges(_look_alikes(spark, sf_dir), by_subscription=True, told_apart=True)
+
+
 def inventory(spark: SparkSession, sf_dir: str, shared: str = "s_acctbal > 1e9") -> Inventory:
     customers = inputs.table(spark, sf_dir, "customer")
     suppliers = inputs.table(spark, sf_dir, "supplier")
@@ -244,6 +262,8 @@ QUERIES = {
     "hierarchy_nodes": hierarchy_nodes,
     "hierarchy_edges": hierarchy_edges,
     "hierarchy_edges_by_subscription": hierarchy_edges_by_subscription,
+    "hierarchy_collisions": hierarchy_collisions,
+    "hierarchy_told_apart": hierarchy_told_apart,
     "hierarchy_groups": hierarchy_groups,
     "hierarchy_members": hierarchy_members,
     "inventory_profile": inventory_profile,
@@ -263,6 +283,22 @@ RG_ID = f"'RG_' || {_safe('resource_group')}"
 SUB_RG_ID = "'RG_' || " + _safe("subscription_id || '_' || resource_group")
 WS_ID = f"'WS_' || {_safe('workspace_name')}"
 
+LOOK_ALIKES_SQL = """
+alike AS (
+  SELECT * REPLACE ('w' || ['#', '-', '.'][CAST(serial % 3 + 1 AS INT)] || (serial // 3) AS workspace_name)
+  FROM (SELECT *, CAST(split_part(workspace_name, '#', 2) AS BIGINT) AS serial FROM records))
+"""
+
+
+def _hash(*parts: str) -> str:
+    whole = " || ".join(f"length({part}) || ':' || {part}" for part in parts)
+    return f"'_' || left(sha256({whole}), 16)"
+
+
+SUB_APART = f"{SUB_ID} || {_hash('subscription_id')}"
+RG_APART = f"{SUB_RG_ID} || {_hash('subscription_id', 'resource_group')}"
+WS_APART = f"{WS_ID} || {_hash('workspace_name', 'workspace_id')}"
+
 PROFILE_SQL = """
 profile AS (
   SELECT
@@ -337,6 +373,25 @@ SELECT 'resource_group', {SUB_ID}, {SUB_RG_ID}, min(pos)
 FROM records GROUP BY subscription_id, resource_group
 UNION ALL
 SELECT 'workspace', {SUB_RG_ID}, {WS_ID}, pos FROM records""",
+    "hierarchy_collisions": f"""WITH {RAW_SQL}, {LOOK_ALIKES_SQL},
+ids AS (
+  SELECT 'subscription' AS level, {SUB_ID} AS node_id, subscription_id AS key,
+         'Subscription: ' || subscription_id AS label FROM alike
+  UNION ALL
+  SELECT 'resource_group', {RG_ID}, resource_group, 'Resource Group: ' || resource_group FROM alike
+  UNION ALL
+  SELECT 'workspace', {WS_ID}, workspace_name || '/' || workspace_id,
+         'Workspace: ' || workspace_name || ' (' || workspace_id || ')' FROM alike)
+SELECT level, node_id, count(DISTINCT key) AS n_nodes, min(label) AS first_label, max(label) AS last_label
+FROM ids GROUP BY level, node_id HAVING count(DISTINCT key) > 1""",
+    "hierarchy_told_apart": f"""WITH {RAW_SQL}, {LOOK_ALIKES_SQL}
+SELECT 'subscription' AS level, 'Tenant' AS parent_id, {SUB_APART} AS child_id, min(pos) AS pos
+FROM alike GROUP BY subscription_id
+UNION ALL
+SELECT 'resource_group', {SUB_APART}, {RG_APART}, min(pos)
+FROM alike GROUP BY subscription_id, resource_group
+UNION ALL
+SELECT 'workspace', {RG_APART}, {WS_APART}, pos FROM alike""",
     "hierarchy_groups": f"""WITH {RAW_SQL}
 SELECT resource_group, subscription_id, pos, workspace_count FROM owners""",
     "hierarchy_members": f"""WITH {RAW_SQL}

@@ -122,6 +122,33 @@ def test_nodes_and_first_tenant(records):
     assert hierarchy.nodes(records.limit(0)).count() == 0
 
 
+def test_look_alikes_are_found_and_told_apart(spark):
+    rows = [
+        (1, "a_b", "c", "w.x", "1", "t"),
+        (2, "a", "b_c", "w-x", "2", "t"),
+        (3, "a", "b.c", "w-x", "2", "t"),
+        (4, "a.b", "c", "w-x", "3", "t"),
+        (5, "z", "only", "own", None, "t"),
+    ]
+    records = spark.createDataFrame(
+        rows,
+        "pos BIGINT, subscription_id STRING, resource_group STRING, workspace_name STRING, "
+        "workspace_id STRING, tenant_id STRING",
+    )
+    found = {(r.level, r.node_id): r.n_nodes for r in hierarchy.collisions(records).collect()}
+    assert found == {
+        ("subscription", "Sub_a_b"): 2, ("resource_group", "RG_b_c"): 2, ("workspace", "WS_w_x"): 3
+    }
+    groups = hierarchy.collisions(records, by_subscription=True).filter("level = 'resource_group'")
+    assert [(r.node_id, r.n_nodes) for r in groups.collect()] == [("RG_a_b_c", 4)]
+    nodes = hierarchy.nodes(records, by_subscription=True, told_apart=True)
+    ids = {r.node_id for r in nodes.collect()}
+    assert len(ids) == 1 + 4 + 5 + 4
+    ends = hierarchy.edges(records, by_subscription=True, told_apart=True).collect()
+    assert {e for r in ends for e in (r.parent_id, r.child_id)} == ids
+    assert hierarchy.collisions(records.limit(0)).count() == 0
+
+
 def test_members_come_in_order(records):
     members = hierarchy.group_workspaces(records).filter("resource_group = 'rg'").orderBy("pos")
     assert [(r.name, r.id) for r in members.collect()] == [("w.a", "1"), ("w.b", "2"), ("w.d", "4")]
